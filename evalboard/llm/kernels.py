@@ -125,30 +125,44 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
         at = to
 
 
-def ngram_hashes(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of n consecutive words of one row, and the index of its first word."""
+def ngram_hashes(words: np.ndarray, row: np.ndarray, n: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of n consecutive words of one row, and the index of its first word; at: only of windows that start there."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(m, np.uint64)
+    if at is None:
+        at = np.flatnonzero(row[:m] == row[n - 1 :])
+        h = np.zeros(m, np.uint64)
+        for j in range(n):
+            h *= np.uint64(BASE)
+            h += words[j : j + m]
+        return mix(h[at]), at
+    at = at[at < m]
+    at = at[row[at] == row[at + n - 1]]
+    h = np.zeros(len(at), np.uint64)
     for j in range(n):
         h *= np.uint64(BASE)
-        h += words[j : j + m]
-    at = np.flatnonzero(row[:m] == row[n - 1 :])
-    return mix(h[at]), at
+        h += words[at + j]
+    return mix(h), at
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two flags for each key: it occurs twice or more; an equal key stands earlier."""
-    many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Flags of the keys that occur twice or more."""
+    many = np.zeros(len(keys), bool)
     if len(keys) < 2:
-        return many, later
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+        return many
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
     many[order[1:][same]] = True
-    later[order[1:][same]] = True
     many[order[:-1][same]] = True
-    return many, later
+    return many
+
+
+def repeats(keys: np.ndarray) -> np.ndarray:
+    """Flags of the keys that equal an earlier one."""
+    again = np.ones(len(keys), bool)
+    again[np.unique(keys, return_index=True)[1]] = False
+    return again
 
 
 def covered(n: int, at: np.ndarray, width: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NOT_SPACE, Chunk, byte_class, chunks, covered, mix, ngram_hashes, repeated
+from .kernels import NOT_SPACE, Chunk, byte_class, chunks, covered, mix, ngram_hashes, repeated, repeats
 from .runtime import workers_find_package
 
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -60,7 +60,7 @@ def measure(chunk: Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
     with_word = word_at < np.searchsorted(first, line_last)
     line_first, line_last, line_row = line_first[with_word], line_last[with_word], line_row[with_word]
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))  # equal lines of two texts stay apart
-    _, later = repeated(chunk.hashes(line_first, line_last) ^ salt[line_row])
+    later = repeats(chunk.hashes(line_first, line_last) ^ salt[line_row])
     n_dup_lines = np.bincount(line_row[later], minlength=n)
     chars_to = np.zeros(len(chars) + 1, np.int64)
     np.cumsum(chars, out=chars_to[1:])
@@ -69,10 +69,11 @@ def measure(chunk: Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
     line_share = _per_row(n, line_row[later], line_chars[later]) / per
 
     shares, n_repeat_words = {}, np.zeros(n, np.int64)
+    at = None  # a window that occurs twice starts where a shorter one does
     for width in sorted({*rules.ngram_share, rules.base_window}):
-        keys, at = ngram_hashes(words, row, width)
-        many, _ = repeated(keys ^ salt[row[at]])
-        inside = covered(len(words), at[many], width) if len(words) else np.zeros(0, bool)
+        keys, at = ngram_hashes(words, row, width, at)
+        at = at[repeated(keys ^ salt[row[at]])]
+        inside = covered(len(words), at, width) if len(words) else np.zeros(0, bool)
         if width == rules.base_window:
             n_repeat_words = np.bincount(row[inside], minlength=n)
         if width in rules.ngram_share:
