@@ -7,21 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import held_out, identify, train
 from .licenses import scan_licenses
 from .media import text_media
+from .minhash import MinHashPlan, near_duplicates
+from .packing import pack_documents
 from .quality import repetition_quality
 from .sharding import shard_by_slots
+from .tokenfile import token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), MinHashPlan(words=3, percent=85))
+
+
+def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = shard_by_slots(documents(spark, sf_dir), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op6_patched_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
+def op7_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs.filter(~held_out()))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
@@ -35,7 +65,7 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_virtual_slot_shards, op8_interleaved_media, op9_license_scan, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op3_hierarchical_packing, op4_virtual_slot_shards, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
