@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import held_out, identify, train
 from .licenses import scan_licenses
+from .linededup import LinePlan, dedup_lines
 from .media import text_media
 from .minhash import MinHashPlan, near_duplicates
+from .mixing import MixPlan, mix
 from .packing import pack_documents
 from .quality import repetition_quality
 from .sharding import shard_by_slots
@@ -32,6 +34,14 @@ def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), MinHashPlan(words=3, percent=85))
 
 
+def op2_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("whole"), "text")
+    cleaned = dedup_lines(docs, LinePlan(edits=2, min_bytes=24))
+    lines = [F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)) for c in ("whole", "text")]
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return cleaned.select("doc_id", lines[0].cast("long").alias("n_lines"), F.octet_length(body).cast("long").alias("kept_bytes"), F.crc32(body).alias("kept_crc32"), (F.octet_length(F.coalesce("whole", F.lit(""))) - F.octet_length(body)).cast("long").alias("dropped_bytes"))
+
+
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
@@ -41,6 +51,25 @@ def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+#: Domains are groups of sources; these sources are a domain's own, all others are "web".
+DOMAINS = {"books": ("src1", "src2", "src3"), "code": ("src4", "src5"), "reference": ("src6", "src7", "src8", "src9")}
+
+
+def domain() -> Column:
+    """The domain of a document, by its source."""
+    cases = [F.when(F.col("source").isin(*sources), F.lit(name)) for name, sources in DOMAINS.items()]
+    return F.coalesce(*cases, F.lit("web"))
+
+
+def tree_plan(budget_percent: int = 60) -> MixPlan:
+    weights = {"domain": {"web": 4, "books": 3, "code": 1, "reference": 2}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+    return MixPlan((("domain", domain()), ("language", F.col("lang")), ("origin", F.col("source"))), weights, budget_percent=budget_percent)
+
+
+def op5_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), tree_plan()).select("doc_id", "domain", "language", "origin", "tokens", "epoch")
+
+
 def op6_patched_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -65,8 +94,44 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bbit_minhash, op3_hierarchical_packing, op4_virtual_slot_shards, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality)}
+
+
+def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], name: str) -> str:
+    """Common table expressions that divide the budgets of parents among children by weight and cap."""
+    by = f"partition by {', '.join(parent)}" if parent else ""
+    on = " and ".join(f"c.{p} = p.{p}" for p in parent) or "true"
+    keys = ", ".join((*parent, name))
+    return f"""
+    {level}_0 as (select c.*, p.budget from {children} c join {parents} p on {on} where c.weight > 0),
+    {level}_1 as (select *, cast(budget - coalesce(sum(cap) over ({by} order by cap::double / weight, {name} rows between unbounded preceding and 1 preceding), 0) as double)
+        / (sum(weight) over ({by}) - coalesce(sum(weight) over ({by} order by cap::double / weight, {name} rows between unbounded preceding and 1 preceding), 0)) as level from {level}_0),
+    {level} as (select {keys}, least(cap, cast(floor(max(level) over ({by}) * weight) as bigint)) as budget from {level}_1)"""
+
+
+def _cases(column: str, table: dict[str, int], default: int) -> str:
+    return "case " + " ".join(f"when {column} = '{k}' then {v}" for k, v in table.items()) + f" else {default} end" if table else str(default)
+
+
+def mix_sql(budget_percent: int = 60, documents: str = "documents") -> str:
+    """CTEs up to `taken` (the columns of documents, the tree's names, tokens and epoch), as tree_plan() mixes."""
+    plan = tree_plan(budget_percent)
+    domains = "case " + " ".join(f"when source in ({', '.join(repr(s) for s in sources)}) then '{name}'" for name, sources in DOMAINS.items()) + " else 'web' end"
+    weights = {n: _cases(n, plan.weights.get(n, {}), plan.default_weight) for n, _ in plan.levels}
+    levels = ("domain", "language", "origin")
+    nodes = "".join(f"nodes_{n} as (select {', '.join(levels[: i + 1])}, cast(sum(tokens) * {plan.epochs} as bigint) as cap, {weights[n]} as weight from supply group by {', '.join(levels[: i + 1])}),\n    " for i, n in enumerate(levels))
+    return f"""with named as (select *, {domains} as domain, coalesce(lang, '?') as language, coalesce(source, '?') as origin,
+        cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as tokens from {documents}),
+    supply as (select domain, language, origin, cast(sum(tokens) as bigint) as tokens from named group by all),
+    total as (select cast(floor(coalesce(sum(tokens), 0) * {plan.budget_percent} / 100) as bigint) as budget from supply),
+    {nodes}{_shares("d", "nodes_domain", "total", (), "domain")},
+    {_shares("l", "nodes_language", "d", ("domain",), "language")},
+    {_shares("o", "nodes_origin", "l", ("domain", "language"), "origin")},
+    leaves as (select o.*, s.tokens as supply, case when s.tokens > 0 then o.budget // s.tokens else 0 end as whole from o join supply s using (domain, language, origin)),
+    turns as (select n.*, l.budget, l.supply, cast(e.epoch as int) as epoch from named n join leaves l using (domain, language, origin), (select unnest(range(0, {plan.epochs + 1})) as epoch) e where e.epoch <= l.whole),
+    placed as (select *, coalesce(sum(tokens) over (partition by domain, language, origin, epoch order by md5('{plan.seed}|' || epoch || '|' || coalesce(cast(doc_id as varchar), '?')) rows between unbounded preceding and 1 preceding), 0) as before from turns),
+    taken as (select * from placed where before < budget - epoch * supply)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken"}
