@@ -26,9 +26,9 @@ RANGE_DIGITS = 3
 
 @dataclass(frozen=True)
 class MixPlan:
-    """levels: name and column of each level from the root down. weights: for each level, of its names. budget_percent: of all tokens supplied. epochs: how often a document may come at most."""
+    """levels: name of each level from the root down, and the SQL expression that gives it. weights: for each level, of its names. budget_percent: of all tokens supplied. epochs: how often a document may come at most."""
 
-    levels: tuple[tuple[str, Column], ...]
+    levels: tuple[tuple[str, str], ...]
     weights: dict[str, dict[str, int]] = field(default_factory=dict)
     default_weight: int = 1
     budget_percent: int = 60
@@ -96,7 +96,7 @@ def leaf_cuts(rows: DataFrame, plan: MixPlan, key: str) -> DataFrame:
 def mix(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are taken, once for each epoch, with the tree's names, `tokens` and `epoch`."""
     names = [n for n, _ in plan.levels]
-    added = {n: F.coalesce(c.cast("string"), F.lit("?")) for n, c in plan.levels}
+    added = {n: F.coalesce(F.expr(e).cast("string"), F.lit("?")) for n, e in plan.levels}
     rows = written(docs.select(F.col(id_col).alias("_key"), *[c.alias(n) for n, c in added.items()], words_of(F.col(text_col)).alias("tokens")), "tokens")
     cuts = leaf_cuts(rows, plan, "_key").select(*[F.col(n).alias(f"_{n}") for n in names], "whole", "cut")
     match = None

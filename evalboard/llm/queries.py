@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import held_out, identify, train
@@ -55,15 +55,14 @@ def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOMAINS = {"books": ("src1", "src2", "src3"), "code": ("src4", "src5"), "reference": ("src6", "src7", "src8", "src9")}
 
 
-def domain() -> Column:
-    """The domain of a document, by its source."""
-    cases = [F.when(F.col("source").isin(*sources), F.lit(name)) for name, sources in DOMAINS.items()]
-    return F.coalesce(*cases, F.lit("web"))
+def domain() -> str:
+    """The domain of a document, by its source, in SQL."""
+    return "case " + " ".join(f"when source in ({', '.join(repr(s) for s in sources)}) then '{name}'" for name, sources in DOMAINS.items()) + " else 'web' end"
 
 
 def tree_plan(budget_percent: int = 60) -> MixPlan:
     weights = {"domain": {"web": 4, "books": 3, "code": 1, "reference": 2}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}}
-    return MixPlan((("domain", domain()), ("language", F.col("lang")), ("origin", F.col("source"))), weights, budget_percent=budget_percent)
+    return MixPlan((("domain", domain()), ("language", "lang"), ("origin", "source")), weights, budget_percent=budget_percent)
 
 
 def op5_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +115,11 @@ def _cases(column: str, table: dict[str, int], default: int) -> str:
 def mix_sql(budget_percent: int = 60, documents: str = "documents") -> str:
     """CTEs up to `taken` (the columns of documents, the tree's names, tokens and epoch), as tree_plan() mixes."""
     plan = tree_plan(budget_percent)
-    domains = "case " + " ".join(f"when source in ({', '.join(repr(s) for s in sources)}) then '{name}'" for name, sources in DOMAINS.items()) + " else 'web' end"
     weights = {n: _cases(n, plan.weights.get(n, {}), plan.default_weight) for n, _ in plan.levels}
     levels = ("domain", "language", "origin")
     nodes = "".join(f"nodes_{n} as (select {', '.join(levels[: i + 1])}, cast(sum(tokens) * {plan.epochs} as bigint) as cap, {weights[n]} as weight from supply group by {', '.join(levels[: i + 1])}),\n    " for i, n in enumerate(levels))
-    return f"""with named as (select *, {domains} as domain, coalesce(lang, '?') as language, coalesce(source, '?') as origin,
+    names = ", ".join(f"coalesce({e}, '?') as {n}" for n, e in plan.levels)
+    return f"""with named as (select *, {names},
         cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as tokens from {documents}),
     supply as (select domain, language, origin, cast(sum(tokens) as bigint) as tokens from named group by all),
     total as (select cast(floor(coalesce(sum(tokens), 0) * {plan.budget_percent} / 100) as bigint) as budget from supply),
