@@ -14,8 +14,8 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Characters that NFC leaves alone and whose classes and lower case do not depend on the Unicode version.
-_PLAIN = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)) if c not in (0xAD, 0x130)]
+#: Characters that NFC leaves alone, whose classes do not depend on the Unicode version and whose lower case is one such character.
+_PLAIN = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)) if c != 0xAD and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
 #: Fixed value: the pattern of byte-level pre-tokenization.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -234,7 +234,7 @@ def label_chunk(c: Chunk, model: LanguageModel) -> tuple[list[str], np.ndarray,
             score[i] = 0.0
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])])) if len(row) else np.zeros(0, np.int64)
     found: list[list[dict]] = [[] for _ in range(c.n)]
-    if model.languages:
+    if model.languages and len(row):
         for a, b in zip(new, np.append(new[1:], len(row)), strict=True):
             r = row[a]
             if pred[r] != "und":
