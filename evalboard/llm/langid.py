@@ -217,10 +217,12 @@ def spans(row: np.ndarray, scores: np.ndarray, penalty: float, segment: int = 12
 
 def label_chunk(c: Chunk, model: LanguageModel) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     """Language, score and spans of each row."""
+    if not model.languages:
+        return ["und"] * c.n, np.zeros(c.n), [[] for _ in range(c.n)]
     low = _lowered(c)
     first, last, row, scores = word_scores(low, model)
     label = spans(row, scores, model.penalty)
-    k = max(len(model.languages), 1)
+    k = len(model.languages)
     weight = np.bincount(row * k + label, last - first, c.n * k).reshape(c.n, k) if len(row) else np.zeros((c.n, k))
     total = weight.sum(1)
     best = weight.argmax(1)
@@ -228,13 +230,13 @@ def label_chunk(c: Chunk, model: LanguageModel) -> tuple[list[str], np.ndarray,
     ascii_letter = c.counts(LETTER[c.data] & (c.data < 0x80)) > 0
     pred = []
     for i in range(c.n):
-        known = bool(model.languages) and total[i] > 0 and (ascii_letter[i] or any(ch.isalpha() for ch in c.text(i).decode("utf-8", "replace")))
+        known = total[i] > 0 and (ascii_letter[i] or any(ch.isalpha() for ch in c.text(i).decode("utf-8", "replace")))
         pred.append(model.languages[best[i]] if known else "und")
         if not known:
             score[i] = 0.0
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])])) if len(row) else np.zeros(0, np.int64)
     found: list[list[dict]] = [[] for _ in range(c.n)]
-    if model.languages and len(row):
+    if len(row):
         for a, b in zip(new, np.append(new[1:], len(row)), strict=True):
             r = row[a]
             if pred[r] != "und":
