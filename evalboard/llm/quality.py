@@ -24,14 +24,14 @@ SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the repetition rules: the largest share of a text's word characters in windows of n words that occur twice or more, and in lines equal to an earlier one."""
+    """Limits of the repetition rules: the largest share of a text's word characters in windows of n words that equal an earlier one, and in lines that do; symbols for each word."""
 
     min_words: int = 20
     base_window: int = 8
     base_percent: int = 30
     ngram_share: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
     line_share: float = 0.20
-    symbol_share: float = 0.10
+    symbols_per_word: float = 0.10
 
 
 SCHEMA = (
@@ -72,11 +72,13 @@ def measure(chunk: Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
     at = None  # a window that occurs twice starts where a shorter one does
     for width in sorted({*rules.ngram_share, rules.base_window}):
         keys, at = ngram_hashes(words, row, width, at)
-        at = at[repeated(keys ^ salt[row[at]])]
-        inside = covered(len(words), at, width) if len(words) else np.zeros(0, bool)
+        keys = keys ^ salt[row[at]]
+        many = repeated(keys)
+        at, keys = at[many], keys[many]
         if width == rules.base_window:
-            n_repeat_words = np.bincount(row[inside], minlength=n)
+            n_repeat_words = np.bincount(row[covered(len(words), at, width)], minlength=n)
         if width in rules.ngram_share:
+            inside = covered(len(words), at[repeats(keys)], width)
             shares[width] = _per_row(n, row[inside], chars[inside]) / per
 
     reason = np.full(n, None, object)
@@ -85,7 +87,7 @@ def measure(chunk: Chunk, rules: QualityRules) -> dict[str, np.ndarray]:
         ("repeated_windows", 100 * n_repeat_words > rules.base_percent * n_words),
         ("duplicate_lines", line_share > rules.line_share),
         *((f"duplicate_{w}_grams", shares[w] > limit) for w, limit in sorted(rules.ngram_share.items())),
-        ("symbols", n_symbols > rules.symbol_share * per),
+        ("symbols", n_symbols > rules.symbols_per_word * n_words),
     ):
         reason[failed & (reason == None)] = name  # noqa: E711
     base_failed = (n_words < rules.min_words) | (100 * n_repeat_words > rules.base_percent * n_words)

@@ -20,8 +20,13 @@ def plain(text, rules):
 
     def inside(n):
         grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-        at = {i + j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(n)}
-        return at
+        many = {i + j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(n)}
+        met, later = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            later |= {i + j for j in range(n)} if gram in met else set()
+            met.add(gram)
+        return many, later
 
     seen, dup, dup_chars = set(), 0, 0
     for line in text.split("\n"):
@@ -30,11 +35,11 @@ def plain(text, rules):
             dup += line in seen
             dup_chars += sum(map(len, own)) if line in seen else 0
             seen.add(line)
-    repeat = len(inside(8))
+    repeat = len(inside(8)[0])
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
-    shares = [sum(len(words[i]) for i in inside(n)) / max(chars, 1) for n in sorted(rules.ngram_share)]
+    shares = [sum(len(words[i]) for i in inside(n)[1]) / max(chars, 1) for n in sorted(rules.ngram_share)]
     symbols = sum(c in "#*$%&|<>" for c in text)
-    kept = not failed and dup_chars / max(chars, 1) <= rules.line_share and all(s <= rules.ngram_share[n] for s, n in zip(shares, sorted(rules.ngram_share), strict=True)) and symbols <= rules.symbol_share * max(chars, 1)
+    kept = not failed and dup_chars / max(chars, 1) <= rules.line_share and all(s <= rules.ngram_share[n] for s, n in zip(shares, sorted(rules.ngram_share), strict=True)) and symbols <= rules.symbols_per_word * len(words)
     return len(words), chars, symbols, dup, repeat, failed, kept, [round(s, 9) for s in shares]
 
 
@@ -55,7 +60,7 @@ def test_against_plain(spark, seed):
 
 
 def test_clean_prose_stays_and_junk_goes(spark):
-    texts = [" ".join(PROSE), " ".join(PROSE[:2]) * 4, "\n".join([PROSE[0]] * 3 + list(PROSE)), "win $$$ now " + " ".join(PROSE)]
+    texts = [" ".join(PROSE), " ".join(PROSE[:2]) * 4, "\n".join([PROSE[0]] * 3 + list(PROSE)), "win $$ now " + " ".join(PROSE)]
     assert [x["kept"] for x in repetition_quality(documents(spark, texts)).orderBy("doc_id").collect()] == [True, False, False, True]
 
 
