@@ -215,7 +215,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     body = padded(c.text(i))
                     digest = hashlib.sha256(body).hexdigest()
                     sizes.append(int(c.ends[i] - c.starts[i]))
-                    pages.append(f'<article><p>Document {doc}</p><figure><img src="sha256:{digest}"><figcaption>{escape(f"{sizes[-1]} bytes of document {doc}")}</figcaption></figure></article>')
+                    pages.append(f'<article><p>Document {doc}</p><figure><img src="sha256:{digest}"><figcaption>{escape(f"{sizes[-1]} bytes of text")}</figcaption></figure></article>')
                     digests.append(digest)
                     images.append(None if digest in seen else png(body))
                     seen.add(digest)

@@ -44,7 +44,7 @@ def test_texts(spark):
         image = M.png(payload)
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (x["media_bytes"], x["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
-        assert x["position"] == 1 and x["caption"] == f"{len(body)} bytes of document {i}"
+        assert x["position"] == 1 and x["caption"] == f"{len(body)} bytes of text"
     assert got[len(texts) - 1]["feature"] == got[len(texts) - 2]["feature"]
 
 
