@@ -11,12 +11,13 @@ only pairs across components of a key are left, so groups of alike lines are nev
 A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
 
 Defined cases: lines shorter than min_bytes always stay, and so do null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number; repeated rows
-are later occurrences of each other's lines by a tie that their id and line number cannot settle, so both keep theirs; an empty table gives an empty result; columns other than the
+stand at one place, so both keep their lines; an empty table gives an empty result; columns other than the
 id and the text pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,16 +108,17 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Dat
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line and node of each line that is long enough."""
+    """doc_id, line, node and crc32 of each line that is long enough."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                _, _, row, number, node = _lines(c, plan)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(c.row + row)), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64))})
+                first, last, row, number, node = _lines(c, plan)
+                sums = [zlib.crc32(c.data[a:b]) for a, b in zip(first, last, strict=True)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(c.row + row)), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64)), "crc32": pa.array(sums, pa.int64())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line int, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line int, node long, crc32 long")
 
 
 def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
@@ -235,19 +237,22 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
+    """doc_id, line, crc32, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
     plan = plan or LinePlan()
     seen = written(occurrences(docs, plan, id_col, text_col), "occurrences")
     found = written(alike_lines(docs, plan, text_col), "components")
-    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "line", F.coalesce("component", "node").alias("component")), "named")
+    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "line", "crc32", F.coalesce("component", "node").alias("component")), "named")
     firsts = written(named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "firsts")
-    return named.join(firsts, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))).select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+    return named.join(firsts, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))).select("doc_id", "line", "crc32", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with those lines taken out of their texts; documents keep their rows, also where no line is left."""
+    """docs with those lines taken out of their texts; documents keep their rows, also where no line is left.
+
+    A line goes if its id, number and checksum are a duplicate's, so rows that share an id lose no line of their own.
+    """
     found = duplicate_lines(docs, plan, id_col, text_col)
-    drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_drop"))
+    drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("line", "crc32")).alias("_drop"))
     joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_drop", i)), "\n")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_drop", F.struct(i.alias("line"), F.crc32(x.cast("binary")).alias("crc32")))), "\n")
     return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from evalboard.llm import linededup as L
 
-from .conftest import ODD, PROSE, documents
+from .conftest import ODD, PROSE, SCHEMA, documents
 from .test_minhash import groups
 
 
@@ -100,6 +100,13 @@ def test_passages_go_but_their_first_place_stays(spark):
     assert got[0] == "a\n" + passage and got[1] == "b"
 
 
+def test_rows_that_share_an_id(spark):
+    line = PROSE[0]
+    rows = [(1, line, "en", "s", 0), (None, "first of all\n" + line, "en", "s", 0), (None, "first of all\n" + PROSE[1], "en", "s", 0), (5, PROSE[2] + "\n" + PROSE[1], "en", "s", 0)]
+    got = sorted(x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(["", "first of all\n" + line, "first of all\n" + PROSE[1], PROSE[2]])
+
+
 def test_odd_rows(odd, empty):
     out = L.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns == odd.columns and L.dedup_lines(empty).count() == 0
