@@ -90,6 +90,22 @@ def question(attribute: Column) -> Column:
     return F.when(attribute == "rhythm", F.lit("Which clip is faster?")).otherwise(F.concat(F.lit("Same or different "), attribute, F.lit("?")))
 
 
+#: What a reader is told about each second clip.
+CAPTIONS = {
+    "melody": "One note of clip B is higher; all else is the same. Answer: different melody.",
+    "rhythm": "Clip B has the same notes at a faster tempo. Answer: clip B.",
+    "timbre": "Clip B has the same notes on another instrument. Answer: different timbre.",
+    "harmony": "The melody stays, but the second chord of clip B is another. Answer: different harmony.",
+}
+
+
+def caption(attribute: Column) -> Column:
+    said = None
+    for name, words in CAPTIONS.items():
+        said = F.when(attribute == name, words) if said is None else said.when(attribute == name, words)
+    return said
+
+
 def item_grid(spark: SparkSession) -> DataFrame:
     """Attribute and change of every kind of test item."""
     return spark.createDataFrame([(a, v) for a, values in GRID.items() for v in values], "attribute string, change string")

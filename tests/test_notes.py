@@ -32,4 +32,5 @@ def test_layout(spark):
 
     assert [(r["bar"], r["x"]) for r in N.bar_lines(spark).collect()] == [(4, 160.0), (8, 276.0), (12, 392.0)]
     assert spark.range(1).select(N.question(F.lit("rhythm")), N.question(F.lit("harmony"))).first()[1] == "Same or different harmony?"
+    assert "faster" in spark.range(1).select(N.caption(F.lit("rhythm"))).first()[0]
     assert N.item_grid(spark).count() == 15

@@ -91,6 +91,16 @@ def test_cells(board):
     assert "Clear" not in render.empty_row()
 
 
+def test_whole_table(board):
+    from pyspark.sql import Window
+
+    rows = ranked(board)
+    shown = render.cells(rows).join(rows.select("line", F.row_number().over(Window.orderBy("group_ord", "rank")).alias("place")), "line")
+    made = [r["html"] for r in render.table_html(shown).orderBy("group_ord", "place").collect()]
+    assert len(made) == 7 + 4 and "Zero-shot models" in made[0] and ">1</td>" in made[1] and "References" in made[-2]
+    assert render.bar_colour("melody") == "var(--melody)" and render.bar_colour("overall") == "var(--ink)"
+
+
 def test_footer():
     c = render.SiteConfig(title="T", lab="L", repository="https://r", contact="a@b")
     assert "https://r/blob/main/leaderboard.csv" in c.footer() and "Built by the L" in c.footer()
