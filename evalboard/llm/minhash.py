@@ -5,7 +5,8 @@ Documents that share a band key are candidates; a candidate pair must be able to
 counted with bit operations and corrected for chance collisions, may fall short by `sigmas` standard deviations; then it is confirmed on the full shingle sets.
 
 No pairs within a group of copies are made. Equal sets are one node. Each band bucket first links its members to its smallest one, and the confirmed links are joined
-to components; then only pairs across components of a bucket are left, and of these, in each bucket, those of its largest component with itself are none.
+to components; then only pairs across components of a bucket are left. Bitmaps of the full sets bound how much two can share, so copies that are too far
+from one another are not made into pairs.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; fewer words than a shingle are one shingle; repeated rows share a set;
 rows of one id count as one document that has a link if one of its sets has; a null id is kept and has no component; an empty table gives an empty result;
@@ -20,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import NOT_SPACE, Chunk, chunks, mix, ngram_hashes
-from .runtime import workers_find_package, written
+from .runtime import by_size, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -155,8 +156,18 @@ def signatures(docs: DataFrame, plan: MinHashPlan, id_col: str = "doc_id", text_
     return texts.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
 
 
+BITMAP = 2048
+
+
+def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """sets x 64-bit words: which of 2048 buckets each set's shingles fall into."""
+    seen = np.zeros((len(sizes), BITMAP), np.uint8)
+    seen[np.repeat(np.arange(len(sizes)), sizes), (values >> np.uint64(53)).astype(np.int64)] = 1
+    return np.packbits(seen, axis=1, bitorder="little").view("<u8")
+
+
 def shingle_sets(docs: DataFrame, plan: MinHashPlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its full set of shingle hashes."""
+    """doc_id, its full set of shingle hashes, and the set's bitmap."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,30 +175,33 @@ def shingle_sets(docs: DataFrame, plan: MinHashPlan, id_col: str = "doc_id", tex
             for c in chunks(batch.column(1)):
                 values, sizes = shingles(c, plan.words)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.row, c.n), "shingles": pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.row, c.n), "shingles": pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64))), "bits": _long_lists(bitmaps(values, sizes))})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
-class _Linker:
-    def __init__(self, docs: DataFrame, plan: MinHashPlan, id_col: str, text_col: str):
-        self.docs, self.plan = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), plan
+def possible(a: str, b: str, plan: MinHashPlan) -> Column:
+    """Whether the similarity can be reached, by set sizes and sketches."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    by_size = F.least(n, m) * 100 >= F.greatest(n, m) * plan.percent
+    return by_size & (matching_fields(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), plan) >= plan.least_matches)
 
-    def possible(self, a: str, b: str) -> Column:
-        """By sizes and sketches."""
-        n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-        by_size = F.least(n, m) * 100 >= F.greatest(n, m) * self.plan.percent
-        return by_size & (matching_fields(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), self.plan) >= self.plan.least_matches)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the similarity."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(shingle_sets(self.docs.join(wanted, "doc_id", "left_semi"), self.plan), "sets")
-        one, two = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        both = F.size("set_a") + F.size("set_b") - shared
-        return pairs.join(one, "a").join(two, "b").filter(shared * 100 >= both * self.plan.percent).select("a", "b")
+def reachable(a: str, b: str, plan: MinHashPlan) -> Column:
+    """Whether the similarity can be reached, by bitmaps: sets differ in at least as many shingles as their bitmaps in bits."""
+    differing = F.lit(0)
+    for k in range(BITMAP // 64):
+        differing = differing + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
+    return differing * (100 + plan.percent) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (100 - plan.percent)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    both = F.size("set_a") + F.size("set_b") - shared
+    return pairs.join(one, "a").join(two, "b").filter(shared * 100 >= both * plan.percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,29 +212,37 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
     # Equal sets are one node, named by its smallest document.
     classes = written(full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = written(full.join(classes.select(F.col("node").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "nodes")
-    linker = _Linker(docs, plan, id_col, text_col)
 
-    # Buckets of two nodes or more.
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    buckets = written(keyed.join(firsts, "key"), "buckets")
+    # Members of buckets beside the first, and the first of each.
+    running = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = nodes.select(F.explode("bands").alias("key"), "node").select("key", "node", F.first("node").over(running).alias("first"))
+    hits = written(keyed.filter("node != first"), "hits")
+    buckets = hits.select("key", "node").union(hits.select("key", F.col("first").alias("node"))).distinct()
+
+    # Nodes with a possible partner, and their full sets: the only read of texts besides the signatures'.
+    rows = written(buckets.join(nodes.select("node", "n_shingles", "sketch"), "node"), "members")
+    x, y = rows.alias("x"), rows.alias("y")
+    suspects = written(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y", plan), "left_semi").select("node").distinct(), "suspects")
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(by_size(suspects.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    shingled = written(shingle_sets(wanted, plan).withColumnRenamed("doc_id", "node"), "sets")
 
     # Each member against the first of its bucket.
-    sketched = nodes.select("node", "n_shingles", "sketch")
-    stars = buckets.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(linker.possible("x", "y")).select("a", "b")
-    links = written(linker.confirmed(written(stars, "stars")), "links")
+    sketched = nodes.join(suspects, "node", "left_semi").select("node", "n_shingles", "sketch")
+    stars = hits.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(possible("x", "y", plan)).select("a", "b")
+    links = written(confirmed(written(stars, "stars"), shingled, plan), "links")
     found = written(components(links), "components")
 
     # Pairs across components of a bucket, but within its largest one.
-    labelled = buckets.select("key", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = rows.join(suspects, "node", "left_semi").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    open_rows = written(labelled.join(main, "key").join(sketched, "node"), "open")
-    x, y = open_rows.filter("component != main").alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & linker.possible("x", "y"))
+    open_rows = labelled.join(main, "key")
+    bounded = written(open_rows.join(shingled.select("node", F.size("shingles").alias("size"), "bits"), "node"), "bounded")
+    x, y = bounded.filter("component != main").alias("x"), bounded.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible("x", "y", plan) & reachable("x", "y", plan))
     pairs = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
-    more = linker.confirmed(pairs)
+    more = confirmed(pairs, shingled, plan)
     final = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     named = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo", "n_shingles"], "left")

@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of up to about 32 bytes that may be broadcast; what has more is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def by_size(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has few rows (rows: what to count in their place), else merged."""
+    return table.hint("broadcast" if (table.count() if rows is None else rows) <= BROADCAST_ROWS else "merge")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

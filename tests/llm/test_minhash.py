@@ -108,3 +108,12 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count() and M.near_duplicates(empty).count() == 0
     assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)]
     assert all(r["kept"] for r in rows if r["n_shingles"] == 0)
+
+
+@pytest.mark.parametrize("size", [20, 148, 900, 5000])
+def test_bitmaps_never_exceed_the_true_difference(size):
+    r = np.random.default_rng(size)
+    a = np.unique(r.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+    b = np.unique(np.concatenate([a[: size * 9 // 10], r.integers(0, 1 << 63, size // 5, np.uint64)]))
+    bits = M.bitmaps(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    assert 0 < int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
