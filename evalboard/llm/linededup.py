@@ -6,7 +6,8 @@ may meet a segment of a line as long as itself or up to `edits` shorter (the mul
 banded bit-parallel edit distance, many pairs at once. Alike lines form components; all but the first occurrence of each go.
 
 Equal lines are one node. Segments and probes of one key are only sorted, and each is paired with the key's first segment; verified links are joined to components, and then
-only pairs across components of a key are left, so groups of alike lines are never paired in full.
+only pairs across components of a key are left, so groups of alike lines are never paired in full. Pairs whose bitmaps of four-byte runs differ in more than the edits can explain
+are not made.
 
 A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
 
@@ -23,12 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Chunk, chunks, mix
-from .runtime import workers_find_package, written
+from .runtime import by_size, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,10 @@ def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(length: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For lines of the lengths: segment number, length of the indexed line, start of a substring and its size; a start of -1 is none."""
+    """For lines of the lengths: segment number, length of the indexed line, start of a substring and its size; a start of -1 is none.
+
+    A line's own segments are not among them: as such they meet those of other lines of its length already.
+    """
     for shorter in range(edits + 1):
         other = length - shorter
         starts, sizes = segments(other, edits)
@@ -61,7 +65,8 @@ def probes(length: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray, np
                 at = low + step
                 if (at > high).all():
                     break
-                yield i, other, np.where(at <= high, at, -1), sizes[i]
+                own = (at == starts[i]) if shorter == 0 else False
+                yield i, other, np.where((at <= high) & ~np.asarray(own), at, -1), sizes[i]
 
 
 def _key(hashes: np.ndarray, number: int, length: np.ndarray) -> np.ndarray:
@@ -199,40 +204,74 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
     return close
 
 
+BITMAP, GRAM = 2048, 4
+
+
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """node, body and bits: which of 2048 buckets the line's runs of four bytes fall into. An edit changes eight of these at most."""
+    workers_find_package(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                d = c.data.astype(np.uint32)
+                gram = np.zeros(max(len(d) - GRAM + 1, 0), np.uint32)
+                for k in range(GRAM):
+                    gram = gram << np.uint32(8) | d[k : k + len(gram)]
+                bucket = (gram * np.uint32(0x9E3779B1)) >> np.uint32(21)
+                row = c.row_of(np.arange(len(bucket)))
+                inside = np.arange(len(bucket)) + GRAM <= c.ends[row]
+                seen = np.zeros((c.n, BITMAP), np.uint8)
+                seen[row[inside], bucket[inside]] = 1
+                words = np.packbits(seen, axis=1, bitorder="little").view("<i8")
+                part = batch.slice(c.row, c.n)
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "body": part.column(1), "bits": pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * words.shape[1], pa.array(words.ravel()))})
+
+    return lines.mapInArrow(run, "node long, body binary, bits array<long>")
+
+
+def reachable(a: str, b: str, edits: int) -> Column:
+    """Whether two lines can be within the edits, by their bitmaps."""
+    differing = F.lit(0)
+    for k in range(BITMAP // 64):
+        differing = differing + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
+    return differing <= 2 * GRAM * edits
+
+
 def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
     """id (a node that is like another) and its component."""
     keyed = segment_keys(docs, plan, text_col)
     order = Window.partitionBy("key").orderBy("role", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = keyed.select("key", "node", "role", F.first("node").over(order).alias("first"), F.first("role").over(order).alias("first_role"))
     hits = written(ranked.filter("first_role = 0 and node != first").select("key", "node", "role", "first").distinct(), "hits")
+    wanted = written(hits.select("node").union(hits.select(F.col("first").alias("node"))).distinct(), "wanted")
+    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(by_size(wanted), "node", "left_semi").dropDuplicates(["node"])), "lines")
+    bits, edits = bodies.select("node", "bits"), plan.edits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(within(part.column(2).to_pylist(), part.column(3).to_pylist(), edits)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        bodies = written(line_texts(docs, plan, text_col).join(wanted, "node", "left_semi"), "lines")
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
-        edits = plan.edits
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(within(part.column(2).to_pylist(), part.column(3).to_pylist(), edits)))
-
         return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
-    pairs = written(hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs).distinct(), "links")
+    stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    stars = stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", edits)).select("a", "b")
+    links = written(verified(written(stars, "stars")), "links")
     found = written(components(links), "components")
 
     members = hits.select("key", "node", "role").union(hits.select("key", F.col("first").alias("node"), F.lit(0).cast("byte").alias("role"))).distinct()
     labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    open_rows = written(labelled.join(main, "key"), "open")
+    open_rows = written(labelled.join(main, "key").join(bits, "node"), "open")
     x, y = open_rows.filter("component != main").alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") != F.col("y.role")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))))
-    left = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = written(left.join(pairs, ["a", "b"], "left_anti"), "across")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & reachable("x", "y", edits))
+    rest = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(rest)))
 
 
@@ -251,8 +290,8 @@ def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "do
 
     A line goes if its id, number and checksum are a duplicate's, so rows that share an id lose no line of their own.
     """
-    found = duplicate_lines(docs, plan, id_col, text_col)
+    found = written(duplicate_lines(docs, plan, id_col, text_col).select("doc_id", "line", "crc32"), "duplicates")
     drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("line", "crc32")).alias("_drop"))
-    joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(by_size(drops, found.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_drop", F.struct(i.alias("line"), F.crc32(x.cast("binary")).alias("crc32")))), "\n")
     return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalboard.llm import linededup as L
 
@@ -63,7 +64,19 @@ def test_probes_meet_a_segment_of_every_line_within_reach(edits):
         starts, sizes = L.segments(np.array([len(a)]), edits)
         held = {(i, a[s : s + n]) for i, (s, n) in enumerate(zip(starts[:, 0], sizes[:, 0], strict=True))}
         assert starts[-1, 0] + sizes[-1, 0] == len(a)
-        assert any((i, b[at[0] : at[0] + n[0]]) in held for i, other, at, n in L.probes(np.array([len(b)]), edits) if at[0] >= 0 and other[0] == len(a))
+        same = len(a) == len(b) and any((i, b[s : s + n]) in held for i, (s, n) in enumerate(zip(starts[:, 0], sizes[:, 0], strict=True)))
+        assert same or any((i, b[at[0] : at[0] + n[0]]) in held for i, other, at, n in L.probes(np.array([len(b)]), edits) if at[0] >= 0 and other[0] == len(a))
+
+
+def test_bitmaps_allow_for_every_edit(spark):
+    r = random.Random(9)
+    left = [bytes(r.choices(b"abcdefgh", k=r.randint(24, 200))) for _ in range(300)]
+    right = [edited(r, a, 2) for a in left]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(left + right)], "node long, body binary")
+    bits = L.bitmaps(rows).select("node", "bits")
+    pairs = bits.alias("x").join(bits.alias("y"), F.col("y.node") == F.col("x.node") + 300)
+    assert pairs.count() == pairs.filter(L.reachable("x", "y", 2)).count() == 300
+    assert pairs.filter(L.reachable("x", "y", 0)).count() < 30
 
 
 def plain(texts, plan):
