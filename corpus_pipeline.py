@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go; a document left without text goes too."""
-    return dedup_lines(docs, LinePlan(edits=2, min_bytes=24)).filter(F.length(F.trim("text")) > 0)
+    return dedup_lines(docs, LinePlan(edits=2, min_bytes=24, equal_short=True)).filter(F.length(F.trim("text")) > 0)
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ are not made.
 
 A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
 
-Defined cases: lines shorter than min_bytes always stay, and so do null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number; repeated rows
+Defined cases: lines shorter than min_bytes are outside the edit join: with equal_short, those that are not blank go if an equal one stands earlier, else they stay; blank lines stay, and so do
+null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number; repeated rows
 stand at one place, so both keep their lines; an empty table gives an empty result; columns other than the
 id and the text pass through.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import Chunk, chunks, mix
+from .kernels import NOT_SPACE, Chunk, chunks, mix
 from .runtime import by_size, workers_find_package, written
 
 
@@ -36,6 +37,7 @@ from .runtime import by_size, workers_find_package, written
 class LinePlan:
     edits: int = 2
     min_bytes: int = 24
+    equal_short: bool = False  # whether lines under min_bytes go where they equal an earlier one
 
     def __post_init__(self) -> None:
         if self.edits < 0 or self.edits > 30 or self.min_bytes < 2 * (self.edits + 1):
@@ -73,13 +75,17 @@ def _key(hashes: np.ndarray, number: int, length: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(number)))
 
 
-def _lines(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, row, number in its text and hash of each line that is long enough."""
+def _lines(c: Chunk, plan: LinePlan, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, row, number in its text and hash of each line that is long enough; short: and of shorter ones that are not blank."""
     first, last, row = c.lines()
     number = np.arange(len(first)) - np.searchsorted(row, row)
-    long = np.flatnonzero(last - first >= plan.min_bytes)
-    first, last = first[long], last[long]
-    return first, last, row[long], number[long], c.hashes(first, last)
+    taken = last - first >= plan.min_bytes
+    if short:
+        seen = np.concatenate([[0], np.cumsum(NOT_SPACE[c.data])])
+        taken |= seen[last] > seen[first]
+    at = np.flatnonzero(taken)
+    first, last = first[at], last[at]
+    return first, last, row[at], number[at], c.hashes(first, last)
 
 
 def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
@@ -113,13 +119,13 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Dat
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, node and crc32 of each line that is long enough."""
+    """doc_id, line, node and crc32 of each line that may go."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                first, last, row, number, node = _lines(c, plan)
+                first, last, row, number, node = _lines(c, plan, plan.equal_short)
                 sums = [zlib.crc32(c.data[a:b]) for a, b in zip(first, last, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(c.row + row)), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64)), "crc32": pa.array(sums, pa.int64())})
 

@@ -11,7 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evalboard.llm import linededup as L
+from evalboard.llm.queries import op2_segment_line_dedup
 
 from .conftest import ODD, PROSE, SCHEMA, documents
 from .test_minhash import groups
@@ -120,6 +122,23 @@ def test_rows_that_share_an_id(spark):
     assert got == sorted(["", "first of all\n" + line, "first of all\n" + PROSE[1], PROSE[2]])
 
 
+def test_short_lines_go_where_equal(spark):
+    texts = ["All rights reserved.\n\n \t\nb\n" + PROSE[0], "b\nAll rights reserved\n\n \t\nAll rights reserved.", None, "", "b"]
+    docs = documents(spark, texts)
+    got = [x["text"] for x in L.dedup_lines(docs, L.LinePlan(equal_short=True)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "All rights reserved\n\n \t", None, "", ""]
+
+
+@pytest.mark.parametrize("query", ["op2", "pipeline"])
+def test_queries_drop_short_repeats(spark, tmp_path, query):
+    documents(spark, ["one\ntwo", "two\nthree"]).write.parquet(f"{tmp_path}/documents.parquet")
+    if query == "op2":
+        assert [x["dropped_bytes"] for x in op2_segment_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 4]
+    else:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert [x["text"] for x in corpus_pipeline.lines(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == ["one\ntwo", "three"]
+
+
 def test_odd_rows(odd, empty):
     out = L.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns == odd.columns and L.dedup_lines(empty).count() == 0
