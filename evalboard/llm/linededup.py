@@ -9,6 +9,9 @@ Equal lines are one node. Segments and probes of one key are only sorted, and ea
 only pairs across components of a key are left, so groups of alike lines are never paired in full. Pairs whose bitmaps of four-byte runs differ in more than the edits can explain
 are not made.
 
+With bytes_per_edit, a pair may differ in more edits the longer its shorter line is. Probes grow with the cube of the edits, so lines that may differ in more than `edits` are met by
+anchors in place of segments: the smallest hash of 12 bytes in every window of places, narrow enough that any run which so many edits must leave unchanged holds one. This is complete too.
+
 A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
 
 Defined cases: lines shorter than min_bytes are outside the edit join: with equal_short, those that are not blank go if an equal one stands earlier, else they stay; blank lines stay, and so do
@@ -19,9 +22,11 @@ id and the text pass through.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +38,36 @@ from .kernels import NOT_SPACE, Chunk, chunks, mix
 from .runtime import by_size, workers_find_package, written
 
 
+#: The band of `within` is a 64-bit word.
+MOST_EDITS = 30
+#: Bytes of an anchor, and the most places among which one is chosen.
+ANCHOR, WIDEST = 12, 64
+
+
 @dataclass(frozen=True)
 class LinePlan:
     edits: int = 2
     min_bytes: int = 24
     equal_short: bool = False  # whether lines under min_bytes go where they equal an earlier one
+    bytes_per_edit: int = 0  # if not 0, a pair may differ in one edit for each so many bytes of its shorter line, MOST_EDITS at most, where that is more than edits
 
     def __post_init__(self) -> None:
         if self.edits < 0 or self.edits > 30 or self.min_bytes < 2 * (self.edits + 1):
             raise ValueError("edits must be 0 to 30, and lines at least two bytes for each segment")
+        if self.bytes_per_edit and windows(np.arange(self.anchored_from, self.anchored_from + 40 * self.bytes_per_edit), self).min() < 1:
+            raise ValueError("edits must leave runs that hold an anchor")
+
+    def allowed(self, length: np.ndarray) -> np.ndarray:
+        """The edits that a pair with a shorter line of the length may differ in."""
+        return np.maximum(self.edits, np.minimum(length // self.bytes_per_edit, MOST_EDITS)) if self.bytes_per_edit else np.full_like(length, self.edits)
+
+    def allowed_column(self, length: Column) -> Column:
+        return F.greatest(F.lit(self.edits), F.least(F.floor(length / self.bytes_per_edit), F.lit(MOST_EDITS))) if self.bytes_per_edit else F.lit(self.edits)
+
+    @property
+    def anchored_from(self) -> int:
+        """The length from which lines may differ in more than `edits`; those are met by anchors, shorter ones by segments."""
+        return max(self.min_bytes, (self.edits + 1) * self.bytes_per_edit) if self.bytes_per_edit and self.edits < MOST_EDITS else 1 << 40
 
 
 def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +101,45 @@ def _key(hashes: np.ndarray, number: int, length: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(number)))
 
 
+def windows(length: np.ndarray, plan: LinePlan) -> np.ndarray:
+    """How many places a line of the length chooses an anchor from.
+
+    A shorter line of m bytes and e edits is cut by them to e + 1 unchanged runs, so one has (m - e) / (e + 1) bytes; the least of that over all lines that this one may be compared with.
+    """
+    run = np.full(len(length), 1 << 40)
+    for less in range(MOST_EDITS + 1):
+        other = length - less
+        edits = plan.allowed(other)
+        met = (other >= plan.anchored_from) & (less <= edits)
+        run[met] = np.minimum(run[met], -(-(other - edits) // (edits + 1))[met])
+    return np.minimum(run - ANCHOR + 1, WIDEST)
+
+
+def anchors(c: Chunk, first: np.ndarray, last: np.ndarray, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and which line each is of: the smallest hash of ANCHOR bytes in every window of places.
+
+    Lines that hold the same run of window + ANCHOR - 1 bytes have that run's smallest hash in common, also if the window of one is narrower.
+    """
+    least = c.hashes(np.arange(max(len(c.data) - ANCHOR + 1, 0)), np.arange(ANCHOR, max(len(c.data), ANCHOR - 1) + 1))
+    width = windows(last - first, plan)
+    count = last - first - ANCHOR + 1 - width + 1
+    keys, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    step = 1
+    while step <= WIDEST:  # least[i] is now that of step places
+        mine = np.flatnonzero((width >= step) & (width < 2 * step))
+        n = count[mine]
+        line = np.repeat(mine, n)
+        at = first[line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        key = np.minimum(least[at], least[at + width[line] - step])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        keys.append(key[new])
+        lines.append(line[new])
+        least = np.minimum(least[: max(len(least) - step, 0)], least[step:])
+        step *= 2
+    return mix(np.concatenate(keys)), np.concatenate(lines)
+
+
 def _lines(c: Chunk, plan: LinePlan, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First byte, byte after the last, row, number in its text and hash of each line that is long enough; short: and of shorter ones that are not blank."""
     first, last, row = c.lines()
@@ -88,8 +153,8 @@ def _lines(c: Chunk, plan: LinePlan, short: bool = False) -> tuple[np.ndarray, n
     return first, last, row[at], number[at], c.hashes(first, last)
 
 
-def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
-    """key, node and role (0: a segment, 1: a probe) of each line; lines equal within a chunk come once."""
+def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
+    """key, node, role (0: a segment or an anchor, 1: a probe) and size of each line, of one part of the keys; lines equal within a chunk come once."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,22 +165,34 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Dat
                 first, last = first[one], last[one]
                 if not len(one):
                     continue
+                long = last - first >= plan.anchored_from
+                anchor, line = anchors(c, first[long], last[long], plan) if long.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                keys, nodes, roles, lengths = [anchor], [node[long][line]], [np.zeros(len(line), np.int8)], [(last - first)[long][line]]
+                probing = last - first < plan.anchored_from + plan.edits
+                first, last, node = first[probing], last[probing], node[probing]
                 length = last - first
-                starts, sizes = segments(length, plan.edits)
-                keys, nodes, roles = [], [], []
+                indexed = np.flatnonzero(length < plan.anchored_from)
+                starts, sizes = (x[:, indexed] for x in segments(length, plan.edits))
                 for i in range(plan.edits + 1):
-                    keys.append(_key(c.hashes(first + starts[i], first + starts[i] + sizes[i]), i, length))
-                    nodes.append(node)
-                    roles.append(np.zeros(len(node), np.int8))
+                    begin = first[indexed] + starts[i]
+                    keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length[indexed]))
+                    nodes.append(node[indexed])
+                    roles.append(np.zeros(len(indexed), np.int8))
+                    lengths.append(length[indexed])
                 for i, other, at, size in probes(length, plan.edits):
-                    good = np.flatnonzero(at >= 0)
+                    good = np.flatnonzero((at >= 0) & (other < plan.anchored_from))
                     begin = first[good] + at[good]
                     keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
                     nodes.append(node[good])
                     roles.append(np.ones(len(good), np.int8))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes).view(np.int64)), "role": pa.array(np.concatenate(roles))})
+                    lengths.append(length[good])
+                key, nodes, roles, lengths = (np.concatenate(x) for x in (keys, nodes, roles, lengths))
+                if parts > 1:
+                    mine = np.flatnonzero(key % np.uint64(parts) == part)
+                    key, nodes, roles, lengths = key[mine], nodes[mine], roles[mine], lengths[mine]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "node": pa.array(nodes.view(np.int64)), "role": pa.array(roles), "size": pa.array(lengths.astype(np.int32))})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, role byte")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, role byte, size int")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,36 +313,70 @@ def bitmaps(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "node long, body binary, bits array<long>")
 
 
-def reachable(a: str, b: str, edits: int) -> Column:
+def reachable(a: str, b: str, edits: int | Column) -> Column:
     """Whether two lines can be within the edits, by their bitmaps."""
     differing = F.lit(0)
     for k in range(BITMAP // 64):
         differing = differing + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
-    return differing <= 2 * GRAM * edits
+    return differing <= edits * (2 * GRAM)
+
+
+def banded(keyed: DataFrame, plan: LinePlan) -> DataFrame:
+    """The rows whose key also stands in a line of a size within reach; key is now of the key and a band of sizes. A gap that no pair can bridge parts two bands."""
+    order = Window.partitionBy("key").orderBy("size")
+
+    def gap(size: Column, longer: Column) -> Column:
+        return F.coalesce(longer - size > plan.allowed_column(size), F.lit(True))
+
+    near = keyed.withColumns({"first": gap(F.lag("size").over(order), F.col("size")), "final": gap(F.col("size"), F.lead("size").over(order))}).filter("not (first and final)")
+    band = F.last(F.when(F.col("first"), F.col("size")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return near.select(F.xxhash64("key", band).alias("key"), "node", "role")
+
+
+#: Segments, probes and anchors are sorted in so many parts, one after the other, where there are anchors: their shuffle files then take less disk at once.
+KEY_PARTS = 3
 
 
 def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
     """id (a node that is like another) and its component."""
-    keyed = segment_keys(docs, plan, text_col)
     order = Window.partitionBy("key").orderBy("role", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = keyed.select("key", "node", "role", F.first("node").over(order).alias("first"), F.first("role").over(order).alias("first_role"))
-    hits = written(ranked.filter("first_role = 0 and node != first").select("key", "node", "role", "first").distinct(), "hits")
+    parts = KEY_PARTS if plan.bytes_per_edit else 1
+    found_hits = []
+    for part in range(parts):
+        keyed = banded(segment_keys(docs, plan, text_col, part, parts), plan) if plan.bytes_per_edit else segment_keys(docs, plan, text_col)
+        ranked = keyed.select("key", "node", "role", F.first("node").over(order).alias("first"), F.first("role").over(order).alias("first_role"))
+        found_hits.append(written(ranked.filter("first_role = 0 and node != first").select("key", "node", "role", "first").distinct(), "hits"))
+        if parts > 1:
+            del keyed, ranked
+            gc.collect()
+            docs.sparkSession._jvm.System.gc()  # so that Spark removes the part's shuffle files
+    hits = reduce(DataFrame.union, found_hits)
     wanted = written(hits.select("node").union(hits.select(F.col("first").alias("node"))).distinct(), "wanted")
     bodies = written(bitmaps(line_texts(docs, plan, text_col).join(by_size(wanted), "node", "left_semi").dropDuplicates(["node"])), "lines")
-    bits, edits = bodies.select("node", "bits"), plan.edits
+    bits = bodies.select("node", "bits", F.octet_length("body").alias("size"))
+
+    def near(x: str, y: str) -> Column:
+        edits = plan.allowed_column(F.least(f"{x}.size", f"{y}.size"))
+        return (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= edits) & reachable(x, y, edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(within(part.column(2).to_pylist(), part.column(3).to_pylist(), edits)))
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                edits = plan.allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64))
+                close = np.zeros(len(left), bool)
+                for e in np.unique(edits):
+                    mine = np.flatnonzero(edits == e)
+                    close[mine] = within([left[i] for i in mine], [right[i] for i in mine], int(e))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(close))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
     stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    stars = stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", edits)).select("a", "b")
+    stars = stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(near("x", "y")).select("a", "b")
     links = written(verified(written(stars, "stars")), "links")
     found = written(components(links), "components")
 
@@ -276,7 +387,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
     open_rows = written(labelled.join(main, "key").join(bits, "node"), "open")
     x, y = open_rows.filter("component != main").alias("x"), open_rows.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & reachable("x", "y", edits))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))
     rest = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(rest)))
 

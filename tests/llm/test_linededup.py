@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalboard.llm import linededup as L
+from evalboard.llm.kernels import chunks
 from evalboard.llm.queries import op2_segment_line_dedup
 
 from .conftest import ODD, PROSE, SCHEMA, documents
@@ -139,6 +141,52 @@ def test_queries_drop_short_repeats(spark, tmp_path, query):
         assert [x["text"] for x in corpus_pipeline.lines(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == ["one\ntwo", "three"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_anchors_are_common_to_all_lines_within_reach(seed):
+    """Edits are spread evenly, which leaves the shortest unchanged runs."""
+    r = random.Random(seed)
+    plan = L.LinePlan(bytes_per_edit=20)
+    for _ in range(400):
+        a = bytes(r.choices(b"abcdefgh", k=r.choice([60, 61, 79, 80, 99, 100, 119, 120, 139, 200, 219, 220, 400, 599, 600, 601, 640, 1300])))
+        edits, b = int(plan.allowed(np.array([len(a)]))[0]), bytearray(a)
+        kind = r.random()
+        for e in reversed(range(edits)):
+            at = min(len(b) - 1, (e + 1) * len(a) // (edits + 1) + r.randint(-1, 1))
+            b[at : at + 1] = b"xy" if kind < 0.3 else b"z" if kind < 0.7 else r.choice([b"z", b[at : at + 1] + b"z"])
+        c = next(chunks(pa.array([a.decode(), b.decode()])))
+        keys, line = L.anchors(c, c.starts, c.ends, plan)
+        assert set(keys[line == 0]) & set(keys[line == 1])
+
+
+def test_threshold_grows_with_length(spark):
+    r = random.Random(4)
+    plan = L.LinePlan(bytes_per_edit=20)
+    lines = [bytes(r.choices(b"abcdefgh ", k=r.choice([24, 50, 58, 59, 60, 61, 80, 100, 121, 150]))) for _ in range(25)]
+    lines = [*lines, *(edited(r, a, r.randint(0, 9)) for a in lines for _ in range(3))]
+    r.shuffle(lines)
+    bodies = sorted({x for x in lines if len(x) >= plan.min_bytes})
+    near = [(a, b) for a, b in itertools.combinations(bodies, 2) if abs(len(a) - len(b)) <= 7 and distance(a, b) <= max(2, min(len(a), len(b)) // 20)]
+    assert sum(distance(a, b) > 2 for a, b in near) > 10
+    found = groups(near, bodies)
+    firsts, want = {}, {}
+    for i, x in enumerate(lines):
+        if len(x) >= plan.min_bytes and firsts.setdefault(found[x], i) != i:
+            want[i] = firsts[found[x]]
+    assert {x["doc_id"]: x["first_doc"] for x in L.duplicate_lines(documents(spark, [x.decode() for x in lines]).repartition(3), plan).collect()} == want
+
+
+def test_runs_must_hold_an_anchor():
+    with pytest.raises(ValueError):
+        L.LinePlan(bytes_per_edit=10)
+
+
+def test_query_finds_a_changed_word(spark, tmp_path):
+    line = " ".join(PROSE)
+    documents(spark, [line, line.replace("northern", "southern"), line.replace("captains", "sailors of it")]).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [x["kept_bytes"] for x in op2_segment_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert kept == [len(line), 0, 0 if distance(line.encode(), line.replace("captains", "sailors of it").encode()) <= len(line) // 20 else len(line) + 5]
+
+
 def test_odd_rows(odd, empty):
     out = L.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns == odd.columns and L.dedup_lines(empty).count() == 0
