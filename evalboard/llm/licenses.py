@@ -4,6 +4,8 @@ A block is a line of a text; its words are a set, and so are a template's. All p
 |block & template| >= threshold * |template| are found: template words are ordered by their document frequency in the
 whole corpus, rarest first, so that any such block holds a word of the template's prefix (as many words as may be missing, plus one);
 length and positional filters then drop pairs that cannot reach the threshold before their overlap is counted.
+A notice may be wrapped over lines, so with `wrapped` a block is also any window of consecutive words of a text, whatever line ends lie between, that is as long as the template's words
+over the threshold; the same prefix filter, and the length filter on template words, drop windows before distinct words are counted.
 Words that stand in no template add nothing to any overlap, so blocks are kept as sets of template words.
 
 The templates are a fixed list, so they and their frequencies travel with the tasks; the corpus is read twice and never shuffled,
@@ -73,6 +75,8 @@ class Index:
     need: np.ndarray  # smallest overlap
     order: np.ndarray
     entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each word: templates with it in their prefix, its position there, their sizes
+    prefix: np.ndarray  # template x word
+    window: np.ndarray  # words of a template's windows
 
 
 def vocabulary_of(templates: tuple[tuple[str, str], ...]) -> np.ndarray:
@@ -95,7 +99,11 @@ def build_index(templates: tuple[tuple[str, str], ...], frequency: np.ndarray, t
         for position, word in enumerate(words[: sizes[i] - need[i] + 1]):
             listed[word].append((i, position, sizes[i]))
     entries = [tuple(np.array([e[k] for e in x], np.int64) for k in range(3)) for x in listed]
-    return Index([label for label, _ in templates], vocabulary, members, need, order, entries)
+    prefix = np.zeros_like(members)
+    for word, x in enumerate(listed):
+        prefix[[e[0] for e in x], word] = True
+    window = np.ceil(np.array([len(bytes_words(t)) for _, t in templates]) / threshold - 1e-9).astype(np.int64)
+    return Index([label for label, _ in templates], vocabulary, members, need, order, entries, prefix, window)
 
 
 def template_words(c: Chunk, first: np.ndarray, hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +148,36 @@ def matches(block: np.ndarray, word: np.ndarray, index: Index) -> tuple[np.ndarr
     return block[starts[g[good]]], t[good], overlap[good]
 
 
+def window_matches(found: np.ndarray, row: np.ndarray, word: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, template, largest overlap of a window) with overlap >= need; found are the places of template words, row and word what they are of and which."""
+    place = found + row * int(index.window.max(initial=0))  # no window reaches the next row
+    before = np.full(len(place), -1)  # the same word's place before
+    by_word = np.lexsort((place, word))
+    same = word[by_word[1:]] == word[by_word[:-1]]
+    before[by_word[1:][same]] = place[by_word[:-1][same]]
+    out = []
+    for t in range(len(index.labels)):
+        mine = np.flatnonzero(index.members[t][word])
+        p, need = place[mine], index.need[t]
+        start = np.arange(len(mine))
+        end = np.searchsorted(p, p + index.window[t])  # windows begin at a word of the template
+        rare = np.concatenate([[0], np.cumsum(index.prefix[t][word[mine]])])
+        start = np.flatnonzero((end - start >= need) & (rare[end] > rare[start]))
+        if not len(start):
+            continue
+        held = (end - np.arange(len(mine)))[start]
+        overlap = np.zeros(len(start), np.int64)
+        for d in range(int(held.max())):
+            at = np.minimum(start + d, len(mine) - 1)
+            overlap += (d < held) & (before[mine[at]] < p[start])
+        good = overlap >= need
+        rows, inverse = np.unique(row[mine[start[good]]], return_inverse=True)
+        best = np.zeros(len(rows), np.int64)
+        np.maximum.at(best, inverse, overlap[good])
+        out.append((rows, np.full(len(rows), t), best))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def phrase_places(hashes: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Indexes of the words at which the phrase starts, within one row."""
     k = len(phrase)
@@ -152,10 +190,10 @@ def phrase_places(hashes: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row for each document: words, places of the base phrases, labels of phrases and of matching blocks.
 
-    score is 1 where a base phrase stands, else the largest containment of a template in one of the text's lines that meets the threshold, else 0.
+    score is 1 where a base phrase stands, else the largest containment of a template in one of the text's lines (wrapped: or windows of words) that meets the threshold, else 0.
     """
     spark = docs.sparkSession
     workers_find_package(spark)
@@ -199,6 +237,10 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
                 for b, t, n in zip(*matches(line, word, index), strict=True):
                     more[line_row[b]].add(index.labels[t])
                     score[line_row[b]] = max(score[line_row[b]], n / sizes[t])
+                if wrapped:
+                    for r, t, n in zip(*window_matches(found, row[found], word, index), strict=True):
+                        more[r].add(index.labels[t])
+                        score[r] = max(score[r], n / sizes[t])
                 every = np.sort(np.concatenate([at for _, at in places])) if places else np.zeros(0, np.int64)
                 every_row = row[every]
                 n_base = np.bincount(every_row, minlength=c.n)

@@ -85,7 +85,7 @@ def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir))
+    return scan_licenses(documents(spark, sf_dir), wrapped=True)
 
 
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
 
 from evalboard.llm import licenses as L
+from evalboard.llm.queries import op9_license_scan
 
 from .conftest import ODD, PROSE, documents
 
@@ -64,5 +67,38 @@ def test_filters_lose_no_match(seed):
     assert got == want
 
 
+def wrapped_plain(text):
+    *_, labels, score = plain(text)
+    labels, w = set(filter(None, labels.split(","))), words(text)
+    for label, t in L.TEMPLATES:
+        template = set(words(t))
+        size = math.ceil(len(words(t)) / 0.8 - 1e-9)
+        best = max((len(template & set(w[i : i + size])) for i in range(len(w))), default=0)
+        if best >= 0.8 * len(template) - 1e-9:
+            labels.add(label)
+            score = max(score, best / len(template))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_wrapped_notices(spark):
+    r = random.Random(6)
+    texts = [*ODD, "all the rights\n" + PROSE[0] + "\nreserved"]
+    for _, t in L.TEMPLATES:
+        for columns in (20, 70, 80):
+            texts.append("\n".join(" * " + x for x in textwrap.wrap(t, columns)))
+        w = [x for x in t.split() if r.random() > 0.15]
+        texts += ["\n".join(w), PROSE[0] + "\n" + "\n\n".join(w) + "\n" + PROSE[1], "\n".join(x + " " + r.choice(t.split()) if r.random() < 0.3 else x for x in w)]
+    got = {x["doc_id"]: x for x in L.scan_licenses(documents(spark, texts), wrapped=True).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["labels"], round(got[i]["score"], 9)) == wrapped_plain(t), t
+
+
+def test_query_labels_wrapped_notices(spark, tmp_path):
+    texts = ["\n".join(textwrap.wrap(t, 70)) for _, t in L.TEMPLATES]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["labels"] for x in op9_license_scan(spark, str(tmp_path)).collect()}
+    assert all(label in got[i].split(",") for i, (label, _) in enumerate(L.TEMPLATES))
+
+
 def test_odd_rows(odd, empty):
     assert L.scan_licenses(odd).count() == odd.count() and L.scan_licenses(empty).count() == 0
