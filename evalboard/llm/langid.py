@@ -164,6 +164,7 @@ def spans(row: np.ndarray, scores: np.ndarray, penalty: float, segment: int = 12
     active = [int(np.searchsorted(-length, -t, "left")) for t in range(segment + 1)]  # segments longer than t
     p, s = np.float32(penalty), len(order)
     enter = np.where(np.eye(k, dtype=bool), np.float32(0), -p)
+    pointer = np.min_scalar_type(-k)  # holds every state
 
     best = enter[None] + scores[start][:, None, :]  # segment, entry, state
     for t in range(1, int(length[0])):
@@ -177,7 +178,7 @@ def spans(row: np.ndarray, scores: np.ndarray, penalty: float, segment: int = 12
     first_seg = np.cumsum(per_row) - per_row
     by_size = np.argsort(-per_row, kind="stable")
     reached = np.zeros((len(sizes), k), np.float32)
-    came = np.zeros((s, k), np.int8)
+    came = np.zeros((s, k), pointer)
     for j in range(int(per_row.max())):
         rows = by_size[: int(np.searchsorted(-per_row[by_size], -j, "left"))]
         at = place[first_seg[rows] + j]
@@ -195,7 +196,7 @@ def spans(row: np.ndarray, scores: np.ndarray, penalty: float, segment: int = 12
 
     v = enter[entry] + scores[start]
     changed = np.zeros((segment, s, k), bool)
-    source = np.zeros((segment, s), np.int8)
+    source = np.zeros((segment, s), pointer)
     for t in range(1, int(length[0])):
         a = active[t]
         x = v[:a]

@@ -50,6 +50,19 @@ def test_paths_are_best(seed):
         assert worth(s, got[row == i].tolist(), 5.0) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("languages", [128, 129, 300])
+def test_paths_are_best_among_many_languages(languages):
+    r = np.random.default_rng(languages)
+    row = np.repeat(np.arange(4), [1, 5, 17, 40])
+    scores = -r.integers(0, 12, (len(row), languages)).astype(np.float32)
+    scores[np.arange(len(row)), languages - 1 - np.arange(len(row)) // 6 % 3] = 6
+    got = G.spans(row, scores, 5.0, segment=8)
+    assert got.min() >= 0
+    for i in range(4):
+        s = scores[row == i]
+        assert worth(s, got[row == i].tolist(), 5.0) == pytest.approx(plain_viterbi(s, 5.0)[1])
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     r = random.Random(1)
