@@ -88,8 +88,8 @@ class LeakError(Exception):
     """Some term survived."""
 
 
-def gate(found: DataFrame, most: int = 100) -> None:
-    """Raises LeakError with the first of the leaks, sorted, if there is one."""
-    rows = found.orderBy(*found.columns).limit(most).collect()
+def gate(found: DataFrame) -> None:
+    """Raises LeakError with all leaks, sorted, if there is one."""
+    rows = found.orderBy(*found.columns).collect()
     if rows:
         raise LeakError("\n".join(f"{r[0]}:{r['line']}: '{r['term']}'" for r in rows))

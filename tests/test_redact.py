@@ -47,6 +47,13 @@ def test_leaks_and_gate(spark):
     R.gate(R.leaks(docs, ["nobody"]))
 
 
+def test_gate_lists_every_leak(spark):
+    docs = spark.createDataFrame([("a.html", "acme\n" * 150)], "path string, text string")
+    with pytest.raises(R.LeakError) as raised:
+        R.gate(R.leaks(docs, TERMS))
+    assert str(raised.value).split("\n") == [f"a.html:{i}: 'Acme'" for i in range(1, 151)]
+
+
 def test_build(spark):
     docs = spark.createDataFrame([("index.html", "<head>"), ("assets/config.js", "public"), ("assets/config.anon.js", "anon")], "path string, text string")
     got = {r["path"]: r["text"] for r in R.anonymous_build(docs, R.page_rewrites("b", "c", "m")).collect()}
