@@ -1,11 +1,14 @@
-"""Connected components of an edge table, by alternating star steps on written tables. Nothing but two counts of each round reaches the driver."""
+"""Connected components of an edge table, by alternating star steps on written tables. Nothing but two counts of each round reaches the driver.
+
+An edge with a null end is no edge.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import free, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id and component (the smallest id that it reaches) for each id that has an edge to another; an edge table may hold loops, repeats and both directions."""
+    """id and component (the smallest id that it reaches) for each id that has an edge to another, written; an edge table may hold loops, repeats and both directions."""
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b").distinct(), "edges")
     state = None
     while True:
@@ -31,6 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == state or mark[0] == 0:
             break
         state = mark
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        free(before)
     roots = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    out = written(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
+    free(now)
+    return out

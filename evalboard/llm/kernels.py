@@ -69,7 +69,10 @@ class Chunk:
 
     def words(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte, byte after the last, and row, of each maximal run of bytes of the class; none spans two rows."""
-        inside = is_word[self.data]
+        return self.runs(is_word[self.data])
+
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the bytes that are flagged."""
         begin, finish = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         finish[:-1] &= ~inside[1:]

@@ -8,7 +8,8 @@ Viterbi runs over all words of a chunk at once: words are cut into segments, the
 for all segments together, segments of a text are joined in order, and the paths are read back.
 
 Defined cases: null text and text without a letter give `und` with score 0, as does everything where no row is labelled; repeated rows each get their own, equal result;
-an empty table gives an empty result; columns other than the named ones are not read.
+an empty table gives an empty result; other columns pass through, but those named as the result's are replaced. Letters without a script of their own (as in signs) are
+labelled with the first language and score 0 where a text has no others.
 """
 
 from __future__ import annotations
@@ -21,17 +22,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, Chunk, byte_class, chunks, mix
+from .kernels import LOWER, Chunk, byte_class, chunks
 from .runtime import workers_find_package
 
-LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 BUCKETS = 1 << 16
 
-#: Scripts by the first byte of a letter in UTF-8 (ranges of code points begin at these bytes).
-SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "brahmic", "east_asian", "hangul", "other")
-_SCRIPT = np.full(256, 8, np.uint8)
-for _low, _high, _script in ((0x41, 0x7A, 0), (0xC2, 0xCA, 0), (0xCD, 0xCF, 1), (0xD0, 0xD4, 2), (0xD6, 0xD7, 3), (0xD8, 0xDD, 4), (0xE0, 0xE1, 5), (0xE2, 0xE9, 6), (0xEA, 0xED, 7)):
-    _SCRIPT[_low : _high + 1] = _script
+ASCII_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
+#: First code points of ranges and what they hold (blocks of Unicode); "" is no letter (punctuation, spaces, symbols, pictures).
+RANGES = (
+    (0x0000, ""), (0x0041, "latin"), (0x005B, ""), (0x0061, "latin"), (0x007B, ""), (0x00AA, "latin"), (0x00AB, ""), (0x00B5, "latin"), (0x00B6, ""), (0x00BA, "latin"), (0x00BB, ""),
+    (0x00C0, "latin"), (0x00D7, ""), (0x00D8, "latin"), (0x00F7, ""), (0x00F8, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"),
+    (0x0780, "other"), (0x08A0, "arabic"), (0x0900, "brahmic"), (0x0E00, "thai"), (0x0E80, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, ""), (0x2070, "other"), (0x20A0, ""), (0x2100, "other"), (0x2190, ""), (0x2C00, "other"), (0x2E00, ""), (0x3005, "east_asian"), (0x3008, ""), (0x3021, "east_asian"),
+    (0x3030, ""), (0x3031, "east_asian"), (0x3130, "hangul"), (0x3190, "east_asian"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "east_asian"), (0xFB00, "latin"),
+    (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFEFF, ""), (0xFF21, "latin"), (0xFF3B, ""), (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "east_asian"),
+    (0xFFA0, "hangul"), (0xFFE0, ""), (0x10000, "other"), (0x1F000, ""), (0x20000, "east_asian"), (0x32000, "other"),
+)
+SCRIPTS = tuple(sorted({name for _, name in RANGES} - {""}))
+_FIRST = np.array([low for low, _ in RANGES])
+_SCRIPT = np.array([SCRIPTS.index(name) if name else -1 for _, name in RANGES], np.int8)
+_ASCII_SCRIPT = _SCRIPT[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the letter that each byte of UTF-8 belongs to, by its code point; -1 where it is no letter."""
+    out = np.where(data < 0x80, _ASCII_SCRIPT[data & 0x7F], np.int8(-1))
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    head = data[lead].astype(np.int64)
+    more = 1 + (head >= 0xE0) + (head >= 0xF0)
+    point = head & (0x3F >> more)
+    for k in (1, 2, 3):
+        has = more >= k
+        point = np.where(has, point << 6 | (data[np.minimum(lead + k, len(data) - 1)] & 0x3F), point)
+    of = _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1]
+    out[lead] = of
+    for k in (1, 2, 3):
+        at = lead[more >= k] + k
+        inside = at < len(data)
+        out[at[inside]] = of[more >= k][inside]
+    return out
 
 
 @dataclass(frozen=True)
@@ -64,16 +95,18 @@ def _lowered(c: Chunk) -> Chunk:
 
 
 def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a lowered chunk: first, last and row of each word, its script, its bucket, and the trigram bucket at every byte (of the bytes around it, with 0 outside the word)."""
-    first, last, row = c.words(LETTER)
-    inside = np.where(LETTER[c.data], c.data, 0).astype(np.uint32)
+    """Of a lowered chunk: first, last and row of each word (a run of letters), its first letter's script, its bucket, and the trigram bucket at every byte (of the bytes around it, with 0 outside the word)."""
+    script = scripts(c.data)
+    letter = script >= 0
+    first, last, row = c.runs(letter)
+    inside = np.where(letter, c.data, 0).astype(np.uint32)
     before, after = np.zeros_like(inside), np.zeros_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[first], after[last - 1] = 0, 0
     trigram = (before << np.uint32(16)) | (inside << np.uint32(8)) | after
     trigram = (trigram * np.uint32(0x9E3779B1)) >> np.uint32(16)
     bucket = (c.hashes(first, last) >> np.uint64(48)).astype(np.int64)
-    return first, last, row, _SCRIPT[c.data[first]], bucket, trigram
+    return first, last, row, script[first].astype(np.int64), bucket, trigram
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -105,7 +138,7 @@ def train(docs: DataFrame, training: LanguageTraining | None = None, id_col: str
                 first, last, row, script, bucket, trigram = features(c)
                 lang = langs[c.row + row]
                 per_byte = np.repeat(lang, last - first)
-                at = np.flatnonzero(LETTER[c.data])
+                at = np.repeat(first, last - first) + np.arange(int((last - first).sum())) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
                 for table, keys, of in ((0, trigram[at], per_byte), (1, bucket, lang), (2, script, lang)):
                     tables[table] += np.bincount(keys.astype(np.int64) * n_langs + of, minlength=len(tables[table]))
         for k, table in enumerate(tables):
@@ -228,10 +261,10 @@ def label_chunk(c: Chunk, model: LanguageModel) -> tuple[list[str], np.ndarray,
     total = weight.sum(1)
     best = weight.argmax(1)
     score = np.divide(weight.max(1), total, out=np.zeros(c.n), where=total > 0)
-    ascii_letter = c.counts(LETTER[c.data] & (c.data < 0x80)) > 0
+    ascii_letter = c.counts(ASCII_LETTER[c.data]) > 0
     pred = []
     for i in range(c.n):
-        known = total[i] > 0 and (ascii_letter[i] or any(ch.isalpha() for ch in c.text(i).decode("utf-8", "replace")))
+        known = ascii_letter[i] or any(ch.isalpha() for ch in c.text(i).decode("utf-8", "replace"))
         pred.append(model.languages[best[i]] if known else "und")
         if not known:
             score[i] = 0.0
@@ -248,22 +281,28 @@ def label_chunk(c: Chunk, model: LanguageModel) -> tuple[list[str], np.ndarray,
 SPAN = "array<struct<lang:string,first_byte:long,end_byte:long>>"
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs with lang_pred, score (the share of letters in spans of that language) and lang_spans."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", with_spans: bool = True) -> DataFrame:
+    """The columns of docs with lang_pred, score (the share of letters in spans of that language) and, with_spans, lang_spans. Only texts go to Python and only labels come back."""
     spark = docs.sparkSession
     workers_find_package(spark)
     shipped = spark.sparkContext.broadcast(model)  # two tables of fixed size for each language
-    kept = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_spans")]
-    at = kept.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept) + f", lang_pred string, score double, lang_spans {SPAN}"
+    added = {"lang_pred": "string", "score": "double"} | ({"lang_spans": SPAN} if with_spans else {})
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
+    limit = max(1, (1 << 19) // max(1, len(model.languages) ** 2 // 64))  # paths take space by the square of the languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         held = shipped.value
-        for batch in batches:
-            for c in chunks(batch.column(at), 1 << 21):
-                pred, score, found = label_chunk(c, held)
-                part = batch.slice(c.row, c.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array(found, kind)], names=[*kept, "lang_pred", "score", "lang_spans"])
-
-    return docs.select(*[F.col(f"`{x}`") for x in kept]).mapInArrow(run, schema)
+        preds, scores, spans_of = [], [np.zeros(0)], []
+        for c in chunks(texts, limit):
+            pred, score, found = label_chunk(c, held)
+            preds += pred
+            scores.append(score)
+            spans_of += found if with_spans else []
+        columns = [pa.array(preds, pa.string()), pa.array(np.concatenate(scores))] + ([pa.array(spans_of, kind)] if with_spans else [])
+        return pa.StructArray.from_arrays(columns, names=list(added))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    labels = F.arrow_udf(run, ", ".join(f"{k} {v}" for k, v in added.items())).asNondeterministic()  # else a filter on a label would run it twice
+    kept = [f"`{c}`" for c in docs.columns if c not in added]
+    found = docs.select(*kept, labels(F.col(f"`{text_col}`")).alias("_found_labels"))
+    return found.select(*kept, *[F.col("_found_labels")[k].alias(k) for k in added])

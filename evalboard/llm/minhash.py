@@ -5,8 +5,8 @@ Documents that share a band key are candidates; a candidate pair must be able to
 counted with bit operations and corrected for chance collisions, may fall short by `sigmas` standard deviations; then it is confirmed on the full shingle sets.
 
 No pairs within a group of copies are made. Equal sets are one node. Each band bucket first links its members to its smallest one, and the confirmed links are joined
-to components; then only pairs across components of a bucket are left. Bitmaps of the full sets bound how much two can share, so copies that are too far
-from one another are not made into pairs.
+to components; then only pairs across components of a bucket are left (crosslinks: large buckets of unlinked documents are parted by their rarest shingles). Bitmaps of
+the full sets bound how much two can share, so copies that are too far from one another are not made into pairs.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; fewer words than a shingle are one shingle; repeated rows share a set;
 rows of one id count as one document that has a link if one of its sets has; a null id is kept and has no component; an empty table gives an empty result;
@@ -21,22 +21,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .crosslinks import pairs_across
 from .kernels import NOT_SPACE, Chunk, chunks, mix, ngram_hashes
-from .runtime import by_size, workers_find_package, written
+from .runtime import free, workers_find_package, written
 
 
 @dataclass(frozen=True)
 class MinHashPlan:
-    """words: of a shingle. percent: least similarity. A pair of just that similarity is missed with probability (1 - s**rows)**bands, 7e-9 at 85 percent and 5e-6 at 80."""
+    """words: of a shingle. percent: least similarity. A pair of just that similarity is missed with probability (1 - s**rows)**bands, 8e-6 at 80 percent and 2e-9 at 85.
+
+    Eight rows let one pair in six of similarity 0.5 and one in 30 of 0.4 share a bucket.
+    """
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
+    bands: int = 64
+    rows: int = 8
     bits: int = 2
     sigmas: float = 6.0
     seed: int = 1
@@ -213,37 +217,37 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
     classes = written(full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = written(full.join(classes.select(F.col("node").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "nodes")
 
-    # Members of buckets beside the first, and the first of each.
-    running = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = nodes.select(F.explode("bands").alias("key"), "node").select("key", "node", F.first("node").over(running).alias("first"))
-    hits = written(keyed.filter("node != first"), "hits")
-    buckets = hits.select("key", "node").union(hits.select("key", F.col("first").alias("node"))).distinct()
+    # Members of buckets beside the first, and the first of each. Sums go by key, so no task holds a bucket.
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = written(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key", "first"), "buckets")
+    hits = written(keyed.join(shared, "key").filter("node != first"), "hits")
+    members = hits.select("key", "node").union(shared.select("key", F.col("first").alias("node")))
+    suspects = written(members.select("node").distinct(), "suspects")
 
-    # Nodes with a possible partner, and their full sets: the only read of texts besides the signatures'.
-    rows = written(buckets.join(nodes.select("node", "n_shingles", "sketch"), "node"), "members")
-    x, y = rows.alias("x"), rows.alias("y")
-    suspects = written(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y", plan), "left_semi").select("node").distinct(), "suspects")
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(by_size(suspects.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    shingled = written(shingle_sets(wanted, plan).withColumnRenamed("doc_id", "node"), "sets")
+    # Full sets of what shares a bucket: the only read of texts besides the signatures'.
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = texts.join(suspects.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").distinct()
+    shingled = written(shingle_sets(wanted, plan).withColumn("size", F.size("shingles")).withColumnRenamed("doc_id", "node"), "sets")
 
     # Each member against the first of its bucket.
     sketched = nodes.join(suspects, "node", "left_semi").select("node", "n_shingles", "sketch")
     stars = hits.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(possible("x", "y", plan)).select("a", "b")
-    links = written(confirmed(written(stars, "stars"), shingled, plan), "links")
-    found = written(components(links), "components")
-
-    # Pairs across components of a bucket, but within its largest one.
-    labelled = rows.join(suspects, "node", "left_semi").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    open_rows = labelled.join(main, "key")
-    bounded = written(open_rows.join(shingled.select("node", F.size("shingles").alias("size"), "bits"), "node"), "bounded")
-    x, y = bounded.filter("component != main").alias("x"), bounded.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & possible("x", "y", plan) & reachable("x", "y", plan))
-    pairs = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
+    stars = written(stars.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node")).filter(possible("x", "y", plan)).select("a", "b"), "stars")
+    links = written(confirmed(stars, shingled, plan), "links")
+    found = components(links)
+
+    # Pairs across components of a bucket.
+    labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    attributes = shingled.select("node", "size", "bits").join(sketched, "node")
+
+    def sets_of(wide: DataFrame) -> DataFrame:
+        least = F.floor((F.col("size") * plan.percent + 99) / 100)
+        return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"))
+
+    pairs = pairs_across(labelled, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, "minhash")
     more = confirmed(pairs, shingled, plan)
-    final = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    free(nodes, shared, hits, suspects, shingled, stars, links, found, pairs)
 
     named = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo", "n_shingles"], "left")
     named = named.join(final.withColumnRenamed("id", "node"), "node", "left")

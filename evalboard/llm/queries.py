@@ -31,7 +31,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), MinHashPlan(words=3, percent=85))
+    return near_duplicates(documents(spark, sf_dir), MinHashPlan(words=3, percent=85, bands=44))
 
 
 def op2_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Where intermediate tables live, and how Python workers find this package."""
+"""Where intermediate tables live, and how Python workers run."""
 
 from __future__ import annotations
 
@@ -9,22 +9,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one takes its place only where everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evalboard-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed when the driver's Python ends if not before."""
     path = f"{shared_dir(spark)}/evalboard-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -32,16 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._evalboard_path = path
+    return out
 
 
-#: Rows of up to about 32 bytes that may be broadcast; what has more is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def by_size(table: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table as the small side of a join: broadcast if it has few rows (rows: what to count in their place), else merged."""
-    return table.hint("broadcast" if (table.count() if rows is None else rows) <= BROADCAST_ROWS else "merge")
+def free(*tables: DataFrame) -> None:
+    """Removes tables made by written() that nothing reads any more."""
+    for t in tables:
+        path = t._evalboard_path
+        if _written.pop(path, None) is not None:
+            drop(t.sparkSession, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -52,7 +55,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             if spark.sparkContext._jsc is not None:
                 drop(spark, path)
@@ -60,10 +63,19 @@ def _clean() -> None:
             return
 
 
+#: Workers give memory back to the system between batches: large arrays are mapped on their own, Arrow allocates as everything else does.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "NUMPY_MADVISE_HUGEPAGE": "0", "OMP_NUM_THREADS": "1"}
+#: Bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver found it, whatever their working folder is."""
+    """Python workers import this package from where the driver found it, whatever their working folder is; their batches are bounded by bytes, for the rest of the session."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
