@@ -1,47 +1,47 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are alike if their UTF-8 bytes differ by at most `edits` insertions, deletions and substitutions. Each line is split into edits + 1 segments; any line within reach
-holds one of them unchanged, near its place. Segments are indexed by length of line, number and content; a line probes with the substrings that
-may meet a segment of a line as long as itself or up to `edits` shorter (the multi-match-aware selection, which is complete), and candidates are verified by
-banded bit-parallel edit distance, many pairs at once. Alike lines form components; all but the first occurrence of each go.
+Two lines are alike if they differ by few insertions, deletions and substitutions: of UTF-8 bytes (`edits` at most), or, with words_per_edit, of words where both lines have min_words or more:
+one word for each words_per_edit words of the shorter line, MOST_EDITS at most. So the threshold grows with the line, and one replaced word is one edit however long it is.
 
-Equal lines are one node. Segments and probes of one key are only sorted, and each is paired with the key's first segment; verified links are joined to components, and then
-only pairs across components of a key are left, so groups of alike lines are never paired in full. Pairs whose bitmaps of four-byte runs differ in more than the edits can explain
-are not made.
+By bytes, each line is split into edits + 1 segments; any line within reach holds one of them unchanged, near its place. Segments are indexed by length of line, number and content; a line probes
+with the substrings that may meet a segment of a line as long as itself or up to `edits` shorter (the multi-match-aware selection, which is complete). Probes grow with the cube of the edits, so
+the segments of lines that are compared by words are cut by content instead: the smallest hash of ANCHOR words in every window of places, narrow enough that any run which so many edits
+must leave unchanged holds one. This is complete too. Candidates are verified by banded bit-parallel edit distance, many pairs at once. Alike lines form components; all but the first occurrence of each go.
 
-With bytes_per_edit, a pair may differ in more edits the longer its shorter line is. Probes grow with the cube of the edits, so lines that may differ in more than `edits` are met by
-anchors in place of segments: the smallest hash of 12 bytes in every window of places, narrow enough that any run which so many edits must leave unchanged holds one. This is complete too.
+Equal lines are one node. Keys are summed up, not gathered: each member of a key is paired with the key's first segment; verified links are joined to components, and then
+only pairs across components of a key are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
+differ in more than the edits can explain are not made.
 
 A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
 
 Defined cases: lines shorter than min_bytes are outside the edit join: with equal_short, those that are not blank go if an equal one stands earlier, else they stay; blank lines stay, and so do
-null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number; repeated rows
-stand at one place, so both keep their lines; an empty table gives an empty result; columns other than the
-id and the text pass through.
+null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number, then the smallest hash of its text; rows equal in id and text
+stand at one place, so both keep their lines; an empty table gives an empty result; columns other than the id and the text pass through, whatever their names. Runs of spaces of any kind
+separate words, and count for bytes only. Text written without spaces is compared by bytes.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import NOT_SPACE, Chunk, chunks, mix
-from .runtime import by_size, workers_find_package, written
+from .crosslinks import pairs_across
+from .kernels import BASE, NOT_SPACE, Chunk, chunks, mix
+from .runtime import free, workers_find_package, written
 
 
 #: The band of `within` is a 64-bit word.
 MOST_EDITS = 30
-#: Bytes of an anchor, and the most places among which one is chosen.
-ANCHOR, WIDEST = 12, 64
+#: Words of an anchor, and the most places among which one is chosen.
+ANCHOR, WIDEST = 4, 64
 
 
 @dataclass(frozen=True)
@@ -49,25 +49,28 @@ class LinePlan:
     edits: int = 2
     min_bytes: int = 24
     equal_short: bool = False  # whether lines under min_bytes go where they equal an earlier one
-    bytes_per_edit: int = 0  # if not 0, a pair may differ in one edit for each so many bytes of its shorter line, MOST_EDITS at most, where that is more than edits
+    words_per_edit: int = 0  # if not 0, lines of min_words or more are compared by words
+    min_words: int = 10
 
     def __post_init__(self) -> None:
         if self.edits < 0 or self.edits > 30 or self.min_bytes < 2 * (self.edits + 1):
             raise ValueError("edits must be 0 to 30, and lines at least two bytes for each segment")
-        if self.bytes_per_edit and windows(np.arange(self.anchored_from, self.anchored_from + 40 * self.bytes_per_edit), self).min() < 1:
+        if self.words_per_edit and windows(np.arange(self.min_words, self.min_words + 40 * self.words_per_edit), self).min() < 1:
             raise ValueError("edits must leave runs that hold an anchor")
 
-    def allowed(self, length: np.ndarray) -> np.ndarray:
-        """The edits that a pair with a shorter line of the length may differ in."""
-        return np.maximum(self.edits, np.minimum(length // self.bytes_per_edit, MOST_EDITS)) if self.bytes_per_edit else np.full_like(length, self.edits)
+    def allowed(self, words: np.ndarray) -> np.ndarray:
+        """The words that lines may differ in, the shorter one of so many words."""
+        return np.clip(words // self.words_per_edit, 1, MOST_EDITS)
 
-    def allowed_column(self, length: Column) -> Column:
-        return F.greatest(F.lit(self.edits), F.least(F.floor(length / self.bytes_per_edit), F.lit(MOST_EDITS))) if self.bytes_per_edit else F.lit(self.edits)
+    def allowed_column(self, words: Column) -> Column:
+        return F.greatest(F.lit(1), F.least(F.floor(words / self.words_per_edit), F.lit(MOST_EDITS)))
 
-    @property
-    def anchored_from(self) -> int:
-        """The length from which lines may differ in more than `edits`; those are met by anchors, shorter ones by segments."""
-        return max(self.min_bytes, (self.edits + 1) * self.bytes_per_edit) if self.bytes_per_edit and self.edits < MOST_EDITS else 1 << 40
+    def by_words(self, words: np.ndarray) -> np.ndarray:
+        return words >= self.min_words if self.words_per_edit else np.zeros(len(words), bool)
+
+    def by_bytes(self, words: np.ndarray) -> np.ndarray:
+        """Lines with a line within reach that has fewer than min_words: an edited byte adds one word at most."""
+        return words < self.min_words + self.edits if self.words_per_edit else np.ones(len(words), bool)
 
 
 def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,33 +104,36 @@ def _key(hashes: np.ndarray, number: int, length: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(number)))
 
 
-def windows(length: np.ndarray, plan: LinePlan) -> np.ndarray:
-    """How many places a line of the length chooses an anchor from.
+def windows(words: np.ndarray, plan: LinePlan) -> np.ndarray:
+    """How many places a line of so many words chooses an anchor from.
 
-    A shorter line of m bytes and e edits is cut by them to e + 1 unchanged runs, so one has (m - e) / (e + 1) bytes; the least of that over all lines that this one may be compared with.
+    A shorter line of m words and e edits is cut by them to e + 1 unchanged runs, so one has (m - e) / (e + 1) words; the least of that over all lines that this one may be compared with.
     """
-    run = np.full(len(length), 1 << 40)
+    run = np.full(len(words), 1 << 40)
     for less in range(MOST_EDITS + 1):
-        other = length - less
+        other = words - less
         edits = plan.allowed(other)
-        met = (other >= plan.anchored_from) & (less <= edits)
+        met = (other >= plan.min_words) & (less <= edits)
         run[met] = np.minimum(run[met], -(-(other - edits) // (edits + 1))[met])
     return np.minimum(run - ANCHOR + 1, WIDEST)
 
 
-def anchors(c: Chunk, first: np.ndarray, last: np.ndarray, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and which line each is of: the smallest hash of ANCHOR bytes in every window of places.
+def anchors(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and which line each is of: the smallest hash of ANCHOR words in every window of places; hashes are of words, first and count say which are a line's.
 
-    Lines that hold the same run of window + ANCHOR - 1 bytes have that run's smallest hash in common, also if the window of one is narrower.
+    Lines that hold the same run of window + ANCHOR - 1 words have that run's smallest hash in common, also if the window of one is narrower.
     """
-    least = c.hashes(np.arange(max(len(c.data) - ANCHOR + 1, 0)), np.arange(ANCHOR, max(len(c.data), ANCHOR - 1) + 1))
-    width = windows(last - first, plan)
-    count = last - first - ANCHOR + 1 - width + 1
     keys, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    least = np.zeros(max(len(hashes) - ANCHOR + 1, 0), np.uint64)
+    for j in range(ANCHOR):
+        least = least * np.uint64(BASE) + hashes[j : j + len(least)]
+    least = mix(least)
+    width = windows(count, plan)
+    places = count - ANCHOR + 1 - width + 1
     step = 1
     while step <= WIDEST:  # least[i] is now that of step places
         mine = np.flatnonzero((width >= step) & (width < 2 * step))
-        n = count[mine]
+        n = places[mine]
         line = np.repeat(mine, n)
         at = first[line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
         key = np.minimum(least[at], least[at + width[line] - step])
@@ -153,8 +159,15 @@ def _lines(c: Chunk, plan: LinePlan, short: bool = False) -> tuple[np.ndarray, n
     return first, last, row[at], number[at], c.hashes(first, last)
 
 
-def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
-    """key, node, role (0: a segment or an anchor, 1: a probe) and size of each line, of one part of the keys; lines equal within a chunk come once."""
+def line_words(c: Chunk, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a chunk's words, and the first word and the number of words of each line."""
+    begin, end, _ = c.words(NOT_SPACE)
+    at = np.searchsorted(begin, first)
+    return c.hashes(begin, end), at, np.searchsorted(begin, last) - at
+
+
+def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
+    """key, node and role (0: a segment or an anchor, 1: a probe) of each line; lines equal within a chunk come once."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,48 +178,45 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text", part:
                 first, last = first[one], last[one]
                 if not len(one):
                     continue
-                long = last - first >= plan.anchored_from
-                anchor, line = anchors(c, first[long], last[long], plan) if long.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                keys, nodes, roles, lengths = [anchor], [node[long][line]], [np.zeros(len(line), np.int8)], [(last - first)[long][line]]
-                probing = last - first < plan.anchored_from + plan.edits
-                first, last, node = first[probing], last[probing], node[probing]
+                keys, nodes, roles = [], [], []
+                few = np.ones(len(one), bool)
+                if plan.words_per_edit:
+                    hashes, at, count = line_words(c, first, last)
+                    few, many = plan.by_bytes(count), np.flatnonzero(plan.by_words(count))
+                    key, line = anchors(hashes, at[many], count[many], plan)
+                    keys, nodes, roles = [key], [node[many][line]], [np.zeros(len(line), np.int8)]
+                first, last, node = first[few], last[few], node[few]
                 length = last - first
-                indexed = np.flatnonzero(length < plan.anchored_from)
-                starts, sizes = (x[:, indexed] for x in segments(length, plan.edits))
+                starts, sizes = segments(length, plan.edits)
                 for i in range(plan.edits + 1):
-                    begin = first[indexed] + starts[i]
-                    keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length[indexed]))
-                    nodes.append(node[indexed])
-                    roles.append(np.zeros(len(indexed), np.int8))
-                    lengths.append(length[indexed])
+                    begin = first + starts[i]
+                    keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length))
+                    nodes.append(node)
+                    roles.append(np.zeros(len(node), np.int8))
                 for i, other, at, size in probes(length, plan.edits):
-                    good = np.flatnonzero((at >= 0) & (other < plan.anchored_from))
+                    good = np.flatnonzero((at >= 0) & (other >= plan.min_bytes))
                     begin = first[good] + at[good]
                     keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
                     nodes.append(node[good])
                     roles.append(np.ones(len(good), np.int8))
-                    lengths.append(length[good])
-                key, nodes, roles, lengths = (np.concatenate(x) for x in (keys, nodes, roles, lengths))
-                if parts > 1:
-                    mine = np.flatnonzero(key % np.uint64(parts) == part)
-                    key, nodes, roles, lengths = key[mine], nodes[mine], roles[mine], lengths[mine]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "node": pa.array(nodes.view(np.int64)), "role": pa.array(roles), "size": pa.array(lengths.astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes).view(np.int64)), "role": pa.array(np.concatenate(roles))})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, role byte, size int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, role byte")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, node and crc32 of each line that may go."""
+    """doc_id, text_hash, line, node and crc32 of each line that may go."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(2)):
                 first, last, row, number, node = _lines(c, plan, plan.equal_short)
                 sums = [zlib.crc32(c.data[a:b]) for a, b in zip(first, last, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(c.row + row)), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64)), "crc32": pa.array(sums, pa.int64())})
+                at = pa.array(c.row + row)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "text_hash": batch.column(1).take(at), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64)), "crc32": pa.array(sums, pa.int64())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line int, node long, crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, line int, node long, crc32 long")
 
 
 def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
@@ -223,8 +233,8 @@ def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataF
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, body binary")
 
 
-def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
-    """Whether the edit distance of each pair is at most edits.
+def within(left: list, right: list, edits: int) -> np.ndarray:
+    """Whether the edit distance of each pair is at most edits; the pairs are bytes, or arrays of any integers.
 
     The band of 2 * edits + 1 diagonals of a pair is one 64-bit word; bit b of column j stands for row j - edits + b. Vertical differences are kept as two words, and the
     band moves down a row with each column. The distance is followed along the lowest diagonal to the last row, then along that row.
@@ -234,7 +244,7 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
         if abs(len(a) - len(b)) > edits:
             continue
-        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        x, y = (np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v for v in (a, b))
         n = min(len(x), len(y))
         differ = np.flatnonzero(x[:n] != y[:n])
         head = int(differ[0]) if len(differ) else n
@@ -248,7 +258,8 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
         return close
     m, n = np.array([len(x) for x in pattern]), np.array([len(x) for x in text])
     p_at, t_at = np.cumsum(m) - m, np.cumsum(n) - n
-    p, t = np.concatenate([*pattern, np.zeros(1, np.uint8)]), np.concatenate([*text, np.zeros(1, np.uint8)])
+    none = np.zeros(1, pattern[0].dtype)
+    p, t = np.concatenate([*pattern, none]), np.concatenate([*text, none])
     width = 2 * edits + 1
     full, one = np.uint64((1 << width) - 1), np.uint64(1)
     which = np.array(kept)
@@ -287,128 +298,190 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
     return close
 
 
-BITMAP, GRAM = 2048, 4
+BITMAP, GRAM = 512, 4
+
+
+def _grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of GRAM bytes within a row, and their rows."""
+    d = c.data.astype(np.uint64)
+    gram = np.zeros(max(len(d) - GRAM + 1, 0), np.uint64)
+    for k in range(GRAM):
+        gram = gram << np.uint64(8) | d[k : k + len(gram)]
+    row = c.row_of(np.arange(len(gram)))
+    inside = np.arange(len(gram)) + GRAM <= c.ends[row]
+    return mix(gram[inside] + np.uint64(1)), row[inside]
+
+
+def _profile(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows that are lines: how many words each has, whether it is compared by words, and the hashes and rows of what its bitmap holds: its words, or its runs of four bytes."""
+    hashes, _, count = line_words(c, c.starts, c.ends)
+    by_words = plan.by_words(count)
+    row = np.repeat(np.arange(c.n), count)
+    gram, gram_row = _grams(c)
+    words, grams = by_words[row], ~by_words[gram_row]
+    return count, by_words, np.concatenate([hashes[words], gram[grams]]), np.concatenate([row[words], gram_row[grams]])
 
 
-def bitmaps(lines: DataFrame) -> DataFrame:
-    """node, body and bits: which of 2048 buckets the line's runs of four bytes fall into. An edit changes eight of these at most."""
+def bitmaps(lines: DataFrame, plan: LinePlan) -> DataFrame:
+    """node, body, size (bytes), words, by_words and bits: which of 512 buckets the line's words, or its runs of four bytes, fall into. An edit changes two of these at most, or eight."""
     workers_find_package(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                d = c.data.astype(np.uint32)
-                gram = np.zeros(max(len(d) - GRAM + 1, 0), np.uint32)
-                for k in range(GRAM):
-                    gram = gram << np.uint32(8) | d[k : k + len(gram)]
-                bucket = (gram * np.uint32(0x9E3779B1)) >> np.uint32(21)
-                row = c.row_of(np.arange(len(bucket)))
-                inside = np.arange(len(bucket)) + GRAM <= c.ends[row]
+                count, by_words, held, row = _profile(c, plan)
                 seen = np.zeros((c.n, BITMAP), np.uint8)
-                seen[row[inside], bucket[inside]] = 1
+                seen[row, (held >> np.uint64(55)).astype(np.int64)] = 1
                 words = np.packbits(seen, axis=1, bitorder="little").view("<i8")
                 part = batch.slice(c.row, c.n)
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "body": part.column(1), "bits": pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * words.shape[1], pa.array(words.ravel()))})
+                yield pa.RecordBatch.from_pydict({
+                    "node": part.column(0), "body": part.column(1), "size": pa.array((c.ends - c.starts).astype(np.int32)), "words": pa.array(count.astype(np.int32)), "by_words": pa.array(by_words),
+                    "bits": pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * words.shape[1], pa.array(words.ravel())),
+                })
 
-    return lines.mapInArrow(run, "node long, body binary, bits array<long>")
+    return lines.mapInArrow(run, "node long, body binary, size int, words int, by_words boolean, bits array<long>")
 
 
-def reachable(a: str, b: str, edits: int | Column) -> Column:
-    """Whether two lines can be within the edits, by their bitmaps."""
+def reachable(a: str, b: str, plan: LinePlan) -> Column:
+    """Whether two lines can be alike, by their lengths and bitmaps."""
     differing = F.lit(0)
     for k in range(BITMAP // 64):
         differing = differing + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
-    return differing <= edits * (2 * GRAM)
-
-
-def banded(keyed: DataFrame, plan: LinePlan) -> DataFrame:
-    """The rows whose key also stands in a line of a size within reach; key is now of the key and a band of sizes. A gap that no pair can bridge parts two bands."""
-    order = Window.partitionBy("key").orderBy("size")
-
-    def gap(size: Column, longer: Column) -> Column:
-        return F.coalesce(longer - size > plan.allowed_column(size), F.lit(True))
-
-    near = keyed.withColumns({"first": gap(F.lag("size").over(order), F.col("size")), "final": gap(F.col("size"), F.lead("size").over(order))}).filter("not (first and final)")
-    band = F.last(F.when(F.col("first"), F.col("size")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return near.select(F.xxhash64("key", band).alias("key"), "node", "role")
-
-
-#: Segments, probes and anchors are sorted in so many parts, one after the other, where there are anchors: their shuffle files then take less disk at once.
-KEY_PARTS = 3
+    by_bytes = (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= plan.edits) & (F.col(f"{a}.by_words") | F.col(f"{b}.by_words") | (differing <= plan.edits * 2 * GRAM))
+    if not plan.words_per_edit:
+        return by_bytes
+    edits = plan.allowed_column(F.least(f"{a}.words", f"{b}.words"))
+    by_words = (F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= edits) & (differing <= 2 * edits)
+    return F.when(F.col(f"{a}.by_words") & F.col(f"{b}.by_words"), by_words).otherwise(by_bytes)
+
+
+def alike(left: pa.Array, right: pa.Array, plan: LinePlan) -> np.ndarray:
+    """Whether the lines of each pair are alike."""
+    n = len(left)
+    close = np.zeros(n, bool)
+    sides = []
+    for lines in (left, right):
+        c = next(chunks(lines, 1 << 62))
+        hashes, at, count = line_words(c, c.starts, c.ends)
+        sides.append((c, hashes, at, count))
+    (c, hashes, at, count), (d, d_hashes, d_at, d_count) = sides
+    both = plan.by_words(count) & plan.by_words(d_count)
+    edits = np.where(both, plan.allowed(np.minimum(count, d_count)) if plan.words_per_edit else 0, plan.edits)
+    for words in (True, False):
+        for e in np.unique(edits[both == words]):
+            mine = np.flatnonzero((both == words) & (edits == e))
+            if words:
+                one, two = ([h[f[i] : f[i] + k[i]] for i in mine] for h, f, k in ((hashes, at, count), (d_hashes, d_at, d_count)))
+            else:
+                one, two = ([x.data[x.starts[i] : x.ends[i]] for i in mine] for x in (c, d))
+            close[mine] = within(one, two, int(e))
+    return close
 
 
 def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
     """id (a node that is like another) and its component."""
-    order = Window.partitionBy("key").orderBy("role", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = KEY_PARTS if plan.bytes_per_edit else 1
-    found_hits = []
-    for part in range(parts):
-        keyed = banded(segment_keys(docs, plan, text_col, part, parts), plan) if plan.bytes_per_edit else segment_keys(docs, plan, text_col)
-        ranked = keyed.select("key", "node", "role", F.first("node").over(order).alias("first"), F.first("role").over(order).alias("first_role"))
-        found_hits.append(written(ranked.filter("first_role = 0 and node != first").select("key", "node", "role", "first").distinct(), "hits"))
-        if parts > 1:
-            del keyed, ranked
-            gc.collect()
-            docs.sparkSession._jvm.System.gc()  # so that Spark removes the part's shuffle files
-    hits = reduce(DataFrame.union, found_hits)
-    wanted = written(hits.select("node").union(hits.select(F.col("first").alias("node"))).distinct(), "wanted")
-    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(by_size(wanted), "node", "left_semi").dropDuplicates(["node"])), "lines")
-    bits = bodies.select("node", "bits", F.octet_length("body").alias("size"))
-
-    def near(x: str, y: str) -> Column:
-        edits = plan.allowed_column(F.least(f"{x}.size", f"{y}.size"))
-        return (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= edits) & reachable(x, y, edits)
+    keyed = written(segment_keys(docs, plan, text_col), "keys")
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("role", "node")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = written(firsts.filter("low != high and first.role = 0").select("key", F.col("first.node").alias("first")), "shared")
+    hits = written(keyed.join(shared, "key").filter("node != first").distinct(), "hits")
+    free(keyed)
+    wanted = written(hits.select("node").union(shared.select(F.col("first").alias("node"))).distinct(), "wanted")
+    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines")
+    bits = bodies.drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-                edits = plan.allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64))
-                close = np.zeros(len(left), bool)
-                for e in np.unique(edits):
-                    mine = np.flatnonzero(edits == e)
-                    close[mine] = within([left[i] for i in mine], [right[i] for i in mine], int(e))
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(close))
+            size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) + pc.binary_length(batch.column(3)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), "right")))
+                part, at = batch.slice(at, to - at), to
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3), plan)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
     stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    stars = stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(near("x", "y")).select("a", "b")
-    links = written(verified(written(stars, "stars")), "links")
-    found = written(components(links), "components")
+    stars = written(stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", plan)).select("a", "b"), "stars")
+    links = written(verified(stars), "links")
+    found = components(links)
 
-    members = hits.select("key", "node", "role").union(hits.select("key", F.col("first").alias("node"), F.lit(0).cast("byte").alias("role"))).distinct()
+    members = hits.select("key", "node", "role").union(shared.select("key", F.col("first").alias("node"), F.lit(0).cast("byte").alias("role")))
     labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    open_rows = written(labelled.join(main, "key").join(bits, "node"), "open")
-    x, y = open_rows.filter("component != main").alias("x"), open_rows.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))
-    rest = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(rest)))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return rare_sets(bodies.join(nodes, "node", "left_semi").select("node", "body"), plan)
+
+    def near(x: str, y: str) -> Column:
+        return (F.coalesce(F.col(f"{x}.role") + F.col(f"{y}.role"), F.lit(0)) < 2) & reachable(x, y, plan)
+
+    pairs = pairs_across(labelled, bits, near, sets_of, "lines")
+    out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(pairs)))
+    free(shared, hits, wanted, bodies, stars, links, found, pairs)
+    return out
+
+
+def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
+    """node, elements and prefix for crosslinks: a line's distinct words if it is compared by words, its runs of four bytes if by bytes, and both in a row each where it may be either."""
+    workers_find_package(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                hashes, _, count = line_words(c, c.starts, c.ends)
+                gram, gram_row = _grams(c)
+                word_row = np.repeat(np.arange(c.n), count)
+                for held, row, of, prefix in ((hashes, word_row, plan.by_words(count), plan.allowed(count) + 1 if plan.words_per_edit else count), (gram, gram_row, plan.by_bytes(count), np.full(c.n, GRAM * plan.edits + 1))):
+                    mine = of[row]
+                    held, row = held[mine], row[mine]
+                    order = np.lexsort((held, row))
+                    held, row = held[order], row[order]
+                    new = np.ones(len(held), bool)
+                    new[1:] = (held[1:] != held[:-1]) | (row[1:] != row[:-1])
+                    rows = np.flatnonzero(of)
+                    offsets = np.searchsorted(row[new], np.append(rows, c.n)).astype(np.int32)
+                    yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(c.row, c.n).take(pa.array(rows)), "elements": pa.ListArray.from_arrays(offsets, pa.array(held[new].view(np.int64))), "prefix": pa.array(prefix[rows].astype(np.int64))})
+
+    return lines.mapInArrow(run, "node long, elements array<long>, prefix long")
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, crc32, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
+    """doc_id, text_hash (xxhash64), line, crc32, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
     plan = plan or LinePlan()
     seen = written(occurrences(docs, plan, id_col, text_col), "occurrences")
-    found = written(alike_lines(docs, plan, text_col), "components")
-    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "line", "crc32", F.coalesce("component", "node").alias("component")), "named")
-    firsts = written(named.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "firsts")
-    return named.join(firsts, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))).select("doc_id", "line", "crc32", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+    found = alike_lines(docs, plan, text_col)
+    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "text_hash", "line", "crc32", F.coalesce("component", "node").alias("component")), "named")
+    free(seen, found)
+    place = F.struct("doc_id", "line", "text_hash")
+    firsts = written(named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "firsts")
+    later = named.join(firsts, "component").filter(~place.eqNullSafe(F.col("first")))
+    return later.select("doc_id", "text_hash", "line", "crc32", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with those lines taken out of their texts; documents keep their rows, also where no line is left.
-
-    A line goes if its id, number and checksum are a duplicate's, so rows that share an id lose no line of their own.
-    """
-    found = written(duplicate_lines(docs, plan, id_col, text_col).select("doc_id", "line", "crc32"), "duplicates")
-    drops = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("line", "crc32")).alias("_drop"))
-    joined = docs.join(by_size(drops, found.count()), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_drop", F.struct(i.alias("line"), F.crc32(x.cast("binary")).alias("crc32")))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """docs with those lines taken out of their texts; documents keep their rows, also where no line is left."""
+    workers_find_package(docs.sparkSession)
+    found = duplicate_lines(docs, plan, id_col, text_col)
+    # A row for each text that loses lines; it has no more numbers than the text has lines.
+    drops = written(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+    # Columns go by number inside, so that no name of docs meets another.
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, key = named[f"c{docs.columns.index(text_col)}"], named[f"c{docs.columns.index(id_col)}"].cast("long")
+    joined = named.join(drops.hint("merge"), key.eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["text_hash"]), "left")
+
+    def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for body, lines in zip(texts, gone, strict=True):
+            if not lines.is_valid:
+                out.append(None)
+                continue
+            kept = np.ones(body.as_py().count("\n") + 1, bool)
+            kept[lines.values.to_numpy()] = False
+            out.append("\n".join(x for x, k in zip(body.as_py().split("\n"), kept, strict=True) if k))
+        return pa.array(out, pa.string())
+
+    without.__annotations__ = {"texts": pa.Array, "gone": pa.Array, "return": pa.Array}
+    loses = drops["drop"].isNotNull()
+    cleaned = F.when(loses, F.arrow_udf(without, "string")(F.when(loses, text), drops["drop"])).otherwise(text)  # only texts that lose lines go to Python
+    return joined.select(*[(cleaned if c == text_col else named[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from evalboard.llm import crosslinks
 from evalboard.llm import linededup as L
 from evalboard.llm.kernels import chunks
-from evalboard.llm.queries import op2_segment_line_dedup
+from evalboard.llm.queries import LINES, op2_segment_line_dedup
 
 from .conftest import ODD, PROSE, SCHEMA, documents
 from .test_minhash import groups
@@ -72,22 +75,64 @@ def test_probes_meet_a_segment_of_every_line_within_reach(edits):
         assert same or any((i, b[at[0] : at[0] + n[0]]) in held for i, other, at, n in L.probes(np.array([len(b)]), edits) if at[0] >= 0 and other[0] == len(a))
 
 
-def test_bitmaps_allow_for_every_edit(spark):
+WORDS = L.LinePlan(words_per_edit=10)
+
+
+def near(a, b, plan):
+    """Whether two lines are alike, by definition."""
+    x, y = re.findall(rb"[^\x20\x09-\x0D]+", a), re.findall(rb"[^\x20\x09-\x0D]+", b)
+    n = min(len(x), len(y))
+    if plan.words_per_edit and n >= plan.min_words:
+        return distance(x, y) <= max(1, min(n // plan.words_per_edit, 30))
+    return abs(len(a) - len(b)) <= plan.edits and distance(a, b) <= plan.edits
+
+
+def reworded(r, a, n):
+    """n words of a line replaced, dropped, added or split."""
+    w = a.split(" ")
+    for _ in range(n):
+        at, kind = r.randrange(len(w)), r.random()
+        w[at : at + 1] = [r.choice(["new", "thing"])] if kind < 0.5 else [] if kind < 0.7 else [w[at], "more"] if kind < 0.9 else [w[at][:1] or "q", w[at][1:] or "z"]
+        w = w or ["x"]
+    return " ".join(w)
+
+
+def lines_of(r, n):
+    pool = [f"w{i}" for i in range(60)]
+    return [" ".join(r.choices(pool, k=r.choice([6, 8, 9, 10, 11, 12, 19, 20, 21, 29, 30, 45, 60]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("plan", [L.LinePlan(), WORDS])
+def test_bitmaps_allow_for_every_edit(spark, plan):
     r = random.Random(9)
-    left = [bytes(r.choices(b"abcdefgh", k=r.randint(24, 200))) for _ in range(300)]
-    right = [edited(r, a, 2) for a in left]
+    left = [x.encode() for x in lines_of(r, 300) if len(x) >= 24]
+    right = [edited(r, a, 2) if r.random() < 0.5 else reworded(r, a.decode(), max(1, len(a.split()) // 10)).encode() for a in left]
+    n = len(left)
     rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(left + right)], "node long, body binary")
-    bits = L.bitmaps(rows).select("node", "bits")
-    pairs = bits.alias("x").join(bits.alias("y"), F.col("y.node") == F.col("x.node") + 300)
-    assert pairs.count() == pairs.filter(L.reachable("x", "y", 2)).count() == 300
-    assert pairs.filter(L.reachable("x", "y", 0)).count() < 30
+    bits = L.bitmaps(rows, plan).drop("body")
+    pairs = bits.alias("x").join(bits.alias("y"), F.col("y.node") == F.col("x.node") + n).select(F.col("x.node").alias("a"), L.reachable("x", "y", plan).alias("can")).collect()
+    want = [near(left[p["a"]], right[p["a"]], plan) for p in pairs]
+    assert all(p["can"] for p, w in zip(pairs, want, strict=True) if w) and sum(want) > 100
+    apart = bits.alias("x").join(bits.alias("y"), F.col("y.node") == (F.col("x.node") + 7) % n)
+    assert apart.filter(L.reachable("x", "y", plan)).count() < 30
+
+
+def test_pairs_are_judged_by_definition():
+    r = random.Random(3)
+    left = lines_of(r, 400)
+    right = [reworded(r, a, r.randint(0, 4)) if r.random() < 0.7 else edited(r, a.encode(), r.randint(0, 4)).decode() for a in left]
+    for plan in (L.LinePlan(), WORDS):
+        got = L.alike(pa.array([x.encode() for x in left]), pa.array([x.encode() for x in right]), plan)
+        want = [near(a.encode(), b.encode(), plan) for a, b in zip(left, right, strict=True)]
+        assert got.tolist() == want and 50 < sum(want) < 350
 
 
 def plain(texts, plan):
     lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
-    long = [(i, k, x.encode()) for i, k, x in lines if len(x.encode()) >= plan.min_bytes]
+    long = [(i, k, x.encode()) for i, k, x in lines if len(x.encode()) >= plan.min_bytes or plan.equal_short and x.strip(" \t\n\x0b\x0c\r")]
     bodies = sorted({x for _, _, x in long})
-    found = groups([(a, b) for a, b in itertools.combinations(bodies, 2) if abs(len(a) - len(b)) <= plan.edits and distance(a, b) <= plan.edits], bodies)
+    by_edit = [x for x in bodies if len(x) >= plan.min_bytes]
+    found = groups([(a, b) for a, b in itertools.combinations(by_edit, 2) if near(a, b, plan)], bodies)
     firsts: dict[bytes, tuple[int, int]] = {}
     for i, k, x in sorted(long, key=lambda v: v[:2]):
         firsts.setdefault(found[x], (i, k))
@@ -145,46 +190,75 @@ def test_queries_drop_short_repeats(spark, tmp_path, query):
 def test_anchors_are_common_to_all_lines_within_reach(seed):
     """Edits are spread evenly, which leaves the shortest unchanged runs."""
     r = random.Random(seed)
-    plan = L.LinePlan(bytes_per_edit=20)
     for _ in range(400):
-        a = bytes(r.choices(b"abcdefgh", k=r.choice([60, 61, 79, 80, 99, 100, 119, 120, 139, 200, 219, 220, 400, 599, 600, 601, 640, 1300])))
-        edits, b = int(plan.allowed(np.array([len(a)]))[0]), bytearray(a)
+        a = r.choices([f"w{i}" for i in range(30)], k=r.choice([10, 11, 19, 20, 21, 29, 30, 39, 40, 59, 60, 100, 109, 110, 200, 299, 300, 301, 650]))
+        edits, b = min(max(1, len(a) // 10), 30), list(a)
         kind = r.random()
         for e in reversed(range(edits)):
             at = min(len(b) - 1, (e + 1) * len(a) // (edits + 1) + r.randint(-1, 1))
-            b[at : at + 1] = b"xy" if kind < 0.3 else b"z" if kind < 0.7 else r.choice([b"z", b[at : at + 1] + b"z"])
-        c = next(chunks(pa.array([a.decode(), b.decode()])))
-        keys, line = L.anchors(c, c.starts, c.ends, plan)
+            b[at : at + 1] = ["x", "y"] if kind < 0.3 else ["z"] if kind < 0.7 else r.choice([["z"], [b[at], "z"]])
+        c = next(chunks(pa.array([" ".join(a), " ".join(b)])))
+        keys, line = L.anchors(*L.line_words(c, c.starts, c.ends), WORDS)
         assert set(keys[line == 0]) & set(keys[line == 1])
 
 
-def test_threshold_grows_with_length(spark):
-    r = random.Random(4)
-    plan = L.LinePlan(bytes_per_edit=20)
-    lines = [bytes(r.choices(b"abcdefgh ", k=r.choice([24, 50, 58, 59, 60, 61, 80, 100, 121, 150]))) for _ in range(25)]
-    lines = [*lines, *(edited(r, a, r.randint(0, 9)) for a in lines for _ in range(3))]
-    r.shuffle(lines)
-    bodies = sorted({x for x in lines if len(x) >= plan.min_bytes})
-    near = [(a, b) for a, b in itertools.combinations(bodies, 2) if abs(len(a) - len(b)) <= 7 and distance(a, b) <= max(2, min(len(a), len(b)) // 20)]
-    assert sum(distance(a, b) > 2 for a, b in near) > 10
-    found = groups(near, bodies)
-    firsts, want = {}, {}
-    for i, x in enumerate(lines):
-        if len(x) >= plan.min_bytes and firsts.setdefault(found[x], i) != i:
-            want[i] = firsts[found[x]]
-    assert {x["doc_id"]: x["first_doc"] for x in L.duplicate_lines(documents(spark, [x.decode() for x in lines]).repartition(3), plan).collect()} == want
+@pytest.mark.parametrize("seed", [1, 2])
+def test_words_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    texts, pool = [*ODD], lines_of(r, 12)
+    for _ in range(60):
+        line = r.choice(pool)
+        texts.append("\n".join([reworded(r, line, r.randint(0, 1 + len(line.split()) // 12)) if r.random() < 0.7 else edited(r, line.encode(), r.randint(0, 3)).decode(), r.choice(["short one", "b", " ", line])]))
+    plan = L.LinePlan(words_per_edit=10, equal_short=True)
+    got = {(x["doc_id"], x["line"]): (x["first_doc"], x["first_line"]) for x in L.duplicate_lines(documents(spark, texts).repartition(3), plan).collect()}
+    assert got == plain(texts, plan) and len(got) > 60
+
+
+def test_large_groups_of_unlike_lines(spark, monkeypatch):
+    """Lines that share a run but little else, and alike ones among them, found by their rare words alone."""
+    monkeypatch.setattr(crosslinks, "DIRECT", 5)
+    r = random.Random(6)
+    run = "all of these lines begin with the very same run of common words and then"
+    texts = [run + " " + " ".join(f"v{r.randrange(10**6)}" for _ in range(r.randint(6, 12))) for _ in range(150)]
+    texts += [reworded(r, x, 1) for x in texts[:30]]
+    r.shuffle(texts)
+    got = {(x["doc_id"], x["line"]): (x["first_doc"], x["first_line"]) for x in L.duplicate_lines(documents(spark, texts), WORDS).collect()}
+    assert got == plain(texts, WORDS) and len(got) >= 25
 
 
 def test_runs_must_hold_an_anchor():
     with pytest.raises(ValueError):
-        L.LinePlan(bytes_per_edit=10)
+        L.LinePlan(words_per_edit=5, min_words=6)
+
+
+def test_query_columns(spark, tmp_path):
+    texts = [*ODD, "\n".join(PROSE), "new\n" + PROSE[1].replace("expected", "awaited"), "new\n\n" + PROSE[2] + " "]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    drop = plain(texts, LINES)
+    for x in op2_segment_line_dedup(spark, str(tmp_path)).collect():
+        t = texts[x["doc_id"]] or ""
+        kept = "\n".join(v for k, v in enumerate(t.split("\n")) if (x["doc_id"], k) not in drop).encode()
+        assert (x["n_lines"], x["kept_bytes"], x["kept_crc32"], x["dropped_bytes"]) == (t.count("\n") + 1, len(kept), zlib.crc32(kept), len(t.encode()) - len(kept))
+
+
+def test_texts_of_very_many_lines(spark):
+    texts = ["\n".join([PROSE[0], PROSE[1]] * 200_000), "\n".join(f"{PROSE[2]} {i % 7}" for i in range(100_000))]
+    got = [x["text"] for x in L.dedup_lines(documents(spark, texts), LINES).orderBy("doc_id").collect()]
+    assert got == ["\n".join(PROSE[:2]), PROSE[2] + " 0"]
+
+
+def test_clashing_columns(spark):
+    names = ["_doc", "_drop", "drop", "text_hash", "line", "node", "c0"]
+    docs = documents(spark, ["\n".join(PROSE), PROSE[0] + "\nother"]).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = L.dedup_lines(docs).orderBy("doc_id").collect()
+    assert out[0].asDict() == docs.orderBy("doc_id").first().asDict() and out[1]["text"] == "other" and out[1]["node"] == 5
 
 
 def test_query_finds_a_changed_word(spark, tmp_path):
     line = " ".join(PROSE)
-    documents(spark, [line, line.replace("northern", "southern"), line.replace("captains", "sailors of it")]).write.parquet(f"{tmp_path}/documents.parquet")
+    documents(spark, [line, line.replace("northern", "southern"), line.replace("captains", "sailors of it"), " ".join(line.split()[::-1])]).write.parquet(f"{tmp_path}/documents.parquet")
     kept = [x["kept_bytes"] for x in op2_segment_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()]
-    assert kept == [len(line), 0, 0 if distance(line.encode(), line.replace("captains", "sailors of it").encode()) <= len(line) // 20 else len(line) + 5]
+    assert kept == [len(line), 0, 0, len(line)]
 
 
 def test_odd_rows(odd, empty):

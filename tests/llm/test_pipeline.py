@@ -9,8 +9,7 @@ import pytest
 
 import corpus_pipeline as P
 from evalboard.llm.encoding import encoder
-from evalboard.llm.linededup import LinePlan
-from evalboard.llm.queries import tokenizer
+from evalboard.llm.queries import LINES, tokenizer
 
 from .conftest import SCHEMA
 from .test_langid import prose
@@ -46,7 +45,7 @@ def test_stages(spark, folder, tmp_path):
             gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in rows}
             assert gone == {r["doc_id"] for r in before if not any(c.isalpha() for c in r["text"] or "")}
         elif name == "lines":
-            drop = plain_lines(texts, LinePlan())
+            drop = plain_lines(texts, LINES)
             want = {ids[i]: "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in drop) for i, t in enumerate(texts)}
             assert {r["doc_id"]: r["text"] for r in rows} == {k: v for k, v in want.items() if v.strip()}
         elif name == "near_duplicates":
