@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalboard.llm.langid import held_out, identify, train
-from evalboard.llm.linededup import LinePlan, dedup_lines
+from evalboard.llm.linededup import dedup_lines
 from evalboard.llm.minhash import MinHashPlan, near_duplicates
 from evalboard.llm.mixing import mix
 from evalboard.llm.packing import pack_documents
-from evalboard.llm.queries import tokenizer, tree_plan
+from evalboard.llm.queries import LINES, tokenizer, tree_plan
 from evalboard.llm.runtime import written
 
 #: A document goes if less than this share of its letters is in its main language.
@@ -22,13 +22,13 @@ BUDGET_PERCENT = 90
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and those without a main language go."""
     model = train(docs.filter(~held_out()))
-    found = identify(docs, model)
+    found = identify(docs, model, with_spans=False)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go; a document left without text goes too."""
-    return dedup_lines(docs, LinePlan(edits=2, min_bytes=24, equal_short=True)).filter(F.length(F.trim("text")) > 0)
+    return dedup_lines(docs, LINES).filter(F.length(F.trim("text")) > 0)
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
