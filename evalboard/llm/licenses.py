@@ -1,12 +1,12 @@
 """Licence scans by an exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a text; its words are a set, and so are a template's. All pairs with
-|block & template| >= threshold * |template| are found: template words are ordered by their document frequency in the
-whole corpus, rarest first, so that any such block holds a word of the template's prefix (as many words as may be missing, plus one);
-length and positional filters then drop pairs that cannot reach the threshold before their overlap is counted.
-A notice may be wrapped over lines, so with `wrapped` a block is also any window of consecutive words of a text, whatever line ends lie between, that is as long as the template's words
-over the threshold; the same prefix filter, and the length filter on template words, drop windows before distinct words are counted.
-Words that stand in no template add nothing to any overlap, so blocks are kept as sets of template words.
+A block is a window of consecutive words of a text, whatever line ends lie between (notices are wrapped), as long as the template's words over the threshold; so it is bounded by its template,
+and any shorter run of words lies in one. A block's words are a set, and so are a template's. All windows with |block & template| >= threshold * |template| are found, if they
+also hold the words that tell the template from others (`required`: the name of the licence) and none that belong to another (`excluded`).
+
+Template words are ordered by their document frequency in the whole corpus, rarest first. A block may lack size - need words, so it holds at least k of the first size - need + k words in that order:
+for k = 1 that is the prefix filter, for larger k a positional one, and for k = need the length filter. Windows that pass these have their distinct words counted.
+Words that stand in no template add nothing to any overlap, so blocks are kept as places of template words.
 
 The templates are a fixed list, so they and their frequencies travel with the tasks; the corpus is read twice and never shuffled,
 but for one row of counts from each task.
@@ -34,22 +34,53 @@ WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 #: Fixed values of the base rule: label and phrase.
 PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
 
-#: Label and wording of public licence notices.
+
+@dataclass(frozen=True)
+class Template:
+    """A notice; required and excluded are words."""
+
+    label: str
+    text: str
+    required: str = ""
+    excluded: str = ""
+
+
+#: Labels and wording of public licence notices.
 TEMPLATES = (
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("all-rights-reserved", "All rights reserved."),
-)
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license", "lesser affero"),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public license", "lesser affero library"),
+    Template("gpl", "You should have received a copy of the GNU General Public License along with this program; if not, see <https://www.gnu.org/licenses/>.", "gnu general public license", "lesser affero library"),
+    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "gnu lesser public license"),
+    Template("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu affero public license"),
+    Template("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
+    Template("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache license compliance"),
+    Template("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "governing permissions limitations license"),
+    Template("mit", "Released under the MIT License", "mit license"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "permission granted charge sublicense"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted charge documentation"),
+    Template("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission notice substantial portions"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission fee granted appear"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary permitted"),
+    Template("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "redistributions source retain disclaimer"),
+    Template("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistributions binary reproduce disclaimer"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla public license"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
+    Template("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "eclipse public license"),
+    Template("boost", "Distributed under the Boost Software License, Version 1.0.", "boost license"),
+    Template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "software warranty authors liable arising"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered software public domain"),
+    Template("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "sil font license"),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "waived copyright neighboring"),
+    Template("cc-by", "Licensed under CC BY 4.0", "cc by", "nc sa nd"),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution", "sharealike share noncommercial commercial noderivatives noderivs"),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", "cc by sa", "nc nd"),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike License", "creative commons sharealike", "noncommercial noderivatives noderivs"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc", "sa nd"),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial License", "creative commons noncommercial", "sharealike noderivatives noderivs"),
+    Template("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives License", "creative commons noderivatives", "noncommercial"),
+    Template("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike License", "creative commons noncommercial sharealike"),
+    Template("all-rights-reserved", "All rights reserved.", "all rights reserved"),
+)
 
 
 def bytes_words(text: str) -> list[bytes]:
@@ -67,89 +98,46 @@ def word_keys(words: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Templates over a sorted vocabulary; order[v] is the place of word v in the global order, rarest first."""
+    """Templates over a sorted vocabulary."""
 
     labels: list[str]
     vocabulary: np.ndarray
-    members: np.ndarray  # template x word
+    sizes: np.ndarray  # distinct words of each template
     need: np.ndarray  # smallest overlap
-    order: np.ndarray
-    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each word: templates with it in their prefix, its position there, their sizes
-    prefix: np.ndarray  # template x word
     window: np.ndarray  # words of a template's windows
+    rank: np.ndarray  # template x word: the word's place in the template, rarest in the corpus first; -1 if it is none of its words
+    required: list[np.ndarray]
+    excluded: list[np.ndarray]
 
 
-def vocabulary_of(templates: tuple[tuple[str, str], ...]) -> np.ndarray:
-    return np.unique(word_keys([w for _, t in templates for w in bytes_words(t)]))
+def vocabulary_of(templates: tuple[Template, ...]) -> np.ndarray:
+    return np.unique(word_keys([w for t in templates for w in bytes_words(f"{t.text} {t.required} {t.excluded}")]))
 
 
-def build_index(templates: tuple[tuple[str, str], ...], frequency: np.ndarray, threshold: float) -> Index:
+def build_index(templates: tuple[Template, ...], frequency: np.ndarray, threshold: float) -> Index:
     vocabulary = vocabulary_of(templates)
-    members = np.zeros((len(templates), len(vocabulary)), bool)
-    for i, (_, t) in enumerate(templates):
-        members[i, np.searchsorted(vocabulary, word_keys(bytes_words(t)))] = True
-    sizes = members.sum(1)
+    rank = np.full((len(templates), len(vocabulary)), -1)
+    listed = {}
+    for i, t in enumerate(templates):
+        of = {k: np.searchsorted(vocabulary, word_keys(bytes_words(x))) for k, x in (("text", t.text), ("required", t.required), ("excluded", t.excluded))}
+        words = np.unique(of["text"])
+        rank[i, words[np.lexsort((words, frequency[words]))]] = np.arange(len(words))
+        listed[i] = of
+    sizes = (rank >= 0).sum(1)
     need = np.maximum(1, np.ceil(threshold * sizes - 1e-9).astype(np.int64))
-    order = np.empty(len(vocabulary), np.int64)
-    order[np.lexsort((vocabulary, frequency))] = np.arange(len(vocabulary))
-    listed: list[list[tuple[int, int, int]]] = [[] for _ in vocabulary]
-    for i in range(len(templates)):
-        words = np.flatnonzero(members[i])
-        words = words[np.argsort(order[words])]
-        for position, word in enumerate(words[: sizes[i] - need[i] + 1]):
-            listed[word].append((i, position, sizes[i]))
-    entries = [tuple(np.array([e[k] for e in x], np.int64) for k in range(3)) for x in listed]
-    prefix = np.zeros_like(members)
-    for word, x in enumerate(listed):
-        prefix[[e[0] for e in x], word] = True
-    window = np.ceil(np.array([len(bytes_words(t)) for _, t in templates]) / threshold - 1e-9).astype(np.int64)
-    return Index([label for label, _ in templates], vocabulary, members, need, order, entries, prefix, window)
-
-
-def template_words(c: Chunk, first: np.ndarray, hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    window = np.ceil(np.array([len(bytes_words(t.text)) for t in templates]) / threshold - 1e-9).astype(np.int64)
+    return Index([t.label for t in templates], vocabulary, sizes, need, window, rank, [listed[i]["required"] for i in listed], [listed[i]["excluded"] for i in listed])
+
+
+def template_words(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the words that stand in some template, and which word of the vocabulary each is."""
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     found = np.flatnonzero(vocabulary[at] == hashes)
     return found, at[found]
 
 
-def matches(block: np.ndarray, word: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (block, template, overlap) with overlap >= need; (block, word) are the distinct words of each block."""
-    v = len(index.vocabulary)
-    key = np.unique(block * v + index.order[word])  # by block, then in the global order
-    block = key // v
-    back = np.argsort(index.order)
-    word = back[key % v]
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(block)))
-    group = np.repeat(np.arange(len(starts)), sizes)
-    position = np.arange(len(block)) - starts[group] if len(block) else np.zeros(0, np.int64)
-    pairs = []
-    for w in np.unique(word):
-        templates, places, lengths = index.entries[w]
-        if not len(templates):
-            continue
-        at = np.flatnonzero(word == w)
-        for t, place, length in zip(templates, places, lengths, strict=True):
-            left = 1 + np.minimum(sizes[group[at]] - position[at] - 1, length - place - 1) + np.minimum(position[at], place)
-            good = (sizes[group[at]] >= index.need[t]) & (left >= index.need[t])
-            pairs.append(group[at[good]] * len(index.labels) + t)
-    if not pairs:
-        return (np.zeros(0, np.int64),) * 3
-    pair = np.unique(np.concatenate(pairs))
-    g, t = pair // len(index.labels), pair % len(index.labels)
-    overlap = np.zeros(len(pair), np.int64)
-    for k in range(len(index.labels)):
-        mine = np.flatnonzero(t == k)
-        if len(mine):
-            inside = np.concatenate([[0], np.cumsum(index.members[k][word])])
-            overlap[mine] = inside[starts[g[mine]] + sizes[g[mine]]] - inside[starts[g[mine]]]
-    good = overlap >= index.need[t]
-    return block[starts[g[good]]], t[good], overlap[good]
-
-
-def window_matches(found: np.ndarray, row: np.ndarray, word: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (row, template, largest overlap of a window) with overlap >= need; found are the places of template words, row and word what they are of and which."""
+def matches(found: np.ndarray, row: np.ndarray, word: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, template, largest overlap of a window) that meet the threshold; found are the places of template words, row and word what they are of and which."""
     place = found + row * int(index.window.max(initial=0))  # no window reaches the next row
     before = np.full(len(place), -1)  # the same word's place before
     by_word = np.lexsort((place, word))
@@ -157,15 +145,24 @@ def window_matches(found: np.ndarray, row: np.ndarray, word: np.ndarray, index:
     before[by_word[1:][same]] = place[by_word[:-1][same]]
     out = []
     for t in range(len(index.labels)):
-        mine = np.flatnonzero(index.members[t][word])
-        p, need = place[mine], index.need[t]
+        rank = index.rank[t][word]
+        mine = np.flatnonzero(rank >= 0)
+        p, rank, need, lacking = place[mine], rank[mine], index.need[t], index.sizes[t] - index.need[t]
         start = np.arange(len(mine))
         end = np.searchsorted(p, p + index.window[t])  # windows begin at a word of the template
-        rare = np.concatenate([[0], np.cumsum(index.prefix[t][word[mine]])])
-        start = np.flatnonzero((end - start >= need) & (rare[end] > rare[start]))
+        for k in sorted({1, *(1 << i for i in range(1, 8)), int(need)}):
+            if k <= need and len(start):  # at least k of the rarest words
+                rare = np.concatenate([[0], np.cumsum(rank < lacking + k)])
+                start = start[rare[end[start]] - rare[start] >= k]
+        for words, wanted in ((index.required[t], True), (index.excluded[t], False)):
+            for w in words:
+                if len(start):
+                    at = place[word == w]
+                    has = np.searchsorted(at, p[start] + index.window[t]) > np.searchsorted(at, p[start])
+                    start = start[has == wanted]
         if not len(start):
             continue
-        held = (end - np.arange(len(mine)))[start]
+        held = end[start] - start
         overlap = np.zeros(len(start), np.int64)
         for d in range(int(held.max())):
             at = np.minimum(start + d, len(mine) - 1)
@@ -190,10 +187,10 @@ def phrase_places(hashes: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: words, places of the base phrases, labels of phrases and of matching blocks.
 
-    score is 1 where a base phrase stands, else the largest containment of a template in one of the text's lines (wrapped: or windows of words) that meets the threshold, else 0.
+    score is 1 where a base phrase stands, else the largest containment of a template in a block that meets the threshold, else 0.
     """
     spark = docs.sparkSession
     workers_find_package(spark)
@@ -206,7 +203,7 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
             for c in chunks(batch.column(0)):
                 c = c.lowered()
                 first, last, row = c.words(WORD)
-                found, word = template_words(c, first, c.hashes(first, last), vocabulary)
+                found, word = template_words(c.hashes(first, last), vocabulary)
                 total += np.bincount(np.unique(row[found] * len(vocabulary) + word) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.arange(len(total))), "n": pa.array(total)})
 
@@ -216,7 +213,7 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
         frequency[word] = n
     index = build_index(templates, frequency, threshold)
     base = [(label, word_keys(bytes_words(p))) for label, p in phrases]
-    sizes = index.members.sum(1)
+    sizes = index.sizes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,16 +228,10 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tupl
                     for r in np.unique(row[at]):
                         own[r].add(label)
                         score[r] = 1.0
-                line_first, _, line_row = low.lines()
-                found, word = template_words(low, first, hashes, index.vocabulary)
-                line = np.searchsorted(line_first, first[found], "right") - 1
-                for b, t, n in zip(*matches(line, word, index), strict=True):
-                    more[line_row[b]].add(index.labels[t])
-                    score[line_row[b]] = max(score[line_row[b]], n / sizes[t])
-                if wrapped:
-                    for r, t, n in zip(*window_matches(found, row[found], word, index), strict=True):
-                        more[r].add(index.labels[t])
-                        score[r] = max(score[r], n / sizes[t])
+                found, word = template_words(hashes, index.vocabulary)
+                for r, t, n in zip(*matches(found, row[found], word, index), strict=True):
+                    more[r].add(index.labels[t])
+                    score[r] = max(score[r], n / sizes[t])
                 every = np.sort(np.concatenate([at for _, at in places])) if places else np.zeros(0, np.int64)
                 every_row = row[every]
                 n_base = np.bincount(every_row, minlength=c.n)

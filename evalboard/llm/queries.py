@@ -89,7 +89,7 @@ def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir), wrapped=True)
+    return scan_licenses(documents(spark, sf_dir))
 
 
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], na
     on = " and ".join(f"c.{p} = p.{p}" for p in parent) or "true"
     keys = ", ".join((*parent, name))
     return f"""
-    {level}_0 as (select c.*, p.budget from {children} c join {parents} p on {on} where c.weight > 0),
+    {level}_0 as (select c.*, p.budget from {children} c join {parents} p on {on}),
     {level}_1 as (select *, cast(budget - coalesce(sum(cap) over ({by} order by cap::double / weight, {name} rows between unbounded preceding and 1 preceding), 0) as double)
         / (sum(weight) over ({by}) - coalesce(sum(weight) over ({by} order by cap::double / weight, {name} rows between unbounded preceding and 1 preceding), 0)) as level from {level}_0),
     {level} as (select {keys}, least(cap, cast(floor(max(level) over ({by}) * weight) as bigint)) as budget from {level}_1)"""
@@ -121,19 +121,20 @@ def mix_sql(budget_percent: int = 60, documents: str = "documents") -> str:
     plan = tree_plan(budget_percent)
     weights = {n: _cases(n, plan.weights.get(n, {}), plan.default_weight) for n, _ in plan.levels}
     levels = ("domain", "language", "origin")
-    nodes = "".join(f"nodes_{n} as (select {', '.join(levels[: i + 1])}, cast(sum(tokens) * {plan.epochs} as bigint) as cap, {weights[n]} as weight from supply group by {', '.join(levels[: i + 1])}),\n    " for i, n in enumerate(levels))
+    nodes = "".join(f"nodes_{n} as (select {', '.join(levels[: i + 1])}, cast(sum(tokens) * {plan.epochs} as bigint) as cap, {weights[n]} as weight from usable group by {', '.join(levels[: i + 1])}),\n    " for i, n in enumerate(levels))
     names = ", ".join(f"coalesce({e}, '?') as {n}" for n, e in plan.levels)
     return f"""with named as (select *, {names},
         cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as tokens from {documents}),
     supply as (select domain, language, origin, cast(sum(tokens) as bigint) as tokens from named group by all),
+    usable as (select * from supply where {" and ".join(f"{w} > 0" for w in weights.values())}),
     total as (select cast(floor(coalesce(sum(tokens), 0) * {plan.budget_percent} / 100) as bigint) as budget from supply),
     {nodes}{_shares("d", "nodes_domain", "total", (), "domain")},
     {_shares("l", "nodes_language", "d", ("domain",), "language")},
     {_shares("o", "nodes_origin", "l", ("domain", "language"), "origin")},
     leaves as (select o.*, s.tokens as supply, case when s.tokens > 0 then o.budget // s.tokens else 0 end as whole from o join supply s using (domain, language, origin)),
-    turns as (select n.*, l.budget, l.supply, cast(e.epoch as int) as epoch from named n join leaves l using (domain, language, origin), (select unnest(range(0, {plan.epochs + 1})) as epoch) e where e.epoch <= l.whole),
+    turns as (select n.*, l.budget, l.supply, l.whole, cast(e.epoch as int) as epoch from named n join leaves l using (domain, language, origin), (select unnest(range(0, {plan.epochs + 1})) as epoch) e where e.epoch <= l.whole),
     placed as (select *, coalesce(sum(tokens) over (partition by domain, language, origin, epoch order by md5('{plan.seed}|' || epoch || '|' || coalesce(cast(doc_id as varchar), '?')) rows between unbounded preceding and 1 preceding), 0) as before from turns),
-    taken as (select * from placed where before < budget - epoch * supply)"""
+    taken as (select * from placed where epoch < whole or before < budget - epoch * supply)"""
 
 
 def oracle_sql() -> dict[str, str]:
