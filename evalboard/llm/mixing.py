@@ -1,25 +1,27 @@
 """Mixing sources to target weights by hierarchical budgets, in DataFrame operations only.
 
 Documents hang in a tree (say domain, language, source). A budget of tokens goes down the tree by weight; a child that cannot use its share (its subtree's supply times
-the epochs allowed) leaves the rest to its siblings, by weight, and only what all of them leave goes to its parent's siblings.
+the epochs allowed, without what lies below a weight of 0) leaves the rest to its siblings, by weight, and only what all of them leave goes to its parent's siblings.
 Each leaf orders its documents anew in each epoch by a seeded hash, takes whole epochs while its budget lasts, and of the last epoch the documents that begin before the budget ends.
 
 Leaves are cut by the hash of the first document left out. To find it, tokens are summed for each leaf and each of 4096 ranges of hashes, and only the range in which the budget ends is sorted,
-so no task sees a whole leaf. Texts never pass a shuffle, but where Spark finds the table of leaves too large to broadcast.
+so no task sees a whole leaf: the sums of one leaf are 4096 rows at most, whatever the input. Texts never pass a shuffle, but where Spark finds the table of leaves too large to broadcast.
 
 Defined cases: null names are the name "?"; null and empty texts have no tokens and are taken if they come before the cut; a name without a weight has the default weight, and weight 0 takes nothing;
 repeated rows have one hash and are taken or left together; an empty table gives an empty result; the columns of the input pass through, and `epoch`, `tokens` and the tree's names
-take the place of columns so named. A share is rounded down to whole tokens at each node.
+take the place of columns so named; no other name of the input matters. A share is rounded down to whole tokens at each node.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import free, written
 
 RANGE_DIGITS = 3
 
@@ -46,7 +48,7 @@ def order_hash(seed: str, epoch: Column, key: Column) -> Column:
 
 
 def shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """nodes (parent's names, name, weight, cap, budget of the parent) with `share`: as by weight, but no more than cap, the rest among those below theirs."""
+    """nodes (parent's names, name, weight over 0, cap, budget of the parent) with `share`: as by weight, but no more than cap, the rest among those below theirs."""
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     ratio = F.col("cap") / F.col("weight")
     before = by.orderBy(ratio, name).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,19 +57,22 @@ def shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     # Tokens for a unit of weight, if all children before were full; the true level is the greatest of these.
     level = F.max("_level").over(every)
-    return nodes.filter("weight > 0").withColumn("_level", left.cast("double") / weight).withColumn("share", F.least("cap", F.floor(level * F.col("weight")).cast("long"))).drop("_level")
+    return nodes.withColumn("_level", left.cast("double") / weight).withColumn("share", F.least("cap", F.floor(level * F.col("weight")).cast("long"))).drop("_level")
 
 
 def leaf_budgets(supply: DataFrame, plan: MixPlan) -> DataFrame:
     """The tree's names and budget of each leaf; supply: the names and tokens of each leaf."""
     names = [n for n, _ in plan.levels]
     total = supply.agg((F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * plan.budget_percent / 100)).cast("long").alias("budget"))
+    weights = {}
+    for name in names:
+        table = plan.weights.get(name, {})
+        weights[name] = F.coalesce(*[F.when(F.col(name) == k, F.lit(w)) for k, w in table.items()], F.lit(plan.default_weight)).cast("long")
+    usable = supply.filter(reduce(and_, [w > 0 for w in weights.values()]))
     given = total
     for depth, name in enumerate(names):
         parent = names[:depth]
-        table = plan.weights.get(name, {})
-        weight = F.coalesce(*[F.when(F.col(name) == k, F.lit(w)) for k, w in table.items()], F.lit(plan.default_weight)).cast("long")
-        nodes = supply.groupBy(*parent, name).agg((F.sum("tokens") * plan.epochs).alias("cap")).withColumn("weight", weight)
+        nodes = usable.groupBy(*parent, name).agg((F.sum("tokens") * plan.epochs).alias("cap")).withColumn("weight", weights[name])
         nodes = nodes.join(given, parent) if parent else nodes.join(F.broadcast(given))  # one row: the total
         given = shares(nodes, parent, name).select(*parent, name, F.col("share").alias("budget"))
     return given
@@ -95,14 +100,15 @@ def leaf_cuts(rows: DataFrame, plan: MixPlan, key: str) -> DataFrame:
 
 def mix(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are taken, once for each epoch, with the tree's names, `tokens` and `epoch`."""
-    names = [n for n, _ in plan.levels]
-    added = {n: F.coalesce(F.expr(e).cast("string"), F.lit("?")) for n, e in plan.levels}
-    rows = written(docs.select(F.col(id_col).alias("_key"), *[c.alias(n) for n, c in added.items()], words_of(F.col(text_col)).alias("tokens")), "tokens")
-    cuts = leaf_cuts(rows, plan, "_key").select(*[F.col(n).alias(f"_{n}") for n in names], "whole", "cut")
-    match = None
-    for n in names:
-        match = (added[n] == F.col(f"_{n}")) if match is None else match & (added[n] == F.col(f"_{n}"))
-    taken = docs.join(cuts, match).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    taken = taken.filter((F.col("_epoch") < F.col("whole")) | (order_hash(plan.seed, F.col("_epoch"), F.col(id_col)) < F.col("cut")))
-    clash = {*names, "tokens", "epoch"}
-    return taken.select(*[F.col(c) for c in docs.columns if c not in clash], *[F.col(f"_{n}").alias(n) for n in names], words_of(F.col(text_col)).alias("tokens"), F.col("_epoch").cast("int").alias("epoch"))
+    # Columns and levels go by number inside, so that no name meets another.
+    inner = replace(plan, levels=tuple((f"n{j}", e) for j, (_, e) in enumerate(plan.levels)), weights={f"n{j}": plan.weights.get(n, {}) for j, (n, _) in enumerate(plan.levels)})
+    places = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *[F.coalesce(F.expr(e).cast("string"), F.lit("?")).alias(n) for n, e in inner.levels])
+    rows = written(base.select(places[id_col].alias("key"), *[n for n, _ in inner.levels], words_of(places[text_col]).alias("tokens")), "tokens")
+    cuts = leaf_cuts(rows, inner, "key")
+    free(rows)
+    taken = base.join(cuts, [n for n, _ in inner.levels]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    taken = taken.filter((F.col("epoch") < F.col("whole")) | (order_hash(plan.seed, F.col("epoch"), places[id_col]) < F.col("cut")))
+    clash = {*[n for n, _ in plan.levels], "tokens", "epoch"}
+    kept = [c.alias(name) for name, c in places.items() if name not in clash]
+    return taken.select(*kept, *[F.col(f"n{j}").alias(n) for j, (n, _) in enumerate(plan.levels)], words_of(places[text_col]).alias("tokens"), F.col("epoch").cast("int").alias("epoch"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from evalboard.llm import queries
 from evalboard.llm.mixing import MixPlan, leaf_budgets, mix
 from evalboard.llm.queries import mix_sql, tree_plan
 
-from .conftest import documents
+from .conftest import SCHEMA, documents
 
 LEVELS = (("domain", "substr(source, 1, 1)"), ("language", "lang"))
 
@@ -61,6 +65,37 @@ def test_weight_nothing_and_same_seed_same_rows(spark):
     assert a == b and {r["origin"] for r in mix(docs, plan).collect()} == {"src1", "src2"}
 
 
+def test_supply_below_weight_nothing_is_no_supply(spark, tmp_path):
+    """web holds 1000 tokens of a language that weighs nothing, so books get what web cannot use."""
+    docs = spark.createDataFrame([(i, "w " * 10, lang, source, 0) for i, (lang, source) in enumerate([("en", "web")] * 100 + [("fr", "web")] * 10 + [("de", "books")] * 100)], SCHEMA)
+    levels = (("domain", "source"), ("language", "lang"))
+    plan = MixPlan(levels, {"language": {"en": 0}}, budget_percent=50, epochs=1)
+    got = {tuple(r)[:2]: r["t"] for r in mix(docs, plan).groupBy("domain", "language").agg(F.sum("tokens").alias("t")).collect()}
+    assert got == {("web", "fr"): 100, ("books", "de"): 950}
+
+
+def test_zero_weights_against_sql(spark, tmp_path, monkeypatch):
+    plan = replace(tree_plan(70), weights={"domain": {"web": 4, "books": 3, "code": 0}, "language": {"en": 5, "de": 0, "fr": 2}, "origin": {"src1": 0}})
+    monkeypatch.setattr(queries, "tree_plan", lambda percent: plan)
+    docs = documents(spark, [f"w{i} " * (i * 37 % 50) for i in range(300)]).selectExpr("doc_id", "text", "array('en', 'de', 'fr', null)[doc_id % 4] as lang", "concat('src', doc_id % 9) as source", "n_chars")
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = con.sql(mix_sql(70) + " select doc_id, domain, language, origin, tokens, epoch from taken").fetchall()
+    got = mix(docs, plan).select("doc_id", "domain", "language", "origin", "tokens", "epoch").collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and got and {r["language"] for r in got} == {"en", "fr", "?"}
+
+
+def test_clashing_columns(spark):
+    names = ["cut", "whole", "_epoch", "epoch", "tokens", "key", "n0", "c0", "rest", "_domain", "domain"]
+    docs = documents(spark, ["one two three"] * 30)
+    plan = MixPlan(LEVELS)
+    want = mix(docs, plan).orderBy("doc_id", "epoch").collect()
+    got = mix(docs.select("*", *[F.lit(n).alias(n) for n in names]), plan).orderBy("doc_id", "epoch").collect()
+    assert [r[: len(docs.columns)] for r in want] == [r[: len(docs.columns)] for r in got]
+    assert [(r["domain"], r["tokens"], r["epoch"], r["cut"], r["n0"]) for r in got] == [(r["domain"], r["tokens"], r["epoch"], "cut", "n0") for r in want] and got
+
+
 def test_odd_rows(odd, empty):
     plan = MixPlan((("domain", "source"), ("language", "lang")), budget_percent=50)
     assert mix(empty, plan).count() == 0
