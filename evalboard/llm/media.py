@@ -7,7 +7,7 @@ and only that row is joined. The join is a plain equi-join of two written tables
 
 Payloads are stored as 8-bit greyscale PNG images, 192 samples wide, in a Parquet column.
 
-Defined cases: null HTML has an empty sequence; null or empty text has a payload of 192 spaces; a reference without a stored payload keeps
+Defined cases: null HTML has an empty sequence; a reference without an address has a null digest; broken markup loses no text; null or empty text has a payload of 192 spaces; a reference without a stored payload keeps
 its place with null results; repeated rows each get their own, equal result; an empty table gives an empty result;
 columns other than the named ones are not read.
 """
@@ -18,11 +18,13 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,57 +85,104 @@ def brightness_hash(rows: np.ndarray) -> str:
     return np.packbits(grid > grid.mean()).tobytes().hex()
 
 
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd br hr blockquote pre article section main header footer nav aside table tr td th title body".split())
+MEDIA = frozenset(("img", "audio", "video", "source"))
+
+
+@dataclass
+class _Figure:
+    """An open figure: its media, and its caption's text items (open: whether the caption goes on)."""
+
+    media: list[dict] = field(default_factory=list)
+    caption: list[dict] = field(default_factory=list)
+    open: bool = False
+
+
 class _Sequence(HTMLParser):
-    """Text runs and media references in document order; a figure's caption goes to its references."""
+    """Text runs and media references in document order.
+
+    A figure's caption, wherever in the figure it stands, goes to its references, and to those of figures within that have none. Its text is an ordinary item until the figure
+    ends, and stays one if the figure never does or holds no media, so broken markup loses no text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.buffer: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
-        self.hidden = 0
+        self.figures: list[_Figure] = []
+        self.hidden: list[str] = []
+        self.alternatives: list[str] | None = None  # of an open picture
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            if self.figures and self.figures[-1].open:
+                self.figures[-1].caption.append(self.items[-1])
+
+    def media(self, url: str, alt: str | None) -> None:
+        digest = url.removeprefix("sha256:") if url.startswith("sha256:") else hashlib.sha256(url.encode("utf-8", "replace")).hexdigest() if url else None
+        self.items.append({"kind": "media", "text": None, "digest": digest, "caption": alt})
+        if self.figures:
+            self.figures[-1].media.append(self.items[-1])
+
+    def end_figure(self) -> None:
+        self.flush()
+        figure = self.figures.pop()
+        caption = " ".join(x["text"] for x in figure.caption)
+        if caption and figure.media:
+            gone = {id(x) for x in figure.caption}
+            self.items = [x for x in self.items if id(x) not in gone]
+            for x in figure.media:
+                x["caption"] = caption
+        elif self.figures:  # an outer caption may stand for these
+            self.figures[-1].media += figure.media
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
-            self.hidden += 1
+            self.hidden.append(tag)
         elif tag == "figure":
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append(_Figure())
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
-        elif tag in ("img", "audio", "video", "source"):
+            if self.figures:
+                self.figures[-1].open = True
+        elif tag == "picture":
+            self.alternatives = []
+        elif tag in MEDIA:
             self.flush()
             a = dict(attrs)
-            src = a.get("src") or ""
-            self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix("sha256:") if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest(), "caption": a.get("alt")})
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "br", "article", "section", "tr", "title"):
+            url = (a.get("src") or (a.get("srcset") or "").strip().split(",")[0].split(" ")[0]).strip()
+            if tag == "source" and self.alternatives is not None:
+                self.alternatives.append(url)  # the same image in another form: the picture's img is the reference
+            elif tag == "img":
+                self.media(url or next(filter(None, self.alternatives or ()), ""), a.get("alt"))
+            elif url:  # without one, a player's sources are the references
+                self.media(url, None)
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :] if self.figure is not None else ():
-                if item["kind"] == "media":
-                    item["caption"] = text
-        elif tag == "figure":
+            if self.hidden:
+                self.hidden.pop()
+        elif tag == "figcaption":
             self.flush()
-            self.figure = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "article", "section", "tr", "title"):
+            if self.figures:
+                self.figures[-1].open = False
+        elif tag == "figure":
+            if self.figures:
+                self.end_figure()
+        elif tag == "picture":
+            self.alternatives = None
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.buffer if self.caption is None else self.caption).append(data)
+            self.buffer.append(data)
 
 
 def interleave(html: str | None) -> list[dict]:
@@ -142,7 +191,7 @@ def interleave(html: str | None) -> list[dict]:
     p.feed(html or "")
     p.close()
     p.flush()
-    return p.items
+    return [{"position": i} | x for i, x in enumerate(p.items)]
 
 
 def parse_sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
@@ -165,9 +214,11 @@ def resolve(sequences: DataFrame, id_col: str, payloads: DataFrame) -> DataFrame
 
 
 def sequences_of(resolved: DataFrame, sequences: DataFrame, id_col: str) -> DataFrame:
-    """Whole sequences again: each media struct of an id with what resolve() found for it, by position. A task holds one page's references."""
-    found = resolved.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("position", *[c for c in resolved.columns if c not in (id_col, "position")]))).alias("media"))
-    return sequences.join(found, id_col, "left")
+    """id and items, whole sequences again: `payload` of each media item has what resolve() found for its reference, by position. A task holds one page's references. Ids must differ."""
+    facts = [c for c in resolved.columns if c not in (id_col, "position", "caption", "digest")]
+    found = resolved.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*facts)))).alias("_found"))
+    items = F.transform("items", lambda x: x.withField("payload", F.element_at("_found", x["position"])))
+    return sequences.join(found, id_col, "left").select(id_col, items.alias("items"))
 
 
 def per_payload(store: DataFrame, columns: dict[str, str], of: Callable[[bytes], dict]) -> DataFrame:
@@ -198,37 +249,52 @@ def facts(image: bytes) -> dict:
 FACTS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
 
+def overview(payload: bytes) -> bytes:
+    """A small image of a payload: one row of 192 samples, each the mean of its column."""
+    return np.frombuffer(payload, np.uint8).reshape(-1, WIDTH).mean(0).astype(np.uint8).tobytes()
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole texts as stored images, and a page for each document that shows its image: written as doc_id, n_bytes, html, digest, image.
+    """Whole texts as stored images, and a page for each document that shows its image and a small overview of it between lines of text: written as row, doc_id, n_bytes, html, media (digest, image).
 
-    image is null where an earlier row of the same batch stored the digest already.
+    An image is null where an earlier row of the same batch stored the digest already. row numbers the rows.
     """
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             seen: set[str] = set()
             for c in chunks(batch.column(1)):
-                ids = batch.column(0).slice(c.row, c.n)
-                sizes, pages, digests, images = [], [], [], []
-                for i, doc in enumerate(ids.to_pylist()):
+                sizes, pages, stored = [], [], []
+                for i in range(c.n):
                     body = padded(c.text(i))
-                    digest = hashlib.sha256(body).hexdigest()
                     sizes.append(int(c.ends[i] - c.starts[i]))
-                    pages.append(f'<article><p>Document {doc}</p><figure><img src="sha256:{digest}"><figcaption>{escape(f"{sizes[-1]} bytes of text")}</figcaption></figure></article>')
-                    digests.append(digest)
-                    images.append(None if digest in seen else png(body))
-                    seen.add(digest)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(sizes, pa.int64()), "html": pa.array(pages, pa.string()), "digest": pa.array(digests, pa.string()), "image": pa.array(images, pa.binary())})
+                    media = []
+                    for payload in (body, overview(body)):
+                        digest = hashlib.sha256(payload).hexdigest()
+                        media.append({"digest": digest, "image": None if digest in seen else png(payload)})
+                        seen.add(digest)
+                    main, small = (f'<img src="sha256:{m["digest"]}"' for m in media)
+                    pages.append(f'<article><h1>A text</h1><figure>{main}><figcaption>{escape(f"{sizes[-1]} bytes of text")}</figcaption></figure><p>and, below, its columns</p>{small} alt="mean of each column"><p>end</p></article>')
+                    stored.append(media)
+                kind = pa.list_(pa.struct([("digest", pa.string()), ("image", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(number, number + c.n)), "doc_id": batch.column(0).slice(c.row, c.n), "n_bytes": pa.array(sizes, pa.int64()), "html": pa.array(pages, pa.string()), "media": pa.array(stored, kind)})
+                number += c.n
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(texts.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, image binary"), "media")
+    return written(texts.mapInArrow(run, "row long, doc_id long, n_bytes long, html string, media array<struct<digest:string,image:binary>>"), "media")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """A row for each document: the facts of its payload as read back from the store, its place in the page and its caption."""
+    """A row for each document: the facts of its payload as read back from the store, its place in the page and its caption, and the page's texts and the facts of its other image in order."""
     store = store_texts(docs)
-    payloads = written(per_payload(store.filter("image is not null"), FACTS, facts), "payloads")
-    pages = store.select(F.struct("doc_id", "n_bytes").alias("id"), "html")
-    rows = resolve(parse_sequences(pages, "id"), "id", payloads)
-    return rows.select("id.doc_id", "id.n_bytes", *FACTS, "position", "caption")
+    images = store.select(F.explode("media").alias("m")).select("m.digest", "m.image").filter("image is not null")
+    payloads = written(per_payload(images, FACTS, facts), "payloads")
+    pages = store.select(F.struct("row", "doc_id", "n_bytes").alias("id"), "html")
+    sequences = parse_sequences(pages, "id")
+    items = sequences_of(resolve(sequences, "id", payloads), sequences, "id")
+    shown = F.filter("items", lambda x: x["kind"] == "media")
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    rows = items.select("id", shown[0].alias("main"), shown[1].alias("small"), F.size("items").alias("n_items"), texts.alias("texts"))
+    return rows.select("id.doc_id", "id.n_bytes", *[F.col("main.payload")[k].alias(k) for k in FACTS], "main.position", "main.caption", "n_items", "texts", F.col("small.position").alias("overview_position"), F.col("small.caption").alias("overview_caption"), F.col("small.payload.payload_sha256").alias("overview_sha256"))

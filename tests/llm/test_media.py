@@ -44,7 +44,9 @@ def test_texts(spark):
         image = M.png(payload)
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (x["media_bytes"], x["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
-        assert x["position"] == 1 and x["caption"] == f"{len(body)} bytes of text"
+        assert (x["position"], x["caption"], x["texts"], x["n_items"]) == (1, f"{len(body)} bytes of text", ["A text", "and, below, its columns", "end"], 5)
+        small = M.overview(payload)
+        assert (x["overview_position"], x["overview_caption"], x["overview_sha256"]) == (3, "mean of each column", hashlib.sha256(small).hexdigest()) and len(small) == 192
     assert got[len(texts) - 1]["feature"] == got[len(texts) - 2]["feature"]
 
 
@@ -58,8 +60,28 @@ def test_sequences_keep_order_positions_and_captions(spark):
     payloads = spark.createDataFrame([("aa", 7), ("bb", 8)], "digest string, size int")
     resolved = M.resolve(sequences, "page", payloads)
     assert {(r["page"], r["position"]): r["size"] for r in resolved.collect()} == {(1, 2): 7, (1, 3): 8, (1, 5): None, (1, 6): None}
-    whole = {r["page"]: r["media"] for r in M.sequences_of(resolved, sequences, "page").collect()}
-    assert [m["position"] for m in whole[1]] == [2, 3, 5, 6] and whole[2] is None
+    whole = {r["page"]: [(x["position"], x["text"], x["payload"] and x["payload"]["size"], x["caption"]) for x in r["items"]] for r in M.sequences_of(resolved, sequences, "page").collect()}
+    assert whole[1] == [(0, "Title & more", None, None), (1, "one two", None, None), (2, None, 7, "both"), (3, None, 8, "both"), (4, "three", None, None), (5, None, None, "alone"), (6, None, None, None)] and whole[2] == []
+
+
+@pytest.mark.parametrize(
+    ("html", "items"),
+    [
+        ("<figure><figcaption>first <b>the</b> words</figcaption><img src=a></figure>after", [("a", "first the words"), "after"]),
+        ("<figure><img src=a alt=x><figcaption>never closed</figure><p>after</p>", [("a", "never closed"), "after"]),
+        ("<figure><img src=a alt=x><figcaption>never closed<p>more text</p><img src=b>end", [("a", "x"), "never closed", "more text", ("b", None), "end"]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figure><img src=c></figure><figcaption>out</figcaption></figure>", [("a", "out"), ("b", "in"), ("c", "out")]),
+        ("<figure><p>no media</p><figcaption>but a caption</figcaption></figure>", ["no media", "but a caption"]),
+        ("<figcaption>alone</figcaption></figure>x</figure>", ["alone", "x"]),
+        ("<img srcset='s1.png 1x, s2.png 2x'><picture><source srcset='w.webp 1x'><img src=p></picture><picture><source srcset='v.webp 1x'><img alt=q></picture>", [("s1.png", None), ("p", None), ("v.webp", "q")]),
+        ("<video><source src=m><source src=n></video><audio src=o>text", [("m", None), ("n", None), ("o", None), "text"]),
+        ("<img>here", [(None, None), "here"]),
+        ("<p>a<script>no</script>b<style>no", ["ab"]),
+    ],
+)
+def test_markup_loses_nothing(html, items):
+    digest = lambda u: u and hashlib.sha256(u.encode()).hexdigest()
+    assert [x["text"] if x["kind"] == "text" else (x["digest"], x["caption"]) for x in M.interleave(html)] == [x if isinstance(x, str) else (digest(x[0]), x[1]) for x in items]
 
 
 def test_odd_rows(odd, empty):
