@@ -1,8 +1,8 @@
 """Sharding by fixed virtual slots.
 
 A record hashes into one of a fixed number of slots; bytes are summed for each slot; a versioned map names the shard of each slot,
-and rebalancing edits the map, moving as few slots as it needs. The map and the sums have as many rows as there are slots, whatever the
-input's size; nothing else reaches the driver.
+and rebalancing edits the map, moving as few slots as it needs. Versions of the map are stored as a table, one appended after the other; records are placed by the version that was read from it.
+The map and the sums have as many rows as there are slots, whatever the input's size; nothing else reaches the driver.
 
 Defined cases: null text has no bytes and counts as its row's overhead only; null ids are hashed like any other value; repeated rows share a slot and get
 places of their own; an empty table gives an empty result; columns other than the id and the text are not read.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import scratch, written
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -94,6 +94,24 @@ def load_map(stored: DataFrame, version: int | None = None) -> SlotMap:
     return SlotMap(version, tuple(r["shard"] for r in rows))
 
 
+class MapStore:
+    """The stored versions of a map, a Parquet table at a path that all machines share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, slot_map: SlotMap) -> None:
+        slot_map.frame(self.spark).coalesce(1).write.mode("append").parquet(self.path)
+
+    def empty(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        return not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def load(self, version: int | None = None) -> SlotMap:
+        return load_map(self.spark.read.parquet(self.path), version)
+
+
 def measured(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of each record."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -101,23 +119,34 @@ def measured(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text
     return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(n_slots)).cast("int"))
 
 
-def shard_by_slots(docs: DataFrame, n_shards: int, current: SlotMap | None = None, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
-    """Each record's shard and its place there, and the map that says so: current (or an initial map) after rebalancing by bytes.
+def shard_by_slots(docs: DataFrame, n_shards: int, store: str | None = None, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
+    """Each record's shard and its place there, and the map that says so: the latest version in the store (an initial one is stored where there is none) after rebalancing by bytes, stored as the next.
 
-    A place is the number of records in the shard's lower slots plus the record's rank in its own slot, so no task sees more than a slot's records.
+    A place is the number of records in the shard's lower slots, plus those of the slot in lower parts of the input, plus the record's rank among those of its slot and part;
+    so no task sees more of one slot than a part of the input holds.
     """
     spark = docs.sparkSession
-    rows = written(measured(docs, n_slots, id_col, text_col), "slots")
-    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # a row for each slot at most
+    maps = MapStore(spark, store or scratch(spark, "slot-map"))
+    rows = written(measured(docs, n_slots, id_col, text_col).withColumn("part", F.spark_partition_id()), "slots")
+    counted = written(rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "slot-parts")
+    sums = counted.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()  # a row for each slot at most
     weights, counts = [0] * n_slots, [0] * n_slots
     for slot, size, n in sums:
         weights[slot], counts[slot] = size, n
-    slot_map = (current or SlotMap.initial(n_slots, n_shards)).rebalanced(weights)
+    if maps.empty():
+        maps.append(SlotMap.initial(n_slots, n_shards))
+    current = maps.load()
+    if (len(current.shards), current.n_shards) != (n_slots, n_shards):
+        raise ValueError("the stored map has other slots or shards")
+    maps.append(current.rebalanced(weights))
+    slot_map = maps.load()
     base, filled = [0] * n_slots, [0] * n_shards
     for slot, shard in enumerate(slot_map.shards):
         base[slot] = filled[shard]
         filled[shard] += counts[slot]
     bases = spark.createDataFrame([(slot, slot_map.shards[slot], base[slot]) for slot in range(n_slots)], "virtual_slot int, shard int, base long")
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
-    placed = rows.withColumn("rank", rank).join(F.broadcast(bases), "virtual_slot")  # n_slots rows
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), "virtual_slot"), slot_map
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.select("virtual_slot", "part", lower.alias("lower"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32"))
+    placed = rows.withColumn("rank", rank).join(parts, ["virtual_slot", "part"]).join(F.broadcast(bases), "virtual_slot")  # n_slots rows
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("lower") + F.col("rank") - 1).alias("slot"), "virtual_slot"), slot_map

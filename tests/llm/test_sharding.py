@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import zlib
 
-from evalboard.llm.sharding import SlotMap, load_map, measured, shard_by_slots
+import pytest
+
+from evalboard.llm.sharding import MapStore, SlotMap, load_map, measured, shard_by_slots
 
 from .conftest import ODD, documents
 
@@ -48,6 +50,27 @@ def test_versions_are_stored(spark):
     assert load_map(stored) == two and load_map(stored, 1) == one
 
 
+def test_places_go_by_the_stored_map(spark, tmp_path):
+    """A second run loads what the first stored, edits it and appends the next version."""
+    store = f"file://{tmp_path}/map"
+    texts = [f"text {i} " * (i % 50) for i in range(1500)]
+    rows, one = shard_by_slots(documents(spark, texts), 5, store, n_slots=256)
+    grown = documents(spark, texts + ["more " * 900] * 40)
+    again, two = shard_by_slots(grown, 5, store, n_slots=256)
+    maps = MapStore(spark, store)
+    assert (one.version, two.version) == (2, 3) and maps.load() == two and maps.load(2) == one and maps.load(1) == SlotMap.initial(256, 5)
+    assert 0 < sum(a != b for a, b in zip(one.shards, two.shards, strict=True)) < 100
+    assert all(r["shard"] == two.shards[r["virtual_slot"]] for r in again.collect()) and all(r["shard"] == one.shards[r["virtual_slot"]] for r in rows.collect())
+    with pytest.raises(ValueError):
+        shard_by_slots(grown, 6, store, n_slots=256)
+
+
+def test_repeated_rows_have_places_of_their_own(spark):
+    docs = documents(spark, ["x"]).crossJoin(spark.range(900)).drop("id").repartition(6)
+    got = sorted(r["slot"] for r in shard_by_slots(docs, 3)[0].collect())
+    assert got == list(range(900))
+
+
 def test_no_slot_gathers_copies(spark):
     docs = documents(spark, ["the same text"] * 3000)
     assert measured(docs).groupBy("virtual_slot").count().agg({"count": "max"}).first()[0] < 12
