@@ -2,11 +2,13 @@
 
 Each document's tokens are cut into full windows of the longest context and a rest; rests are routed to tiers by the smallest context that holds
 them, each tier's window takes one rest of its own tier and its gap is filled from shorter tiers, whole rests first and a cut one last.
-So every window is full; what is left when a task ends goes into ever shorter windows. Context sizes are powers of two,
-so windows in descending size fill steps of equal token counts.
+So every window is full; what is left when a task ends goes into ever shorter windows. Context sizes are powers of two.
 
-A task packs the rows it reads, in rounds of bounded size, and shares nothing with others: no shuffle, and a lost task is redone from its own input.
-Rows must come in a repeatable order, as they do from files.
+Step groups are balanced over the whole corpus: windows of all tasks, longest tier first, are dealt to the steps in turn. So no two steps differ by more than one window of the longest context, each has
+its share of every tier, and none holds more than step_tokens. For that, only counts of windows by task and tier are summed up.
+
+A task packs the rows it reads, in rounds of bounded size, and shares nothing with others: no texts or ids are shuffled, and a lost task is redone from its own input.
+The pieces are written, so they keep their numbers.
 
 Defined cases: null or empty text is a document of the end id alone; repeated rows are documents of their own; an empty table gives an empty result;
 columns other than the id and the text are not read.
@@ -16,22 +18,23 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import workers_find_package
+from .runtime import workers_find_package, written
 
 
 @dataclass(frozen=True)
 class PackingPlan:
-    """context: longest window; rests of round_tokens are packed together; steps hold step_tokens."""
+    """context: longest window; rests of round_tokens are packed together; steps hold step_tokens at most, which are two windows or more."""
 
     context: int = 1024
     step_tokens: int = 8192
@@ -92,19 +95,24 @@ def _halved(pieces: list[Piece]) -> list[list[Piece]]:
     return windows
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long"
+#: Which window of its size in its task a piece is in.
+PLACE = "task long, nth long"
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, plan: PackingPlan | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence, the sequence's context size and its step; with_ids adds the ids as 32-bit little-endian bytes."""
     plan = plan or PackingPlan()
     workers_find_package(docs.sparkSession)
-    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
+    if plan.step_tokens < 2 * plan.context:
+        raise ValueError("a step must hold two windows")
+    schema = f"{SCHEMA}, {PLACE}" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], encode.dtype).tobytes()
-        sequence, steps = 0, _Steps(plan)
+        sequence, made = 0, Counter()
         ids: list = []
         tokens: list[np.ndarray] = []
         held = 0
@@ -113,16 +121,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, plan: Packi
             nonlocal sequence
             out: dict[str, list] = {n: [] for n in names}
             windows = pack_round([len(t) for t in tokens], plan.context)
-            windows.sort(key=lambda w: -sum(n for _, _, n in w))
             for window in windows:
                 offset, size = 0, sum(n for _, _, n in window)
-                step = steps.of(size)
                 for doc, start, n in window:
                     body = tokens[doc][start : start + n].astype("<u4").tobytes()
-                    for k, v in zip(names, (ids[doc], start, n, zlib.crc32(body), len(tokens[doc]), part | sequence, offset, size, part | step, body), strict=False):
+                    for k, v in zip(names, (ids[doc], start, n, zlib.crc32(body), len(tokens[doc]), task << 32 | sequence, offset, size, task, made[size], body), strict=False):
                         out[k].append(v)
                     offset += n
                 sequence += 1
+                made[size] += 1
             return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
         for batch in batches:
@@ -138,17 +145,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, plan: Packi
         if ids:
             yield packed()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
-
-
-class _Steps:
-    """Numbers of the steps: each takes windows until it holds step_tokens."""
-
-    def __init__(self, plan: PackingPlan):
-        self.size, self.step, self.filled = plan.step_tokens, 0, 0
-
-    def of(self, tokens: int) -> int:
-        if self.filled + tokens > self.size:
-            self.step, self.filled = self.step + 1, 0
-        self.filled += tokens
-        return self.step
+    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
+    return with_steps(pieces, plan).select(*[x.split()[0] for x in SCHEMA.split(", ")], "step", *["ids"] * with_ids)
+
+
+def with_steps(pieces: DataFrame, plan: PackingPlan) -> DataFrame:
+    """pieces with the step that their window is dealt to."""
+    counts = written(pieces.groupBy("context", "task").agg((F.max("nth") + 1).alias("n")), "windows")
+    sums = counts.groupBy("context").agg(F.sum("n").alias("n")).collect()  # a row for each tier
+    total, before, longer = sum(r["context"] * r["n"] for r in sums), 0, {}
+    for r in sorted(sums, key=lambda r: -r["context"]):
+        longer[r["context"]], before = before, before + r["n"]
+    steps = max(1, -(-total // (plan.step_tokens - plan.context)))
+    if not longer:
+        return pieces.withColumn("step", F.lit(0).cast("long"))
+    # A row for each task and tier.
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.coalesce(*[F.when(F.col("context") == c, F.lit(n)) for c, n in longer.items()]) + lower
+    return pieces.join(counts.select("context", "task", first.alias("first")), ["context", "task"]).withColumn("step", (F.col("first") + F.col("nth")) % steps)

@@ -77,6 +77,21 @@ def test_packing(spark):
         assert all(sum(s.values()) <= 8192 for s in steps.values())
 
 
+def test_steps_are_balanced_over_all_tasks(spark):
+    texts = [" ".join(random.Random(i).choices(" ".join(PROSE).split(), k=i * 37 % 1500)) for i in range(300)]
+    plan = PackingPlan(round_documents=20, step_tokens=4096)
+    rows = pack_documents(documents(spark, texts).repartition(7, "doc_id"), FILES[0], plan=plan).select("sequence_id", "context", "step").distinct().collect()
+    n = max(r["step"] for r in rows) + 1
+    of = [[r["context"] for r in rows if r["step"] == k] for k in range(n)]
+    loads = [sum(x) for x in of]
+    assert n > 20 and max(loads) <= 4096 and max(loads) - min(loads) <= 1024
+    for context in {r["context"] for r in rows}:
+        counts = [x.count(context) for x in of]
+        assert max(counts) - min(counts) <= 1
+    with pytest.raises(ValueError):
+        pack_documents(documents(spark, texts), FILES[0], plan=PackingPlan(step_tokens=1024))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, (1 << 32) - 1)), max_size=1500), st.sampled_from([0.5, 0.9, 0.98, 1.0]))
 def test_blocks_round_trip(values, percentile):
