@@ -1,9 +1,10 @@
-"""Candidate pairs across components that share a key, without all pairs of a group.
+"""Links across components that share a key, without all pairs of a group.
 
-Some links are known, so members of a key fall into components, and only pairs across components are still of interest. Each member is held against the members of the key's largest
-component, and the others against one another, if the others are few (DIRECT). Keys with more of them, such as those of boilerplate that many unlike texts share, are given up and their
-members are keyed anew by a rare-element prefix: elements are put in one order for all sets, rarest first, and two sets that can share enough
-must share one of the first elements of both (prefix filter). So no pair is lost, and unlike members of a large group meet only where they share something rare.
+Some links are known, so members of a key fall into components, and only pairs across components are still of interest. First each member outside the key's largest component is held against a few of
+that one's members, chosen at random, which joins most of what belongs together. Then each is held against all members of the largest component, and the others against one another,
+if the others are few (DIRECT). Keys with more of them, such as those of boilerplate that many unlike texts share, are given up and their members are keyed anew by a rare-element prefix:
+elements are put in one order for all sets, rarest first, and two sets that can share enough must share one of the first elements of both (prefix filter).
+So no pair is lost, and unlike members of a large group meet only where they share something rare.
 
 The order goes by counts of elements in 2**20 buckets of their hashes, a table of fixed size; counts that are only roughly right make longer lists, not other results.
 """
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .kernels import mix
-from .runtime import free, workers_find_package, written
+from .runtime import free, sweep, workers_find_package, written
 
 #: Members of a key outside its largest component that are held against all others directly.
 DIRECT = 1000
+#: Members of the largest component that all others are held against first.
+SAMPLES = 8
 BUCKET_BITS = 20
 
 
@@ -68,29 +72,53 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(main.filter("others > 0"), "key")
 
 
-def pairs_across(members: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """a, b: distinct pairs of nodes of different components that share a key and are `near`, a condition on the aliases of two rows of members with attributes (by node).
+def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """id and component, written: the components `found`, joined by all links between nodes that share a key.
 
-    members: key, node, component and what `near` needs of the membership. sets_of: node, elements and prefix of each of the nodes given.
+    members: key, node and role (two of role 1 do not meet); a member that has been held against all others of its key may be left out. attributes: by node, what `near` needs, a condition on the aliases of two rows with them, which says whether a pair can be
+    linked. verified: the pairs (a, b) of those given that are linked. sets_of: node, elements and prefix of each of the nodes given.
     """
-    open_rows = written(_open(members), f"{name}-open")
+
+    def labelled() -> DataFrame:
+        return written(_open(members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))), f"{name}-open")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return components(links.union(verified(pairs)))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    open_rows = labelled()
+    if open_rows.isEmpty():
+        free(open_rows)
+        return found
+    chosen = open_rows.filter("component = main").groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(SAMPLES)])
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(SAMPLES)]))).alias("chosen"))
+    pairs = open_rows.filter("component != main").join(chosen, "key").select(F.col("node").alias("a"), F.col("chosen").alias("b")).distinct()
+    x, y = attributes.alias("x"), attributes.alias("y")
+    sampled = written(ordered(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(near("x", "y"))).distinct(), f"{name}-sampled")
+    before, found = found, joined(sampled)
+    free(open_rows, sampled, before)
+    sweep(members.sparkSession)
+
+    open_rows = labelled()
     temporary, meeting = [open_rows], [open_rows.filter(F.col("others") <= DIRECT)]
     wide = open_rows.filter(F.col("others") > DIRECT)
     if not wide.isEmpty():
         nodes = written(wide.select("node", "component").distinct(), f"{name}-wide")
         sets = written(sets_of(nodes.select("node")), f"{name}-sets")
-        rows = _open(rare_keys(sets).join(nodes, "node"))
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in open_rows.schema.fields if f.name not in rows.columns]
-        meeting.append(rows.select("*", *missing).select(*open_rows.columns))
+        rows = _open(rare_keys(sets).join(nodes, "node").withColumn("role", F.lit(0).cast("byte")))
+        meeting.append(rows.select(*open_rows.columns))
         temporary += [nodes, sets]
-    found = []
+    crossing = []
     for rows in meeting:
         full = written(rows.join(attributes, "node"), f"{name}-members")
         temporary.append(full)
         x, y = full.filter("component != main").alias("x"), full.alias("y")
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near("x", "y"))
-        found.append(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-    out = written((found[0] if len(found) == 1 else found[0].union(found[1])).distinct(), f"{name}-across")
-    free(*temporary)
+        crossing.append(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))))
+    across = written((crossing[0] if len(crossing) == 1 else crossing[0].union(crossing[1])).distinct(), f"{name}-across")
+    out = joined(across)
+    free(*temporary, across, found)
     return out

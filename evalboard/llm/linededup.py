@@ -12,7 +12,7 @@ Equal lines are one node. Keys are summed up, not gathered: each member of a key
 only pairs across components of a key are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
 differ in more than the edits can explain are not made.
 
-A node is the 64-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**65.
+A node is a 62-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**63.
 
 Defined cases: lines shorter than min_bytes are outside the edit join: with equal_short, those that are not blank go if an equal one stands earlier, else they stay; blank lines stay, and so do
 null and empty texts; the first occurrence is that of the smallest doc_id (null first), then the smallest line number, then the smallest hash of its text; rows equal in id and text
@@ -22,20 +22,19 @@ separate words, and count for bytes only. Text written without spaces is compare
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .crosslinks import pairs_across
+from .crosslinks import link_across
 from .kernels import BASE, NOT_SPACE, Chunk, chunks, mix
-from .runtime import free, workers_find_package, written
+from .runtime import free, sweep, workers_find_package, written
 
 
 #: The band of `within` is a 64-bit word.
@@ -156,7 +155,7 @@ def _lines(c: Chunk, plan: LinePlan, short: bool = False) -> tuple[np.ndarray, n
         taken |= seen[last] > seen[first]
     at = np.flatnonzero(taken)
     first, last = first[at], last[at]
-    return first, last, row[at], number[at], c.hashes(first, last)
+    return first, last, row[at], number[at], c.hashes(first, last) >> np.uint64(2)
 
 
 def line_words(c: Chunk, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +165,12 @@ def line_words(c: Chunk, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
     return c.hashes(begin, end), at, np.searchsorted(begin, last) - at
 
 
+#: A member of a key is its node, with this bit set if it is a probe: all segments are smaller than all probes.
+PROBE = 1 << 62
+
+
 def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
-    """key, node and role (0: a segment or an anchor, 1: a probe) of each line; lines equal within a chunk come once."""
+    """key and member of each segment, anchor and probe; lines equal within a chunk come once, and a line is one member of a key at most."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,45 +181,47 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Dat
                 first, last = first[one], last[one]
                 if not len(one):
                     continue
-                keys, nodes, roles = [], [], []
-                few = np.ones(len(one), bool)
+                found, members = [], []
                 if plan.words_per_edit:
                     hashes, at, count = line_words(c, first, last)
                     few, many = plan.by_bytes(count), np.flatnonzero(plan.by_words(count))
                     key, line = anchors(hashes, at[many], count[many], plan)
-                    keys, nodes, roles = [key], [node[many][line]], [np.zeros(len(line), np.int8)]
-                first, last, node = first[few], last[few], node[few]
+                    found, members = [key], [node[many][line]]
+                    first, last, node = first[few], last[few], node[few]
                 length = last - first
                 starts, sizes = segments(length, plan.edits)
+                keys, nodes = [], []
                 for i in range(plan.edits + 1):
                     begin = first + starts[i]
                     keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length))
                     nodes.append(node)
-                    roles.append(np.zeros(len(node), np.int8))
                 for i, other, at, size in probes(length, plan.edits):
                     good = np.flatnonzero((at >= 0) & (other >= plan.min_bytes))
                     begin = first[good] + at[good]
                     keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
-                    nodes.append(node[good])
-                    roles.append(np.ones(len(good), np.int8))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes).view(np.int64)), "role": pa.array(np.concatenate(roles))})
+                    nodes.append(node[good] | np.uint64(PROBE))
+                key, member = np.concatenate(keys), np.concatenate(nodes)
+                order = np.lexsort((member, member & np.uint64(PROBE - 1), key))
+                key, member = key[order], member[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | ((member[1:] ^ member[:-1]) & np.uint64(PROBE - 1) != 0)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([*found, key[new]]).view(np.int64)), "member": pa.array(np.concatenate([*members, member[new]]).view(np.int64))})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, role byte")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, member long")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, line, node and crc32 of each line that may go."""
+    """doc_id, text_hash, line and node of each line that may go."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(2)):
-                first, last, row, number, node = _lines(c, plan, plan.equal_short)
-                sums = [zlib.crc32(c.data[a:b]) for a, b in zip(first, last, strict=True)]
+                _, _, row, number, node = _lines(c, plan, plan.equal_short)
                 at = pa.array(c.row + row)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "text_hash": batch.column(1).take(at), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64)), "crc32": pa.array(sums, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "text_hash": batch.column(1).take(at), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, line int, node long, crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, line int, node long")
 
 
 def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
@@ -233,38 +238,57 @@ def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataF
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, body binary")
 
 
-def within(left: list, right: list, edits: int) -> np.ndarray:
-    """Whether the edit distance of each pair is at most edits; the pairs are bytes, or arrays of any integers.
+def within(left: list, right: list, edits: int | np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most edits (one for all, or one each); the pairs are bytes, or arrays of any integers.
 
-    The band of 2 * edits + 1 diagonals of a pair is one 64-bit word; bit b of column j stands for row j - edits + b. Vertical differences are kept as two words, and the
-    band moves down a row with each column. The distance is followed along the lowest diagonal to the last row, then along that row.
+    Common ends are cut off first, which settles most pairs. The rest go by bands, those of few edits first.
     """
+    edits = np.broadcast_to(np.asarray(edits, np.int64), len(left))
     close = np.zeros(len(left), bool)
     pattern, text, kept = [], [], []
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        if abs(len(a) - len(b)) > edits:
+        if abs(len(a) - len(b)) > edits[k]:
             continue
         x, y = (np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v for v in (a, b))
         n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        head = int(differ[0]) if len(differ) else n
+        differ = x[:n] != y[:n]
+        head = int(differ.argmax()) if n and differ.any() else n
         n -= head
-        differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
-        tail = int(differ[0]) if len(differ) else n
-        pattern.append(x[head : len(x) - tail])
-        text.append(y[head : len(y) - tail])
-        kept.append(k)
-    if not kept:
-        return close
+        differ = (x[len(x) - n :] != y[len(y) - n :])[::-1]
+        tail = int(differ.argmax()) if n and differ.any() else n
+        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+        if max(len(x), len(y)) <= edits[k]:
+            close[k] = True
+        elif min(len(x), len(y)):
+            pattern.append(x)
+            text.append(y)
+            kept.append(k)
+    which, low = np.array(kept, np.int64), 0
+    for high in (2, 4, 8, 16, MOST_EDITS):
+        mine = np.flatnonzero((edits[which] > low - (low == 0)) & (edits[which] <= high))
+        if len(mine):
+            close[which[mine]] = _banded([pattern[i] for i in mine], [text[i] for i in mine], edits[which[mine]])
+        low = high
+    return close
+
+
+def _banded(pattern: list[np.ndarray], text: list[np.ndarray], edits: np.ndarray) -> np.ndarray:
+    """The same for pairs of about equal edits, with bit-parallel bands.
+
+    The band of 2 * edits + 1 diagonals of a pair, as wide as the most edits need, is one 64-bit word; bit b of column j stands for row j - edits + b. Vertical differences are kept as two words,
+    and the band moves down a row with each column. The distance is followed along the lowest diagonal to the last row, then along that row.
+    """
+    close = np.zeros(len(pattern), bool)
+    band = int(edits.max())
     m, n = np.array([len(x) for x in pattern]), np.array([len(x) for x in text])
     p_at, t_at = np.cumsum(m) - m, np.cumsum(n) - n
-    none = np.zeros(1, pattern[0].dtype)
-    p, t = np.concatenate([*pattern, none]), np.concatenate([*text, none])
-    width = 2 * edits + 1
+    p, t = np.concatenate(pattern), np.concatenate(text)
+    width = 2 * band + 1
     full, one = np.uint64((1 << width) - 1), np.uint64(1)
-    which = np.array(kept)
-    distance = np.minimum(m, edits)
-    vp = np.full(len(m), (1 << width) - (1 << edits), np.uint64)
+    diagonal = np.arange(width) - band
+    which = np.arange(len(pattern))
+    distance = np.minimum(m, band)
+    vp = np.full(len(m), (1 << width) - (1 << band), np.uint64)
     vn = np.zeros(len(m), np.uint64)
     j = 0
     while len(which):
@@ -272,44 +296,73 @@ def within(left: list, right: list, edits: int) -> np.ndarray:
         if over.any():
             close[which[over & (distance <= edits)]] = True
         # Beyond the lowest diagonal the distance falls by one a column at most.
-        live = ~over & (distance <= 2 * edits + np.maximum(n - m, 0) + np.abs(n - m))
+        live = ~over & (distance <= edits + band + np.maximum(n - m, 0) + np.abs(n - m))
         if not live.all() and (over.any() or j % 32 == 0):
-            which, m, n, p_at, t_at, distance, vp, vn = (v[live] for v in (which, m, n, p_at, t_at, distance, vp, vn))
+            which, m, n, p_at, t_at, distance, edits, vp, vn = (v[live] for v in (which, m, n, p_at, t_at, distance, edits, vp, vn))
             if not len(which):
                 break
+        if len(which) <= FEW:
+            for i in range(len(which)):
+                close[which[i]] = _banded_one(p[p_at[i] : p_at[i] + m[i]], t[t_at[i] : t_at[i] + n[i]], int(edits[i]))
+            break
         j += 1
         letter = t[t_at + j - 1]
-        equal = np.zeros(len(which), np.uint64)
-        for b in range(width):
-            row = j - edits + b
-            if row < 1:
-                continue
-            hit = (p[np.minimum(p_at + row - 1, len(p) - 1)] == letter) & (row <= m)
-            equal |= hit.astype(np.uint64) << np.uint64(b)
+        row = j + diagonal
+        inside = (row >= 1) & (row <= m[:, None])
+        hit = np.zeros((len(which), 64), bool)
+        hit[:, :width] = (p[np.where(inside, p_at[:, None] + row - 1, 0)] == letter[:, None]) & inside
+        equal = np.packbits(hit, axis=1, bitorder="little").view("<u8")[:, 0]
         d0 = ((((equal & vp) + vp) ^ vp) | equal | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
-        low = m - j + edits  # the last row's bit
-        bit = np.clip(low, 0, width - 1).astype(np.uint64)
-        on_diagonal = j + edits <= m
-        distance = distance + np.where(on_diagonal, ((d0 >> np.uint64(width - 1)) & one) == 0, 0) + np.where(on_diagonal, 0, ((hp >> bit) & one).astype(np.int64) - ((hn >> bit) & one).astype(np.int64))
+        bit = np.clip(m - j + band, 0, width - 1).astype(np.uint64)  # the last row's
+        on_diagonal = j + band <= m
+        distance = distance + np.where(on_diagonal, ((d0 >> np.uint64(width - 1)) & one) == 0, ((hp >> bit) & one).astype(np.int64) - ((hn >> bit) & one).astype(np.int64))
         vp = (hn | ~((d0 >> one) | hp)) & full
         vn = (d0 >> one) & hp
     return close
 
 
+#: So many pairs are followed one by one: a step of all costs about as much as so many steps of one.
+FEW = 12
+
+
+def _banded_one(pattern: np.ndarray, text: np.ndarray, edits: int) -> bool:
+    """The same for one pair, with Python's integers: each letter's places in the pattern are one integer, which is shifted to the band."""
+    places: dict[int, int] = {}
+    for i, letter in enumerate(pattern.tolist()):
+        places[letter] = places.get(letter, 0) | 1 << i
+    m, width = len(pattern), 2 * edits + 1
+    full, vp, vn, distance = (1 << width) - 1, (1 << width) - (1 << edits), 0, min(m, edits)
+    for j, letter in enumerate(text.tolist(), 1):
+        of, down = places.get(letter, 0), j - edits - 1
+        equal = (of >> down if down >= 0 else of << -down) & full
+        d0 = ((((equal & vp) + vp) ^ vp) | equal | vn) & full
+        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
+        if j + edits <= m:
+            distance += not d0 >> (width - 1) & 1
+        else:
+            bit = max(m - j + edits, 0)
+            distance += (hp >> bit & 1) - (hn >> bit & 1)
+        if distance > 2 * edits + max(len(text) - m, 0) + abs(len(text) - m):
+            return False
+        vp, vn = (hn | ~(d0 >> 1 | hp)) & full, d0 >> 1 & hp
+    return distance <= edits
+
+
 BITMAP, GRAM = 512, 4
 
 
-def _grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of GRAM bytes within a row, and their rows."""
-    d = c.data.astype(np.uint64)
-    gram = np.zeros(max(len(d) - GRAM + 1, 0), np.uint64)
+def _grams(c: Chunk, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of GRAM bytes within each row that is taken, and their rows."""
+    rows = np.flatnonzero(taken)
+    n = np.maximum(c.ends[rows] - c.starts[rows] - GRAM + 1, 0)
+    row = np.repeat(rows, n)
+    at = c.starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    gram = np.zeros(len(at), np.uint64)
     for k in range(GRAM):
-        gram = gram << np.uint64(8) | d[k : k + len(gram)]
-    row = c.row_of(np.arange(len(gram)))
-    inside = np.arange(len(gram)) + GRAM <= c.ends[row]
-    return mix(gram[inside] + np.uint64(1)), row[inside]
+        gram = gram << np.uint64(8) | c.data[at + k]
+    return mix(gram + np.uint64(1)), row
 
 
 def _profile(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -317,9 +370,9 @@ def _profile(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarr
     hashes, _, count = line_words(c, c.starts, c.ends)
     by_words = plan.by_words(count)
     row = np.repeat(np.arange(c.n), count)
-    gram, gram_row = _grams(c)
-    words, grams = by_words[row], ~by_words[gram_row]
-    return count, by_words, np.concatenate([hashes[words], gram[grams]]), np.concatenate([row[words], gram_row[grams]])
+    gram, gram_row = _grams(c, ~by_words)
+    words = by_words[row]
+    return count, by_words, np.concatenate([hashes[words], gram]), np.concatenate([row[words], gram_row])
 
 
 def bitmaps(lines: DataFrame, plan: LinePlan) -> DataFrame:
@@ -368,35 +421,43 @@ def alike(left: pa.Array, right: pa.Array, plan: LinePlan) -> np.ndarray:
     both = plan.by_words(count) & plan.by_words(d_count)
     edits = np.where(both, plan.allowed(np.minimum(count, d_count)) if plan.words_per_edit else 0, plan.edits)
     for words in (True, False):
-        for e in np.unique(edits[both == words]):
-            mine = np.flatnonzero((both == words) & (edits == e))
-            if words:
-                one, two = ([h[f[i] : f[i] + k[i]] for i in mine] for h, f, k in ((hashes, at, count), (d_hashes, d_at, d_count)))
-            else:
-                one, two = ([x.data[x.starts[i] : x.ends[i]] for i in mine] for x in (c, d))
-            close[mine] = within(one, two, int(e))
+        mine = np.flatnonzero(both == words)
+        if words:
+            one, two = ([h[f[i] : f[i] + k[i]] for i in mine] for h, f, k in ((hashes, at, count), (d_hashes, d_at, d_count)))
+        else:
+            one, two = ([x.data[x.starts[i] : x.ends[i]] for i in mine] for x in (c, d))
+        close[mine] = within(one, two, edits[mine])
     return close
 
 
+#: Keys are summed up in so many parts, one after the other: their shuffle files then take less disk at once.
+KEY_PARTS = 3
+
+
 def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
     """id (a node that is like another) and its component."""
+    spark = docs.sparkSession
     keyed = written(segment_keys(docs, plan, text_col), "keys")
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("role", "node")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = written(firsts.filter("low != high and first.role = 0").select("key", F.col("first.node").alias("first")), "shared")
-    hits = written(keyed.join(shared, "key").filter("node != first").distinct(), "hits")
+    shared, hits = [], []
+    for part in range(KEY_PARTS):
+        mine = keyed.filter(F.pmod("key", F.lit(KEY_PARTS)) == part)
+        ends = mine.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("last"))
+        shared.append(written(ends.filter((F.col("first") != F.col("last")) & (F.col("first") < PROBE)).select("key", "first"), "shared"))
+        others = mine.join(shared[part].hint("shuffle_hash"), "key").filter("member != first")  # a row for each key is held
+        hits.append(written(others.select("key", F.col("member").bitwiseAND(F.lit(PROBE - 1)).alias("node"), F.shiftright("member", 62).cast("byte").alias("role"), "first").distinct(), "hits"))
+        del mine, ends, others
+        sweep(spark)
     free(keyed)
+    temporary = [*shared, *hits]
+    shared, hits = reduce(DataFrame.union, shared), reduce(DataFrame.union, hits)
     wanted = written(hits.select("node").union(shared.select(F.col("first").alias("node"))).distinct(), "wanted")
-    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines")
+    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines")
+    sweep(spark)
     bits = bodies.drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) + pc.binary_length(batch.column(3)).to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), "right")))
-                part, at = batch.slice(at, to - at), to
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3), plan)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike(batch.column(2), batch.column(3), plan)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
@@ -407,18 +468,13 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
     links = written(verified(stars), "links")
     found = components(links)
 
-    members = hits.select("key", "node", "role").union(shared.select("key", F.col("first").alias("node"), F.lit(0).cast("byte").alias("role")))
-    labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))
-
     def sets_of(nodes: DataFrame) -> DataFrame:
         return rare_sets(bodies.join(nodes, "node", "left_semi").select("node", "body"), plan)
 
-    def near(x: str, y: str) -> Column:
-        return (F.coalesce(F.col(f"{x}.role") + F.col(f"{y}.role"), F.lit(0)) < 2) & reachable(x, y, plan)
-
-    pairs = pairs_across(labelled, bits, near, sets_of, "lines")
-    out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(pairs)))
-    free(shared, hits, wanted, bodies, stars, links, found, pairs)
+    # The first of each key has been held against all others.
+    out = link_across(hits.select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
+    free(*temporary, wanted, bodies, stars, links)
+    sweep(spark)
     return out
 
 
@@ -430,7 +486,7 @@ def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 hashes, _, count = line_words(c, c.starts, c.ends)
-                gram, gram_row = _grams(c)
+                gram, gram_row = _grams(c, plan.by_bytes(count))
                 word_row = np.repeat(np.arange(c.n), count)
                 for held, row, of, prefix in ((hashes, word_row, plan.by_words(count), plan.allowed(count) + 1 if plan.words_per_edit else count), (gram, gram_row, plan.by_bytes(count), np.full(c.n, GRAM * plan.edits + 1))):
                     mine = of[row]
@@ -447,16 +503,16 @@ def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash (xxhash64), line, crc32, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
+    """doc_id, text_hash (xxhash64), line, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
     plan = plan or LinePlan()
     seen = written(occurrences(docs, plan, id_col, text_col), "occurrences")
     found = alike_lines(docs, plan, text_col)
-    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "text_hash", "line", "crc32", F.coalesce("component", "node").alias("component")), "named")
+    named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "text_hash", "line", F.coalesce("component", "node").alias("component")), "named")
     free(seen, found)
     place = F.struct("doc_id", "line", "text_hash")
     firsts = written(named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "firsts")
     later = named.join(firsts, "component").filter(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "text_hash", "line", "crc32", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
+    return later.select("doc_id", "text_hash", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,7 +524,7 @@ def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "do
     # Columns go by number inside, so that no name of docs meets another.
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text, key = named[f"c{docs.columns.index(text_col)}"], named[f"c{docs.columns.index(id_col)}"].cast("long")
-    joined = named.join(drops.hint("merge"), key.eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["text_hash"]), "left")
+    joined = named.join(drops.hint("shuffle_hash"), key.eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["text_hash"]), "left")
 
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         out = []

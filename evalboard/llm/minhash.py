@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .crosslinks import pairs_across
+from .crosslinks import link_across
 from .kernels import NOT_SPACE, Chunk, chunks, mix, ngram_hashes
-from .runtime import free, workers_find_package, written
+from .runtime import free, sweep, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
     # Members of buckets beside the first, and the first of each. Sums go by key, so no task holds a bucket.
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     shared = written(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key", "first"), "buckets")
-    hits = written(keyed.join(shared, "key").filter("node != first"), "hits")
+    hits = written(keyed.join(shared.hint("shuffle_hash"), "key").filter("node != first"), "hits")  # a row for each key is held
+    sweep(docs.sparkSession)
     members = hits.select("key", "node").union(shared.select("key", F.col("first").alias("node")))
     suspects = written(members.select("node").distinct(), "suspects")
 
@@ -237,17 +238,16 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
     found = components(links)
 
     # Pairs across components of a bucket.
-    labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     attributes = shingled.select("node", "size", "bits").join(sketched, "node")
 
     def sets_of(wide: DataFrame) -> DataFrame:
         least = F.floor((F.col("size") * plan.percent + 99) / 100)
         return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"))
 
-    pairs = pairs_across(labelled, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, "minhash")
-    more = confirmed(pairs, shingled, plan)
-    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    free(nodes, shared, hits, suspects, shingled, stars, links, found, pairs)
+    # The first of each bucket has been held against all others.
+    final = link_across(hits.select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash")
+    free(nodes, shared, hits, suspects, shingled, stars, links)
+    sweep(docs.sparkSession)
 
     named = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo", "n_shingles"], "left")
     named = named.join(final.withColumnRenamed("id", "node"), "node", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(*tables: DataFrame) -> None:
     """Removes tables made by written() that nothing reads any more."""
     for t in tables:
@@ -63,8 +70,8 @@ def _clean() -> None:
             return
 
 
-#: Workers give memory back to the system between batches: large arrays are mapped on their own, Arrow allocates as everything else does.
-WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "NUMPY_MADVISE_HUGEPAGE": "0", "OMP_NUM_THREADS": "1"}
+#: Arrays of a chunk come from one heap that is used again and again (mapping each anew costs as much time as the work); what is free beyond 64 MB goes back to the system.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "67108864", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system", "NUMPY_MADVISE_HUGEPAGE": "0", "OMP_NUM_THREADS": "1"}
 #: Bytes of an Arrow batch; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
