@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mix
-from .runtime import free, sweep, workers_find_package, written
+from .runtime import free, lean, sweep, workers_find_package, written
 
 #: Members of a key outside its largest component that are held against all others directly.
 DIRECT = 1000
@@ -43,7 +43,7 @@ def rare_keys(sets: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(total[at])})
 
-    counted = sets.select("elements").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
+    counted = sets.select("elements").mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
     frequency = np.zeros(1 << BUCKET_BITS, np.int64)
     frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     shipped = spark.sparkContext.broadcast(np.minimum(frequency, (1 << 32) - 1).astype(np.uint32))  # 4 MB
@@ -62,7 +62,7 @@ def rare_keys(sets: DataFrame) -> DataFrame:
                 taken = place < part.column(2).to_numpy()[row]  # the order keeps rows together, so row holds after it too
                 yield pa.RecordBatch.from_pydict({"key": pa.array(spread[order[taken]].view(np.int64)), "node": part.column(0).take(pa.array(row[taken]))})
 
-    return sets.select("node", "elements", F.col("prefix").cast("long")).mapInArrow(run, "key long, node long")
+    return sets.select("node", "elements", F.col("prefix").cast("long")).mapInArrow(lean(run), "key long, node long")
 
 
 def _open(members: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ class Chunk:
         return sums[self.ends] - sums[self.starts]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[Chunk]:
     """The rows of a string column in chunks of about limit bytes; a longer text is a chunk of its own, null is empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

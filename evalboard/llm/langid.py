@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Chunk, byte_class, chunks
-from .runtime import workers_find_package
+from .runtime import lean, workers_find_package
 
 BUCKETS = 1 << 16
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, training: LanguageTraining | None = None, id_col: str
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), k)), "cell": pa.array(at), "n": pa.array(table[at])})
 
-    summed = sample.mapInArrow(count, "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most buckets x languages x 2 rows
+    summed = sample.mapInArrow(lean(count), "kind long, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most buckets x languages x 2 rows
     kind, cell, n = (summed.column(k).to_numpy() for k in range(3))
     tables = []
     for k, size in enumerate((BUCKETS, BUCKETS, len(SCRIPTS))):
@@ -302,7 +302,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", with
         return pa.StructArray.from_arrays(columns, names=list(added))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    labels = F.arrow_udf(run, ", ".join(f"{k} {v}" for k, v in added.items())).asNondeterministic()  # else a filter on a label would run it twice
+    labels = F.arrow_udf(lean(run), ", ".join(f"{k} {v}" for k, v in added.items())).asNondeterministic()  # else a filter on a label would run it twice
     kept = [f"`{c}`" for c in docs.columns if c not in added]
     found = docs.select(*kept, labels(F.col(f"`{text_col}`")).alias("_found_labels"))
     return found.select(*kept, *[F.col("_found_labels")[k].alias(k) for k in added])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Chunk, byte_class, chunks
-from .runtime import workers_find_package
+from .runtime import lean, workers_find_package
 
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
@@ -207,7 +207,7 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[Temp
                 total += np.bincount(np.unique(row[found] * len(vocabulary) + word) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_pydict({"word": pa.array(np.arange(len(total))), "n": pa.array(total)})
 
-    counted = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(vocabulary), np.int64)
     for word, n in counted.collect():  # a row for each word of the fixed templates
         frequency[word] = n
@@ -247,4 +247,4 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[Temp
                     "base_labels": pa.array([",".join(sorted(x)) for x in own]), "labels": pa.array([",".join(sorted(x | y)) for x, y in zip(own, more, strict=True)]), "score": pa.array(score),
                 })
 
-    return texts.mapInArrow(scan, SCHEMA)
+    return texts.mapInArrow(lean(scan), SCHEMA)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .crosslinks import link_across
 from .kernels import BASE, NOT_SPACE, Chunk, chunks, mix
-from .runtime import free, sweep, workers_find_package, written
+from .runtime import free, lean, sweep, workers_find_package, written
 
 
 #: The band of `within` is a 64-bit word.
@@ -207,7 +207,7 @@ def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Dat
                 new[1:] = (key[1:] != key[:-1]) | ((member[1:] ^ member[:-1]) & np.uint64(PROBE - 1) != 0)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([*found, key[new]]).view(np.int64)), "member": pa.array(np.concatenate([*members, member[new]]).view(np.int64))})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, member long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "key long, member long")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +221,7 @@ def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_co
                 at = pa.array(c.row + row)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "text_hash": batch.column(1).take(at), "line": pa.array(number.astype(np.int32)), "node": pa.array(node.view(np.int64))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, line int, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, text_hash long, line int, node long")
 
 
 def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
@@ -235,7 +235,7 @@ def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataF
                 node, one = np.unique(node, return_index=True)
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "body": pa.array([c.data[a:b].tobytes() for a, b in zip(first[one], last[one], strict=True)], pa.binary())})
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, body binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, body binary")
 
 
 def within(left: list, right: list, edits: int | np.ndarray) -> np.ndarray:
@@ -392,7 +392,7 @@ def bitmaps(lines: DataFrame, plan: LinePlan) -> DataFrame:
                     "bits": pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * words.shape[1], pa.array(words.ravel())),
                 })
 
-    return lines.mapInArrow(run, "node long, body binary, size int, words int, by_words boolean, bits array<long>")
+    return lines.mapInArrow(lean(run), "node long, body binary, size int, words int, by_words boolean, bits array<long>")
 
 
 def reachable(a: str, b: str, plan: LinePlan) -> Column:
@@ -461,7 +461,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long")
 
     stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
     stars = written(stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", plan)).select("a", "b"), "stars")
@@ -499,7 +499,7 @@ def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
                     offsets = np.searchsorted(row[new], np.append(rows, c.n)).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(c.row, c.n).take(pa.array(rows)), "elements": pa.ListArray.from_arrays(offsets, pa.array(held[new].view(np.int64))), "prefix": pa.array(prefix[rows].astype(np.int64))})
 
-    return lines.mapInArrow(run, "node long, elements array<long>, prefix long")
+    return lines.mapInArrow(lean(run), "node long, elements array<long>, prefix long")
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,5 +539,5 @@ def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "do
 
     without.__annotations__ = {"texts": pa.Array, "gone": pa.Array, "return": pa.Array}
     loses = drops["drop"].isNotNull()
-    cleaned = F.when(loses, F.arrow_udf(without, "string")(F.when(loses, text), drops["drop"])).otherwise(text)  # only texts that lose lines go to Python
+    cleaned = F.when(loses, F.arrow_udf(lean(without), "string")(F.when(loses, text), drops["drop"])).otherwise(text)  # only texts that lose lines go to Python
     return joined.select(*[(cleaned if c == text_col else named[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks
-from .runtime import workers_find_package, written
+from .runtime import lean, workers_find_package, written
 
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -204,7 +204,7 @@ def parse_sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([interleave(x) for x in batch.column(1).to_pylist()], out)], names=[id_col, "items"])
 
-    return pages.select(id_col, html_col).mapInArrow(run, f"{id_col} {kind}, items array<{ITEM}>")
+    return pages.select(id_col, html_col).mapInArrow(lean(run), f"{id_col} {kind}, items array<{ITEM}>")
 
 
 def resolve(sequences: DataFrame, id_col: str, payloads: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def per_payload(store: DataFrame, columns: dict[str, str], of: Callable[[bytes],
                 rows = [of(x.as_buffer().to_pybytes()) for x in part.column(1)]
                 yield pa.RecordBatch.from_pydict({"digest": part.column(0)} | {k: pa.array([r[k] for r in rows]) for k in columns})
 
-    return store.select("digest", "image").mapInArrow(run, schema).dropDuplicates(["digest"])
+    return store.select("digest", "image").mapInArrow(lean(run), schema).dropDuplicates(["digest"])
 
 
 def facts(image: bytes) -> dict:
@@ -283,7 +283,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 number += c.n
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(texts.mapInArrow(run, "row long, doc_id long, n_bytes long, html string, media array<struct<digest:string,image:binary>>"), "media")
+    return written(texts.mapInArrow(lean(run), "row long, doc_id long, n_bytes long, html string, media array<struct<digest:string,image:binary>>"), "media")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

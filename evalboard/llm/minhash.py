@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .crosslinks import link_across
 from .kernels import NOT_SPACE, Chunk, chunks, mix, ngram_hashes
-from .runtime import free, sweep, workers_find_package, written
+from .runtime import free, lean, sweep, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, plan: MinHashPlan, id_col: str = "doc_id", text_
                 })
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
 
 
 BITMAP = 2048
@@ -182,7 +182,7 @@ def shingle_sets(docs: DataFrame, plan: MinHashPlan, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.row, c.n), "shingles": pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64))), "bits": _long_lists(bitmaps(values, sizes))})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, shingles array<long>, bits array<long>")
 
 
 def possible(a: str, b: str, plan: MinHashPlan) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import workers_find_package, written
+from .runtime import lean, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, plan: Packi
         if ids:
             yield packed()
 
-    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
+    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema), "pieces")
     return with_steps(pieces, plan).select(*[x.split()[0] for x in SCHEMA.split(", ")], "step", *["ids"] * with_ids)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import NOT_SPACE, Chunk, byte_class, chunks, covered, mix, ngram_hashes, repeated, repeats
-from .runtime import workers_find_package
+from .runtime import lean, workers_find_package
 
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 
@@ -115,4 +115,4 @@ def repetition_quality(docs: DataFrame, rules: QualityRules | None = None, id_co
                 made["dup_ngram_shares"] = flat
                 yield pa.RecordBatch.from_pydict({k: made[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_share", "dup_ngram_shares", "reason")})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .media import text_media
 from .minhash import MinHashPlan, near_duplicates
 from .mixing import MixPlan, mix
 from .packing import pack_documents
-from .quality import repetition_quality
+from .quality import QualityRules, repetition_quality
 from .sharding import shard_by_slots
 from .tokenfile import token_files
 
@@ -93,7 +94,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_quality(documents(spark, sf_dir))
+    found = repetition_quality(documents(spark, sf_dir))
+    shares = [F.col("dup_ngram_shares")[i].alias(f"dup_{n}_gram_share") for i, n in enumerate(sorted(QualityRules().ngram_share))]
+    return found.select(*[c for c in found.columns if c not in ("dup_ngram_shares", "reason")], *shares, "reason")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -137,5 +140,47 @@ def mix_sql(budget_percent: int = 60, documents: str = "documents") -> str:
     taken as (select * from placed where epoch < whole or before < budget - epoch * supply)"""
 
 
+def near_duplicates_sql(words: int = 3, percent: int = 85) -> str:
+    """All pairs that share a shingle, their exact similarity, and components by following links."""
+    upper, lower = ascii_uppercase, ascii_lowercase
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""with recursive texts as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    shingles as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle})) end) as g from texts),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    pairs as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    links as (select x, y from pairs p join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * p.n >= {percent} * (a.n + b.n - p.n)),
+    both_ways as (select x, y from links union all select y, x from links),
+    reached as (select x, y from both_ways union select r.x, b.y from reached r join both_ways b on r.y = b.x),
+    least_of as (select x as doc_id, min(y) as m from reached group by x)
+    select t.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) as component_id, least(t.doc_id, coalesce(m, t.doc_id)) = t.doc_id as kept
+    from texts t left join sizes using (doc_id) left join least_of using (doc_id)"""
+
+
+def quality_sql() -> str:
+    """Every window of words as text, numbered among its equals within a document; documents are told apart by their row."""
+    rules = QualityRules()
+    space, places = "[^\\x20\\x09-\\x0D]", "coalesce(text, '')"
+    shares, joins, failed = [], [], ""
+    for n, limit in sorted(rules.ngram_share.items()):
+        joins.append(f"""later_{n} as (select rid, sum(length(word)) as chars from words where (rid, pos) in (select rid, unnest(range(pos, pos + {n})) from windows where size = {n} and turn > 1) group by rid)""")
+        shares.append(f"coalesce(later_{n}.chars, 0) / per as dup_{n}_gram_share")
+        failed += f" when dup_{n}_gram_share > {limit} then 'duplicate_{n}_grams'"
+    sizes = sorted({*rules.ngram_share, rules.base_window})
+    return f"""with docs as (select row_number() over () as rid, doc_id, {places} as text, regexp_extract_all({places}, '{space}+') as w from documents),
+    words as (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from docs),
+    windows as (select *, row_number() over (partition by rid, size, key order by pos) as turn, count(*) over (partition by rid, size, key) as n from
+        (select rid, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') as key from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as pos from docs, (select unnest({sizes}) as size)))),
+    lines as (select rid, line, row_number() over (partition by rid, line order by pos) as turn from (select rid, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from docs) where regexp_matches(line, '{space}')),
+    line_sums as (select rid, count(*) as n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) as chars from lines where turn > 1 group by rid),
+    many as (select rid, count(*) as n from (select distinct rid, unnest(range(pos, pos + {rules.base_window})) from windows where size = {rules.base_window} and n > 1) group by rid),
+    sums as (select rid, doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols from docs),
+    {', '.join(joins)},
+    measured as (select sums.*, greatest(word_chars, 1)::double as per, cast(coalesce(line_sums.n, 0) as bigint) as n_dup_lines, cast(coalesce(many.n, 0) as bigint) as n_repeat_words, coalesce(line_sums.chars, 0) / per as dup_line_share, {', '.join(shares)}
+        from sums left join line_sums using (rid) left join many using (rid) {' '.join(f'left join later_{n} using (rid)' for n in sorted(rules.ngram_share))}),
+    judged as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.base_percent} * n_words as base_failed, case when n_words < {rules.min_words} then 'few_words' when 100 * n_repeat_words > {rules.base_percent} * n_words then 'repeated_windows'
+        when dup_line_share > {rules.line_share} then 'duplicate_lines'{failed} when n_symbols > {rules.symbols_per_word} * n_words then 'symbols' end as reason from measured)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, dup_line_share, {', '.join(f'dup_{n}_gram_share' for n in sorted(rules.ngram_share))}, reason from judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken"}
+    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql()}

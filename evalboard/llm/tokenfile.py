@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import scratch, workers_find_package
+from .runtime import lean, scratch, workers_find_package
 
 MAGIC, BLOCK = b"PFOR1\0\0\0", 512
 _NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part long, before long, n_ids long, segment binary").write.parquet(path)
+    rows.mapInArrow(lean(run), "part long, before long, n_ids long, segment binary").write.parquet(path)
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -171,7 +171,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
         base.append((part, total))
         total += n
     bases = spark.createDataFrame(base, "part long, base long")
-    rows = table.select("part", "before", "segment").mapInArrow(run, "part long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = table.select("part", "before", "segment").mapInArrow(lean(run), "part long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)  # bases: a row for each part
 
 
