@@ -1,56 +1,95 @@
-"""Commands: check a result table, make the anonymous build."""
+"""Commands: check a result table, score a submission, build the public and the anonymous site."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.redact import LeakError, anonymous_build, gate, leaks, page_rewrites, redact_board, todo_files
-from .operators.validate import annotations, validate
-from .sources.board import read_board, write_board
-from .sources.documents import read_documents, write_documents
+from .operators.scoring import answer_report, board_row
+from .operators.validate import annotations, validate, violations
+from .sources.board import copy_board, read_board, write_board
+from .sources.documents import fresh, read_documents, write_tree
+from .sources.submission import read_submission
 
-BRAND = "Anonymous submission"
-CITE = '<section class="block" id="cite"><h2>Cite</h2><p>Citation details follow after review.</p></section>'
-MAIN = "<h2>Submissions open after review</h2>"
+TABLE, CONFIG = "leaderboard.csv", ("assets/config.js", "assets/config.anon.js")
 
 
-def main(args: list[str] | None = None) -> int:
+def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="evalboard", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     check = commands.add_parser("check", help="report every violation of the contract")
     check.add_argument("file")
-    build = commands.add_parser("anonymize", help="redacted table and rewritten pages; fails if a term survives")
-    build.add_argument("site")
-    build.add_argument("csv")
-    build.add_argument("out")
+    score = commands.add_parser("score", help="a submission as a record of the table, checked against the contract")
+    score.add_argument("submission", help="JSON Lines")
+    score.add_argument("key", help="CSV: item_id, task, variant, key")
+    score.add_argument("out", help="CSV of one record")
+    score.add_argument("--set", action="append", default=[], metavar="COLUMN=VALUE", help="what the submission does not say")
+    public = commands.add_parser("build", help="the site's tree with the table")
+    build = commands.add_parser("anonymize", help="the same without identities; fails if a term survives")
+    for p in (public, build):
+        p.add_argument("site")
+        p.add_argument("csv")
+        p.add_argument("out")
     build.add_argument("--term", action="append", default=[], required=True)
-    given = parser.parse_args(args)
-    spark = SparkSession.builder.getOrCreate()
-    if given.command == "check":
-        lines = annotations(validate(spark, given.file), given.file).toLocalIterator()
-        found = False
-        for line in lines:
-            found = True
-            print(line[0])
-        return int(found)
-    write_board(redact_board(read_board(spark, given.csv), given.term), f"{given.out}/csv")
-    docs = anonymous_build(read_documents(spark, given.site), page_rewrites(BRAND, CITE, MAIN))
-    table = read_documents(spark, f"{given.out}/csv", "part-*")
-    docs = docs.filter("path <> 'leaderboard.csv'").unionByName(table.selectExpr("'leaderboard.csv' as path", "text"))
-    write_documents(docs, f"{given.out}/pages")
-    written = spark.read.parquet(f"{given.out}/pages")
-    for row in todo_files(written).orderBy("path").toLocalIterator():
+    build.add_argument("--brand", default="Anonymous", help="name on the pages")
+    build.add_argument("--cite", default="", help="markup in place of the citation")
+    build.add_argument("--main", default="", help="markup in place of the submission page's body")
+    return parser
+
+
+def printed(lines: DataFrame) -> int:
+    found = 0
+    for line in lines.toLocalIterator():
+        found = 1
+        print(line[0])
+    return found
+
+
+def score(spark: SparkSession, given: argparse.Namespace) -> int:
+    header, answers, rest = read_submission(spark, given.submission)
+    key = spark.read.option("header", True).csv(given.key)
+    for name, n in answer_report(key, answers).first().asDict().items():
+        print(f"{name}: {n}")
+    for row in rest.limit(20).collect():
+        print(f"::warning::neither header nor answer: {row[0]}")
+    row = board_row(header, answers, key, dict(x.split("=", 1) for x in given.set))
+    write_board(row, given.out)
+    return printed(annotations(violations(row.selectExpr("*", "2 as line")).orderBy("ord"), given.out))
+
+
+def anonymize(spark: SparkSession, given: argparse.Namespace) -> int:
+    redacted = f"{given.out}-table"
+    write_board(redact_board(read_board(spark, given.csv), given.term), redacted)
+    pages = anonymous_build(read_documents(spark, given.site), page_rewrites(given.brand, given.cite, given.main), CONFIG)
+    table = read_documents(spark, redacted, "part-*").selectExpr(f"'{TABLE}' as path", "text")
+    write_tree(pages.filter(f"path <> '{TABLE}'").unionByName(table), given.out)
+    built = read_documents(spark, given.out)
+    for row in todo_files(built).orderBy("path").toLocalIterator():
         print(f"::warning::TODO left in {row['path']}")
     try:
-        gate(leaks(written, given.term))
+        gate(leaks(built, given.term))
     except LeakError as e:
         print(f"::error::identifying terms remain\n{e}")
         return 1
     return 0
 
 
+def main(args: list[str] | None = None) -> int:
+    given = arguments().parse_args(args)
+    spark = SparkSession.builder.getOrCreate()
+    if given.command == "check":
+        return printed(annotations(validate(spark, given.file), given.file))
+    if given.command == "score":
+        return score(spark, given)
+    if given.command == "build":
+        write_tree(fresh(read_documents(spark, given.site), (CONFIG[1],)), given.out)
+        copy_board(spark, given.csv, f"{given.out}/{TABLE}")
+        return 0
+    return anonymize(spark, given)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -90,18 +90,13 @@ def question(attribute: Column) -> Column:
     return F.when(attribute == "rhythm", F.lit("Which clip is faster?")).otherwise(F.concat(F.lit("Same or different "), attribute, F.lit("?")))
 
 
-#: What a reader is told about each second clip.
-CAPTIONS = {
-    "melody": "One note of clip B is higher; all else is the same. Answer: different melody.",
-    "rhythm": "Clip B has the same notes at a faster tempo. Answer: clip B.",
-    "timbre": "Clip B has the same notes on another instrument. Answer: different timbre.",
-    "harmony": "The melody stays, but the second chord of clip B is another. Answer: different harmony.",
-}
+#: What a reader is told about each second clip; other words may be given.
+CAPTIONS = {"melody": "B: one note is higher.", "rhythm": "B: faster.", "timbre": "B: another instrument.", "harmony": "B: another second chord."}
 
 
-def caption(attribute: Column) -> Column:
+def caption(attribute: Column, captions: dict[str, str] | None = None) -> Column:
     said = None
-    for name, words in CAPTIONS.items():
+    for name, words in (captions or CAPTIONS).items():
         said = F.when(attribute == name, words) if said is None else said.when(attribute == name, words)
     return said
 
@@ -111,8 +106,23 @@ def item_grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, v) for a, values in GRID.items() for v in values], "attribute string, change string")
 
 
-def svg(rects: DataFrame) -> DataFrame:
-    """One drawing: a rect element for each note, in order of lane, part and place."""
-    mark = F.format_string('<rect class="%s" x="%.2f" y="%.2f" width="%.2f" height="%.2f"/>', F.when(F.col("changed"), "changed").otherwise("same"), "x", "y", "width", "height")
-    one = rects.agg(F.array_sort(F.collect_list(F.struct("lane", "part", "i", "pitch", mark.alias("mark")))).alias("m"))  # a few notes
-    return one.select(F.concat(F.lit(f'<svg viewBox="0 0 {WIDTH} {TOP * 2 + LANE * 2 + GAP}">'), F.array_join(F.transform("m", lambda v: v["mark"]), ""), F.lit("</svg>")).alias("svg"))
+LABELS = ("Clip A", "Clip B")
+
+
+def svg(clips: DataFrame, attribute: str) -> DataFrame:
+    """One drawing of pair(): for each lane its label, ground and bar lines, then a rect for each note, chords below melody. Notes that changed have the attribute's colour, or stripes
+    of it where the timbre did. Names of style classes and variables are fixed values."""
+    colour = f"var(--{attribute})"
+    stripes = f'<defs><pattern id="stripes" width="6" height="6" patternUnits="userSpaceOnUse"><path d="M-1 1L1 -1M0 6L6 0M5 7L7 5" stroke="{colour}" stroke-width="2"/></pattern></defs>'
+    top = F.lit(float(TOP)) + F.col("lane") * (LANE + GAP)
+    label = F.format_string('<text class="lane-label" x="0" y="%.1f">%s</text>', top + LANE / 2 + 4, F.element_at(F.array(*map(F.lit, LABELS)), F.col("lane") + 1))
+    ground = F.format_string(f'<rect x="{LEFT}" y="%.1f" width="{WIDTH - LEFT - RIGHT}" height="{LANE}" rx="8" fill="var(--paper)"/>', top)
+    bars = F.array_join(F.transform(F.sequence(F.lit(BAR), F.lit(STEPS - BAR), F.lit(BAR)), lambda b: F.format_string('<line x1="%.2f" x2="%.2f" y1="%.1f" y2="%.1f" stroke="var(--rule)"/>', x_of(b.cast("double")), x_of(b.cast("double")), top + 4, top + LANE - 4)), "")
+    grounds = clips.select("lane", F.lit(0).alias("layer"), F.lit(0).alias("i"), F.lit(0).alias("pitch"), F.concat(label, ground, bars).alias("mark"))
+    chord = F.col("part") == "chords"
+    fill = F.when(F.col("hatched"), "url(#stripes)").when(F.col("changed"), colour).when(chord, "var(--muted)").otherwise("var(--ink)")
+    opacity = F.when(chord, F.when(F.col("changed"), ' opacity=".9"').otherwise(' opacity=".28"')).otherwise("")
+    note = F.format_string('<rect class="note" x="%.2f" y="%.2f" width="%.2f" height="%.2f" rx="3" fill="%s"%s/>', "x", "y", "width", "height", fill, opacity)
+    notes = rectangles(clips).select("lane", F.when(chord, 1).otherwise(2).alias("layer"), "i", "pitch", note.alias("mark"))
+    one = grounds.unionByName(notes).agg(F.array_sort(F.collect_list(F.struct("lane", "layer", "i", "pitch", "mark"))).alias("m"))  # a few notes
+    return one.select(F.concat(F.lit(f'<svg viewBox="0 0 {WIDTH} {TOP * 2 + LANE * 2 + GAP}">{stripes}'), F.array_join(F.transform("m", lambda v: v["mark"]), ""), F.lit("</svg>")).alias("svg"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from .view import is_baseline
 
 @dataclass(frozen=True)
 class SiteConfig:
+    """footer_parts: templates of the footer's sentences, over the other fields and `lab_link`, `source_link` and `mail_link`; one with an empty field is left out."""
+
     title: str = "Board"
     version: str = "1.0"
     lab: str = ""
@@ -23,15 +26,17 @@ class SiteConfig:
     repository: str | None = None
     contact: str | None = None
     anonymous: bool = False
+    footer_parts: tuple[str, ...] = ("{title} v{version}", "{lab_link}", "Table: {source_link}", "{mail_link}")
 
     def footer(self) -> str:
-        """Who built it, where the results live, whom to ask; parts without a value are left out."""
-        lab = f'<a href="{self.lab_url}">{self.lab}</a>' if self.lab_url else self.lab
-        source = self.csv_source_url or (f"{self.repository}/blob/main/leaderboard.csv" if self.repository else None)
-        parts = [f'Results live in <a href="{source}">leaderboard.csv</a>' + ("" if self.anonymous else " on GitHub")] if source else []
-        parts += [f'<a href="mailto:{self.contact}">{self.contact}</a>'] if self.contact else []
-        by = lab if self.anonymous else f"Built by the {lab}"
-        return f"<div>{self.title} v{self.version}. {by}.</div><div>{' · '.join(parts)}{'.' if parts else ''}</div>"
+        source = self.csv_source_url or (f"{self.repository}/blob/main/{self.csv_path}" if self.repository else None)
+        fields = {k: v or "" for k, v in vars(self).items()} | {
+            "lab_link": f'<a href="{self.lab_url}">{self.lab}</a>' if self.lab_url and self.lab else self.lab,
+            "source_link": f'<a href="{source}">{self.csv_path}</a>' if source else "",
+            "mail_link": f'<a href="mailto:{self.contact}">{self.contact}</a>' if self.contact else "",
+        }
+        whole = [p for p in self.footer_parts if all(fields[name] for _, name, _, _ in Formatter().parse(p) if name)]
+        return " · ".join(p.format(**fields) for p in whole)
 
     def link(self, name: str) -> str | None:
         """The URL of a link; None hides it."""
@@ -55,11 +60,34 @@ def cells(rows: DataFrame, chance: Column | None = None) -> DataFrame:
     )
 
 
+def _element(name: str, body: Column, **attributes: str | Column) -> Column:
+    """An element of the table; a null attribute is left out."""
+    marks = [F.coalesce(F.concat(F.lit(f' {k.rstrip("_")}="'), F.lit(v) if isinstance(v, str) else v, F.lit('"')), F.lit("")) for k, v in attributes.items()]
+    return F.concat(F.lit(f"<{name}"), *marks, F.lit(">"), body, F.lit(f"</{name}>"))
+
+
+def _where(test: Column, made: Column) -> Column:
+    return F.when(test, made).otherwise(F.lit(""))
+
+
+def bar_cell(column: str) -> Column:
+    """A score with its bar, whose colour, width and chance tick are style variables."""
+    style = F.concat(F.lit(f"--c:{bar_colour(column)};--chance:"), F.col("tick").cast("string"), F.lit("%"))
+    bar = _element("div", _element("i", F.lit(""), style=F.concat(F.lit("width:"), F.col(f"{column}_width").cast("string"), F.lit("%"))), class_="bar")
+    return _element("td", _element("div", F.concat(_element("span", F.col(column)), bar), class_="score"), class_="num" if column in TASKS else "num overall", style=style)
+
+
 def table_rows(shown: DataFrame) -> DataFrame:
-    """(group_ord, line, html): one table row for each row of cells()."""
-    tag = F.array_join(F.transform("tags", lambda t: F.concat(F.lit('<span class="tag">'), html(t), F.lit("</span>"))), "")
-    parts = [F.col("rank"), F.concat("name", F.lit(" "), html(F.col("meta")), F.lit(" "), "source", html(F.col("note")), tag), F.col("method"), *[F.col(c) for c in PERCENT]]
-    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), p, F.lit("</td>")) for p in parts], F.lit("</tr>"))
+    """(group_ord, line, html): one table row for each row of cells(): rank, model with its facts, note and tags, method, scores with bars, plain rates. Class names are fixed values."""
+    reference = F.size("tags") == 0
+    tag = lambda t: F.when(t == "self-reported", _element("span", html(t), class_="tag self", title=SELF_REPORTED)).otherwise(_element("span", html(t), class_="tag"))
+    facts = _element("small", F.concat(html(F.col("meta")), _where(F.col("source") != "", F.concat(F.lit(" "), F.col("source")))))
+    note = _where(F.col("note") != "", _element("small", html(F.col("note")), class_="note"))
+    tags = _where(~reference, _element("div", F.array_join(F.transform("tags", tag), ""), class_="tags"))
+    model = _element("td", F.concat(_element("b", F.col("name")), facts, note, tags), class_="model", title=F.when(F.col("tooltip") != "", html(F.col("tooltip"))))
+    scores = [bar_cell(c) for c in (*TASKS, "overall", "acc_fs")]
+    rates = [_element("td", _element("span", F.col(c)), class_="num plain") for c in ("miss_rate", "false_flip_rate", "a_rate")]
+    row = _element("tr", F.concat(_element("td", F.col("rank"), class_="rank"), model, _element("td", F.col("method"), class_="method"), *scores, *rates), class_=F.when(reference, "baseline"))
     return shown.select("group_ord", "line", row.alias("html"))
 
 
@@ -78,6 +106,8 @@ def bar_colour(column: str) -> str:
 
 #: Columns of the table.
 SHOWN_COLUMNS = 12
+#: What a reader is told about results that nobody has repeated.
+SELF_REPORTED = "Reported by its authors; not repeated yet"
 
 
 def empty_row(columns: int = SHOWN_COLUMNS) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..contract import COLUMNS, PERCENT, TASKS
+
 LETTERS = ("A", "B")
 
 
@@ -82,3 +84,19 @@ def trained_deltas(board: DataFrame, scores: tuple[str, ...] = ("overall", "acc_
     zero = board.filter("type = 'model' and lower(method) = 'zero-shot'").select("model", F.col("notes").alias("zero_notes"), *[F.col(s).alias(f"zero_{s}") for s in scores])
     rows = board.filter("type = 'model' and lower(coalesce(method, '')) <> 'zero-shot'")
     return rows.join(zero, "model").select("model", "method", *[(F.col(s) - F.col(f"zero_{s}")).alias(f"delta_{s}") for s in scores], "notes", "zero_notes")
+
+
+def board_row(header: DataFrame, answers: DataFrame, key: DataFrame, about: dict[str, str] | None = None) -> DataFrame:
+    """A submission as one raw record of a result table, scores to one decimal, self-reported until somebody repeats it.
+
+    header: one row of a submission's header; about: what it does not say (organization, access, domain, params_b, method, notes and so on), by column.
+    """
+    rows = marked(key, answers)
+    scores = scorecard(rows, [], list(TASKS)).select(*[F.coalesce(F.format_string("%.1f", F.round(F.col(c), 1)), F.lit("")).alias(c) for c in PERCENT])
+    given = header.limit(1).select(
+        F.lit("model").alias("type"), "model", "readout", "date", F.coalesce("code_url", F.lit("")).alias("source_url"), F.col("version").alias("benchmark_version"),
+        F.when(F.col("used_training"), F.lit("trained")).otherwise(F.lit("zero-shot")).alias("method"), F.lit("no").alias("verified"),
+    )
+    both = given.crossJoin(scores)  # one row each
+    made = {c: F.lit(v) for c, v in (about or {}).items()}
+    return both.select(*[made.get(c, F.col(c) if c in both.columns else F.lit("")).cast("string").alias(c) for c in COLUMNS])

@@ -53,12 +53,17 @@ def rules() -> list[Rule]:
 KEY = ("model", "method", "benchmark_version")
 
 
+def key_digest(columns: list[Column]) -> Column:
+    """32 bytes that stand for a key, however long its parts are; lengths keep parts apart."""
+    parts = [F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in columns]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+
+
 def with_repeats(rows: DataFrame, key: tuple[str, ...] = KEY, line: str = "line") -> DataFrame:
-    """rows and `_again`: an earlier record has the same key, untrimmed and case-sensitive. First lines are found by a combining aggregate, so a frequent key does not gather in a task."""
-    names = [f"_key{i}" for i in range(len(key))]
-    keyed = rows.withColumns({n: text(F.col(c)) for n, c in zip(names, key, strict=True)})
-    firsts = keyed.groupBy(*names).agg(F.min(line).alias("_first"))
-    return keyed.join(firsts, names).withColumn("_again", F.col(line) > F.col("_first")).drop(*names, "_first")
+    """rows and `_again`: an earlier record has the same key, untrimmed and case-sensitive. First lines are found by a combining aggregate over digests of keys, so a frequent key does not gather in a task and long keys are not shuffled for it."""
+    keyed = rows.withColumn("_digest", key_digest([text(F.col(c)) for c in key]))
+    firsts = keyed.groupBy("_digest").agg(F.min(line).alias("_first"))
+    return keyed.join(firsts, "_digest").withColumn("_again", F.col(line) > F.col("_first")).drop("_digest", "_first")
 
 
 def repeat_rule(key: tuple[str, ...] = KEY) -> Rule:

@@ -62,15 +62,19 @@ def display_order(params: ViewParams) -> list[Column]:
     return [*missing_last(F.col(params.sort), params.ascending), F.col("line").asc()]
 
 
+def _placed(board: DataFrame, params: ViewParams, keep: Column) -> DataFrame:
+    """The rows shown that are kept, with group_ord, group_title and rank, a bare row number of the group. A task holds a group: a board has five."""
+    rows = board.filter(shown(params)).withColumn("group_ord", group_ord()).filter(F.col("group_ord").isNotNull() & keep)
+    place = F.row_number().over(Window.partitionBy("group_ord").orderBy(*missing_last(F.col("acc_fs"), False), *display_order(params)))
+    return rows.withColumn("group_title", group_title(F.col("group_ord"))).withColumn("rank", place)
+
+
 def ranked(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
     """The rows shown, with group_ord, group_title and rank, unsorted.
 
     Ranks run from 1 in each group of models, by acc_fs from the highest, ties by display order, after filtering; references have none.
     """
-    params = params or ViewParams()
-    rows = board.filter(shown(params)).withColumn("group_ord", group_ord()).filter("group_ord is not null")
-    place = F.row_number().over(Window.partitionBy("group_ord").orderBy(*missing_last(F.col("acc_fs"), False), *display_order(params)))
-    return rows.withColumn("group_title", group_title(F.col("group_ord"))).withColumn("rank", F.when(~is_baseline(), place))
+    return _placed(board, params or ViewParams(), F.lit(True)).withColumn("rank", F.when(~is_baseline(), F.col("rank")))
 
 
 def board_view(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
@@ -80,8 +84,8 @@ def board_view(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
 
 
 def top_ranked(board: DataFrame, k: int, params: ViewParams | None = None) -> DataFrame:
-    """The first k of each group of models."""
-    return ranked(board, params).filter(F.col("rank") <= k)
+    """The first k of each group of models. References are out before the window, so its limit is pushed below the shuffle: each task sends k rows of a group at most."""
+    return _placed(board, params or ViewParams(), ~is_baseline()).filter(F.col("rank") <= k)
 
 
 def header_stats(board: DataFrame) -> DataFrame:

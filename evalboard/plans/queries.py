@@ -12,7 +12,7 @@ from ..functions import columns as X
 from ..operators import notes as N
 from ..operators import redact as R
 from ..operators import render, scoring, validate, view
-from .stand_in import BOARD_SQL, CARDS_SQL, SCORED_SQL, answers, board, items, scored, table
+from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, board, items, raw_board, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -85,10 +85,15 @@ def constant_answer_baseline(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("letter", "variant").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_right"))
 
 
-@query(f"""with {SCORED_SQL} select count(distinct i.item_id) as items, count(*) filter (where i.item_id is not null and a.item_id is not null) as answered, cast(0 as bigint) as invalid, cast(0 as bigint) as repeated,
-count(*) filter (where i.item_id is null) as unknown from items i full join answers a on i.item_id = a.item_id""")
+@query(f"""with {SCORED_SQL}, given as (select doc_id as item_id, case when doc_id % 13 = 0 then 'C' when n_chars > 1500 then 'A' else 'B' end as answer from documents where n_chars % 7 <> 0
+union all select doc_id, 'A' from documents where doc_id % 11 = 0), per as (select item_id, count(*) as n, bool_or(answer in ('A', 'B')) as valid from given group by item_id)
+select count(i.item_id) as items, count(*) filter (where i.item_id is not null and n = 1 and valid) as answered, count(*) filter (where i.item_id is not null and n = 1 and not valid) as invalid,
+count(*) filter (where i.item_id is not null and n > 1) as repeated, count(*) filter (where i.item_id is null) as unknown from items i full join per p on i.item_id = p.item_id""")
 def answer_report(spark, sf_dir):
-    return scoring.answer_report(items(spark, sf_dir), answers(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    once = docs.filter("n_chars % 7 <> 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 13 == 0, "C").when(F.col("n_chars") > 1500, "A").otherwise("B").alias("answer"))
+    given = once.union(docs.filter("doc_id % 11 = 0").select("doc_id", F.lit("A")))
+    return scoring.answer_report(items(spark, sf_dir), given)
 
 
 @query(f"""with {SCORED_SQL} select base_id, {', '.join(f"bool_or(correct) filter (where variant = '{v}') as {v.lower()}" for v in ('clean', 'FLIP', 'STAY'))} from scored group by base_id""")
@@ -155,15 +160,37 @@ def header_stats(spark, sf_dir):
     return view.header_stats(e.select(F.lit("model").alias("type"), F.col("user_id").alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("date")))
 
 
-@query("select coalesce(arg_min(cast(n_regionkey as double), n_nationkey), 50.0) as chance from nation where contains(lower(n_name), 'chance')")
+@query("select coalesce(arg_min(cast(n_regionkey as double), n_nationkey), 50.0) as chance from nation where n_nationkey % 7 = 3")
 def first_match_lookup(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    return view.chance_level(n.select(F.lit("baseline").alias("type"), F.col("n_name").alias("model"), F.col("n_regionkey").cast("double").alias("overall"), F.col("n_nationkey").alias("line")))
+    name = F.concat("n_name", F.when(F.col("n_nationkey") % 7 == 3, " by Chance").otherwise(""))
+    return view.chance_level(n.select(F.lit("baseline").alias("type"), name.alias("model"), F.col("n_regionkey").cast("double").alias("overall"), F.col("n_nationkey").alias("line")))
 
 
-@query(f"with {BOARD_SQL}, b as (select distinct {', '.join(C.REQUIRED_PERCENT)} from board where type = 'baseline') select line from board m where type = 'model' and (a_rate in (0, 100) or exists (select 1 from b where {' and '.join(f'b.{c} is not distinct from m.{c}' for c in C.REQUIRED_PERCENT)}))")
+@query("""with b as (select p_partkey as line, p_partkey % 500 = 0 as base, p_size, p_size % 7 as s from part)
+select line from b m where not base and (p_size = 50 or exists (select 1 from b where base and b.p_size = m.p_size and b.s = m.s))""")
 def degenerate_rows(spark, sf_dir):
-    return view.degenerate(board(spark, sf_dir)).select("line")
+    size = F.col("p_size").cast("double")
+    scores = [(size if i % 2 else F.col("p_size") % 7).cast("double").alias(c) for i, c in enumerate(C.REQUIRED_PERCENT)]
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.when(F.col("p_partkey") % 500 == 0, "baseline").otherwise("model").alias("type"), *scores, F.when(F.col("p_size") == 50, 100.0).otherwise(50.0).alias("a_rate"))
+    return view.degenerate(rows).select("line")
+
+
+@query("select n_nationkey, cast(row_number() over (order by lower(n_name), n_nationkey) as int) as place from nation")
+def sort_by_name(spark, sf_dir):
+    """Names in mixed case, in the order of a Unicode collation."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("line"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.initcap("n_name")).alias("model"))
+    return rows.select("n_nationkey", F.row_number().over(Window.orderBy(*view.display_order(view.ViewParams(sort="model", ascending=True)))).alias("place"))
+
+
+@query("""select * from (values ('model', true, false), ('method', true, false), ('melody', false, true), ('rhythm', false, true), ('timbre', false, true), ('harmony', false, true), ('overall', false, true),
+('acc_fs', false, true), ('miss_rate', true, false), ('false_flip_rate', true, false), ('a_rate', false, true)) t(key, first_click, second_click)""")
+def direction_policy(spark, sf_dir):
+    """Ascending or not after a first and a second click on each column."""
+    start = {k: view.ViewParams(sort="overall" if k != "overall" else "a_rate") for k in C.SORT_KEYS}
+    return spark.createDataFrame([(k, p.clicked(k).ascending, p.clicked(k).clicked(k).ascending) for k, p in start.items()], "key string, first_click boolean, second_click boolean")
 
 
 def _one_decimal_sql(c: str) -> str:
@@ -185,6 +212,34 @@ def row_to_document_text(spark, sf_dir):
 # Rules.
 
 
+def _number_sql(c: str) -> str:
+    parsed = f"case when regexp_full_match({c}, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') then try_cast(trim({c}) as double) end"
+    return f"case when {parsed} between 0 and 100 then {parsed} end as n_{c}"
+
+
+_BROKEN = {
+    "R01": "type not in ('model', 'baseline')", "R02": "verified not in ('yes', 'no')", "R03": "trim(model) = ''", "R04": "n_melody is null", "R05": "n_rhythm is null", "R06": "n_timbre is null",
+    "R07": "n_harmony is null", "R08": "n_overall is null", "R09": "n_acc_fs is null", "R10": "n_miss_rate is null", "R11": "n_false_flip_rate is null", "R12": "a_rate <> '' and n_a_rate is null",
+    "R13": "abs((n_melody + n_rhythm + n_timbre + n_harmony) / 4 - n_overall) > 0.1", "R14": "abs(100 - (n_miss_rate + n_false_flip_rate) / 2 - n_acc_fs) > 0.1",
+    "R15": "type = 'model' and access not in ('open', 'closed')", "R16": "type = 'model' and domain not in ('general', 'music')", "R17": "type = 'model' and readout not in ('logprob', 'generated')",
+    "R18": "type = 'model' and trim(method) = ''", "R19": "type = 'model' and params_b <> '' and not regexp_full_match(params_b, '[0-9]+(\\.[0-9]+)?')", "R20": "type = 'model' and source_url = '' and verified = 'no'",
+    "R21": "not (regexp_full_match(date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(date as date) is not null)", "R22": "benchmark_version <> '1.0'", "R23": "turn > 1",
+}
+
+
+@query(f"""with {RAW_SQL}, parsed as (select *, {', '.join(_number_sql(c) for c in C.PERCENT)}, row_number() over (partition by model, method, benchmark_version order by line) as turn from raw)
+""" + " union all ".join(f"select line, cast({i} as int) as ord, '{name}' as rule from parsed where {test}" for i, (name, test) in enumerate(_BROKEN.items())))
+def board_violations(spark, sf_dir):
+    """The contract's own list of rules, R01 to R23, on records that break each."""
+    return validate.violations(raw_board(spark, sf_dir)).select("line", "ord", "rule")
+
+
+@query("select p_partkey, p_name as kept, p_size % 5 = 0 as is_blank from part")
+def strip_blank(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", X.stripped(F.concat(F.lit(" \t\u00a0"), "p_name", F.lit("\n "))).alias("kept"), X.blank(F.when(F.col("p_size") % 5 == 0, "\t \u2003").otherwise(F.col("p_name"))).alias("is_blank"))
+
+
 def _marks(rows: DataFrame, keys: list[str], *checked: validate.Rule) -> DataFrame:
     return validate.broken_rules(rows, list(checked), keys).select(*keys, "rule")
 
@@ -266,6 +321,32 @@ def rewrite_pages(spark, sf_dir):
     return R.rewrite(pages, PAGE_STEPS).select("page_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query("""select c_custkey, case when c_mktsegment ilike '%auto%' then '' else 'https://' || c_mktsegment || '.example' end as source_url, case when c_custkey % 3 = 0 then '' else 'https://m/' || c_custkey end as model_url from customer""")
+def blank_links(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    model = F.concat(F.when(F.col("c_custkey") % 3 == 0, "https://AUTO/").otherwise("https://m/"), F.col("c_custkey").cast("string"))
+    made = c.select("c_custkey", F.lit("").alias("organization"), model.alias("model_url"), F.concat(F.lit("https://"), "c_mktsegment", F.lit(".example")).alias("source_url"), F.lit("").alias("notes"), F.lit("").alias("submitted_by"), F.lit("no").alias("verified"))
+    return R.redact_board(made, ["auto"]).select("c_custkey", "source_url", "model_url")
+
+
+#: A site's page for each test page, as SQL that Spark and DuckDB read alike.
+_PATH = "case page_id % 3 when 0 then concat('p', page_id, '/submit.html') when 1 then concat(page_id, '.html') else concat(page_id, '.js') end"
+_BODY = """concat('<head><head>', '<a class="brand" href="x">', chr(10), ' <b>B', page_id, '</b> <span>Lab ', page_id, '</span></a><section class="block" id="cite">a', chr(10), page_id, '</section> <section class="block" id="cite"></section>',
+'<a class="btn" href="submit.html">Submit a result</a>', chr(10), '  <a href="submit.html" class="y">Submit</a>', '<main id="main" class="wrap">', url, chr(10), '</main><a href="submit.html">Other</a>')"""
+
+
+@query(f"""with site as (select {_PATH} as path, {_BODY} as text from pages),
+s1 as (select path, regexp_replace(text, '(<a class="brand"[^>]*>\\s*<b>[^<]*</b>\\s*<span>)[^<]*(</span>)', '\\1No$body\\2', 'g') as made, text from site),
+s2 as (select path, replace(regexp_replace(made, '<section class="block" id="cite">.*?</section>', '<p>later</p>', 'gs'), '<a class="btn" href="submit.html">Submit a result</a>', '') as made, text from s1),
+s3 as (select path, regexp_replace(regexp_replace(made, '\\s*<a href="submit.html"[^>]*>Submit</a>', '', 'g'), '<head>', '<head>' || chr(10) || '<meta name="robots" content="noindex, nofollow">') as made, text from s2),
+s4 as (select path, case when path like '%/submit.html' then regexp_replace(made, '<main id="main" class="wrap">.*?</main>', '<main id="main" class="wrap">' || chr(10) || '  closed' || chr(10) || '</main>', 'gs') else made end as made, text from s3)
+select path, md5(case when path like '%.html' then made else text end) as digest from s4 union all select 'robots.txt', md5('User-agent: *' || chr(10) || 'Disallow: /' || chr(10))""")
+def anonymous_pages(spark, sf_dir):
+    """Every rewrite of the anonymous build, on pages that hold what each looks for, and the file for robots."""
+    docs = table(spark, sf_dir, "pages").selectExpr(f"{_PATH} as path", f"{_BODY} as text")
+    return R.anonymous_build(docs, R.page_rewrites("No$body", "<p>later</p>", "closed")).select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 LEAK_TERMS = ["apache", "License", "mit license"]
 _LINES_SQL = f"""lines as (select doc_id, cast(unnest(range(1, len(string_split(text, chr(10))) + 1)) as int) as line, lower(unnest(string_split(text, chr(10)))) as content from documents where text is not null),
 terms as (select unnest([{', '.join(f"'{t}'" for t in LEAK_TERMS)}]) as term),
@@ -282,6 +363,19 @@ def leak_gate_summary(spark, sf_dir):
     return R.leaks(table(spark, sf_dir, "documents"), LEAK_TERMS, "doc_id").groupBy("term").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("docs"), F.sum("n").alias("hits"))
 
 
+@query("select term, count(*) filter (where contains(lower(text), lower(term))) = 0 as passes from documents, (select unnest(['apache', 'MIT License', 'no such term']) as term) group by term")
+def gate_verdict(spark, sf_dir):
+    """Whether a build of the documents would pass the gate with each term alone."""
+    docs, verdicts = table(spark, sf_dir, "documents").filter("text is not null"), []
+    for term in ("apache", "MIT License", "no such term"):
+        try:
+            R.gate(R.leaks(docs, [term], "doc_id").limit(1))
+            verdicts.append((term, True))
+        except R.LeakError:
+            verdicts.append((term, False))
+    return spark.createDataFrame(verdicts, "term string, passes boolean")
+
+
 @query("select distinct 'p' || (page_id % 50) || '.html' as path from pages where page_id % 4 <> 0 and contains(html, 'nav')")
 def todo_files(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 50).cast("string"), F.when(F.col("page_id") % 4 == 0, ".js").otherwise(".html")).alias("path"), F.replace(F.replace("html", F.lit("TODO"), F.lit("")), F.lit("nav"), F.lit("TODO")).alias("text"))
@@ -325,3 +419,14 @@ def note_rectangles(spark, sf_dir):
 @query("select * from (values " + ", ".join(f"('{a}', '{v}')" for a, values in N.GRID.items() for v in values) + ") t(attribute, change)")
 def item_grid(spark, sf_dir):
     return N.item_grid(spark)
+
+
+@query("""select * from (values ('melody', false, 1, 0, 'Same or different melody?'), ('rhythm', false, 8, 2, 'Which clip is faster?'), ('timbre', true, 8, 2, 'Same or different timbre?'),
+('harmony', false, 0, 1, 'Same or different harmony?')) t(attribute, timbre, melody_changes, chord_changes, question)""")
+def attribute_questions(spark, sf_dir):
+    """What differs in the second clip of each attribute, and what is asked."""
+    first, made = N.first_clip(spark), None
+    for attribute in N.GRID:
+        b = N.variant(first, attribute).select(F.lit(attribute).alias("attribute"), "timbre", F.size("changed_melody").alias("melody_changes"), F.size("changed_chords").alias("chord_changes"), N.question(F.lit(attribute)).alias("question"))
+        made = b if made is None else made.unionByName(b)
+    return made

@@ -53,6 +53,44 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Columns of a raw result table with a record for each customer, as SQL that Spark and DuckDB read alike; `k` is a record's kind, and each kind but the last ones breaks a rule of its own number.
+RAW = {
+    "type": "case k when 1 then 'Model' when 2 then 'baseline' else 'model' end",
+    "model": "case k when 3 then '  ' when 0 then '' when 23 then 'Same' when 24 then 'same' else concat('M', c_custkey) end",
+    "organization": "'Org'",
+    "model_url": "''",
+    "access": "case k when 15 then 'Open' when 2 then '' else 'open' end",
+    "domain": "case k when 16 then 'speech' when 2 then '' else 'general' end",
+    "params_b": "case k when 19 then '7B' when 25 then '7.' when 26 then '.5' when 27 then '' when 28 then '0.5' else '7' end",
+    "method": "case k when 18 then ' ' when 2 then '' else 'zero-shot' end",
+    "melody": "case k when 4 then 'x' when 29 then '101' when 30 then '' else '60.0' end",
+    "rhythm": "case k when 5 then '-1' else '55.2' end",
+    "timbre": "case k when 6 then 'nan' else '66.8' end",
+    "harmony": "case k when 7 then 'inf' else '52.0' end",
+    "overall": "case k when 8 then '50d' when 13 then '58.7' when 31 then '58.45' else '58.5' end",
+    "acc_fs": "case k when 9 then '5_0' when 14 then '57.8' else '57.6' end",
+    "miss_rate": "case k when 10 then '1e3' when 32 then '4.01e1' else '40.1' end",
+    "false_flip_rate": "case k when 11 then '' else '44.7' end",
+    "a_rate": "case k when 12 then '-1' when 33 then '' else '52.0' end",
+    "readout": "case k when 17 then 'letters' when 2 then '' else 'logprob' end",
+    "verified": "case k when 20 then 'no' when 34 then 'no' when 35 then 'maybe' else 'yes' end",
+    "submitted_by": "'me'",
+    "date": "case k when 21 then '2026-9-3' when 36 then '2026-02-30' when 37 then '20260930' when 0 then '' else '2026-10-01' end",
+    "source_url": "case k when 34 then 'https://s' else '' end",
+    "benchmark_version": "case k when 22 then '2.0' else '1.0' end",
+    "notes": "''",
+}
+
+
+def raw_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records with faults of every kind, and line."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey % 40 as k")
+    return rows.selectExpr("cast(c_custkey + 1 as int) as line", *[f"{e} as {c}" for c, e in RAW.items()])
+
+
+RAW_SQL = f"raw as (select cast(c_custkey + 1 as int) as line, {', '.join(f'{e} as {c}' for c, e in RAW.items())} from (select c_custkey, c_custkey % 40 as k from customer))"
+
+
 _TASK_SQL = "case " + " ".join(f"when lang = '{k}' then '{v}'" for k, v in LANGUAGES.items()) + " end"
 
 

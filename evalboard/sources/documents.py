@@ -34,3 +34,22 @@ def with_file(docs: DataFrame, path: str, body: str) -> DataFrame:
 def write_documents(docs: DataFrame, target: str) -> None:
     """As a Parquet table of (path, text)."""
     docs.write.mode("overwrite").parquet(target)
+
+
+def write_tree(docs: DataFrame, folder: str) -> int:
+    """Every document as a file at its path below a fresh folder, by the file systems that Spark knows; how many there are. One document at a time passes the driver: a site is a few pages."""
+    spark = docs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(conf)
+    files.delete(root, True)
+    files.mkdirs(root)
+    n = 0
+    for row in docs.select("path", "text").toLocalIterator():
+        if row["path"].startswith("/") or ".." in row["path"].split("/"):
+            raise ValueError(f"not below the folder: {row['path']}")
+        out = files.create(jvm.org.apache.hadoop.fs.Path(root, row["path"]), True)
+        out.write(bytearray((row["text"] or "").encode("utf-8")))
+        out.close()
+        n += 1
+    return n

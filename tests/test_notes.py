@@ -13,7 +13,10 @@ def test_pair(spark, attribute, n_changed):
     rows = rects.collect()
     assert len(rows) == 24 and sum(r["changed"] for r in rows) == n_changed and not any(r["changed"] for r in rows if r["lane"] == 0)
     assert any(r["hatched"] for r in rows) == (attribute == "timbre")
-    assert N.svg(rects).first()[0].count("<rect") == 24
+    drawing = N.svg(N.pair(N.first_clip(spark), attribute), attribute).first()[0]
+    assert drawing.count('<rect class="note"') == 24 and drawing.count("<line") == 6 and drawing.count("<rect x=") == 2 and "Clip A" in drawing and "Clip B" in drawing
+    assert drawing.count(f"var(--{attribute})\" opacity") + drawing.count(f"var(--{attribute})\"/>") == (0 if attribute == "timbre" else n_changed) and drawing.count("url(#stripes)") == (12 if attribute == "timbre" else 0)
+    assert drawing.index("Clip A") < drawing.index("Clip B") and drawing.startswith('<svg viewBox="0 0 520 326">')
 
 
 def test_values(spark):

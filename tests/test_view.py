@@ -7,7 +7,7 @@ from helpers import record, write_csv
 from pyspark.sql import functions as F
 
 from evalboard.operators import render
-from evalboard.operators.view import ViewParams, board_view, chance_level, degenerate, header_stats, ranked
+from evalboard.operators.view import ViewParams, board_view, chance_level, degenerate, header_stats, ranked, top_ranked
 from evalboard.sources.board import read_board, typed
 
 ROWS = [
@@ -87,7 +87,10 @@ def test_cells(board):
     assert r[7]["name"] == '<a href="https://x?a=1&amp;b=2">m &amp; m</a>' and r[7]["meta"] == "7B" and r[7]["note"] == "n"
     assert r[2]["meta"] == "Reference line" and r[2]["tags"] == [] and r[2]["tooltip"] == "guessing" and r[2]["rank"] == ""
     assert r[5]["tags"] == ["open", "self-reported"] and r[3]["a_rate"] == "—" and r[3]["acc_fs"] == "50.0"
-    assert all(x["html"].startswith("<tr><td>") for x in render.table_rows(render.cells(ranked(board))).collect())
+    made = {x["line"]: x["html"] for x in render.table_rows(render.cells(ranked(board), F.lit(51.0))).collect()}
+    assert made[2].startswith('<tr class="baseline"><td class="rank"></td><td class="model" title="guessing"><b>') and 'class="tags"' not in made[2] and "guessing</small>" not in made[2]
+    assert '<small class="note">n</small>' in made[7] and '<span class="tag self"' in made[5] and all(x.count('<div class="bar">') == 6 and x.count("--chance:51.0%") == 6 and x.count('class="num plain"') == 3 for x in made.values())
+    assert "--c:var(--melody);" in made[7] and made[7].count("--c:var(--ink);") == 2 and made[7].count("width:") == 6
     assert "Clear" not in render.empty_row()
 
 
@@ -103,8 +106,13 @@ def test_whole_table(board):
 
 def test_footer():
     c = render.SiteConfig(title="T", lab="L", repository="https://r", contact="a@b")
-    assert "https://r/blob/main/leaderboard.csv" in c.footer() and "Built by the L" in c.footer()
-    assert render.SiteConfig(lab="L", anonymous=True).footer().endswith("<div></div>") and c.link("lab_url") is None
+    assert c.footer() == 'T v1.0 · L · Table: <a href="https://r/blob/main/leaderboard.csv">leaderboard.csv</a> · <a href="mailto:a@b">a@b</a>'
+    assert render.SiteConfig(lab="L", lab_url="https://l", footer_parts=("By {lab_link}", "{mail_link}")).footer() == 'By <a href="https://l">L</a>' and c.link("lab_url") is None
+
+
+def test_only_the_first_of_each_group_pass_the_shuffle(board):
+    plan = top_ranked(board, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 
 def test_empty_cells_rows_are_dropped_from_views_only(spark, tmp_path):
