@@ -1,7 +1,7 @@
 """Links across components that share a key, without all pairs of a group.
 
 Some links are known, so members of a key fall into components, and only pairs across components are still of interest. First each member outside the key's largest component is held against a few of
-that one's members, chosen at random, which joins most of what belongs together. Then each is held against all members of the largest component, and the others against one another,
+that one's members, in rounds: those that share most keys with others, as copies with few changes do, of random parts of the members. That joins most of what belongs together. Then each is held against all members of the largest component, and the others against one another,
 if the others are few (DIRECT). Keys with more of them, such as those of boilerplate that many unlike texts share, are given up and their members are keyed anew by a rare-element prefix:
 elements are put in one order for all sets, rarest first, and two sets that can share enough must share one of the first elements of both (prefix filter).
 So no pair is lost, and unlike members of a large group meet only where they share something rare.
@@ -23,9 +23,9 @@ from .kernels import mix
 from .runtime import free, lean, sweep, workers_find_package, written
 
 #: Members of a key outside its largest component that are held against all others directly.
-DIRECT = 1000
-#: Members of the largest component that all others are held against first.
-SAMPLES = 8
+DIRECT = 32
+#: Members of the largest component that all others are held against in a round, and the rounds.
+SAMPLES, ROUNDS = 8, 1
 BUCKET_BITS = 20
 
 
@@ -89,18 +89,20 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    open_rows = labelled()
-    if open_rows.isEmpty():
-        free(open_rows)
-        return found
-    chosen = open_rows.filter("component = main").groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(SAMPLES)])
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(SAMPLES)]))).alias("chosen"))
-    pairs = open_rows.filter("component != main").join(chosen, "key").select(F.col("node").alias("a"), F.col("chosen").alias("b")).distinct()
+    degree = written(members.groupBy("node").agg(F.count("*").alias("degree")), f"{name}-degree")
     x, y = attributes.alias("x"), attributes.alias("y")
-    sampled = written(ordered(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(near("x", "y"))).distinct(), f"{name}-sampled")
-    before, found = found, joined(sampled)
-    free(open_rows, sampled, before)
-    sweep(members.sparkSession)
+    for turn in range(ROUNDS):
+        open_rows = labelled()
+        if open_rows.isEmpty():
+            free(open_rows, degree)
+            return found
+        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SAMPLES))
+        central = open_rows.filter("component = main").join(degree, "node").groupBy("key", lot).agg(F.max_by("node", F.struct("degree", "node")).alias("central")).select("key", "central")
+        pairs = open_rows.filter("component != main").join(central, "key").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
+        sampled = written(ordered(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(near("x", "y"))).distinct(), f"{name}-sampled")
+        before, found = found, joined(sampled)
+        free(open_rows, sampled, before)
+        sweep(members.sparkSession)
 
     open_rows = labelled()
     temporary, meeting = [open_rows], [open_rows.filter(F.col("others") <= DIRECT)]
@@ -120,5 +122,5 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         crossing.append(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))))
     across = written((crossing[0] if len(crossing) == 1 else crossing[0].union(crossing[1])).distinct(), f"{name}-across")
     out = joined(across)
-    free(*temporary, across, found)
+    free(*temporary, across, found, degree)
     return out

@@ -350,7 +350,7 @@ def _banded_one(pattern: np.ndarray, text: np.ndarray, edits: int) -> bool:
     return distance <= edits
 
 
-BITMAP, GRAM = 512, 4
+BITMAP, GRAM = 704, 4
 
 
 def _grams(c: Chunk, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,46 +366,61 @@ def _grams(c: Chunk, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows that are lines: how many words each has, whether it is compared by words, and the hashes and rows of what its bitmap holds: its words, or its runs of four bytes."""
+    """Of rows that are lines: how many words each has, whether it is compared by words, and the rows and buckets of what its bitmaps hold: its words and, beyond BITMAP, its pairs of neighbouring words; or its runs of four bytes."""
     hashes, _, count = line_words(c, c.starts, c.ends)
     by_words = plan.by_words(count)
     row = np.repeat(np.arange(c.n), count)
     gram, gram_row = _grams(c, ~by_words)
     words = by_words[row]
-    return count, by_words, np.concatenate([hashes[words], gram]), np.concatenate([row[words], gram_row])
+    pair = np.flatnonzero(words[1:] & (row[1:] == row[:-1])) if len(row) else np.zeros(0, np.int64)
+    both = mix(hashes[pair] * np.uint64(BASE) + hashes[pair + 1]) if len(pair) else np.zeros(0, np.uint64)
+    bucket = lambda h: (h % np.uint64(BITMAP)).astype(np.int64)
+    return count, by_words, np.concatenate([row[words], gram_row, row[pair]]), np.concatenate([bucket(hashes[words]), bucket(gram), bucket(both) + BITMAP])
 
 
 def bitmaps(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """node, body, size (bytes), words, by_words and bits: which of 512 buckets the line's words, or its runs of four bytes, fall into. An edit changes two of these at most, or eight."""
+    """node, body, size (bytes), words, by_words, bits_0 and so on (two bitmaps of BITMAP bits, of a line's words and of its pairs of neighbouring words, or one of its runs of four bytes) and ones, how many are set in each.
+
+    An edit takes one word, two pairs of words or four runs from a line at most, and adds no more to it.
+    """
     workers_find_package(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                count, by_words, held, row = _profile(c, plan)
-                seen = np.zeros((c.n, BITMAP), np.uint8)
-                seen[row, (held >> np.uint64(55)).astype(np.int64)] = 1
+                count, by_words, row, bucket = _profile(c, plan)
+                seen = np.zeros((c.n, 2 * BITMAP), np.uint8)
+                seen[row, bucket] = 1
                 words = np.packbits(seen, axis=1, bitorder="little").view("<i8")
+                ones = [pa.array(seen[:, k : k + BITMAP].sum(1, dtype=np.int32)) for k in (0, BITMAP)]
                 part = batch.slice(c.row, c.n)
                 yield pa.RecordBatch.from_pydict({
-                    "node": part.column(0), "body": part.column(1), "size": pa.array((c.ends - c.starts).astype(np.int32)), "words": pa.array(count.astype(np.int32)), "by_words": pa.array(by_words),
-                    "bits": pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * words.shape[1], pa.array(words.ravel())),
+                    "node": part.column(0), "body": part.column(1), "ones_0": ones[0], f"ones_{BITMAP}": ones[1], "size": pa.array((c.ends - c.starts).astype(np.int32)), "words": pa.array(count.astype(np.int32)), "by_words": pa.array(by_words),
+                    **{f"bits_{k}": pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])},
                 })
 
-    return lines.mapInArrow(lean(run), "node long, body binary, size int, words int, by_words boolean, bits array<long>")
+    return lines.mapInArrow(lean(run), f"node long, body binary, ones_0 int, ones_{BITMAP} int, size int, words int, by_words boolean, " + ", ".join(f"bits_{k} long" for k in range(2 * BITMAP // 64)))
+
+
+def _missing(a: str, b: str, first: int) -> Column:
+    """How many bits of one line's bitmap the other's lacks, the greater of both ways. Few and plain operations, as the whole condition must stay small enough to be compiled."""
+    shared = F.lit(0)
+    for k in range(first // 64, (first + BITMAP) // 64):
+        shared = shared + F.bit_count(F.col(f"{a}.bits_{k}").bitwiseAND(F.col(f"{b}.bits_{k}")))
+    return F.greatest(F.col(f"{a}.ones_{first}"), F.col(f"{b}.ones_{first}")) - shared
 
 
 def reachable(a: str, b: str, plan: LinePlan) -> Column:
     """Whether two lines can be alike, by their lengths and bitmaps."""
-    differing = F.lit(0)
-    for k in range(BITMAP // 64):
-        differing = differing + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
-    by_bytes = (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= plan.edits) & (F.col(f"{a}.by_words") | F.col(f"{b}.by_words") | (differing <= plan.edits * 2 * GRAM))
+    of_a, of_b = F.col(f"{a}.by_words"), F.col(f"{b}.by_words")
+    sizes = F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= plan.edits
     if not plan.words_per_edit:
-        return by_bytes
+        return sizes & (_missing(a, b, 0) <= plan.edits * GRAM)
     edits = plan.allowed_column(F.least(f"{a}.words", f"{b}.words"))
-    by_words = (F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= edits) & (differing <= 2 * edits)
-    return F.when(F.col(f"{a}.by_words") & F.col(f"{b}.by_words"), by_words).otherwise(by_bytes)
+    lengths = F.when(of_a & of_b, F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= edits).otherwise(sizes)
+    # A line by words and one by bytes have bitmaps of other things; pairs of words are marked for the former alone.
+    single = F.when(of_a & of_b, edits).when(of_a | of_b, F.lit(BITMAP)).otherwise(F.lit(plan.edits * GRAM))
+    return lengths & (_missing(a, b, 0) <= single) & (_missing(a, b, BITMAP) <= F.when(of_a & of_b, 2 * edits).otherwise(F.lit(BITMAP)))
 
 
 def alike(left: pa.Array, right: pa.Array, plan: LinePlan) -> np.ndarray:
