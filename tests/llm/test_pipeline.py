@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from evalboard.llm.encoding import encoder
@@ -57,5 +58,21 @@ def test_stages(spark, folder, tmp_path):
             assert sum(r["length"] for r in rows) == sum(len(np.frombuffer(e.ids(t), e.dtype)) + 1 for t in texts)
 
 
+def test_odd_tables(spark, odd, empty, tmp_path):
+    """Nulls in any column, repeated rows, a very long text, names that operators use themselves; and no row at all."""
+    extra = [F.lit(i).alias(n) for i, n in enumerate(["drop", "score", "lang_pred", "kept", "key", "n0", "cut", "component", "text_hash"])]
+    for k, docs in enumerate((odd.select("*", *extra), empty.select("*", *extra))):
+        columns, n = docs.columns, docs.count()
+        for name, stage in P.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            if name != "packing":
+                assert sorted(docs.columns) == sorted(columns) and docs.count() <= 2 * n
+                assert docs.filter("text is null").count() == 0
+            if name == "near_duplicates" and k == 0:
+                assert docs.filter("doc_id is null").count() == 1
+        assert (docs.count() > 0) == (k == 0)
+
+
 def test_run(spark, folder):
     assert P.run(spark, folder).count() > 0 and [n for n, _ in P.STAGES] == ["language", "lines", "near_duplicates", "mix", "packing"] and P.ORACLE_SQL is None
