@@ -1,4 +1,8 @@
-"""A corpus pipeline: language, lines, near-duplicates, mixing, packing. Each stage reads what its predecessor wrote."""
+"""A corpus pipeline: language, lines, near-duplicates, mixing, packing. Each stage reads what its predecessor wrote.
+
+Defined cases, for all stages: an empty table gives an empty one; other columns pass through, whatever their names, but those of the mix's tree, `tokens` and `epoch` (none of the documents table);
+rows with null text have no letter and go at the first stage; rows with a null id are documents of their own, are never near-duplicates and are packed under a null id; equal rows stay together at each stage.
+"""
 
 from __future__ import annotations
 
