@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Chunk, byte_class, chunks
-from .runtime import lean, workers_find_package
+from .runtime import lean, settle, workers_find_package
 
 BUCKETS = 1 << 16
 
@@ -118,6 +118,7 @@ def train(docs: DataFrame, training: LanguageTraining | None = None, id_col: str
     """A model of the languages of the labelled rows given (all of which may be learned from)."""
     t = training or LanguageTraining()
     workers_find_package(docs.sparkSession)
+    settle(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     counts = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # a row for each language
     languages = tuple(sorted(counts))

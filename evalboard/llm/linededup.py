@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .crosslinks import link_across
 from .kernels import BASE, NOT_SPACE, Chunk, chunks, mix
-from .runtime import free, lean, sweep, workers_find_package, written
+from .runtime import free, lean, settle, sweep, workers_find_package, written
 
 
 #: The band of `within` is a 64-bit word.
@@ -463,6 +463,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
         del mine, ends, others
         sweep(spark)
     free(keyed)
+    settle(spark)
     temporary = [*shared, *hits]
     shared, hits = reduce(DataFrame.union, shared), reduce(DataFrame.union, hits)
     wanted = written(hits.select("node").union(shared.select(F.col("first").alias("node"))).distinct(), "wanted")
@@ -486,6 +487,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
     def sets_of(nodes: DataFrame) -> DataFrame:
         return rare_sets(bodies.join(nodes, "node", "left_semi").select("node", "body"), plan)
 
+    settle(spark)
     # The first of each key has been held against all others.
     out = link_across(hits.select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
     free(*temporary, wanted, bodies, stars, links)
@@ -536,6 +538,7 @@ def dedup_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "do
     found = duplicate_lines(docs, plan, id_col, text_col)
     # A row for each text that loses lines; it has no more numbers than the text has lines.
     drops = written(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("drop")), "drops")
+    settle(docs.sparkSession)
     # Columns go by number inside, so that no name of docs meets another.
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text, key = named[f"c{docs.columns.index(text_col)}"], named[f"c{docs.columns.index(id_col)}"].cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .crosslinks import link_across
 from .kernels import NOT_SPACE, Chunk, chunks, mix, ngram_hashes
-from .runtime import free, lean, sweep, workers_find_package, written
+from .runtime import free, lean, settle, sweep, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -211,6 +211,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame
 def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and kept (it is that one), a row for each row."""
     plan = plan or MinHashPlan()
+    settle(docs.sparkSession)
     sets = written(signatures(docs, plan, id_col, text_col), "signatures")
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     # Equal sets are one node, named by its smallest document.
@@ -244,10 +245,11 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
         least = F.floor((F.col("size") * plan.percent + 99) / 100)
         return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"))
 
+    settle(docs.sparkSession)
     # The first of each bucket has been held against all others.
     final = link_across(hits.select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash")
     free(nodes, shared, hits, suspects, shingled, stars, links)
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
 
     named = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo", "n_shingles"], "left")
     named = named.join(final.withColumnRenamed("id", "node"), "node", "left")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import lean, workers_find_package, written
+from .runtime import lean, settle, workers_find_package, written
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, plan: Packi
     """One row for each piece: where it lies in its document and in its sequence, the sequence's context size and its step; with_ids adds the ids as 32-bit little-endian bytes."""
     plan = plan or PackingPlan()
     workers_find_package(docs.sparkSession)
+    settle(docs.sparkSession)
     if plan.step_tokens < 2 * plan.context:
         raise ValueError("a step must hold two windows")
     schema = f"{SCHEMA}, {PLACE}" + ", ids binary" * with_ids

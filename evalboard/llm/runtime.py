@@ -51,6 +51,13 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Sweeps, then has the executors collect garbage too, after which they give back heap that a heavy step has left: small executors share their memory with Python workers."""
+    sweep(spark)
+    n = max(2, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
+
+
 def free(*tables: DataFrame) -> None:
     """Removes tables made by written() that nothing reads any more."""
     for t in tables:
