@@ -12,6 +12,7 @@ The order goes by counts of elements in 2**20 buckets of their hashes, a table o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +116,15 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         meeting.append(rows.select(*open_rows.columns))
         temporary += [nodes, sets]
     crossing = []
-    for rows in meeting:
+    for rows in meeting:  # one after the other, as each needs disk
         full = written(rows.join(attributes, "node"), f"{name}-members")
         sweep(members.sparkSession)
-        temporary.append(full)
         x, y = full.filter("component != main").alias("x"), full.alias("y")
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        crossing.append(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))))
-    across = written((crossing[0] if len(crossing) == 1 else crossing[0].union(crossing[1])).distinct(), f"{name}-across")
+        crossing.append(written(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))).distinct(), f"{name}-across"))
+        free(full)
+        sweep(members.sparkSession)
+    across = reduce(DataFrame.union, crossing).distinct()
     out = joined(across)
-    free(*temporary, across, found, degree)
+    free(*temporary, *crossing, found, degree)
     return out

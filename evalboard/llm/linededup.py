@@ -350,7 +350,7 @@ def _banded_one(pattern: np.ndarray, text: np.ndarray, edits: int) -> bool:
     return distance <= edits
 
 
-BITMAP, GRAM = 704, 4
+BITMAP, GRAM = 640, 4
 
 
 def _grams(c: Chunk, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
