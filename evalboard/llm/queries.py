@@ -15,6 +15,7 @@ from .media import text_media
 from .minhash import MinHashPlan, near_duplicates
 from .mixing import MixPlan, mix
 from .packing import pack_documents
+from .postings import contamination
 from .quality import QualityRules, repetition_quality
 from .sharding import shard_by_slots
 from .tokenfile import token_files
@@ -99,8 +100,12 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c not in ("dup_ngram_shares", "reason")], *shares, "reason")
 
 
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op12_positional_index)}
 
 
 def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], name: str) -> str:
@@ -182,5 +187,19 @@ def quality_sql() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, dup_line_share, {', '.join(f'dup_{n}_gram_share' for n in sorted(rules.ngram_share))}, reason from judged"""
 
 
+def contamination_sql(width: int = 10) -> str:
+    """Every run of a document's words that is as long as some window, held against all windows."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""with docs as (select row_number() over () as rid, doc_id, {words} as w from documents),
+    items as (select coalesce(cast(item_id as varchar), '') as item_id, {words} as w from benchmark),
+    windows as (select distinct item_id, least(len(w), {width}) as size, array_to_string(list_slice(w, s, s + {width - 1}), ' ') as k from (select *, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) as s from items where len(w) > 0)),
+    runs as (select rid, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') as k from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as s from docs, (select distinct size from windows))),
+    found as (select distinct rid, s, size, item_id from runs join windows using (size, k)),
+    hits as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(s, s + size)) from (select distinct rid, s, size from found)) group by rid),
+    of as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from found) group by rid)
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join hits using (rid) left join of using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql()}
+    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op12_positional_index": contamination_sql()}
