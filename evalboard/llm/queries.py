@@ -8,6 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import Collocations, collocations
 from .langid import held_out, identify, train
 from .licenses import scan_licenses
 from .linededup import LinePlan, dedup_lines
@@ -104,8 +105,12 @@ def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).documents
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), Collocations(longest=5, least=100, contained=100, first=2000))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op12_positional_index)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op12_positional_index, op13_phrase_collocations)}
 
 
 def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], name: str) -> str:
@@ -201,5 +206,21 @@ def contamination_sql(width: int = 10) -> str:
     from docs left join hits using (rid) left join of using (rid)"""
 
 
+def collocations_sql(longest: int = 5, least: int = 100, contained: int = 100, first: int = 2000) -> str:
+    """All phrases of all pieces, counted."""
+    part = "array_to_string(list_slice(w, {}, {}), ' ')".format
+    return f"""with pieces as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+    total as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+    places as (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from pieces, (select unnest(range(1, {longest + 1})) as size)),
+    f as (select lang, size, {part("i", "i + size - 1")} as phrase, list_slice(any_value(w), any_value(i), any_value(i) + size - 1) as w, count(*) as a from places group by lang, size, phrase having count(*) >= {least}),
+    cuts as (select lang, phrase, size, a, k, {part("1", "k")} as left_part, {part("k + 1", "size")} as right_part from (select *, unnest(range(1, size)) as k from f where size > 1)),
+    valued as (select c.lang, c.phrase, c.a, c.k, l.a as l, r.a as r, n, cast((1000::hugeint * c.a * n) // (l.a::hugeint * r.a) as bigint) as score from cuts c join f l on l.lang = c.lang and l.phrase = c.left_part join f r on r.lang = c.lang and r.phrase = c.right_part join total t on t.lang = c.lang),
+    best as (select * from valued qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    parts as (select lang, size, a, i, unnest(range(i + 1, size + 1)) as j, w from (select *, unnest(range(1, size)) as i from f where size > 2)),
+    within as (select lang, {part("i", "j")} as phrase, max(a) as outer_a from parts where j - i + 1 < size group by all),
+    kept as (select b.* from best b left join within o on o.lang = b.lang and o.phrase = b.phrase where outer_a is null or 100 * outer_a < {contained} * a)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept qualify rank <= {first}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op12_positional_index": contamination_sql()}
+    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op12_positional_index": contamination_sql(), "op13_phrase_collocations": collocations_sql()}
