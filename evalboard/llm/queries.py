@@ -8,6 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import KMeans, clustered
 from .collocations import Collocations, collocations
 from .langid import held_out, identify, train
 from .licenses import scan_licenses
@@ -101,6 +102,10 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c not in ("dup_ngram_shares", "reason")], *shares, "reason")
 
 
+def op11_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), KMeans(dims=64, k=8, rounds=10))[0]
+
+
 def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).documents
 
@@ -110,7 +115,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op12_positional_index, op13_phrase_collocations)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op11_kd_tree_clusters, op12_positional_index, op13_phrase_collocations)}
 
 
 def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], name: str) -> str:
@@ -192,6 +197,25 @@ def quality_sql() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, dup_line_share, {', '.join(f'dup_{n}_gram_share' for n in sorted(rules.ngram_share))}, reason from judged"""
 
 
+def clusters_sql(dims: int = 64, k: int = 8, rounds: int = 10) -> str:
+    """Every vector against every centroid, round after round."""
+    distance = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.p[i] - c.p[i]) * (v.p[i] - c.p[i])))"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f""",
+    a{r} as materialized (select rid, arg_min(c, struct_pack(d := d, c := c)) as c, min(d) as d from (select rid, c.c, {distance} as d from v, c{r} c) group by rid)"""
+        if r < rounds:
+            steps += f""",
+    c{r + 1} as materialized (select c.c, coalesce(m.p, c.p) as p from c{r} c left join (select c, list(cast((s - (((s % n) + n) % n)) // n as bigint) order by i) as p
+        from (select c, i, sum(v.p[i]) as s, count(*) as n from a{r} join v using (rid), (select unnest(range(1, {dims + 1})) as i) group by c, i) group by c) m on m.c = c.c)"""
+    return f"""with v as materialized (select row_number() over () as rid, vec_id, embedding, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as p from embeddings
+        where len(embedding) = {dims} and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = {dims}),
+    c0 as materialized (select cast(row_number() over (order by digest, embedding) - 1 as int) as c, p from (select sha256('3:' || vec_id) as digest, embedding, p from v order by digest, embedding limit {k})){steps},
+    sums as (select c, cast(sum(d) as bigint) as cluster_inertia from a{rounds} group by c)
+    select vec_id, a.c as cluster, cast(d as bigint) as distance, cluster_inertia, cast((select sum(d) from a{rounds}) as bigint) as inertia, sha256(array_to_string(c.p, ',')) as centroid_sha256
+    from a{rounds} a join v using (rid) join c{rounds} c on c.c = a.c join sums s on s.c = a.c"""
+
+
 def contamination_sql(width: int = 10) -> str:
     """Every run of a document's words that is as long as some window, held against all windows."""
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -223,4 +247,4 @@ def collocations_sql(longest: int = 5, least: int = 100, contained: int = 100, f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op12_positional_index": contamination_sql(), "op13_phrase_collocations": collocations_sql()}
+    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op11_kd_tree_clusters": clusters_sql(), "op12_positional_index": contamination_sql(), "op13_phrase_collocations": collocations_sql()}
