@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as C
 from ..functions.columns import haystack, missing_last, text, trained
+from .ranking import numbered
 
 
 @dataclass(frozen=True)
@@ -62,19 +63,29 @@ def display_order(params: ViewParams) -> list[Column]:
     return [*missing_last(F.col(params.sort), params.ascending), F.col("line").asc()]
 
 
-def _placed(board: DataFrame, params: ViewParams, keep: Column) -> DataFrame:
-    """The rows shown that are kept, with group_ord, group_title and rank, a bare row number of the group. A task holds a group: a board has five."""
+def _grouped(board: DataFrame, params: ViewParams, keep: Column) -> DataFrame:
+    """The rows shown that are kept, with group_ord and group_title."""
     rows = board.filter(shown(params)).withColumn("group_ord", group_ord()).filter(F.col("group_ord").isNotNull() & keep)
-    place = F.row_number().over(Window.partitionBy("group_ord").orderBy(*missing_last(F.col("acc_fs"), False), *display_order(params)))
-    return rows.withColumn("group_title", group_title(F.col("group_ord"))).withColumn("rank", place)
+    return rows.withColumn("group_title", group_title(F.col("group_ord")))
+
+
+def rank_order(params: ViewParams) -> list[Column]:
+    return [*missing_last(F.col("acc_fs"), False), *display_order(params)]
 
 
 def ranked(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
     """The rows shown, with group_ord, group_title and rank, unsorted.
 
-    Ranks run from 1 in each group of models, by acc_fs from the highest, ties by display order, after filtering; references have none.
+    Ranks run from 1 in each group of models, by acc_fs from the highest, ties by display order, after filtering; references have none. A group may span any number of tasks.
     """
-    return _placed(board, params or ViewParams(), F.lit(True)).withColumn("rank", F.when(~is_baseline(), F.col("rank")))
+    params = params or ViewParams()
+    rows = numbered(_grouped(board, params, F.lit(True)), ["group_ord"], rank_order(params))
+    return rows.withColumn("rank", F.when(~is_baseline(), F.col("rank").cast("int")))
+
+
+def placed(board: DataFrame, params: ViewParams | None = None, name: str = "place") -> DataFrame:
+    """All rows with their place in display order, from 1."""
+    return numbered(board, [], display_order(params or ViewParams()), name).withColumn(name, F.col(name).cast("int"))
 
 
 def board_view(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
@@ -85,7 +96,9 @@ def board_view(board: DataFrame, params: ViewParams | None = None) -> DataFrame:
 
 def top_ranked(board: DataFrame, k: int, params: ViewParams | None = None) -> DataFrame:
     """The first k of each group of models. References are out before the window, so its limit is pushed below the shuffle: each task sends k rows of a group at most."""
-    return _placed(board, params or ViewParams(), ~is_baseline()).filter(F.col("rank") <= k)
+    params = params or ViewParams()
+    place = F.row_number().over(Window.partitionBy("group_ord").orderBy(*rank_order(params)))
+    return _grouped(board, params, ~is_baseline()).withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def header_stats(board: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import columns as X
 from ..operators import notes as N
 from ..operators import redact as R
 from ..operators import render, scoring, validate, view
+from ..operators.ranking import numbered
 from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, board, items, raw_board, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,11 +136,22 @@ def top_two_in_group(spark, sf_dir):
 
 @query(f"with {BOARD_SQL} select line, melody, cast(row_number() over (order by melody is null, melody desc, line) as int) as place from board")
 def sort_nan_last_desc(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = board(spark, sf_dir).withColumn("melody", F.coalesce("melody", F.lit(float("nan"))))
-    place = F.row_number().over(Window.orderBy(*view.display_order(view.ViewParams(sort="melody"))))  # a row for each source
-    return rows.select("line", F.when(~F.isnan("melody"), F.col("melody")).alias("melody"), place.alias("place"))
+    return view.placed(rows, view.ViewParams(sort="melody")).select("line", F.when(~F.isnan("melody"), F.col("melody")).alias("melody"), "place")
+
+
+@query("""select o_orderkey, o_orderpriority, case when o_orderkey % 9 > 0 then o_totalprice end as price, row_number() over (partition by o_orderpriority order by case when o_orderkey % 9 > 0 then o_totalprice end desc nulls last, o_orderkey) as rank from orders""")
+def rank_orders(spark, sf_dir):
+    """Five groups of many rows, each dealt out over tasks."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice")).alias("price"))
+    return numbered(o, ["o_orderpriority"], [*X.missing_last(F.col("price"), False), F.col("o_orderkey").asc()])
+
+
+@query("select l_orderkey, l_linenumber, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber) as place from lineitem")
+def place_lineitems(spark, sf_dir):
+    """One order over all rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return numbered(rows, [], [F.col("l_extendedprice").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()], "place").drop("l_extendedprice")
 
 
 @query("select p_partkey from part where contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1')")
@@ -179,10 +191,8 @@ def degenerate_rows(spark, sf_dir):
 @query("select n_nationkey, cast(row_number() over (order by lower(n_name), n_nationkey) as int) as place from nation")
 def sort_by_name(spark, sf_dir):
     """Names in mixed case, in the order of a Unicode collation."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("line"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.initcap("n_name")).alias("model"))
-    return rows.select("n_nationkey", F.row_number().over(Window.orderBy(*view.display_order(view.ViewParams(sort="model", ascending=True)))).alias("place"))
+    return view.placed(rows, view.ViewParams(sort="model", ascending=True)).select("n_nationkey", "place")
 
 
 @query("""select * from (values ('model', true, false), ('method', true, false), ('melody', false, true), ('rhythm', false, true), ('timbre', false, true), ('harmony', false, true), ('overall', false, true),
