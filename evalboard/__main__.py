@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.redact import LeakError, anonymous_build, gate, leaks, page_rewrites, redact_board, todo_files
 from .operators.scoring import answer_report, board_row
-from .operators.validate import annotations, validate, violations
+from .operators.validate import annotations, misshapen, validate, violations
 from .sources.board import copy_board, read_board, write_board
 from .sources.documents import fresh, read_documents, write_tree
 from .sources.submission import read_submission
@@ -81,6 +81,7 @@ def main(args: list[str] | None = None) -> int:
     given = arguments().parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if given.command == "check":
+        printed(annotations(misshapen(read_board(spark, given.file, bad=True)), given.file, "warning"))
         return printed(annotations(validate(spark, given.file), given.file))
     if given.command == "score":
         return score(spark, given)

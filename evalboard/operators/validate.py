@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as C
 from ..functions.columns import among, blank, combined, decimal_text, differs, iso_date, mean, percent, text
-from ..sources.board import header_violation, read_board
+from ..sources.board import CORRUPT, header_violation, read_board
 
 
 @dataclass(frozen=True)
@@ -83,16 +83,21 @@ def violations(rows: DataFrame) -> DataFrame:
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:
-    """line, rule and message in the order of report; a wrong header is the only violation that is then reported."""
+    """line, rule and message in the order of report; wrong headers are the only violations that are then reported."""
     header = header_violation(spark, path)
     if not header.isEmpty():
         return header
     return violations(read_board(spark, path)).orderBy("line", "ord").select("line", "rule", "message")
 
 
-def annotations(found: DataFrame, file: str) -> DataFrame:
+def misshapen(rows: DataFrame) -> DataFrame:
+    """line and message of records with too few or too many cells, of rows read with them. That is no violation by itself: what lacks breaks its own rule, what is too much is not looked at."""
+    return rows.filter(F.col(CORRUPT).isNotNull()).select("line", F.concat(F.lit(f"the record has not {len(C.COLUMNS)} cells: "), F.col(CORRUPT)).alias("message")).orderBy("line")
+
+
+def annotations(found: DataFrame, file: str, kind: str = "error") -> DataFrame:
     """As lines of a continuous-integration log."""
-    return found.select(F.format_string("::error file=%s,line=%d::%s", F.lit(file), F.col("line"), F.col("message")).alias("annotation"))
+    return found.select(F.format_string("::%s file=%s,line=%d::%s", F.lit(kind), F.lit(file), F.col("line"), F.col("message")).alias("annotation"))
 
 
 def exit_code(found: DataFrame) -> int:

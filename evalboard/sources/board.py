@@ -2,42 +2,50 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..contract import COLUMNS, PERCENT, RAW
+from ..contract import COLUMNS, PERCENT
 from ..functions.columns import number, stripped, text
+from .csv_lines import cells, records
 
 CORRUPT = "_bad"
 _CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The names in the first record of a file; fails where the path does not exist."""
-    first = spark.read.options(lineSep="\n").text(path).limit(1).collect()
-    return next(csv.reader(io.StringIO(first[0][0].removesuffix("\r"))), []) if first else []
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file and header, the first line, of each file."""
+    lines = spark.read.options(lineSep="\n", recursiveFileLookup=True).text(path)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("header"))
+    return first.filter("split = 0").groupBy("file").agg(F.min_by("header", "at").alias("header"))
 
 
 def header_violation(spark: SparkSession, path: str) -> DataFrame:
-    """No row, or the one violation of a header that is not the contract's, in name and order."""
-    wrong = header_of(spark, path) != list(COLUMNS)
-    rows = [(1, "R00", "the header must be " + ",".join(COLUMNS))] if wrong else []
-    return spark.createDataFrame(rows, "line int, rule string, message string")
+    """No row, or a violation for each file whose header is not the contract's, in name and order; fails where the path does not exist."""
+    found = spark.read.option("recursiveFileLookup", True).text(path)
+    message = "the header must be " + ",".join(COLUMNS)
+    if len(found.inputFiles()) > 1:
+        wrong = headers(spark, path).filter(~array_equal(cells(F.col("header"), F.lit(False)), COLUMNS))
+        return wrong.select(F.lit(1).cast("long").alias("line"), F.lit("R00").alias("rule"), F.concat(F.col("file"), F.lit(": "), F.lit(message)).alias("message"))
+    first = spark.read.options(lineSep="\n").text(path).limit(1).select(cells(F.col("value"), F.lit(False)).alias("names")).collect()
+    rows = [] if first and first[0]["names"] == list(COLUMNS) else [(1, "R00", message)]
+    return spark.createDataFrame(rows, "line long, rule string, message string")
+
+
+def array_equal(c: Column, names: tuple[str, ...]) -> Column:
+    return c == F.array(*[F.lit(n) for n in names])
 
 
-def read_board(spark: SparkSession, path: str, bad: bool = False) -> DataFrame:
-    """All columns as text, null where empty or missing, and `line`, the record's ordinal plus one; bad adds the text of records with too few or too many cells.
+def read_board(spark: SparkSession, path: str, bad: bool = False, files: bool = False) -> DataFrame:
+    """All columns as text, null where empty or missing, and `line`, the record's ordinal plus one, over all files in order of their paths.
 
-    A file is one partition (records may hold newlines), so ordinals are exact for a single file.
+    A file may be split anywhere; each has a header, which is skipped. bad adds the text of records with too few or too many cells; files adds each record's file and its ordinal there plus one (file_line).
     """
-    schema = T.StructType([*RAW.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).options(header=True, multiLine=True, columnNameOfCorruptRecord=CORRUPT, **_CSV).csv(path)
-    rows = rows.withColumn("line", (F.monotonically_increasing_id() + 2).cast("int"))
-    return rows if bad else rows.drop(CORRUPT)
+    rows = records(spark, path).filter("record > 0").withColumn("_cells", cells(F.col("text"), F.col("open")))
+    named = [F.nullif(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(COLUMNS)]
+    more = [F.when(F.size("_cells") != len(COLUMNS), F.col("text")).alias(CORRUPT)] if bad else []
+    more += [F.col("file"), (F.col("record") + 1).alias("file_line")] if files else []
+    return rows.select(*named, "line", *more)
 
 
 def with_ordinals(rows: DataFrame, *order: str) -> DataFrame:
