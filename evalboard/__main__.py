@@ -70,7 +70,7 @@ def anonymize(spark: SparkSession, given: argparse.Namespace) -> int:
     for row in todo_files(built).orderBy("path").toLocalIterator():
         print(f"::warning::TODO left in {row['path']}")
     try:
-        gate(leaks(built, given.term))
+        gate(leaks(built, given.term), f"{given.out}-leaks")
     except LeakError as e:
         print(f"::error::identifying terms remain\n{e}")
         return 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import has_term, quoted_replacement, text
 from ..sources.documents import fresh, with_file
+from .terms import find_terms
 
 #: Fixed values.
 ANONYMOUS_ORGANIZATION, MAINTAINERS = "Anonymous (this paper)", "maintainers"
@@ -66,12 +67,9 @@ def rewrite(docs: DataFrame, steps: list[Rewrite], pages: str = r"\.html$") -> D
     return docs.withColumn("text", F.when(F.col("path").rlike(pages), body).otherwise(F.col("text")))
 
 
-def leaks(docs: DataFrame, terms: list[str], name: str = "path", body: str = "text") -> DataFrame:
-    """name, line, term and n: how often each term stands in each line, in any case. Terms are few and given in the query, so nothing is joined."""
-    lines = docs.filter(has_term(F.col(body), terms)).select(name, F.posexplode(F.split(F.col(body), "\n", -1)).alias("at", "content"))
-    counts = F.array(*[F.struct(F.lit(t).alias("term"), F.regexp_count(F.col("content"), F.lit(r"(?iu)\Q" + t + r"\E")).alias("n")) for t in terms])
-    hits = lines.filter(has_term(F.col("content"), terms)).select(name, (F.col("at") + 1).alias("line"), F.explode(F.filter(counts, lambda x: x["n"] > 0)).alias("hit"))
-    return hits.select(name, "line", "hit.term", "hit.n")
+def leaks(docs: DataFrame, terms: list[str] | DataFrame, name: str = "path", body: str = "text") -> DataFrame:
+    """name, line, term and n: how often each term stands in each line, in any case; a term that spans lines counts where it begins. terms: a list, or a table of any length."""
+    return find_terms(docs, terms, name, body)
 
 
 def todo_files(docs: DataFrame) -> DataFrame:
@@ -88,8 +86,19 @@ class LeakError(Exception):
     """Some term survived."""
 
 
-def gate(found: DataFrame) -> None:
-    """Raises LeakError with all leaks, sorted, if there is one."""
-    rows = found.orderBy(*found.columns).collect()
-    if rows:
-        raise LeakError("\n".join(f"{r[0]}:{r['line']}: '{r['term']}'" for r in rows))
+#: Leaks that the message shows; all are in the table.
+SHOWN_LEAKS = 1000
+
+
+def gate(found: DataFrame, table: str | None = None) -> None:
+    """Raises LeakError if there is a leak, with their number and the first of them, sorted. table: a path at which all leaks are written as Parquet, before anything is raised."""
+    if table:
+        found.write.mode("overwrite").parquet(table)
+        found = found.sparkSession.read.schema(found.schema).parquet(table)
+    rows = found.orderBy(*found.columns).limit(SHOWN_LEAKS + 1).collect()
+    if not rows:
+        return
+    shown = [f"{r[0]}:{r['line']}: '{r['term']}'" for r in rows[:SHOWN_LEAKS]]
+    if len(rows) > SHOWN_LEAKS:
+        shown.append(f"{found.count()} leaks in all" + (f", in {table}" if table else ""))
+    raise LeakError("\n".join(shown))
