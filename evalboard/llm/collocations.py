@@ -46,6 +46,8 @@ LOTS = 16
 PIECE_BYTES = 1 << 21
 #: Phrases that a task remembers having passed on.
 REMEMBERED = 1 << 21
+#: Tasks for each core in the two scans whose tasks pass on every candidate they meet: longer tasks meet it again and pass on less.
+TASKS_PER_CORE = 2
 
 
 @dataclass(frozen=True)
@@ -321,8 +323,9 @@ def collocations(docs: DataFrame, plan: Collocations | None = None, lang_col: st
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (max(size // BYTES_PER_CELL, 1) - 1).bit_length()))
     bits = heavy_cells(texts, cells, plan)
-    found = candidates(texts, bits, cells, plan)
-    counts = phrase_counts(texts, found, plan)
+    longer = texts.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    found = candidates(longer, bits, cells, plan)
+    counts = phrase_counts(longer, found, plan)
     totals = found.filter("phrase is null").select("lang", F.col("n").alias("total"))
     out = written(scored(counts, totals, plan), "collocations")
     free(found)
