@@ -14,6 +14,8 @@ from .sources.board import copy_board, read_board, write_board
 from .sources.documents import fresh, read_documents, write_tree
 from .sources.submission import read_submission
 
+#: Lines of a submission that are shown as malformed; their number always is.
+SHOWN = 20
 TABLE, CONFIG = "leaderboard.csv", ("assets/config.js", "assets/config.anon.js")
 
 
@@ -53,8 +55,14 @@ def score(spark: SparkSession, given: argparse.Namespace) -> int:
     key = spark.read.option("header", True).csv(given.key)
     for name, n in answer_report(key, answers).first().asDict().items():
         print(f"{name}: {n}")
-    for row in rest.limit(20).collect():
+    n = rest.count()
+    for row in rest.limit(SHOWN).collect():
         print(f"::warning::neither header nor answer: {row[0]}")
+    if n > SHOWN:
+        print(f"::warning::{n} lines are neither header nor answer")
+    if header.count() != 1:
+        print(f"::error file={given.submission}::a submission has one header, this one has {header.count()}")
+        return 1
     row = board_row(header, answers, key, dict(x.split("=", 1) for x in given.set))
     write_board(row, given.out)
     return printed(annotations(violations(row.selectExpr("*", "2 as line")).orderBy("ord"), given.out))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import COLUMNS, PERCENT, TASKS
+from ..functions.columns import one_decimal
 
 LETTERS = ("A", "B")
 
@@ -87,13 +88,14 @@ def trained_deltas(board: DataFrame, scores: tuple[str, ...] = ("overall", "acc_
 
 
 def board_row(header: DataFrame, answers: DataFrame, key: DataFrame, about: dict[str, str] | None = None) -> DataFrame:
-    """A submission as one raw record of a result table, scores to one decimal, self-reported until somebody repeats it.
+    """A submission as one raw record of a result table, scores to one decimal, self-reported until somebody repeats it; several headers are an error.
 
     header: one row of a submission's header; about: what it does not say (organization, access, domain, params_b, method, notes and so on), by column.
     """
     rows = marked(key, answers)
-    scores = scorecard(rows, [], list(TASKS)).select(*[F.coalesce(F.format_string("%.1f", F.round(F.col(c), 1)), F.lit("")).alias(c) for c in PERCENT])
-    given = header.limit(1).select(
+    scores = scorecard(rows, [], list(TASKS)).select(*[one_decimal(F.round(F.col(c), 1), "").alias(c) for c in PERCENT])
+    alone = header.withColumn("_several", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("model", F.when(F.col("_several") > 1, F.raise_error(F.lit("a submission has one header"))).otherwise(F.col("model")))
+    given = alone.select(
         F.lit("model").alias("type"), "model", "readout", "date", F.coalesce("code_url", F.lit("")).alias("source_url"), F.col("version").alias("benchmark_version"),
         F.when(F.col("used_training"), F.lit("trained")).otherwise(F.lit("zero-shot")).alias("method"), F.lit("no").alias("verified"),
     )

@@ -11,9 +11,11 @@ from .. import contract as C
 from ..functions import columns as X
 from ..operators import notes as N
 from ..operators import redact as R
-from ..operators import render, scoring, validate, view
+from ..operators import render, scoring, submissions, validate, view
 from ..operators.ranking import numbered
-from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, board, items, raw_board, scored, table
+from ..sources.staged import new_path
+from ..sources.submission import read_submissions
+from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, answers, board, items, raw_board, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -108,6 +110,30 @@ def trained_vs_base_delta(spark, sf_dir):
     return scoring.trained_deltas(board(spark, sf_dir))
 
 
+_HITS = {**{t: (f"variant = 'clean' and task = '{t}'", "correct") for t in C.TASKS}, "overall": ("variant = 'clean'", "correct"), "miss_rate": ("variant = 'FLIP'", "correct"), "false_flip_rate": ("variant = 'STAY'", "correct"), "a_rate": ("variant = 'clean'", "answer = 'A'")}
+
+
+def _submission_sql() -> str:
+    hits = ", ".join(f"count(*) filter (where {of} and {hit}) as {c}" for c, (of, hit) in _HITS.items())
+    totals = ", ".join(f"count(*) filter (where {of}) as {c}" for c, (of, _) in _HITS.items())
+    share = lambda c: f"100.0::double * (t.{c} - coalesce(h.{c}, 0)) / t.{c}" if c in C.LOWER_IS_BETTER else f"100.0::double * coalesce(h.{c}, 0) / t.{c}"
+    return f"""with {SCORED_SQL}, h as (select source, {hits} from scored group by source), t as (select {totals} from items), s as (select distinct source from documents where n_chars % 7 <> 0),
+made as (select source as model, {', '.join(f"case when t.{c} > 0 then {share(c)} end as {c}" for c in _HITS)} from s left join h using (source), t) select *, 100 - (miss_rate + false_flip_rate) / 2 as acc_fs from made"""
+
+
+@query(_submission_sql())
+def many_submissions(spark, sf_dir):
+    """An answer file for each source, with what it answers, written, read back and scored against the whole key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    given = answers(spark, sf_dir).join(docs, F.col("item_id") == F.col("doc_id")).select("source", F.to_json(F.struct(F.col("item_id").cast("string").alias("item_id"), "answer")).alias("value"))
+    heads = given.select("source").distinct().select("source", F.to_json(F.struct(F.col("source").alias("model"), F.lit("1.0").alias("version"))).alias("value"))
+    path = new_path(spark, "submissions")
+    given.unionByName(heads).repartition("source").write.partitionBy("source").text(path)
+    lines = read_submissions(spark, path)
+    made = submissions.scores(lines, items(spark, sf_dir))
+    return submissions.file_facts(lines).select("file", "header.model").join(made, "file").select("model", *SCORES)
+
+
 # Views.
 
 _GROUP = "case when type = 'baseline' then 4 when domain <> 'music' and method = 'zero-shot' then 0 when domain <> 'music' then 1 when method = 'zero-shot' then 2 else 3 end"
