@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.redact import LeakError, anonymous_build, gate, leaks, page_rewrites, redact_board, todo_files
 from .operators.scoring import answer_report, board_row
 from .operators.validate import annotations, misshapen, validate, violations
-from .sources.board import copy_board, read_board, write_board
+from .sources.board import read_board, write_board
 from .sources.documents import fresh, read_documents, write_tree
 from .sources.submission import read_submission
 
@@ -94,8 +94,7 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "score":
         return score(spark, given)
     if given.command == "build":
-        write_tree(fresh(read_documents(spark, given.site), (CONFIG[1],)), given.out)
-        copy_board(spark, given.csv, f"{given.out}/{TABLE}")
+        write_tree(fresh(read_documents(spark, given.site), (CONFIG[1],)), given.out, {TABLE: given.csv})
         return 0
     return anonymize(spark, given)
 

@@ -13,6 +13,8 @@ from ..operators import notes as N
 from ..operators import redact as R
 from ..operators import render, scoring, submissions, validate, view
 from ..operators.ranking import numbered
+from ..sources.board import read_board, write_board
+from ..sources.site import Site
 from ..sources.staged import new_path
 from ..sources.submission import read_submissions
 from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, answers, board, items, raw_board, scored, table
@@ -426,6 +428,26 @@ def todo_files(spark, sf_dir):
     return R.todo_files(p)
 
 
+@query("""select page_id, case when page_id % 10 = 3 then md5(html || ' changed') else md5(html) end as digest from pages where page_id % 10 <> 7""")
+def site_versions(spark, sf_dir):
+    """Pages published twice: of the second version one in ten is changed and one in ten is gone; only the changed ones are written."""
+    site = Site(spark, new_path(spark, "site"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("text"), "page_id")
+    site.publish(pages.select("path", "text"))
+    changed = F.when(F.col("page_id") % 10 == 3, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    site.publish(pages.filter("page_id % 10 <> 7").select("path", changed.alias("text")))
+    return site.documents().select(F.substring("path", 3, 20).cast("long").alias("page_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"""with {RAW_SQL} select row_number() over (order by raw.line) + 1 as line, nullif(model, '') as model, md5('a,"' || model || '"' || chr(10) || chr(13) || chr(10) || ' x') as digest from raw""")
+def csv_read_back(spark, sf_dir):
+    """A table with quotes and line ends in its cells, written in order by many tasks and read back from splits of any place."""
+    rows = raw_board(spark, sf_dir).withColumn("notes", F.concat(F.lit('a,"'), "model", F.lit('"\n\r\n x')))
+    path = new_path(spark, "table")
+    write_board(rows, path)
+    return read_board(spark, path).select("line", "model", F.md5(F.col("notes").cast("binary")).alias("digest"))
+
+
 # Notes.
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import COLUMNS, PERCENT
-from ..functions.columns import number, stripped, text
+from ..functions.columns import number, stripped
 from .csv_lines import cells, records
+from .documents import copy_file
+from .sink import write_one_csv
+from .staged import path_of
 
 CORRUPT = "_bad"
 _CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -64,14 +67,16 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def write_board(rows: DataFrame, path: str) -> None:
-    """One CSV file in the contract's columns and order: header, minimal quotes, doubled quotes, empty for null."""
-    order = ["line"] if "line" in rows.columns else []
-    one = rows.orderBy(*order) if order else rows
-    one.select(*[text(F.col(c)).alias(c) for c in COLUMNS]).coalesce(1).write.mode("overwrite").options(header=True, emptyValue="", lineSep="\n", **_CSV).csv(path)
+    """One CSV file (a part file in the folder) in the contract's columns and order: header, minimal quotes, doubled quotes, empty for null; written by many tasks, in order of `line` if there is one."""
+    order = [F.col("line").asc()] if "line" in rows.columns else []
+    target = f"{path.rstrip('/')}/part-00000.csv"
+    files, folder = path_of(rows.sparkSession, path)
+    others = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName() != "part-00000.csv"] if files.exists(folder) else []
+    write_one_csv(rows, COLUMNS, target, order)
+    for other in others:
+        files.delete(other, True)
 
 
 def copy_board(spark: SparkSession, source: str, target: str) -> None:
     """The same bytes, by the file systems that Spark knows."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    copy_file(spark, source, target)
