@@ -1,0 +1,47 @@
+"""Repeats of a stream, in several orders of arrival, against the batch check."""
+
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+from helpers import record
+
+from evalboard.contract import COLUMNS
+from evalboard.operators.validate import violations
+from evalboard.streaming.repeats import SALT, STEP, final_repeats, salted_repeats
+
+SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", line long"
+
+
+def rows(n=160):
+    rng = random.Random(1)
+    out = []
+    for i in range(n):
+        model = "Hot" if i % 3 == 0 else rng.choice([f"m{rng.randrange(40)}", f"M{rng.randrange(40)}", ""])
+        out.append(record(model=model, method=rng.choice(["zero-shot", "x"]), date="2026-10-01") | {"line": i + 2})
+    return out
+
+
+@pytest.mark.parametrize("order", ["forward", "backward", "random"])
+def test_any_order_ends_at_the_batch_result(spark, tmp_path, order):
+    given = rows()
+    batch = violations(spark.createDataFrame([tuple(r[c] or None for c in COLUMNS) + (r["line"],) for r in given], SCHEMA))
+    want = {(r["line"], r["message"]) for r in batch.filter("rule = 'R23'").collect()}
+    arriving = {"forward": given, "backward": given[::-1], "random": random.Random(2).sample(given, len(given))}[order]
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(0, len(arriving), 40):
+        (source / f"{i:04d}.json").write_text("\n".join(json.dumps(r) for r in arriving[i : i + 40]))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    between = str(tmp_path / "between")
+    first = salted_repeats(stream).writeStream.format("parquet").option("path", between).option("checkpointLocation", str(tmp_path / "first")).outputMode("append").trigger(availableNow=True).start()
+    first.awaitTermination(300)
+    again = spark.readStream.schema(STEP).option("maxFilesPerTrigger", 5).parquet(between)
+    second = final_repeats(again).writeStream.format("memory").queryName(f"repeats_{order}").option("checkpointLocation", str(tmp_path / "second")).outputMode("append").trigger(availableNow=True).start()
+    second.awaitTermination(300)
+    assert first.exception() is None and second.exception() is None
+    assert order != "forward" or spark.read.parquet(between).filter("not sure and message like '%Hot%'").count() <= 2 * SALT
+    got = [(r["line"], r["message"]) for r in spark.table(f"repeats_{order}").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 80
