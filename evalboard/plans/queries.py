@@ -13,6 +13,7 @@ from ..operators import notes as N
 from ..operators import redact as R
 from ..operators import render, scoring, submissions, validate, view
 from ..operators.ranking import numbered
+from ..operators.search import build_index, search
 from ..sources.board import read_board, write_board
 from ..sources.site import Site
 from ..sources.staged import new_path
@@ -187,6 +188,17 @@ def search_concat(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.contains(X.haystack(F.col("p_name"), F.col("p_brand"), F.col("p_type")), F.lit("brand#1"))).select("p_partkey")
 
 
+SEARCHED = ("brand#1", "STEEL", "en", "o brand#2")
+
+
+@query(f"""select q as query, p_partkey from part, (select unnest([{', '.join(f"'{q}'" for q in SEARCHED)}]) as q) where contains(lower(p_name || ' ' || p_brand || ' ' || p_type), lower(q))""")
+def indexed_search(spark, sf_dir):
+    """Several searches by postings alone."""
+    path = new_path(spark, "search")
+    build_index(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], path)
+    return search(spark, path, SEARCHED).select("query", F.col("key").alias("p_partkey"))
+
+
 @query("select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderstatus = 'P' or o_orderpriority like '1%'")
 def filter_exempt_baseline(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
