@@ -93,7 +93,8 @@ def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir))
+    found = scan_licenses(documents(spark, sf_dir))
+    return found.withColumn("n_notices", F.size("notices").cast("long")).drop("notices")
 
 
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
