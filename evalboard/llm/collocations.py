@@ -44,6 +44,8 @@ FLUSH = 1 << 22
 LOTS = 16
 #: Bytes of text that are worked on at a time.
 PIECE_BYTES = 1 << 21
+#: Languages whose totals are broadcast; of more, Spark chooses the join.
+MOST_LANGUAGES_SENT = 1 << 16
 #: Phrases that a task remembers having passed on.
 REMEMBERED = 1 << 21
 #: Tasks for each core in the two scans whose tasks pass on every candidate they meet: longer tasks meet it again and pass on less.
@@ -302,7 +304,10 @@ def scored(counts: DataFrame, totals: DataFrame, plan: Collocations) -> DataFram
     cut = long.select("lang", "phrase", "a", "w", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", joined(F.lit(1), F.col("k")).alias("left"), joined(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     l, r = (counts.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)) for side, name in (("left", "l"), ("right", "r")))  # noqa: E741
-    each = cut.join(l, ["lang", "left"]).join(r, ["lang", "right"]).join(totals.select("lang", F.col("total").alias("n")), "lang")
+    n_of = totals.select("lang", F.col("total").alias("n"))
+    if n_of.count() <= MOST_LANGUAGES_SENT:
+        n_of = F.broadcast(n_of)
+    each = cut.join(l, ["lang", "left"]).join(r, ["lang", "right"]).join(n_of, "lang")
     big = {c: f"cast({c} as decimal(38, 0))" for c in ("a", "n", "l", "r")}
     each = each.withColumn("score", F.expr(f"({plan.scale}BD * {big['a']} * {big['n']}) div ({big['l']} * {big['r']})"))
     best = each.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b")).select("lang", "phrase", "b.*")
