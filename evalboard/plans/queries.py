@@ -12,11 +12,12 @@ from ..functions import columns as X
 from ..operators import notes as N
 from ..operators import redact as R
 from ..operators import render, scoring, submissions, validate, view
+from ..operators.maintained import MaintainedView
 from ..operators.ranking import numbered
 from ..operators.search import build_index, search
 from ..sources.board import read_board, write_board
 from ..sources.site import Site
-from ..sources.staged import new_path
+from ..sources.staged import fixed, new_path
 from ..sources.submission import read_submissions
 from .stand_in import BOARD_SQL, CARDS_SQL, RAW_SQL, SCORED_SQL, answers, board, items, raw_board, scored, table
 
@@ -163,6 +164,18 @@ def top_two_in_group(spark, sf_dir):
     return view.top_ranked(board(spark, sf_dir), 2).select("line", "group_ord", "rank", "acc_fs")
 
 
+@query(f"""with {BOARD_SQL}, changed as (select * replace (case when line % 3 = 0 then acc_fs / 2 else acc_fs end as acc_fs) from board where line % 5 <> 0), grouped as (select *, {_GROUP} as group_ord from changed)
+select line, cast(group_ord as int) as group_ord, case when type <> 'baseline' then cast(row_number() over (partition by group_ord order by acc_fs is null, acc_fs desc, line) as int) end as rank, acc_fs from grouped""")
+def maintained_view(spark, sf_dir):
+    """A ranked table after edits and deletions were merged into it."""
+    rows = fixed(board(spark, sf_dir))
+    kept = MaintainedView(spark, new_path(spark, "view"))
+    kept.apply(come=rows)
+    gone = rows.filter("line % 5 = 0 or line % 3 = 0")
+    kept.apply(gone, gone.filter("line % 5 <> 0").withColumn("acc_fs", F.col("acc_fs") / 2))
+    return kept.rows().select("line", "group_ord", "rank", "acc_fs")
+
+
 @query(f"with {BOARD_SQL} select line, melody, cast(row_number() over (order by melody is null, melody desc, line) as int) as place from board")
 def sort_nan_last_desc(spark, sf_dir):
     rows = board(spark, sf_dir).withColumn("melody", F.coalesce("melody", F.lit(float("nan"))))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pointer import point, pointed
 from .staged import path_of
 
 OBJECT = "digest string, text string"
@@ -40,14 +41,7 @@ class Site:
 
     def current(self) -> str | None:
         """The version that readers see."""
-        files, pointer = path_of(self.spark, f"{self.folder}/CURRENT")
-        if not files.exists(pointer):
-            return None
-        given = files.open(pointer)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(given, "UTF-8").strip()
-        finally:
-            given.close()
+        return pointed(self.spark, f"{self.folder}/CURRENT")
 
     def versions(self) -> list[str]:
         files, root = path_of(self.spark, f"{self.folder}/manifest")
@@ -71,17 +65,7 @@ class Site:
         """Makes a version the current one, by one rename; also an earlier one."""
         if version not in self.versions():
             raise ValueError(f"no such version: {version}")
-        jvm = self.spark.sparkContext._jvm
-        files, beside = path_of(self.spark, f"{self.folder}/CURRENT.{uuid.uuid4().hex}")
-        out = files.create(beside, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, pointer = path_of(self.spark, f"{self.folder}/CURRENT")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        kind = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), conf).rename(beside, pointer, options)
+        point(self.spark, f"{self.folder}/CURRENT", version)
 
     def build(self, docs: DataFrame, terms: list[str] | None = None) -> Build:
         """Writes the next version of (path, text), which nobody sees before switch(). A null text is an empty page; a path may stand once."""
