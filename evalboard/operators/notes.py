@@ -38,8 +38,16 @@ def _note(onset: int, pitch: int | tuple[int, ...], dur: int) -> Column:
     return F.struct(F.lit(float(onset)).alias("onset"), value, F.lit(float(dur)).alias("dur"))
 
 
-def variant(clips: DataFrame, attribute: str) -> DataFrame:
-    """The second clip: melody, chords, the indexes that changed, and whether the timbre did."""
+def clips_of(rows: DataFrame, key: str, values: Column) -> DataFrame:
+    """A clip for each row, from an array of twelve numbers or more: eight notes and two chords of two, whose pitches are the numbers' hundredths modulo the rows of the drawing."""
+    pitch = lambda i: F.pmod(F.floor(F.element_at(values, i).cast("double") * 100), F.lit(ROWS)).cast("int")
+    melody = F.array(*[F.struct(F.lit(2.0 * i).alias("onset"), pitch(i + 1).alias("pitch"), F.lit(2.0).alias("dur")) for i in range(8)])
+    chords = F.array(*[F.struct(F.lit(8.0 * i).alias("onset"), F.array(pitch(9 + 2 * i), pitch(10 + 2 * i)).alias("pitches"), F.lit(8.0).alias("dur")) for i in range(2)])
+    return rows.select(F.col(key), F.lit("A").alias("clip"), melody.alias("melody"), chords.alias("chords"))
+
+
+def variant(clips: DataFrame, attribute: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The second clip of each: melody, chords, the indexes that changed, and whether the timbre did; keys are columns that tell clips apart."""
     melody, chords = F.col("melody"), F.col("chords")
     every = {"melody": F.transform("melody", lambda _, i: i), "chords": F.transform("chords", lambda _, i: i)}
     none = F.array().cast("array<int>")
@@ -54,14 +62,14 @@ def variant(clips: DataFrame, attribute: str) -> DataFrame:
         changed = every
     else:
         raise ValueError(f"no such attribute: {attribute}")
-    return clips.select(F.lit("B").alias("clip"), melody.alias("melody"), chords.alias("chords"), changed["melody"].alias("changed_melody"), changed["chords"].alias("changed_chords"), F.lit(attribute == "timbre").alias("timbre"))
+    return clips.select(*keys, F.lit("B").alias("clip"), melody.alias("melody"), chords.alias("chords"), changed["melody"].alias("changed_melody"), changed["chords"].alias("changed_chords"), F.lit(attribute == "timbre").alias("timbre"))
 
 
-def pair(clips: DataFrame, attribute: str) -> DataFrame:
-    """Both clips with their lanes."""
+def pair(clips: DataFrame, attribute: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both clips of each with their lanes."""
     none = F.array().cast("array<int>")
-    first = clips.select("clip", "melody", "chords", none.alias("changed_melody"), none.alias("changed_chords"), F.lit(False).alias("timbre"), F.lit(0).alias("lane"))
-    return first.unionByName(variant(clips, attribute).withColumn("lane", F.lit(1)))
+    first = clips.select(*keys, "clip", "melody", "chords", none.alias("changed_melody"), none.alias("changed_chords"), F.lit(False).alias("timbre"), F.lit(0).alias("lane"))
+    return first.unionByName(variant(clips, attribute, keys).withColumn("lane", F.lit(1)))
 
 
 def x_of(onset: Column) -> Column:
@@ -72,14 +80,14 @@ def y_of(lane: Column, pitch: Column) -> Column:
     return TOP + lane * (LANE + GAP) + (ROWS - 1 - pitch) * (LANE / ROWS)
 
 
-def rectangles(clips: DataFrame) -> DataFrame:
+def rectangles(clips: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each note drawn: lane, part, index, pitch, x, y, width, height, and whether it differs from the first clip."""
-    melody = clips.select("lane", "timbre", F.lit("melody").alias("part"), F.col("changed_melody").alias("changed"), F.posexplode("melody").alias("i", "n"))
-    melody = melody.select("lane", "timbre", "part", "i", "n.onset", "n.dur", "n.pitch", F.array_contains("changed", F.col("i")).alias("changed"))
-    chords = clips.select("lane", "timbre", F.lit("chords").alias("part"), F.col("changed_chords").alias("changed"), F.posexplode("chords").alias("i", "n"))
-    chords = chords.select("lane", "timbre", "part", "i", "n.onset", "n.dur", F.explode("n.pitches").alias("pitch"), F.array_contains("changed", F.col("i")).alias("changed"))
+    melody = clips.select(*keys, "lane", "timbre", F.lit("melody").alias("part"), F.col("changed_melody").alias("changed"), F.posexplode("melody").alias("i", "n"))
+    melody = melody.select(*keys, "lane", "timbre", "part", "i", "n.onset", "n.dur", "n.pitch", F.array_contains("changed", F.col("i")).alias("changed"))
+    chords = clips.select(*keys, "lane", "timbre", F.lit("chords").alias("part"), F.col("changed_chords").alias("changed"), F.posexplode("chords").alias("i", "n"))
+    chords = chords.select(*keys, "lane", "timbre", "part", "i", "n.onset", "n.dur", F.explode("n.pitches").alias("pitch"), F.array_contains("changed", F.col("i")).alias("changed"))
     unit = (WIDTH - LEFT - RIGHT) / STEPS
-    return chords.unionByName(melody).select("lane", "part", "i", "pitch", (x_of(F.col("onset")) + 2).alias("x"), (y_of(F.col("lane"), F.col("pitch")) + 0.5).alias("y"), (F.col("dur") * unit - 4).alias("width"), F.lit(LANE / ROWS - 1).alias("height"), "changed", (F.col("changed") & F.col("timbre")).alias("hatched"))
+    return chords.unionByName(melody).select(*keys, "lane", "part", "i", "pitch", (x_of(F.col("onset")) + 2).alias("x"), (y_of(F.col("lane"), F.col("pitch")) + 0.5).alias("y"), (F.col("dur") * unit - 4).alias("width"), F.lit(LANE / ROWS - 1).alias("height"), "changed", (F.col("changed") & F.col("timbre")).alias("hatched"))
 
 
 def bar_lines(spark: SparkSession) -> DataFrame:
@@ -106,6 +114,12 @@ def item_grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, v) for a, values in GRID.items() for v in values], "attribute string, change string")
 
 
+def items_of(rows: DataFrame, key: str) -> DataFrame:
+    """Every kind of test item for each row: key, attribute and change."""
+    grid = F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(v).alias("change")) for a, values in GRID.items() for v in values])
+    return rows.select(key, F.inline(grid))
+
+
 LABELS = ("Clip A", "Clip B")
 
 

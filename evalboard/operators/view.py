@@ -29,6 +29,19 @@ class ViewParams:
         return replace(self, sort=key, ascending=key in ("model", "method", *C.LOWER_IS_BETTER))
 
 
+def clicked_states(clicks: DataFrame, by: str, order: list[str], key: str = "key") -> DataFrame:
+    """by, sort and ascending after each viewer's clicks on columns, in order, from the default view: the last column, turned round once for each click on it since another one. No viewer's clicks are gathered."""
+    at = F.struct(*order)
+    start = ViewParams()
+    last = clicks.groupBy(by).agg(F.max_by(key, at).alias("sort"))
+    placed = clicks.select(by, key, at.alias("_at")).join(last, by)
+    since = placed.groupBy(by).agg(F.max(F.when(F.col(key) != F.col("sort"), F.col("_at"))).alias("_since"))
+    run = placed.join(since, by).groupBy(by, "sort").agg(F.count_if(F.col("_since").isNull() | (F.col("_at") > F.col("_since"))).alias("_n"), F.bool_and(F.col("_since").isNull()).alias("_all"))
+    first = F.col("sort").isin("model", "method", *C.LOWER_IS_BETTER)
+    first = F.when(F.col("_all") & (F.col("sort") == start.sort), F.lit(not start.ascending)).otherwise(first)
+    return run.select(by, "sort", (first == (F.col("_n") % 2 == 1)).alias("ascending"))
+
+
 def is_baseline() -> Column:
     return F.col("type").eqNullSafe("baseline")
 

@@ -248,12 +248,13 @@ def sort_by_name(spark, sf_dir):
     return view.placed(rows, view.ViewParams(sort="model", ascending=True)).select("n_nationkey", "place")
 
 
-@query("""select * from (values ('model', true, false), ('method', true, false), ('melody', false, true), ('rhythm', false, true), ('timbre', false, true), ('harmony', false, true), ('overall', false, true),
-('acc_fs', false, true), ('miss_rate', true, false), ('false_flip_rate', true, false), ('a_rate', false, true)) t(key, first_click, second_click)""")
+@query("""with e as (select user_id, case event_id % 3 when 0 then 'model' when 1 then 'overall' else 'miss_rate' end as key, row_number() over (partition by user_id order by ts, event_id) as n from events),
+runs as (select user_id, key, count(*) as clicks, max(n) as last from (select *, n - row_number() over (partition by user_id, key order by n) as run from e) group by user_id, key, run)
+select user_id, key as sort, (clicks % 2 = 1) = (key <> 'overall') as ascending from runs qualify row_number() over (partition by user_id order by last desc) = 1""")
 def direction_policy(spark, sf_dir):
-    """Ascending or not after a first and a second click on each column."""
-    start = {k: view.ViewParams(sort="overall" if k != "overall" else "a_rate") for k in C.SORT_KEYS}
-    return spark.createDataFrame([(k, p.clicked(k).ascending, p.clicked(k).clicked(k).ascending) for k, p in start.items()], "key string, first_click boolean, second_click boolean")
+    """Sort column and direction of each viewer after a row of clicks."""
+    key = F.when(F.col("event_id") % 3 == 0, "model").when(F.col("event_id") % 3 == 1, "overall").otherwise("miss_rate")
+    return view.clicked_states(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", key.alias("key")), "user_id", ["ts", "event_id"])
 
 
 def _one_decimal_sql(c: str) -> str:
@@ -492,32 +493,34 @@ def bar_sequence(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", bars.alias("bar")).withColumn("x", N.x_of(F.col("bar")))
 
 
-def _rectangles_sql(attribute: str) -> str:
-    melody = "[" + ", ".join(f"{{'t': {t}::double, 'p': {p}, 'd': {d}::double}}" for t, p, d in N.MELODY) + "]"
-    chords = "[" + ", ".join(f"{{'t': {t}::double, 'ps': [{', '.join(map(str, ps))}], 'd': {d}::double}}" for t, ps, d in N.CHORDS) + "]"
-    scale = f"case when lane = 1 then {N.TEMPO}::double else 1 end" if attribute == "rhythm" else "1"
-    return f"""with lanes as (select unnest([0, 1]) as lane), m as (select lane, 'melody' as part, unnest(range(8)) as i, unnest({melody}) as n from lanes), c as (select lane, 'chords' as part, unnest(range(2)) as i, unnest({chords}) as n from lanes),
-notes as (select lane, part, i, n.t as t, n.p as pitch, n.d as d from m union all select lane, part, i, n.t, unnest(n.ps), n.d from c)
-select cast(lane as int) as lane, part, cast(i as int) as i, cast(pitch as int) as pitch, round(44 + t * {scale} * 29 + 2, 6) as x, round(4 + lane * 168 + (12 - pitch) * (150 / 13.0::double) + 0.5, 6) as y, round(d * {scale} * 29 - 4, 6) as width, lane = 1 as changed from notes"""
+def _clips(spark, sf_dir):
+    return N.clips_of(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"))
 
 
-@query(_rectangles_sql("rhythm"))
+_PITCHES = "pitches as (select vec_id, list_transform(embedding[1:12], lambda x: cast(((floor(x::double * 100) % 13) + 13) % 13 as int)) as p from embeddings)"
+
+
+@query(f"""with {_PITCHES}, lanes as (select unnest([0, 1]) as lane), notes as (select vec_id, lane, 'melody' as part, i, 2.0::double * i as t, p[i + 1] as pitch, 2.0::double as d from pitches, lanes, (select unnest(range(8)) as i)
+union all select vec_id, lane, 'chords', i // 2, 8.0::double * (i // 2), p[9 + i], 8.0::double from pitches, lanes, (select unnest(range(4)) as i)), scaled as (select *, case when lane = 1 then {N.TEMPO}::double else 1 end as s from notes)
+select vec_id, cast(lane as int) as lane, part, cast(i as int) as i, pitch, round(44 + t * s * 29 + 2, 6) as x, round(4 + lane * 168 + (12 - pitch) * (150 / 13.0::double) + 0.5, 6) as y, round(d * s * 29 - 4, 6) as width, lane = 1 as changed from scaled""")
 def note_rectangles(spark, sf_dir):
-    made = N.rectangles(N.pair(N.first_clip(spark), "rhythm"))
-    return made.select("lane", "part", "i", "pitch", *[F.round(c, 6).alias(c) for c in ("x", "y", "width")], "changed")
+    """Both clips of each vector, the second one faster, as drawn."""
+    made = N.rectangles(N.pair(_clips(spark, sf_dir), "rhythm", ("vec_id",)), ("vec_id",))
+    return made.select("vec_id", "lane", "part", "i", "pitch", *[F.round(c, 6).alias(c) for c in ("x", "y", "width")], "changed")
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{v}')" for a, values in N.GRID.items() for v in values) + ") t(attribute, change)")
+@query("select vec_id, attribute, change from embeddings, (values " + ", ".join(f"('{a}', '{v}')" for a, values in N.GRID.items() for v in values) + ") t(attribute, change)")
 def item_grid(spark, sf_dir):
-    return N.item_grid(spark)
+    return N.items_of(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@query("""select * from (values ('melody', false, 1, 0, 'Same or different melody?'), ('rhythm', false, 8, 2, 'Which clip is faster?'), ('timbre', true, 8, 2, 'Same or different timbre?'),
-('harmony', false, 0, 1, 'Same or different harmony?')) t(attribute, timbre, melody_changes, chord_changes, question)""")
+@query(f"""with {_PITCHES} select vec_id, attribute, timbre, melody_changes, chord_changes, question, case attribute when 'melody' then list_sum(p[1:8]) - p[5] + 12 else list_sum(p[1:8]) end::bigint as melody_pitches from pitches,
+(values ('melody', false, 1, 0, 'Same or different melody?'), ('rhythm', false, 8, 2, 'Which clip is faster?'), ('timbre', true, 8, 2, 'Same or different timbre?'), ('harmony', false, 0, 1, 'Same or different harmony?')) t(attribute, timbre, melody_changes, chord_changes, question)""")
 def attribute_questions(spark, sf_dir):
-    """What differs in the second clip of each attribute, and what is asked."""
-    first, made = N.first_clip(spark), None
+    """What differs in the second clip of each vector and attribute, and what is asked."""
+    first, made = _clips(spark, sf_dir), None
     for attribute in N.GRID:
-        b = N.variant(first, attribute).select(F.lit(attribute).alias("attribute"), "timbre", F.size("changed_melody").alias("melody_changes"), F.size("changed_chords").alias("chord_changes"), N.question(F.lit(attribute)).alias("question"))
+        pitches = F.aggregate("melody", F.lit(0).cast("long"), lambda a, n: a + n["pitch"])
+        b = N.variant(first, attribute, ("vec_id",)).select("vec_id", F.lit(attribute).alias("attribute"), "timbre", F.size("changed_melody").alias("melody_changes"), F.size("changed_chords").alias("chord_changes"), N.question(F.lit(attribute)).alias("question"), pitches.alias("melody_pitches"))
         made = b if made is None else made.unionByName(b)
     return made

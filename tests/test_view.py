@@ -122,3 +122,22 @@ def test_empty_cells_rows_are_dropped_from_views_only(spark, tmp_path):
         f.write("," * 23 + "\n")
     raw = read_board(spark, str(path))
     assert raw.count() == 2 and typed(raw).count() == 1
+
+
+def test_clicks_as_one_after_the_other(spark):
+    import random
+
+    from evalboard.contract import SORT_KEYS
+    from evalboard.operators.view import clicked_states
+
+    rng = random.Random(1)
+    clicks, want = [], {}
+    for user in range(60):
+        state = ViewParams()
+        for n in range(rng.randrange(1, 9)):
+            key = rng.choice(["acc_fs", "model", rng.choice(SORT_KEYS)])
+            state = state.clicked(key)
+            clicks.append((user, n, key))
+        want[user] = (state.sort, state.ascending)
+    got = clicked_states(spark.createDataFrame(clicks, "user int, n int, key string"), "user", ["n"])
+    assert {r["user"]: (r["sort"], r["ascending"]) for r in got.collect()} == want
