@@ -1,7 +1,7 @@
 """Sharding by fixed virtual slots.
 
 A record hashes into one of a fixed number of slots; bytes are summed for each slot; a versioned map names the shard of each slot,
-and rebalancing edits the map, moving as few slots as it needs. Versions of the map are stored as a table, one appended after the other; records are placed by the version that was read from it.
+and rebalancing edits the map, moving as few slots as it needs. Versions of the map are stored, each once; records are placed by the version that was read from it.
 The map and the sums have as many rows as there are slots, whatever the input's size; nothing else reaches the driver.
 
 Defined cases: null text has no bytes and counts as its row's overhead only; null ids are hashed like any other value; repeated rows share a slot and get
@@ -83,33 +83,52 @@ class SlotMap:
         return SlotMap(self.version + 1, tuple(shards))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """version, virtual_slot, shard: the form in which versions are stored, one appended after the other."""
+        """version, virtual_slot, shard: the form in which versions are stored."""
         return spark.createDataFrame([(self.version, slot, shard) for slot, shard in enumerate(self.shards)], "version int, virtual_slot int, shard int")
 
 
 def load_map(stored: DataFrame, version: int | None = None) -> SlotMap:
-    """A stored version, the latest by default."""
+    """A stored version, the latest by default; its slots must be distinct and complete."""
     version = version or stored.agg(F.max("version")).first()[0]
     rows = stored.filter(F.col("version") == version).orderBy("virtual_slot").collect()  # as many rows as slots
+    if not rows or [r["virtual_slot"] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"the stored map has not each slot once in version {version}")
     return SlotMap(version, tuple(r["shard"] for r in rows))
 
 
 class MapStore:
-    """The stored versions of a map, a Parquet table at a path that all machines share."""
+    """The stored versions of a map: a folder at a path that all machines share, with a Parquet folder for each version, which is written once."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _place(self, version: int) -> str:
+        return f"{self.path}/version-{version:08d}"
+
+    def versions(self) -> list[int]:
+        """Versions that are whole, in order."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        found = [f.getPath() for f in files.listStatus(top) if f.getPath().getName().startswith("version-")]
+        return sorted(int(p.getName().removeprefix("version-")) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def append(self, slot_map: SlotMap) -> None:
-        slot_map.frame(self.spark).coalesce(1).write.mode("append").parquet(self.path)
+        """Stores a version. One that is there already stays: the same again (a job that is repeated) is no fault, another map under its number is."""
+        if slot_map.version in self.versions():
+            if self.load(slot_map.version) != slot_map:
+                raise ValueError(f"version {slot_map.version} is there with another map")
+            return
+        slot_map.frame(self.spark).coalesce(1).write.mode("overwrite").parquet(self._place(slot_map.version))  # what a broken job has left goes
 
     def empty(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        return not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return not self.versions()
 
     def load(self, version: int | None = None) -> SlotMap:
-        return load_map(self.spark.read.parquet(self.path), version)
+        """A version, the latest by default."""
+        return load_map(self.spark.read.schema("version int, virtual_slot int, shard int").parquet(self._place(version or self.versions()[-1])))
 
 
 def measured(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +139,7 @@ def measured(docs: DataFrame, n_slots: int = SLOTS, id_col: str = "doc_id", text
 
 
 def shard_by_slots(docs: DataFrame, n_shards: int, store: str | None = None, n_slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, SlotMap]:
-    """Each record's shard and its place there, and the map that says so: the latest version in the store (an initial one is stored where there is none) after rebalancing by bytes, stored as the next.
+    """Each record's shard and its place there, and the map that says so: the latest version in the store (an initial one is stored where there is none) after rebalancing by bytes, stored as the next if a slot has moved.
 
     A place is the number of records in the shard's lower slots, plus those of the slot in lower parts of the input, plus the record's rank among those of its slot and part;
     so no task sees more of one slot than a part of the input holds.
@@ -138,7 +157,9 @@ def shard_by_slots(docs: DataFrame, n_shards: int, store: str | None = None, n_s
     current = maps.load()
     if (len(current.shards), current.n_shards) != (n_slots, n_shards):
         raise ValueError("the stored map has other slots or shards")
-    maps.append(current.rebalanced(weights))
+    moved = current.rebalanced(weights)
+    if moved.shards != current.shards:
+        maps.append(moved)
     slot_map = maps.load()
     base, filled = [0] * n_slots, [0] * n_shards
     for slot, shard in enumerate(slot_map.shards):

@@ -78,3 +78,29 @@ def test_no_slot_gathers_copies(spark):
 
 def test_odd_rows(odd, empty):
     assert shard_by_slots(odd, 3)[0].count() == odd.count() and shard_by_slots(empty, 3)[0].count() == 0
+
+
+def test_versions_are_written_once(spark, tmp_path):
+    maps = MapStore(spark, f"{tmp_path}/maps")
+    one = SlotMap.initial(64, 4)
+    two = one.grown()
+    assert maps.empty() and maps.versions() == []
+    for _ in range(2):  # a job that is repeated
+        maps.append(one)
+        maps.append(two)
+    assert maps.versions() == [1, 2] and maps.load() == two and maps.load(1) == one
+    with pytest.raises(ValueError, match="another map"):
+        maps.append(SlotMap(2, one.shards))
+    (tmp_path / "maps/version-00000003").mkdir()  # a job that broke off
+    assert maps.load() == two
+    maps.append(SlotMap(3, two.shards))
+    assert maps.versions() == [1, 2, 3] and len(maps.load().shards) == 64
+    with pytest.raises(ValueError, match="each slot once"):
+        load_map(one.frame(spark).union(one.frame(spark)))
+
+
+def test_no_version_without_a_move(spark, tmp_path):
+    docs = documents(spark, ["x"] * 3)
+    _, first = shard_by_slots(docs, 2, f"{tmp_path}/maps", n_slots=8)
+    _, again = shard_by_slots(docs, 2, f"{tmp_path}/maps", n_slots=8)
+    assert again == first and len(MapStore(spark, f"{tmp_path}/maps").versions()) == first.version
