@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .runtime import lean, scratch, workers_find_package
+from .runtime import free, lean, scratch, workers_find_package, written
 
 MAGIC, BLOCK = b"PFOR1\0\0\0", 512
 _NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -122,33 +122,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
     """Segments in ascending id order as a Parquet table: part, before (ids of the part that precede), n_ids, segment."""
     workers_find_package(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([encode.ids(text or "") + end for text in rows.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, part = encoder(tokenizer).dtype, TaskContext.get().partitionId()
         ids, lengths, bodies, before, held = [], [], [], 0, 0
 
         def segment() -> pa.RecordBatch:
-            data = write_segment(ids, lengths, np.frombuffer(b"".join(bodies), encode.dtype), percentile)
+            data = write_segment(ids, lengths, np.frombuffer(b"".join(bodies), kind), percentile)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()), "segment": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    body = encode.ids(text or "") + end
-                    ids.append(doc)
-                    bodies.append(body)
-                    lengths.append(len(body) // encode.dtype.itemsize)
-                    held += lengths[-1]
-                    if held >= segment_ids:
-                        yield segment()
-                        before += held
-                        ids, lengths, bodies, held = [], [], [], 0
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc)
+                bodies.append(body)
+                lengths.append(len(body) // kind.itemsize)
+                held += lengths[-1]
+                if held >= segment_ids:
+                    yield segment()
+                    before += held
+                    ids, lengths, bodies, held = [], [], [], 0
         if ids:
             yield segment()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lean(run), "part long, before long, n_ids long, segment binary").write.parquet(path)
+    # Texts stay where they are; ids are dealt out, two bytes each, by id and then by what tells rows of one id apart, so an id of many rows spans many tasks.
+    table = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encoded), "doc_id long, ids binary"), "encoded")
+    order = ["doc_id", "_hash", "_row"]
+    rows = table.withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select("doc_id", "ids").mapInArrow(lean(run), "part long, before long, n_ids long, segment binary").write.parquet(path)
+    free(table)
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:

@@ -127,3 +127,16 @@ def test_odd_rows(odd, empty):
     assert pack_documents(odd, FILES[0]).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and pack_documents(empty, FILES[0]).count() == 0
     rows = token_files(odd, FILES[1]).orderBy("start").collect()
     assert len(rows) == odd.count() and rows[0]["doc_id"] is None and token_files(empty, FILES[1]).count() == 0
+
+
+def test_one_id_of_many_rows_spans_parts(spark, tmp_path):
+    rows = [(None, f"text {i % 7} of no id") for i in range(300)] + [(5, "same") for _ in range(300)] + [(i, f"row {i}") for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = {r["part"]: r["n"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("part").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()}
+    assert len(parts) >= 3 and max(parts.values()) < 0.6 * sum(parts.values())
+    got = read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
