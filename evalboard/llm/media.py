@@ -15,6 +15,7 @@ columns other than the named ones are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -185,10 +186,26 @@ class _Sequence(HTMLParser):
             self.buffer.append(data)
 
 
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>", re.IGNORECASE | re.DOTALL)
+
+
+def closed(html: str) -> str:
+    """Without the script and style tags that are never closed, which would swallow the rest of the page; only what stands before the next tag goes with one."""
+    at = 0
+    while tag := _HIDDEN.search(html, at):
+        end = re.compile(rf"</{tag[1]}\b", re.IGNORECASE).search(html, tag.end()) if tag[1] else tag  # comments are skipped
+        if end:
+            at = end.end()
+        else:
+            rest = html.find("<", tag.end())
+            html, at = html[: tag.start()] + (html[rest:] if rest >= 0 else ""), tag.start()
+    return html
+
+
 def interleave(html: str | None) -> list[dict]:
     """The ordered items of one page."""
     p = _Sequence()
-    p.feed(html or "")
+    p.feed(closed(html or ""))
     p.close()
     p.flush()
     return [{"position": i} | x for i, x in enumerate(p.items)]
@@ -292,7 +309,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     images = store.select(F.explode("media").alias("m")).select("m.digest", "m.image").filter("image is not null")
     payloads = written(per_payload(images, FACTS, facts), "payloads")
     pages = store.select(F.struct("row", "doc_id", "n_bytes").alias("id"), "html")
-    sequences = parse_sequences(pages, "id")
+    sequences = written(parse_sequences(pages, "id"), "sequences")
     items = sequences_of(resolve(sequences, "id", payloads), sequences, "id")
     shown = F.filter("items", lambda x: x["kind"] == "media")
     texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])

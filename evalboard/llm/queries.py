@@ -13,7 +13,7 @@ from .collocations import Collocations, collocations
 from .langid import held_out, identify, train
 from .licenses import scan_licenses
 from .linededup import LinePlan, dedup_lines
-from .media import text_media
+from .media import parse_sequences, text_media
 from .minhash import MinHashPlan, near_duplicates
 from .mixing import MixPlan, mix
 from .packing import pack_documents
@@ -92,6 +92,14 @@ def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser of op8 on every raw page: how many text and media items it has, and its text."""
+    pages = parse_sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    kind = lambda k: F.filter("items", lambda x: x["kind"] == k)
+    body = F.array_join(F.transform(kind("text"), lambda x: x["text"]), "\n")
+    return pages.select("page_id", F.size(kind("text")).cast("long").alias("n_texts"), F.size(kind("media")).cast("long").alias("n_media"), F.md5(body.cast("binary")).alias("text_md5"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir))
     return found.withColumn("n_notices", F.size("notices").cast("long")).drop("notices")
@@ -116,7 +124,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op11_kd_tree_clusters, op12_positional_index, op13_phrase_collocations)}
+    return {f.__name__: f for f in (op1_bbit_minhash, op2_segment_line_dedup, op3_hierarchical_packing, op4_virtual_slot_shards, op5_hierarchical_mix, op6_patched_token_blocks, op7_viterbi_language, op8_interleaved_media, op9_license_scan, op10_repetition_quality, op11_kd_tree_clusters, op12_positional_index, op13_phrase_collocations, pages_interleaved)}
 
 
 def _shares(level: str, children: str, parents: str, parent: tuple[str, ...], name: str) -> str:

@@ -87,3 +87,29 @@ def test_markup_loses_nothing(html, items):
 def test_odd_rows(odd, empty):
     assert M.text_media(odd).count() == odd.count() and M.text_media(empty).count() == 0
     assert np.array_equal(M.samples(M.png(b" " * 192)), np.full((1, 192), 32))
+
+
+def test_unclosed_script_swallows_nothing():
+    page = "<p>one</p><script>var a = '<script>';</script><p>two</p><style>p {}<p>three</p><img src=x><script>4</script><!-- <script> --> five"
+    items = M.interleave(page)
+    assert [x["text"] for x in items if x["kind"] == "text"] == ["one", "two", "three", "five"] and sum(x["kind"] == "media" for x in items) == 1
+    assert [x["text"] for x in M.interleave("<SCRIPT src=a>x<b>y")] == ["y"] and M.interleave("<script>x</script >") == []
+
+
+def test_pages_against_plain_text(spark):
+    """All words outside of tags, scripts and comments, in order, and all images."""
+    from html import unescape
+    from pathlib import Path
+
+    table = "/root/testdata/sf0.001/pages.parquet"
+    if not Path(table).exists():
+        pytest.skip("no test tables")
+    import re
+
+    for page in spark.read.parquet(table).collect():
+        bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ", page["html"] or "")
+        items = M.interleave(page["html"])
+        assert sum(x["kind"] == "media" for x in items) == len(re.findall(r"(?i)<(?:img|audio|video)\b", bare))
+        plain = unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)</?(?:p|div|h\d|ul|ol|li|br|hr|article|section|main|header|footer|nav|aside|table|tr|td|th|title|body|blockquote|pre|figure|figcaption)\b[^>]*>", " ", bare)))
+        said = " ".join(x["text"] for x in items if x["kind"] == "text")
+        assert said.split() == plain.split()
