@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .centroids import KMeans, clustered
 from .collocations import Collocations, collocations
 from .langid import held_out, identify, train
-from .licenses import scan_licenses
+from .licenses import PHRASES, TEMPLATES, bytes_words, scan_licenses
 from .linededup import LinePlan, dedup_lines
 from .media import parse_sequences, text_media
 from .minhash import MinHashPlan, near_duplicates
@@ -206,6 +207,33 @@ def quality_sql() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, dup_line_share, {', '.join(f'dup_{n}_gram_share' for n in sorted(rules.ngram_share))}, reason from judged"""
 
 
+def licenses_sql(threshold: float = 0.8) -> str:
+    """Every window of word pairs that begins with a pair of a template, held against it."""
+    listed = []
+    for t, x in enumerate(TEMPLATES):
+        words = [w.decode() for w in bytes_words(x.text)]
+        size = len(set(zip(words, words[1:], strict=False)))
+        listed.append(f"({t}, '{x.label}', [{', '.join(f"'{w}'" for w in words)}], {size}, {max(1, math.ceil(threshold * size - 1e-9))}, {math.ceil((len(words) - 1) / threshold - 1e-9)})")
+    phrases = ", ".join(f"('{label}', [{', '.join(f"'{w}'" for w in p.split())}])" for label, p in PHRASES)
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""with docs as (select row_number() over () as rid, doc_id, {words} as w from documents),
+    templates as (select * from (values {', '.join(listed)}) v(t, label, tw, size, need, width)), phrases as (select * from (values {phrases}) v(label, pw)),
+    own as (select distinct t, tw[i] || ' ' || tw[i + 1] as k from (select t, tw, unnest(range(1, len(tw))) as i from templates)),
+    hits as (select rid, t, i, k from (select rid, i, w[i] || ' ' || w[i + 1] as k from (select rid, w, unnest(range(1, len(w))) as i from docs)) join own using (k)),
+    windows as (select a.rid, a.t, a.i, count(distinct b.k) as n, max(b.i) as last from hits a join templates x on x.t = a.t join hits b on b.rid = a.rid and b.t = a.t and b.i >= a.i and b.i < a.i + x.width group by a.rid, a.t, a.i, x.need having count(distinct b.k) >= x.need),
+    parted as (select *, sum(begins) over (partition by rid, t order by i) as part from (select *, case when i > coalesce(max(last) over (partition by rid, t order by i rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as begins from windows)),
+    best as (select p.*, x.label, x.size from parted p join templates x using (t) qualify row_number() over (partition by rid, t, part order by n desc, last - i, i) = 1),
+    notices as (select m.* from best m where not exists (select 1 from best b where b.rid = m.rid and 2 * (least(m.last, b.last) - greatest(m.i, b.i) + 1) > least(m.last - m.i, b.last - b.i) + 1
+        and (b.n * m.size > m.n * b.size or b.n * m.size = m.n * b.size and (b.n > m.n or b.n = m.n and (b.t < m.t or b.t = m.t and b.i < m.i))))),
+    places as (select rid, label, i from (select rid, w, label, pw, unnest(range(1, len(w) - len(pw) + 2)) as i from docs, phrases) where list_slice(w, i, i + len(pw) - 1) = pw),
+    base as (select rid, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word, string_agg(distinct label, ',' order by label) as base_labels from places group by rid),
+    more as (select rid, string_agg(distinct label, ',' order by label) as labels from (select rid, label from places union all select rid, label from notices) group by rid),
+    met as (select rid, count(*) as n_notices, max(n::double / size) as score from notices group by rid)
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+        case when n_base > 0 then 1.0::double else coalesce(score, 0.0::double) end as score, cast(coalesce(n_notices, 0) as bigint) as n_notices
+    from docs left join base using (rid) left join more using (rid) left join met using (rid)"""
+
+
 def clusters_sql(dims: int = 64, k: int = 8, rounds: int = 10) -> str:
     """Every vector against every centroid, round after round."""
     distance = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.p[i] - c.p[i]) * (v.p[i] - c.p[i])))"
@@ -256,4 +284,4 @@ def collocations_sql(longest: int = 5, least: int = 100, contained: int = 100, f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op10_repetition_quality": quality_sql(), "op11_kd_tree_clusters": clusters_sql(), "op12_positional_index": contamination_sql(), "op13_phrase_collocations": collocations_sql()}
+    return {"op1_bbit_minhash": near_duplicates_sql(), "op5_hierarchical_mix": mix_sql() + " select doc_id, domain, language, origin, tokens, epoch from taken", "op9_license_scan": licenses_sql(), "op10_repetition_quality": quality_sql(), "op11_kd_tree_clusters": clusters_sql(), "op12_positional_index": contamination_sql(), "op13_phrase_collocations": collocations_sql()}
