@@ -427,12 +427,12 @@ def leak_gate_summary(spark, sf_dir):
     return R.leaks(table(spark, sf_dir, "documents"), LEAK_TERMS, "doc_id").groupBy("term").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("docs"), F.sum("n").alias("hits"))
 
 
-@query("""with terms as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) as term from benchmark),
+@query("""with terms as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) as term from benchmark),
 lines as (select doc_id, cast(unnest(range(1, len(string_split(text, chr(10))) + 1)) as int) as line, lower(unnest(string_split(text, chr(10)))) as content from documents where text is not null)
 select doc_id, line, term, cast((length(content) - length(replace(content, lower(term), ''))) / length(term) as int) as n from lines, terms where contains(content, lower(term))""")
 def leak_scan_table(spark, sf_dir):
     """Terms from a table: the benchmark's long words."""
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), F.lit(0))).alias("term"))
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("term"))
     return R.leaks(table(spark, sf_dir, "documents"), terms, "doc_id")
 
 
