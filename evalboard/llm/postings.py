@@ -5,7 +5,7 @@ so nothing is shuffled and a term's list lies together in each segment. A docume
 
 Search: test items are cut into distinct windows of consecutive words. A window's terms are ranked by the length of their lists in the index, and lists are intersected from the rarest on:
 places of the rarest term, less its offset, are possible starts; these are joined with the list of the second term at the offset between them; what is left is joined with the lists of all
-other terms at once. With `slack` a term may stand so many places before or after its own (a proximity match); without, matches are exact phrases.
+other terms at once. Exact phrases are matches with every term in its own place. Proximity matches are those in which a term may stand up to `slack` places before or after its own, as told from the rarest term.
 
 Joins are on (document, term, position), so no key is hot but the rarest term's in the first one, whose side of windows is small; Spark splits that join if it isn't.
 The lists of the last step hold the commonest words; they are first reduced to documents that still have a start, by a table of 2**20 hash buckets at most.
@@ -100,6 +100,7 @@ def ranked(found: Windows, postings: DataFrame) -> DataFrame:
 
 
 _DOCUMENT = ("doc", "key")
+_START = (*_DOCUMENT, "wid", "start")
 
 
 def _keyed(postings: DataFrame) -> DataFrame:
@@ -110,14 +111,12 @@ def _needed(starts: DataFrame, lists: DataFrame, slack: int) -> DataFrame:
     """Where the lists' terms must stand for the starts to hold."""
     rows = starts.join(_sent(lists, F.lit(48)), "wid")
     place = F.col("start") + F.col("offset")
-    if slack:
-        rows = rows.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack))))
-        place = place + F.col("shift")
-    return rows.select(*_DOCUMENT, "wid", "start", "rank", "term", place.alias("pos"))
+    shifted = rows.withColumn("shift", F.explode(F.sequence(F.lit(-slack), F.lit(slack)))) if slack else rows.withColumn("shift", F.lit(0))
+    return shifted.select(*starts.columns, "rank", "term", "shift", (place + F.col("shift")).alias("pos"))
 
 
 def matches(postings: DataFrame, lists: DataFrame, slack: int = 0) -> DataFrame:
-    """doc, key, wid and start of every match, written; start is where the window's first word stands, or would stand by the place of its rarest word."""
+    """doc, key, wid, start and exact of every match, written; start is where the window's first word stands, or would stand by the place of its rarest word; exact: every word is in its place."""
     if not 0 <= slack <= 8:
         raise ValueError("slack is 0 to 8")
     places = _keyed(postings)
@@ -129,19 +128,20 @@ def matches(postings: DataFrame, lists: DataFrame, slack: int = 0) -> DataFrame:
     needed = _needed(starts, second.select("wid", "rank", "offset", "term"), slack)
     listed = places.join(_sent(second.select("term").distinct(), F.lit(16)), "term", "left_semi")
     alone = lists.filter("width = 1").select("wid")
-    one = starts.join(_sent(alone, F.lit(16)), "wid", "left_semi").select(*_DOCUMENT, "wid", "start")
-    both = needed.join(listed, [*_DOCUMENT, "term", "pos"]).select(*_DOCUMENT, "wid", "start").distinct()
-    kept = written(one.distinct().unionByName(both), "two-terms")
+    one = starts.join(_sent(alone, F.lit(16)), "wid", "left_semi").select(*_START, F.lit(True).alias("exact")).distinct()
+    both = needed.join(listed, [*_DOCUMENT, "term", "pos"]).groupBy(*_START).agg(F.bool_or(F.col("shift") == 0).alias("exact"))
+    kept = written(one.unionByName(both), "two-terms")
     rest = lists.filter("rank > 1")
     bucket = F.pmod(F.xxhash64(*_DOCUMENT), F.lit(BUCKETS)).cast("int").alias("bucket")
     open_buckets = kept.select(bucket).distinct()  # BUCKETS rows at most
     needed = _needed(kept, rest.select("wid", "rank", "offset", "term"), slack)
     listed = places.join(F.broadcast(open_buckets), bucket == F.col("bucket"), "left_semi").join(_sent(rest.select("term").distinct(), F.lit(16)), "term", "left_semi")
-    seen = needed.join(listed, [*_DOCUMENT, "term", "pos"]).groupBy(*_DOCUMENT, "wid", "start").agg(F.bit_or(F.expr("shiftleft(1L, rank)")).alias("seen"))
+    bit = F.expr("shiftleft(1L, rank)")
+    seen = needed.join(listed, [*_DOCUMENT, "term", "pos"]).groupBy(*_START, "exact").agg(F.bit_or(bit).alias("seen"), F.bit_or(F.when(F.col("shift") == 0, bit).otherwise(F.lit(0).cast("long"))).alias("in_place"))
     width = lists.filter("rank = 0").select("wid", "width")
-    full = seen.join(_sent(width, F.lit(32)), "wid").filter(F.bit_count("seen") == F.col("width") - 2)
+    full = seen.join(_sent(width, F.lit(32)), "wid").filter(F.bit_count("seen") == F.col("width") - 2).withColumn("exact", F.col("exact") & (F.bit_count("in_place") == F.col("width") - 2))
     short = kept.join(_sent(width.filter("width <= 2"), F.lit(32)), "wid", "left_semi")
-    out = written(full.select(*_DOCUMENT, "wid", "start").unionByName(short.select(*_DOCUMENT, "wid", "start")), "matches")
+    out = written(full.select(*_START, "exact").unionByName(short.select(*_START, "exact")), "matches")
     free(starts, kept)
     return out
 
@@ -155,7 +155,7 @@ def covered(spans: Column) -> Column:
 
 @dataclass(frozen=True)
 class Contamination:
-    """What is found: `documents`, one row each, and `matches` (doc, key, wid, start) with the windows they are of."""
+    """What is found: `documents`, one row each, and `matches` (doc, key, wid, start, exact) with the windows they are of."""
 
     documents: DataFrame
     matches: DataFrame
@@ -163,7 +163,7 @@ class Contamination:
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Contamination:
-    """doc_id, n_words, n_hit (words in a match), n_items (items with a match), items_sha256 and contaminated of each document.
+    """doc_id, n_words, n_hit (words in an exact match), n_items (items with one), items_sha256, contaminated (n_hit > 0) and n_near (items with an exact or proximity match) of each document.
 
     width: words of a window, 62 at most.
     """
@@ -173,17 +173,17 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int
     postings = index(docs, cut.terms, id_col, text_col)
     lists = ranked(cut, postings)
     found = matches(postings, lists, slack)
-    sized = found.join(_sent(lists.filter("rank = 0").select("wid", "width"), F.lit(32)), "wid")
+    sized = found.filter("exact").join(_sent(lists.filter("rank = 0").select("wid", "width"), F.lit(32)), "wid")
     spans = sized.groupBy(*_DOCUMENT, "start").agg(F.max(F.col("start") + F.col("width")).alias("after"))
     # A document has a span for each of its words at most, and an id for each item at most.
-    hits = spans.groupBy(*_DOCUMENT).agg(covered(F.collect_list(F.struct(F.greatest("start", F.lit(0)).cast("long").alias("first"), F.col("after").cast("long").alias("after")))).alias("n_hit"))
-    of = found.select(*_DOCUMENT, "wid").distinct().join(_sent(cut.of, F.octet_length("item_id") + 32), "wid")
-    ids = of.groupBy(*_DOCUMENT).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    told = hits.join(ids, list(_DOCUMENT))
+    hits = spans.groupBy(*_DOCUMENT).agg(covered(F.collect_list(F.struct(F.col("start").cast("long").alias("first"), F.col("after").cast("long").alias("after")))).alias("n_hit"))
+    of = found.groupBy(*_DOCUMENT, "wid").agg(F.bool_or("exact").alias("exact")).join(_sent(cut.of, F.octet_length("item_id") + 32), "wid")
+    ids = of.groupBy(*_DOCUMENT).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("ids"), F.count_distinct("item_id").alias("n_near"))
+    told = ids.join(hits, list(_DOCUMENT), "left")
     every = postings.filter(F.col("term") == END).select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc"), "key", F.col("pos").cast("long").alias("n_words"))
-    n_hit = F.least(F.coalesce("n_hit", F.lit(0).cast("long")), F.col("n_words"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = every.join(told, list(_DOCUMENT), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
     return Contamination(out, found, cut)

@@ -117,7 +117,7 @@ def op11_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).documents
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slack=1).documents
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,8 +253,8 @@ def clusters_sql(dims: int = 64, k: int = 8, rounds: int = 10) -> str:
     from a{rounds} a join v using (rid) join c{rounds} c on c.c = a.c join sums s on s.c = a.c"""
 
 
-def contamination_sql(width: int = 10) -> str:
-    """Every run of a document's words that is as long as some window, held against all windows."""
+def contamination_sql(width: int = 10, slack: int = 1) -> str:
+    """Every run of a document's words that is as long as some window, held against all windows; proximity from every place of each window's rarest word."""
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""with docs as (select row_number() over () as rid, doc_id, {words} as w from documents),
     items as (select coalesce(cast(item_id as varchar), '') as item_id, {words} as w from benchmark),
@@ -262,9 +262,16 @@ def contamination_sql(width: int = 10) -> str:
     runs as (select rid, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') as k from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as s from docs, (select distinct size from windows))),
     found as (select distinct rid, s, size, item_id from runs join windows using (size, k)),
     hits as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(s, s + size)) from (select distinct rid, s, size from found)) group by rid),
+    cut as (select row_number() over () as wid, size, string_split(k, ' ') as w from (select distinct size, k from windows)), placed as (select wid, size, unnest(range(size)) as o, unnest(w) as term from cut),
+    tokens as (select rid, unnest(range(len(w))) as pos, unnest(w) as term from docs), often as (select term, count(*) as n from tokens group by term),
+    ranked as (select p.*, n, row_number() over (partition by wid order by n, o) as turn, count(n) over (partition by wid) as there from placed p left join often using (term)),
+    anchored as (select distinct rid, wid, size, pos - o as start from ranked join tokens using (term) where turn = 1 and there = size),
+    close as (select a.rid, a.wid from anchored a left join ranked r on r.wid = a.wid and r.turn > 1 left join tokens t on t.rid = a.rid and t.term = r.term and t.pos between a.start + r.o - {slack} and a.start + r.o + {slack}
+        group by a.rid, a.wid, a.start, a.size having count(distinct case when t.pos is not null then r.o end) = a.size - 1),
+    near as (select rid, count(distinct item_id) as n_near from (select distinct rid, wid from close) join cut using (wid) join windows v on v.size = cut.size and v.k = array_to_string(cut.w, ' ') group by rid),
     of as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from found) group by rid)
-    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-    from docs left join hits using (rid) left join of using (rid)"""
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near
+    from docs left join hits using (rid) left join of using (rid) left join near using (rid)"""
 
 
 def collocations_sql(longest: int = 5, least: int = 100, contained: int = 100, first: int = 2000) -> str:

@@ -38,7 +38,7 @@ def plain(docs, items, width=10, slack=0):
 def found(spark, docs, items, **more):
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, item_id string, pos int")
     b = spark.createDataFrame(items, ITEMS)
-    rows = contamination(d, b, **more).documents.collect()
+    rows = contamination(d, b, **more).documents.drop("n_near").collect()
     return sorted((tuple(r) for r in rows), key=repr)
 
 
@@ -110,5 +110,8 @@ def test_proximity(spark, slack):
     result = contamination(d, spark.createDataFrame([(1, item)], ITEMS), width=6, slack=slack)
     got = {(r["doc"], r["start"]) for r in result.matches.collect()}
     assert got == near(docs, words(item), slack)
-    flagged = {r["doc_id"] for r in result.documents.filter("contaminated").collect()}
-    assert 1 in flagged and (2 in flagged) == (slack > 0) and (3 in flagged) == (slack > 0) and 4 not in flagged
+    assert {(r["doc"], r["start"]) for r in result.matches.filter("exact").collect()} == near(docs, words(item), 0)
+    exact = {r["doc_id"] for r in result.documents.filter("contaminated").collect()}
+    assert exact == {i for i, _ in near(docs, words(item), 0)}
+    flagged = {r["doc_id"] for r in result.documents.filter("n_near > 0").collect()}
+    assert exact <= flagged and 1 in flagged and (2 in flagged) == (slack > 0) and (3 in flagged or slack < 2) and 4 not in flagged
