@@ -15,7 +15,7 @@ from evalboard.llm.minhash import MinHashPlan, near_duplicates
 from evalboard.llm.mixing import mix
 from evalboard.llm.packing import pack_documents
 from evalboard.llm.queries import LINES, tokenizer, tree_plan
-from evalboard.llm.runtime import written
+from evalboard.llm.runtime import free, written
 
 #: A document goes if less than this share of its letters is in its main language.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that come of the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        free(*read)  # nothing reads the table before this one any more
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
