@@ -94,7 +94,7 @@ def table_rows(shown: DataFrame) -> DataFrame:
 def table_html(shown: DataFrame, place: str = "place") -> DataFrame:
     """(group_ord, place, html) of the whole table, to be read in that order: a heading before each group that has rows, then its rows by `place`."""
     headings = shown.select("group_ord", "group_title").distinct()
-    made = headings.select("group_ord", F.lit(0).cast("long").alias(place), F.concat(F.lit(f'<tr class="group"><th colspan="{SHOWN_COLUMNS}">'), html(F.col("group_title")), F.lit("</th></tr>")).alias("html"))
+    made = headings.select("group_ord", F.lit(0).cast("long").alias(place), F.concat(F.lit(f'<tr class="group"><th scope="colgroup" colspan="{SHOWN_COLUMNS}">'), html(F.col("group_title")), F.lit("</th></tr>")).alias("html"))
     rows = table_rows(shown).join(shown.select("line", F.col(place).cast("long").alias(place)), "line").select("group_ord", place, "html")
     return made.unionByName(rows)
 
@@ -112,4 +112,4 @@ SELF_REPORTED = "Reported by its authors; not repeated yet"
 
 def empty_row(columns: int = SHOWN_COLUMNS) -> str:
     """What the table shows where no row passes the filters."""
-    return f'<tr><td colspan="{columns}">No row passes these filters.</td></tr>'
+    return f'<tr><td colspan="{columns}" class="empty">No row passes these filters.</td></tr>'
