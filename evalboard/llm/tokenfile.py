@@ -152,10 +152,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
             yield segment()
 
     # Texts stay where they are; ids are dealt out, two bytes each, by id and then by what tells rows of one id apart, so an id of many rows spans many tasks.
-    table = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encoded), "doc_id long, ids binary"), "encoded")
+    table = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(encoded), "doc_id long, ids binary"), "encoded", "zstd")
     order = ["doc_id", "_hash", "_row"]
     rows = table.withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.select("doc_id", "ids").mapInArrow(lean(run), "part long, before long, n_ids long, segment binary").write.parquet(path)
+    rows.select("doc_id", "ids").mapInArrow(lean(run), "part long, before long, n_ids long, segment binary").write.option("compression", "zstd").parquet(path)
     free(table)
 
 
