@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks
-from .runtime import lean, workers_find_package, written
+from .runtime import lean, sweep, workers_find_package, written
 
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -50,7 +50,7 @@ def png(payload: bytes) -> bytes:
     """A lossless 8-bit greyscale image of a payload whose length is a positive multiple of 192."""
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)  # a filter byte 0 leads each row
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return _SIGNATURE + _part(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _part(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _part(b"IEND", b"")
+    return _SIGNATURE + _part(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _part(b"IEND", b"")
 
 
 def samples(image: bytes) -> np.ndarray:
@@ -300,17 +300,19 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 number += c.n
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(texts.mapInArrow(lean(run), "row long, doc_id long, n_bytes long, html string, media array<struct<digest:string,image:binary>>"), "media")
+    return written(texts.mapInArrow(lean(run), "row long, doc_id long, n_bytes long, html string, media array<struct<digest:string,image:binary>>"), "media", "zstd")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """A row for each document: the facts of its payload as read back from the store, its place in the page and its caption, and the page's texts and the facts of its other image in order."""
     store = store_texts(docs)
     images = store.select(F.explode("media").alias("m")).select("m.digest", "m.image").filter("image is not null")
-    payloads = written(per_payload(images, FACTS, facts), "payloads")
+    payloads = written(per_payload(images, FACTS, facts), "payloads", "zstd")
+    sweep(docs.sparkSession)  # the shuffle files of the facts go
     pages = store.select(F.struct("row", "doc_id", "n_bytes").alias("id"), "html")
-    sequences = written(parse_sequences(pages, "id"), "sequences")
-    items = sequences_of(resolve(sequences, "id", payloads), sequences, "id")
+    sequences = written(parse_sequences(pages, "id"), "sequences", "zstd")
+    bare = sequences.withColumn("items", F.transform("items", lambda x: x.dropFields("digest")))  # payloads stand for their digests
+    items = sequences_of(resolve(sequences, "id", payloads), bare, "id")
     shown = F.filter("items", lambda x: x["kind"] == "media")
     texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
     rows = items.select("id", shown[0].alias("main"), shown[1].alias("small"), F.size("items").alias("n_items"), texts.alias("texts"))
