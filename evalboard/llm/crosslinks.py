@@ -27,6 +27,8 @@ from .runtime import free, lean, sweep, workers_find_package, written
 DIRECT = 32
 #: Members of the largest component that all others are held against in a round, and the rounds.
 SAMPLES, ROUNDS = 8, 1
+#: Keys whose members meet are worked on in so many parts, one after the other: their shuffle files then take less disk at once.
+PARTS = 3
 BUCKET_BITS = 20
 
 
@@ -81,7 +83,9 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
     """
 
     def labelled() -> DataFrame:
-        return written(_open(members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))), f"{name}-open")
+        rows = written(_open(members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("component"))), f"{name}-open", "zstd")
+        sweep(members.sparkSession)
+        return rows
 
     def joined(pairs: DataFrame) -> DataFrame:
         links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -101,29 +105,34 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         central = open_rows.filter("component = main").join(degree, "node").groupBy("key", lot).agg(F.max_by("node", F.struct("degree", "node")).alias("central")).select("key", "central")
         pairs = open_rows.filter("component != main").join(central, "key").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
         sampled = written(ordered(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(near("x", "y"))).distinct(), f"{name}-sampled")
+        sweep(members.sparkSession)
         before, found = found, joined(sampled)
         free(open_rows, sampled, before)
         sweep(members.sparkSession)
 
     open_rows = labelled()
-    sweep(members.sparkSession)
     temporary, meeting = [open_rows], [open_rows.filter(F.col("others") <= DIRECT)]
     wide = open_rows.filter(F.col("others") > DIRECT)
     if not wide.isEmpty():
         nodes = written(wide.select("node", "component").distinct(), f"{name}-wide")
-        sets = written(sets_of(nodes.select("node")), f"{name}-sets")
+        sets = written(sets_of(nodes.select("node")), f"{name}-sets", "zstd")
+        sweep(members.sparkSession)
         rows = _open(rare_keys(sets).join(nodes, "node").withColumn("role", F.lit(0).cast("byte")))
-        meeting.append(rows.select(*open_rows.columns))
-        temporary += [nodes, sets]
+        meeting.append(written(rows.select(*open_rows.columns), f"{name}-rare", "zstd"))
+        free(nodes, sets)
+        temporary.append(meeting[-1])
+        sweep(members.sparkSession)
     crossing = []
     for rows in meeting:  # one after the other, as each needs disk
-        full = written(rows.join(attributes, "node"), f"{name}-members")
+        full = written(rows.join(attributes, "node"), f"{name}-members", "zstd")
         sweep(members.sparkSession)
-        x, y = full.filter("component != main").alias("x"), full.alias("y")
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        crossing.append(written(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))).distinct(), f"{name}-across"))
+        for part in range(PARTS):
+            mine = full.filter(F.pmod("key", F.lit(PARTS)) == part)
+            x, y = mine.filter("component != main").alias("x"), mine.alias("y")
+            crossing.append(written(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))).distinct(), f"{name}-across"))
+            sweep(members.sparkSession)
         free(full)
-        sweep(members.sparkSession)
     across = reduce(DataFrame.union, crossing).distinct()
     out = joined(across)
     free(*temporary, *crossing, found, degree)

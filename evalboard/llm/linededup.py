@@ -224,8 +224,8 @@ def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, text_hash long, line int, node long")
 
 
-def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
-    """node and body of each line that is long enough; lines equal within a chunk come once."""
+def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
+    """node and body of each line that is long enough and whose node is of the part (by its remainder); lines equal within a chunk come once."""
     workers_find_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +233,8 @@ def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataF
             for c in chunks(batch.column(0)):
                 first, last, _, _, node = _lines(c, plan)
                 node, one = np.unique(node, return_index=True)
+                mine = node % np.uint64(parts) == part
+                node, one = node[mine], one[mine]
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node.view(np.int64)), "body": pa.array([c.data[a:b].tobytes() for a, b in zip(first[one], last[one], strict=True)], pa.binary())})
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node long, body binary")
@@ -445,7 +447,7 @@ def alike(left: pa.Array, right: pa.Array, plan: LinePlan) -> np.ndarray:
     return close
 
 
-#: Keys are summed up in so many parts, one after the other: their shuffle files then take less disk at once.
+#: Keys are summed up, and lines gathered, in so many parts, one after the other: their shuffle files then take less disk at once.
 KEY_PARTS = 3
 
 
@@ -458,17 +460,24 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
         mine = keyed.filter(F.pmod("key", F.lit(KEY_PARTS)) == part)
         ends = mine.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("last"))
         shared.append(written(ends.filter((F.col("first") != F.col("last")) & (F.col("first") < PROBE)).select("key", "first"), "shared"))
+        del ends
+        sweep(spark)
         others = mine.join(shared[part].hint("shuffle_hash"), "key").filter("member != first")  # a row for each key is held
         hits.append(written(others.select("key", F.col("member").bitwiseAND(F.lit(PROBE - 1)).alias("node"), F.shiftright("member", 62).cast("byte").alias("role"), "first").distinct(), "hits"))
-        del mine, ends, others
+        del mine, others
         sweep(spark)
     free(keyed)
     settle(spark)
     temporary = [*shared, *hits]
     shared, hits = reduce(DataFrame.union, shared), reduce(DataFrame.union, hits)
     wanted = written(hits.select("node").union(shared.select(F.col("first").alias("node"))).distinct(), "wanted")
-    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines")
     sweep(spark)
+    gathered = []
+    for part in range(KEY_PARTS):
+        mine = wanted.filter(F.pmod("node", F.lit(KEY_PARTS)) == part)
+        gathered.append(written(bitmaps(line_texts(docs, plan, text_col, part, KEY_PARTS).join(mine.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines", "zstd"))
+        sweep(spark)
+    bodies = reduce(DataFrame.union, gathered)
     bits = bodies.drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +490,9 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
 
     stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
     stars = written(stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", plan)).select("a", "b"), "stars")
+    sweep(spark)
     links = written(verified(stars), "links")
+    sweep(spark)
     found = components(links)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -490,7 +501,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
     settle(spark)
     # The first of each key has been held against all others.
     out = link_across(hits.select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
-    free(*temporary, wanted, bodies, stars, links)
+    free(*temporary, *gathered, wanted, stars, links)
     sweep(spark)
     return out
 

@@ -44,11 +44,11 @@ LINES = LinePlan(edits=2, min_bytes=24, equal_short=True, words_per_edit=10)
 
 
 def op2_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("whole"), "text")
+    whole = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", F.size(F.split(whole, "\n", -1)).cast("long").alias("n_lines"), F.octet_length(whole).alias("n_bytes"), "text")
     cleaned = dedup_lines(docs, LINES)
-    lines = [F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)) for c in ("whole", "text")]
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    return cleaned.select("doc_id", lines[0].cast("long").alias("n_lines"), F.octet_length(body).cast("long").alias("kept_bytes"), F.crc32(body).alias("kept_crc32"), (F.octet_length(F.coalesce("whole", F.lit(""))) - F.octet_length(body)).cast("long").alias("dropped_bytes"))
+    body = whole.cast("binary")
+    return cleaned.select("doc_id", "n_lines", F.octet_length(body).cast("long").alias("kept_bytes"), F.crc32(body).alias("kept_crc32"), (F.col("n_bytes") - F.octet_length(body)).cast("long").alias("dropped_bytes"))
 
 
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,3 +266,17 @@ def test_odd_rows(odd, empty):
     assert out.count() == odd.count() and out.columns == odd.columns and L.dedup_lines(empty).count() == 0
     with pytest.raises(ValueError):
         L.LinePlan(edits=5, min_bytes=5)
+
+
+def test_lines_by_parts_and_texts_shuffled_once(spark, odd, monkeypatch):
+    whole = {r["node"]: bytes(r["body"]) for r in L.line_texts(odd, LINES).collect()}
+    parts = [{r["node"]: bytes(r["body"]) for r in L.line_texts(odd, LINES, "text", k, 3).collect()} for k in range(3)]
+    assert sum(map(len, parts)) == len(whole) and {k: v for p in parts for k, v in p.items()} == whole
+    from evalboard.llm import queries
+
+    given = []
+    monkeypatch.setattr(queries, "documents", lambda *_: odd)
+    monkeypatch.setattr(queries, "dedup_lines", lambda docs, plan: given.append(docs) or docs)
+    rows = queries.op2_segment_line_dedup(spark, "").collect()
+    assert [c for c, kind in given[0].dtypes if kind == "string"] == ["text"]
+    assert len(rows) == odd.count() and all(r["dropped_bytes"] == 0 for r in rows)
