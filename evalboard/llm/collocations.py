@@ -1,14 +1,13 @@
-"""Phrase collocation mining: sketch, automata, exact counts, thresholds.
+"""Phrase collocation mining: sketch, exact counts of candidates, thresholds.
 
 1. Sketch. Each task hashes the phrases of its texts (one, two and three words) into cells and counts them; counts of cells are summed over tasks, block by block of 65536 cells, and cut at the threshold,
    so a cell's count is an upper bound of each of its phrases'. Cells that reach the threshold are kept as a bitmap. A phrase's bound is the least of its own and its parts', so longer phrases need no cells.
-2. Candidates. Phrases whose bound reaches the threshold are written out, each once.
-3. Counts. Candidates are dealt into shards of bounded size by hash; a shard is compiled into one Aho-Corasick automaton for each language, in which every phrase has a space at either end. Texts become lower-cased words with
-   one space between them and a line end between pieces, so a match is a phrase at word borders within a piece, and matches may overlap. Tasks count all matches in their texts, and the counts are summed.
-   A shard means one pass over the texts.
-4. Thresholds on the exact counts, scores by integer arithmetic in 38 digits, and the first phrases of each language.
+2. Counts. A phrase whose bound reaches the threshold is a candidate, and so at all of its places. Tasks count candidates by a 64-bit hash of language and words and pass each on with its count, by text; these are summed.
+   Both steps are one pass over the texts each, whatever the number of candidates.
+3. Thresholds on the exact counts, scores by integer arithmetic in 38 digits, and the first phrases of each language.
 
-A false candidate costs a place in an automaton, no more; a phrase over the threshold is always a candidate. What reaches the driver is the bitmap (a bit for each cell, 2**30 at most) and one shard at a time.
+A false candidate costs a row that is dropped after the sums; a phrase over the threshold is always a candidate. What reaches the driver is the bitmap (a bit for each cell, 2**30 at most).
+Two phrases that one task meets between two flushes share a hash with probability below 2**-26.
 
 Defined cases: null and empty texts have no words; a null language is `und`; repeated rows count each time, ids are not read; long texts are read whole; ties in rank go to the more frequent phrase, then to the one
 that sorts first by bytes; an empty table gives an empty result; columns other than text and language are not read.
@@ -16,12 +15,9 @@ that sorts first by bytes; an empty table gives an empty result; columns other t
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,15 +42,15 @@ LOTS = 16
 PIECE_BYTES = 1 << 21
 #: Languages whose totals are broadcast; of more, Spark chooses the join.
 MOST_LANGUAGES_SENT = 1 << 16
-#: Phrases that a task remembers having passed on.
-REMEMBERED = 1 << 21
-#: Tasks for each core in the two scans whose tasks pass on every candidate they meet: longer tasks meet it again and pass on less.
+#: Candidates that a task counts before it passes their counts on.
+REMEMBERED = 1 << 19
+#: Tasks for each core in the scan whose tasks pass on every candidate they meet: longer tasks meet it again and pass on less.
 TASKS_PER_CORE = 2
 
 
 @dataclass(frozen=True)
 class Collocations:
-    """longest: words of a phrase; sketched: sizes that have cells; shard_chars: characters of the phrases of one automaton; contained: percent of a phrase's count at which a longer one replaces it."""
+    """longest: words of a phrase; sketched: sizes that have cells; shard_chars: without effect, as candidates are counted in one pass; contained: percent of a phrase's count at which a longer one replaces it."""
 
     longest: int = 5
     least: int = 100
@@ -157,11 +153,12 @@ def heavy_cells(texts: DataFrame, cells: int, plan: Collocations) -> np.ndarray:
     n_parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells // BLOCK // 64)
     lots = merged(rows, ["block", F.pmod(F.spark_partition_id(), F.lit(LOTS))], n_parts, most)
     bits = np.zeros(cells // 8, np.uint8)
-    found = merged(lots, ["block"], n_parts, most, heavy_only=True).select("block", "cells")
+    found = written(merged(lots, ["block"], n_parts, most, heavy_only=True).select("block", "cells"), "cells")  # else the driver would compute one partition after the other
     for block, at in found.toLocalIterator():  # one partition at a time; a bit for each cell is kept
         flags = np.zeros(BLOCK, bool)
         flags[np.frombuffer(at, np.uint16)] = True
         bits[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.packbits(flags, bitorder="little")
+    free(found)
     return bits
 
 
@@ -184,12 +181,47 @@ def likely(words: np.ndarray, piece: np.ndarray, seed: np.ndarray, bits: np.ndar
         yield n, keys, at
 
 
-def candidates(texts: DataFrame, bits: np.ndarray, cells: int, plan: Collocations) -> DataFrame:
-    """lang, phrase and id of each candidate, and one row without a phrase for each language, with its number of words; written."""
+class Tally:
+    """Counts of candidates by hash, with the language and text of each, in the order in which they were first met."""
+
+    def __init__(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by key
+        self.counts = np.zeros(0, np.int64)
+        self.langs: list[str] = []
+        self.phrases: list[bytes] = []
+
+    def add(self, keys: np.ndarray, at: np.ndarray, text: Callable[[int], tuple[str, bytes]]) -> None:
+        """keys of places `at`; text gives language and phrase of a place."""
+        keys, index, n = np.unique(keys, return_index=True, return_counts=True)
+        place = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        old[inside] = self.keys[place[inside]] == keys[inside]
+        self.counts[self.slots[place[old]]] += n[old]
+        new = ~old
+        if new.any():
+            slots = len(self.phrases) + np.arange(int(new.sum()))
+            for i in at[index[new]].tolist():
+                lang, phrase = text(i)
+                self.langs.append(lang)
+                self.phrases.append(phrase)
+            self.counts = np.concatenate([self.counts, n[new]])
+            self.slots = np.insert(self.slots, place[new], slots)
+            self.keys = np.insert(self.keys, place[new], keys[new])
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.langs, pa.string()), pa.array(self.phrases, pa.binary()).cast(pa.string()), pa.array(self.counts)], ["lang", "phrase", "n"])
+
+
+def phrase_counts(texts: DataFrame, bits: np.ndarray, cells: int, plan: Collocations) -> DataFrame:
+    """lang, phrase and n, how often it occurs, of each phrase that reaches the threshold, and one row without a phrase for each language, with its number of words; written.
+
+    Whether a phrase is a candidate depends on cells alone, so all of its places are counted or none is.
+    """
     shipped = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, seen, totals = shipped.value, set(), {}
+        heavy, tallies, totals = shipped.value, [Tally() for _ in range(plan.longest)], {}
         for batch in batches:
             for c in chunks(batch.column(1), PIECE_BYTES):
                 c = c.lowered()
@@ -198,21 +230,16 @@ def candidates(texts: DataFrame, bits: np.ndarray, cells: int, plan: Collocation
                 lang = of[row]
                 for name, n in zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True):
                     totals[name] = totals.get(name, 0) + n
-                out_lang, out_phrase = [], []
                 for n, keys, at in likely(c.hashes(first, last), piece, seeds(names)[lang], heavy, cells, plan):
-                    keys, index = np.unique(keys, return_index=True)
-                    for key, i in zip(keys.tolist(), at[index].tolist(), strict=True):
-                        if key not in seen:
-                            seen.add(key)
-                            out_lang.append(names[lang[i]])
-                            out_phrase.append(b" ".join(c.data[first[j] : last[j]].tobytes() for j in range(i, i + n)))
-                if len(seen) > REMEMBERED:
-                    seen = set()
-                yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_phrase, pa.binary()).cast(pa.string()), pa.array(np.zeros(len(out_lang), np.int64))], ["lang", "phrase", "n"])
+                    tallies[n - 1].add(keys, at, lambda i, n=n: (names[lang[i]], b" ".join([c.data[first[j] : last[j]].tobytes() for j in range(i, i + n)])))  # noqa: B023
+                if sum(len(t.phrases) for t in tallies) > REMEMBERED:
+                    yield from (t.rows() for t in tallies)
+                    tallies = [Tally() for _ in range(plan.longest)]
+        yield from (t.rows() for t in tallies)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "n"])
 
     found = texts.mapInArrow(lean(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    out = written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
+    out = written(found.filter((F.col("n") >= plan.least) | F.col("phrase").isNull()), "phrases")
     shipped.unpersist()
     return out
 
@@ -231,71 +258,6 @@ def guarded(c: Chunk, first: np.ndarray, last: np.ndarray, piece: np.ndarray) ->
     return out.tobytes().decode("utf-8", "replace")
 
 
-_compiled: dict[str, dict] = {}
-
-
-def automata(token: str, shard: dict[str, tuple[list[str], np.ndarray]]) -> dict:
-    """An automaton for each language; a worker keeps those of the shard it last saw."""
-    if token not in _compiled:
-        _compiled.clear()
-        made = {}
-        for lang, (phrases, _) in shard.items():
-            machine = made[lang] = ahocorasick.Automaton()
-            for i, phrase in enumerate(phrases):
-                machine.add_word(f" {phrase} ", i)
-            machine.make_automaton()
-        _compiled[token] = made
-    return _compiled[token]
-
-
-def counted(texts: DataFrame, shard: dict[str, tuple[list[str], np.ndarray]]) -> DataFrame:
-    """id and n: how often each phrase of a shard stands in the texts of its language; written."""
-    shipped, token = texts.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
-        machines = automata(token, own)
-        total = {lang: np.zeros(len(ids), np.int64) for lang, (_, ids) in own.items()}
-        for batch in batches:
-            for c in chunks(batch.column(1), PIECE_BYTES):
-                c = c.lowered()
-                first, last, row, piece = words_of(c)
-                names, of = languages(batch.column(0), c)
-                lang = of[row]
-                for i, name in enumerate(names):
-                    if name in machines:
-                        mine = lang == i
-                        found = np.fromiter(map(itemgetter(1), machines[name].iter(guarded(c, first[mine], last[mine], piece[mine]))), np.int64)
-                        total[name] += np.bincount(found, minlength=len(total[name]))
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(own[lang][1][at]), pa.array(n[at])], ["id", "n"])
-
-    out = written(texts.mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "phrase-counts")
-    shipped.unpersist()
-    return out
-
-
-def phrase_counts(texts: DataFrame, found: DataFrame, plan: Collocations) -> DataFrame:
-    """lang, phrase and n of each candidate that reaches the threshold; written."""
-    phrases = found.filter("phrase is not null")
-    chars = phrases.agg(F.coalesce(F.sum(F.char_length("phrase") + 2), F.lit(0))).first()[0]
-    n_shards = -(-chars // plan.shard_chars) if chars else 0
-    counts = None
-    for i in range(n_shards):
-        own = phrases.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_shards)) == i).select("lang", "phrase", "id").toArrow()  # about shard_chars characters
-        langs = own.column("lang").combine_chunks().dictionary_encode()
-        shard = {}
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            rows = own.filter(pa.array(langs.indices.to_numpy(zero_copy_only=False) == k))
-            shard[lang] = (rows.column("phrase").to_pylist(), rows.column("id").to_numpy())
-        part = counted(texts, shard)
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return phrases.select("lang", "phrase", "n").limit(0)
-    return written(counts.filter(F.col("n") >= plan.least).join(phrases.drop("n"), "id").select("lang", "phrase", "n"), "phrases")
-
-
 def scored(counts: DataFrame, totals: DataFrame, plan: Collocations) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score, from exact counts (lang, phrase, n) of phrases of one word or more and the words of each language (lang, total)."""
     of = counts.withColumn("w", F.split("phrase", " ", -1)).withColumn("size", F.size("w"))
@@ -329,8 +291,8 @@ def collocations(docs: DataFrame, plan: Collocations | None = None, lang_col: st
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (max(size // BYTES_PER_CELL, 1) - 1).bit_length()))
     bits = heavy_cells(texts, cells, plan)
     longer = texts.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
-    found = candidates(longer, bits, cells, plan)
-    counts = phrase_counts(longer, found, plan)
+    found = phrase_counts(longer, bits, cells, plan)
+    counts = found.filter("phrase is not null")
     totals = found.filter("phrase is null").select("lang", F.col("n").alias("total"))
     out = written(scored(counts, totals, plan), "collocations")
     free(found)

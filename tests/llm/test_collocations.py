@@ -114,3 +114,15 @@ def test_empty_and_odd(spark, odd, empty):
     plan = C.Collocations(least=2)
     assert sorted(tuple(r) for r in C.collocations(odd, plan).collect()) == plain(docs, plan)
     assert C.collocations(odd.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+@pytest.mark.parametrize("remembered", [20, 1 << 19])
+def test_passes_do_not_grow_with_candidates(spark, monkeypatch, remembered):
+    docs, plan, passes = corpus(2), C.Collocations(least=4, shard_chars=400), []
+    given = table(spark, docs)
+    whole = type(given).mapInArrow
+    monkeypatch.setattr(C, "REMEMBERED", remembered, raising=False)
+    monkeypatch.setattr(type(given), "mapInArrow", lambda self, *a, **k: passes.append(1) or whole(self, *a, **k))
+    got = sorted(tuple(r) for r in C.collocations(given, plan).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+    assert got == plain(docs, plan)
+    assert len(passes) == 4  # two over the texts, two over cells
