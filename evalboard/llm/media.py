@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks
-from .runtime import lean, sweep, workers_find_package, written
+from .runtime import free, lean, sweep, workers_find_package, written
 
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -311,6 +311,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     sweep(docs.sparkSession)  # the shuffle files of the facts go
     pages = store.select(F.struct("row", "doc_id", "n_bytes").alias("id"), "html")
     sequences = written(parse_sequences(pages, "id"), "sequences", "zstd")
+    free(store)  # its images have been read back and its pages parsed
+    sweep(docs.sparkSession)
     bare = sequences.withColumn("items", F.transform("items", lambda x: x.dropFields("digest")))  # payloads stand for their digests
     items = sequences_of(resolve(sequences, "id", payloads), bare, "id")
     shown = F.filter("items", lambda x: x["kind"] == "media")

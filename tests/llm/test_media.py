@@ -113,3 +113,14 @@ def test_pages_against_plain_text(spark):
         plain = unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)</?(?:p|div|h\d|ul|ol|li|br|hr|article|section|main|header|footer|nav|aside|table|tr|td|th|title|body|blockquote|pre|figure|figcaption)\b[^>]*>", " ", bare)))
         said = " ".join(x["text"] for x in items if x["kind"] == "text")
         assert said.split() == plain.split()
+
+
+def test_stored_images_go_once_read_back(spark, monkeypatch):
+    kept = []
+    make = M.store_texts
+    monkeypatch.setattr(M, "store_texts", lambda docs: kept.append(make(docs)) or kept[-1])
+    from evalboard.llm import runtime
+
+    rows = M.text_media(documents(spark, ["a text", None, "a text"])).collect()
+    assert len(rows) == 3 and all(r["payload_bytes"] == 192 for r in rows)
+    assert kept[0]._evalboard_path not in runtime._written
