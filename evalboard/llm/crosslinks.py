@@ -4,7 +4,8 @@ Some links are known, so members of a key fall into components, and only pairs a
 that one's members, in rounds: those that share most keys with others, as copies with few changes do, of random parts of the members. That joins most of what belongs together. Then each is held against all members of the largest component, and the others against one another,
 if the others are few (DIRECT). Keys with more of them, such as those of boilerplate that many unlike texts share, are given up and their members are keyed anew by a rare-element prefix:
 elements are put in one order for all sets, rarest first, and two sets that can share enough must share one of the first elements of both (prefix filter).
-So no pair is lost, and unlike members of a large group meet only where they share something rare.
+So no pair is lost, and unlike members of a large group meet only where they share something rare. What two sets share stands at or behind their first common element in both, so with sizes a place in the order
+bounds the sizes a partner may have (positional filter); members that no other of their key can be linked with go before any meet.
 
 The order goes by counts of elements in 2**20 buckets of their hashes, a table of fixed size; counts that are only roughly right make longer lists, not other results.
 """
@@ -33,7 +34,7 @@ BUCKET_BITS = 20
 
 
 def rare_keys(sets: DataFrame) -> DataFrame:
-    """key and node, a row for each of the `prefix` rarest elements of a set; sets: node, elements (distinct 64-bit hashes) and prefix, a written table."""
+    """key, node and place (from 0), a row for each of the `prefix` rarest elements of a set; sets: node, elements (distinct 64-bit hashes) and prefix, a written table."""
     spark = sets.sparkSession
     workers_find_package(spark)
     shift = np.uint64(64 - BUCKET_BITS)
@@ -63,9 +64,22 @@ def rare_keys(sets: DataFrame) -> DataFrame:
                 order = np.lexsort((spread, often[(spread >> shift).astype(np.int64)], row))
                 place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 taken = place < part.column(2).to_numpy()[row]  # the order keeps rows together, so row holds after it too
-                yield pa.RecordBatch.from_pydict({"key": pa.array(spread[order[taken]].view(np.int64)), "node": part.column(0).take(pa.array(row[taken]))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(spread[order[taken]].view(np.int64)), "node": part.column(0).take(pa.array(row[taken])), "place": pa.array(place[taken])})
 
-    return sets.select("node", "elements", F.col("prefix").cast("long")).mapInArrow(lean(run), "key long, node long")
+    return sets.select("node", "elements", F.col("prefix").cast("long")).mapInArrow(lean(run), "key long, node long, place long")
+
+
+def within_reach(keyed: DataFrame) -> DataFrame:
+    """The members of keys whose smallest member is not beyond their reach; keyed: key, weight (a set's size) and reach (the largest weight of a set that this may be its first common element with), a written table."""
+    return keyed.join(keyed.groupBy("key").agg(F.min("weight").alias("least")), "key").filter("least <= reach").drop("least")
+
+
+def sampled_pairs(open_rows: DataFrame, degree: DataFrame, turn: int) -> DataFrame:
+    """a and b: each node outside of its key's main component and SAMPLES of that one's members at most, those of one of the keys that it shares with the component."""
+    lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SAMPLES))
+    central = open_rows.filter("component = main").join(degree, "node").groupBy("key", lot).agg(F.max_by("node", F.struct("degree", "node")).alias("central")).select("key", "central")
+    one = open_rows.filter("component != main").groupBy("node", "main").agg(F.min("key").alias("key"))
+    return one.join(central, "key").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -75,11 +89,11 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(main.filter("others > 0"), "key")
 
 
-def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], sets_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], name: str, reach: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """id and component, written: the components `found`, joined by all links between nodes that share a key.
 
     members: key, node and role (two of role 1 do not meet); a member that has been held against all others of its key may be left out. attributes: by node, what `near` needs, a condition on the aliases of two rows with them, which says whether a pair can be
-    linked. verified: the pairs (a, b) of those given that are linked. sets_of: node, elements and prefix of each of the nodes given.
+    linked. verified: the pairs (a, b) of those given that are linked. sets_of: node, elements and prefix of each of the nodes given, and with `reach` its size as weight; reach: of a weight and a place, the largest weight of a set that can be linked if the first common element stands there.
     """
 
     def labelled() -> DataFrame:
@@ -101,9 +115,7 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         if open_rows.isEmpty():
             free(open_rows, degree)
             return found
-        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SAMPLES))
-        central = open_rows.filter("component = main").join(degree, "node").groupBy("key", lot).agg(F.max_by("node", F.struct("degree", "node")).alias("central")).select("key", "central")
-        pairs = open_rows.filter("component != main").join(central, "key").select(F.col("node").alias("a"), F.col("central").alias("b")).distinct()
+        pairs = sampled_pairs(open_rows, degree, turn)
         sampled = written(ordered(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(near("x", "y"))).distinct(), f"{name}-sampled")
         sweep(members.sparkSession)
         before, found = found, joined(sampled)
@@ -117,8 +129,12 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         nodes = written(wide.select("node", "component").distinct(), f"{name}-wide")
         sets = written(sets_of(nodes.select("node")), f"{name}-sets", "zstd")
         sweep(members.sparkSession)
-        rows = _open(rare_keys(sets).join(nodes, "node").withColumn("role", F.lit(0).cast("byte")))
-        meeting.append(written(rows.select(*open_rows.columns), f"{name}-rare", "zstd"))
+        keyed, carried = rare_keys(sets).join(nodes, "node").withColumn("role", F.lit(0).cast("byte")), []
+        if reach:
+            keyed, carried = written(keyed.join(sets.select("node", "weight"), "node").withColumn("reach", reach(F.col("weight"), F.col("place"))), f"{name}-keyed", "zstd"), ["weight", "reach"]
+            temporary.append(keyed)
+            keyed = within_reach(keyed)
+        meeting.append(written(_open(keyed).select(*open_rows.columns, *carried), f"{name}-rare", "zstd"))
         free(nodes, sets)
         temporary.append(meeting[-1])
         sweep(members.sparkSession)
@@ -128,9 +144,10 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
         sweep(members.sparkSession)
         apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         for part in range(PARTS):
+            far = (F.col("x.weight") <= F.col("y.reach")) & (F.col("y.weight") <= F.col("x.reach")) if "reach" in full.columns else F.lit(True)
             mine = full.filter(F.pmod("key", F.lit(PARTS)) == part)
             x, y = mine.filter("component != main").alias("x"), mine.alias("y")
-            crossing.append(written(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & near("x", "y"))).distinct(), f"{name}-across"))
+            crossing.append(written(ordered(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.role") + F.col("y.role") < 2) & apart & far & near("x", "y"))).distinct(), f"{name}-across"))
             sweep(members.sparkSession)
         free(full)
     across = reduce(DataFrame.union, crossing).distinct()

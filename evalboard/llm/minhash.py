@@ -200,6 +200,11 @@ def reachable(a: str, b: str, plan: MinHashPlan) -> Column:
     return differing * (100 + plan.percent) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (100 - plan.percent)
 
 
+def reach_of(weight: Column, place: Column, plan: MinHashPlan) -> Column:
+    """The largest set that one of size `weight` can be as similar to, if what they share stands at its place (from 0) or behind."""
+    return F.floor(((weight - place) * (100 + plan.percent) - weight * plan.percent) / plan.percent)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -243,11 +248,10 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
 
     def sets_of(wide: DataFrame) -> DataFrame:
         least = F.floor((F.col("size") * plan.percent + 99) / 100)
-        return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"))
-
+        return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"), F.col("size").cast("long").alias("weight"))
     settle(docs.sparkSession)
     # The first of each bucket has been held against all others.
-    final = link_across(hits.select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash")
+    final = link_across(hits.select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash", lambda weight, place: reach_of(weight, place, plan))
     free(nodes, shared, hits, suspects, shingled, stars, links)
     settle(docs.sparkSession)
 

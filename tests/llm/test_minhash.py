@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evalboard.llm import crosslinks as X
 from evalboard.llm import minhash as M
 from evalboard.llm.components import components
 from evalboard.llm.kernels import chunks
@@ -117,3 +118,32 @@ def test_bitmaps_never_exceed_the_true_difference(size):
     b = np.unique(np.concatenate([a[: size * 9 // 10], r.integers(0, 1 << 63, size // 5, np.uint64)]))
     bits = M.bitmaps(np.concatenate([a, b]), np.array([len(a), len(b)]))
     assert 0 < int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_members_without_a_partner_go_before_any_meet(spark):
+    """Sets of 100 that share 80 meet in no key; every linked pair still meets, within reach of one another."""
+    r = random.Random(9)
+    hashed = lambda *x: hash(x) & (1 << 62) - 1
+    sets = [[hashed(0, k) for k in range(80)] + [hashed(1, i, k) for k in range(20)] for i in range(60)]
+    base = [hashed(2, k) for k in range(100)]
+    near = [sorted({*r.sample(base, r.randint(84, 100)), *(hashed(3, i, k) for k in range(r.randint(0, 8)))}) for i in range(40)]
+    percent = 85
+    table = [(i, s, len(s) - (len(s) * percent + 99) // 100 + 1, len(s)) for i, s in enumerate([*sets, *near])]
+    given = spark.createDataFrame(table, "node long, elements array<long>, prefix long, weight long")
+    plan = M.MinHashPlan(percent=percent)
+    keyed = X.rare_keys(given).join(given.select("node", "weight"), "node").withColumn("reach", M.reach_of(F.col("weight"), F.col("place"), plan)).cache()
+    met = {}
+    for x in X.within_reach(keyed).collect():
+        met.setdefault(x["key"], []).append(x)
+    pairs = {(a["node"], b["node"]) for rows in met.values() for a in rows for b in rows if a["node"] < b["node"] and a["weight"] <= b["reach"] and b["weight"] <= a["reach"]}
+    assert not any(a < 60 for a, _ in pairs)
+    linked = {(60 + i, 60 + j) for i, j in itertools.combinations(range(40), 2) if 100 * len({*near[i]} & {*near[j]}) >= percent * len({*near[i]} | {*near[j]})}
+    assert linked and linked <= pairs
+
+
+def test_samples_do_not_grow_with_the_keys_that_are_shared(spark):
+    rows = [(key, node, 0, 1 if node <= 40 else node) for key in range(30) for node in range(1, 46)]
+    members = spark.createDataFrame(rows, "key long, node long, role byte, component long")
+    opened = X._open(members).cache()
+    pairs = X.sampled_pairs(opened, members.groupBy("node").agg(F.count("*").alias("degree")), 0).collect()
+    assert len({p["a"] for p in pairs}) == 5 and len(pairs) <= 5 * X.SAMPLES
