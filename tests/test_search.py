@@ -46,3 +46,19 @@ def test_covering():
     for n in range(3, 20):
         q = "".join(chr(97 + i) for i in range(n))
         assert {o + k for o, g in covering(q) for k in range(3)} == set(range(n)) and all(q[o : o + 3] == g for o, g in covering(q))
+
+
+def test_rows_are_read_once_and_long_queries_are_found(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    long = "".join(chr(97 + i * i % 23) for i in range(1000))
+    table = spark.createDataFrame([*[(i, f"w{i}") for i in range(50)], (50, long), (51, long[:990] + "A" + long[990:])], "line int, model string")
+    path = str(tmp_path / "index")
+    build_index(table.mapInArrow(counted, table.schema), "line", ["model"], path)
+    assert seen.value == 52
+    assert [(r["query"], r["key"]) for r in search(spark, path, [long, long + "z"]).collect()] == [(long, 50)]
