@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -59,7 +60,9 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], self.kind).tobytes()
+            # ASCII letters and digits are their own letters.
+            letters = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_LETTERS)
+            ids = struct.pack(f"<{len(found := self.model.tokenize(letters))}{self.kind}", *[t.id for t in found])
         self[piece] = ids
         return ids
 
@@ -71,14 +74,14 @@ class _Memo(dict):
 class Encoder:
     """ids(text) is the little-endian array of a text's ids, as 16-bit integers if the vocabulary allows it, else 32-bit."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.limit = limit
-        self.memo = _Memo(self.tokenizer, self.dtype.str)
+        self.memo = _Memo(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I")
         self.pattern, self.lower = self._pattern(form)
 
     @staticmethod

@@ -28,10 +28,13 @@ from .runtime import free, lean, scratch, workers_find_package, written
 
 MAGIC, BLOCK = b"PFOR1\0\0\0", 512
 _NO_ID = -(1 << 63)  # stands for a null doc_id
+_WHOLE = (8, 16, 32)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 512 values under 2**width as rows of 8 * width 64-bit words."""
+    if width in _WHOLE:  # little-endian integers of that width are packed already
+        return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view("<u8")
     columns = np.ascontiguousarray(values.T).astype(np.uint64)
     words = np.zeros((BLOCK * width // 64, len(values)), np.uint64)
     if not width:
@@ -45,6 +48,8 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
+    if width in _WHOLE:
+        return np.ascontiguousarray(words).view(f"<u{width // 8}").astype(np.uint32)
     columns, mask = np.ascontiguousarray(words.T), np.uint64((1 << width) - 1)
     values = np.zeros((BLOCK, len(words)), np.uint64)
     for i in range(BLOCK):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from itertools import islice, product
+from string import ascii_lowercase
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalboard.llm.encoding import encoder
+from evalboard.llm import tokenfile as T
+from evalboard.llm.encoding import Encoder, encoder
 from evalboard.llm.packing import PackingPlan, pack_documents, pack_round
 from evalboard.llm.tokenfile import pack_blocks, read_segment, read_tokens, token_files, unpack_blocks, write_segment, write_tokens
 
@@ -140,3 +143,31 @@ def test_one_id_of_many_rows_spans_parts(spark, tmp_path):
     got = read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+
+
+def test_pieces_of_a_worker_are_tokenized_once():
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    model, calls = encode.memo.model, []
+
+    class Counted:
+        def tokenize(self, piece):
+            calls.append(piece)
+            return model.tokenize(piece)
+
+    encode.memo.model = Counted()
+    words = ["".join(w) for w in islice(product(ascii_lowercase, repeat=4), 300_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    assert [encode.ids(t) for t in texts] == [encode.ids(t) for t in texts]
+    assert len(calls) == len(set(calls))
+
+
+def test_blocks_of_whole_bytes_are_those_of_any_width():
+    values = np.random.default_rng(3).integers(0, 256, (5, T.BLOCK)).astype(np.uint32)
+    for width in (8, 16, 32):
+        fast, whole = T._pack(values, width), T._WHOLE
+        try:
+            T._WHOLE = ()
+            assert (T._pack(values, width) == fast).all() and (T._unpack(fast, width) == values).all()
+        finally:
+            T._WHOLE = whole
+        assert (T._unpack(fast, width) == values).all()
