@@ -33,8 +33,8 @@ PARTS = 3
 BUCKET_BITS = 20
 
 
-def rare_keys(sets: DataFrame) -> DataFrame:
-    """key, node and place (from 0), a row for each of the `prefix` rarest elements of a set; sets: node, elements (distinct 64-bit hashes) and prefix, a written table."""
+def rare_keys(sets: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, node and place (from 0), a row for each of the `prefix` rarest elements of a set, with the columns `carried` (longs of a set), so that none is joined on afterwards, a row for each element; sets: node, elements (distinct 64-bit hashes) and prefix, a written table."""
     spark = sets.sparkSession
     workers_find_package(spark)
     shift = np.uint64(64 - BUCKET_BITS)
@@ -64,9 +64,10 @@ def rare_keys(sets: DataFrame) -> DataFrame:
                 order = np.lexsort((spread, often[(spread >> shift).astype(np.int64)], row))
                 place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 taken = place < part.column(2).to_numpy()[row]  # the order keeps rows together, so row holds after it too
-                yield pa.RecordBatch.from_pydict({"key": pa.array(spread[order[taken]].view(np.int64)), "node": part.column(0).take(pa.array(row[taken])), "place": pa.array(place[taken])})
+                of_set = pa.array(row[taken])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(spread[order[taken]].view(np.int64)), "node": part.column(0).take(of_set), "place": pa.array(place[taken]), **{c: part.column(3 + k).take(of_set) for k, c in enumerate(carried)}})
 
-    return sets.select("node", "elements", F.col("prefix").cast("long")).mapInArrow(lean(run), "key long, node long, place long")
+    return sets.select("node", "elements", F.col("prefix").cast("long"), *carried).mapInArrow(lean(run), ", ".join(f"{c} long" for c in ("key", "node", "place", *carried)))
 
 
 def within_reach(keyed: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
     """id and component, written: the components `found`, joined by all links between nodes that share a key.
 
     members: key, node and role (two of role 1 do not meet); a member that has been held against all others of its key may be left out. attributes: by node, what `near` needs, a condition on the aliases of two rows with them, which says whether a pair can be
-    linked. verified: the pairs (a, b) of those given that are linked. sets_of: node, elements and prefix of each of the nodes given, and with `reach` its size as weight; reach: of a weight and a place, the largest weight of a set that can be linked if the first common element stands there.
+    linked. verified: the pairs (a, b) of those given that are linked. sets_of: node, component (as given), elements and prefix of each of the nodes given, and with `reach` its size as weight; reach: of a weight and a place, the largest weight of a set that can be linked if the first common element stands there.
     """
 
     def labelled() -> DataFrame:
@@ -127,11 +128,11 @@ def link_across(members: DataFrame, found: DataFrame, attributes: DataFrame, nea
     wide = open_rows.filter(F.col("others") > DIRECT)
     if not wide.isEmpty():
         nodes = written(wide.select("node", "component").distinct(), f"{name}-wide")
-        sets = written(sets_of(nodes.select("node")), f"{name}-sets", "zstd")
+        sets = written(sets_of(nodes), f"{name}-sets", "zstd")
         sweep(members.sparkSession)
-        keyed, carried = rare_keys(sets).join(nodes, "node").withColumn("role", F.lit(0).cast("byte")), []
+        keyed, carried = rare_keys(sets, ("component", "weight") if reach else ("component",)).withColumn("role", F.lit(0).cast("byte")), []
         if reach:
-            keyed, carried = written(keyed.join(sets.select("node", "weight"), "node").withColumn("reach", reach(F.col("weight"), F.col("place"))), f"{name}-keyed", "zstd"), ["weight", "reach"]
+            keyed, carried = written(keyed.withColumn("reach", reach(F.col("weight"), F.col("place"))), f"{name}-keyed", "zstd"), ["weight", "reach"]
             temporary.append(keyed)
             keyed = within_reach(keyed)
         meeting.append(written(_open(keyed).select(*open_rows.columns, *carried), f"{name}-rare", "zstd"))

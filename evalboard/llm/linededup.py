@@ -496,7 +496,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
     found = components(links)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return rare_sets(bodies.join(nodes, "node", "left_semi").select("node", "body"), plan)
+        return rare_sets(bodies.join(nodes, "node").select("node", "body", "component"), plan)
 
     settle(spark)
     # The first of each key has been held against all others.
@@ -507,7 +507,7 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
 
 
 def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """node, elements and prefix for crosslinks: a line's distinct words if it is compared by words, its runs of four bytes if by bytes, and both in a row each where it may be either."""
+    """node, elements, prefix and the component given for crosslinks: a line's distinct words if it is compared by words, its runs of four bytes if by bytes, and both in a row each where it may be either."""
     workers_find_package(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,9 +525,10 @@ def rare_sets(lines: DataFrame, plan: LinePlan) -> DataFrame:
                     new[1:] = (held[1:] != held[:-1]) | (row[1:] != row[:-1])
                     rows = np.flatnonzero(of)
                     offsets = np.searchsorted(row[new], np.append(rows, c.n)).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(c.row, c.n).take(pa.array(rows)), "elements": pa.ListArray.from_arrays(offsets, pa.array(held[new].view(np.int64))), "prefix": pa.array(prefix[rows].astype(np.int64))})
+                    part, at = batch.slice(c.row, c.n), pa.array(rows)
+                    yield pa.RecordBatch.from_pydict({"node": part.column(0).take(at), "component": part.column(2).take(at), "elements": pa.ListArray.from_arrays(offsets, pa.array(held[new].view(np.int64))), "prefix": pa.array(prefix[rows].astype(np.int64))})
 
-    return lines.mapInArrow(lean(run), "node long, elements array<long>, prefix long")
+    return lines.mapInArrow(lean(run), "node long, component long, elements array<long>, prefix long")
 
 
 def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

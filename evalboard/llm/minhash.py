@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
 
     # Members of buckets beside the first, and the first of each. Sums go by key, so no task holds a bucket.
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = written(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key", "first"), "buckets")
+    shared = written(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), (F.count("*") > 2).alias("more")).filter("first != last").select("key", "first", "more"), "buckets")
     hits = written(keyed.join(shared.hint("shuffle_hash"), "key").filter("node != first"), "hits")  # a row for each key is held
     sweep(docs.sparkSession)
     members = hits.select("key", "node").union(shared.select("key", F.col("first").alias("node")))
@@ -248,10 +248,10 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan | None = None, id_col: st
 
     def sets_of(wide: DataFrame) -> DataFrame:
         least = F.floor((F.col("size") * plan.percent + 99) / 100)
-        return shingled.join(wide, "node", "left_semi").select("node", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"), F.col("size").cast("long").alias("weight"))
+        return shingled.join(wide, "node").select("node", "component", F.col("shingles").alias("elements"), (F.col("size") - least + 1).alias("prefix"), F.col("size").cast("long").alias("weight"))
     settle(docs.sparkSession)
-    # The first of each bucket has been held against all others.
-    final = link_across(hits.select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash", lambda weight, place: reach_of(weight, place, plan))
+    # The first of each bucket has been held against all others, so the other member of a bucket of two is settled.
+    final = link_across(hits.filter("more").select("key", "node").withColumn("role", F.lit(0).cast("byte")), found, attributes, lambda x, y: possible(x, y, plan) & reachable(x, y, plan), sets_of, lambda pairs: confirmed(pairs, shingled, plan), "minhash", lambda weight, place: reach_of(weight, place, plan))
     free(nodes, shared, hits, suspects, shingled, stars, links)
     settle(docs.sparkSession)
 

@@ -147,3 +147,23 @@ def test_samples_do_not_grow_with_the_keys_that_are_shared(spark):
     opened = X._open(members).cache()
     pairs = X.sampled_pairs(opened, members.groupBy("node").agg(F.count("*").alias("degree")), 0).collect()
     assert len({p["a"] for p in pairs}) == 5 and len(pairs) <= 5 * X.SAMPLES
+
+
+def test_rare_keys_carry_what_is_known_of_a_set(spark):
+    """A set's component and size go along with its elements; no join by node makes a row for each of them."""
+    given = spark.createDataFrame([(i, [i * 10 + k for k in range(6)], 3, 100 + i, 6 + i) for i in range(20)], "node long, elements array<long>, prefix long, component long, weight long")
+    rows = X.rare_keys(given, ("component", "weight")).collect()
+    assert len(rows) == 60 and all((x["component"], x["weight"]) == (100 + x["node"], 6 + x["node"]) for x in rows)
+
+
+def test_joins_of_wide_groups_do_not_follow_the_elements(spark, monkeypatch):
+    """Sets of one bucket that are not linked: joins by node make a row for each set, not for each rare element."""
+    monkeypatch.setattr(X, "DIRECT", 4)
+    plans, real = [], X.written
+    monkeypatch.setattr(X, "written", lambda df, name, *a: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name, *a))
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, *(f"u{i}x{k}" for k in range(r.randint(10, 14)))]) for i in range(60)]
+    M.near_duplicates(documents(spark, texts), M.MinHashPlan(words=3, percent=85, bands=44, bits=2)).collect()
+    keyed = [p for name, p in plans if name == "minhash-keyed"]
+    assert keyed and not any("Join" in p for p in keyed)
