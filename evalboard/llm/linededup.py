@@ -8,8 +8,8 @@ with the substrings that may meet a segment of a line as long as itself or up to
 the segments of lines that are compared by words are cut by content instead: the smallest hash of ANCHOR words in every window of places, narrow enough that any run which so many edits
 must leave unchanged holds one. This is complete too. Candidates are verified by banded bit-parallel edit distance, many pairs at once. Alike lines form components; all but the first occurrence of each go.
 
-Equal lines are one node. Keys are summed up, not gathered: each member of a key is paired with the key's first segment; verified links are joined to components, and then
-only pairs across components of a key are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
+Equal lines are one node. Keys travel packed, many in a row, by ranges of the key; each member of a key is paired with one segment of it (its first), and a range that holds very many members lets
+those that are paired go, so no task holds a key of any size. Verified links are joined to components, and then only pairs across components of a key are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
 differ in more than the edits can explain are not made.
 
 A node is a 62-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**63.
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,45 +168,145 @@ def line_words(c: Chunk, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
 PROBE = 1 << 62
 
 
-def segment_keys(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
-    """key and member of each segment, anchor and probe; lines equal within a chunk come once, and a line is one member of a key at most."""
+#: Keys that a task gathers before it packs them; members of a range of keys that are held before those that have met go; lines for each range of keys.
+PACKED, HELD, RANGE_LINES = 1 << 19, 1 << 22, 50_000
+MEMBER = np.uint64(PROBE - 1)
+
+
+def distinct_members(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by key, the members of each in ascending order, each once."""
+    order = np.argsort(key)
+    key, member = key[order], member[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    at = np.flatnonzero(same[1:] | same[:-1])  # most keys have one member
+    of = member[at]
+    member[at] = of[np.lexsort((of, key[at]))]
+    new = np.ones(len(key), bool)
+    new[1:] = ~same[1:-1] | (member[1:] != member[:-1])
+    return key[new], member[new]
+
+
+def line_keys(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
+    """key and member of each segment, anchor and probe of a chunk; equal lines come once, and a line is one member of a key at most."""
+    first, last, _, _, node = _lines(c, plan)
+    node, one = np.unique(node, return_index=True)
+    first, last = first[one], last[one]
+    found, members = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    if not len(one):
+        return found[0], members[0]
+    if plan.words_per_edit:
+        hashes, at, count = line_words(c, first, last)
+        few, many = plan.by_bytes(count), np.flatnonzero(plan.by_words(count))
+        key, line = anchors(hashes, at[many], count[many], plan)
+        found.append(key)
+        members.append(node[many][line])
+        first, last, node = first[few], last[few], node[few]
+    length = last - first
+    starts, sizes = segments(length, plan.edits)
+    keys, nodes = [], []
+    for i in range(plan.edits + 1):
+        begin = first + starts[i]
+        keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length))
+        nodes.append(node)
+    for i, other, at, size in probes(length, plan.edits):
+        good = np.flatnonzero((at >= 0) & (other >= plan.min_bytes))
+        begin = first[good] + at[good]
+        keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
+        nodes.append(node[good] | np.uint64(PROBE))
+    key, member = distinct_members(np.concatenate(keys), np.concatenate(nodes))
+    # A line's probe may meet its own segment, which then stands for both.
+    order = np.lexsort((member, member & MEMBER, key)) if len(key) and (key[1:] == key[:-1]).any() else np.arange(len(key))
+    key, member = key[order], member[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | ((member[1:] ^ member[:-1]) & MEMBER != 0)
+    return np.concatenate([*found, key[new]]), np.concatenate([*members, member[new]])
+
+
+def packed_keys(docs: DataFrame, plan: LinePlan, ranges: int, text_col: str = "text") -> DataFrame:
+    """part (a range of keys) and packed (keys of it and their members, 16 bytes each)."""
     workers_find_package(docs.sparkSession)
 
+    def pack(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, member = distinct_members(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        part = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        offsets = np.append(begin, len(part)).astype(np.int32) * np.int32(16)
+        data = np.ascontiguousarray(np.stack([key, member], 1))
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[begin].view(np.int64)), "packed": pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
             for c in chunks(batch.column(0)):
-                first, last, _, _, node = _lines(c, plan)
-                node, one = np.unique(node, return_index=True)
-                first, last = first[one], last[one]
-                if not len(one):
-                    continue
-                found, members = [], []
-                if plan.words_per_edit:
-                    hashes, at, count = line_words(c, first, last)
-                    few, many = plan.by_bytes(count), np.flatnonzero(plan.by_words(count))
-                    key, line = anchors(hashes, at[many], count[many], plan)
-                    found, members = [key], [node[many][line]]
-                    first, last, node = first[few], last[few], node[few]
-                length = last - first
-                starts, sizes = segments(length, plan.edits)
-                keys, nodes = [], []
-                for i in range(plan.edits + 1):
-                    begin = first + starts[i]
-                    keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length))
-                    nodes.append(node)
-                for i, other, at, size in probes(length, plan.edits):
-                    good = np.flatnonzero((at >= 0) & (other >= plan.min_bytes))
-                    begin = first[good] + at[good]
-                    keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
-                    nodes.append(node[good] | np.uint64(PROBE))
-                key, member = np.concatenate(keys), np.concatenate(nodes)
-                order = np.lexsort((member, member & np.uint64(PROBE - 1), key))
-                key, member = key[order], member[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | ((member[1:] ^ member[:-1]) & np.uint64(PROBE - 1) != 0)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([*found, key[new]]).view(np.int64)), "member": pa.array(np.concatenate([*members, member[new]]).view(np.int64))})
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "key long, member long")
+                found.append(line_keys(c, plan))
+                n += len(found[-1][0])
+                if n >= PACKED:
+                    yield pack(found)
+                    found, n = [], 0
+        if n:
+            yield pack(found)
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "part long, packed binary")
+
+
+class Meeting:
+    """The members of a range of keys, given piece by piece. Each key's first is a segment that all other members are paired with; it stays the first once any has been."""
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.uint64)
+        self.parts, self.size, self.limit = [], 0, HELD
+        self.met, self.first = none, none  # keys in ascending order of which some members have gone, and their first
+
+    def add(self, key: np.ndarray, member: np.ndarray) -> pa.RecordBatch | None:
+        """Members that go now, if too many are held."""
+        self.parts.append((key, member))
+        self.size += len(key)
+        return self.pairs(last=False) if self.size >= self.limit else None
+
+    def pairs(self, last: bool) -> pa.RecordBatch:
+        """key, node, role (0: segment, 1: probe), first and more (whether other members of the key beside the first may still be linked with this one); a member may come again if not all are held at once."""
+        key, member = distinct_members(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        at = np.searchsorted(self.met, key)
+        known = at < len(self.met)
+        known[known] = self.met[at[known]] == key[known]
+        begin = np.concatenate([[True], key[1:] != key[:-1]])
+        run = np.cumsum(begin) - 1
+        starts = np.flatnonzero(begin)
+        n = np.diff(np.append(starts, len(key)))
+        first, second = member[starts], member[np.minimum(starts + 1, len(key) - 1)]
+        first[known[starts]] = self.first[at[starts[known[starts]]]]
+        meets = (first < np.uint64(PROBE)) & (known[starts] | (n > 1))
+        out = meets[run] & (member != first[run])
+        more = known[starts] | (not last) | ((n > 2) & (second < np.uint64(PROBE)))
+        gone = pa.RecordBatch.from_pydict({"key": pa.array(key[out].view(np.int64)), "node": pa.array((member[out] & MEMBER).view(np.int64)), "role": pa.array((member[out] >= np.uint64(PROBE)).astype(np.int8)), "first": pa.array(first[run[out]].view(np.int64)), "more": pa.array(more[run[out]])})
+        if not last:
+            kept, new = ~meets[run], meets & ~known[starts]
+            order = np.argsort(met := np.concatenate([self.met, key[starts[new]]]))
+            self.met, self.first = met[order], np.concatenate([self.first, first[new]])[order]
+            self.parts, self.size = [(key[kept], member[kept])], int(kept.sum())
+            self.limit = max(HELD, 2 * self.size)
+        return gone
+
+
+def key_pairs(packed: DataFrame) -> DataFrame:
+    """key, node, role, first and more, of the keys with a segment and another member: a row for each member but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Meeting()
+        for batch in batches:
+            for part, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and held.parts:
+                    yield held.pairs(last=True)
+                    held = Meeting()
+                now = part
+                rows = np.frombuffer(values.as_buffer(), np.uint64).reshape(-1, 2)
+                if (gone := held.add(rows[:, 0].copy(), rows[:, 1].copy())) is not None:
+                    yield gone
+        if held.parts:
+            yield held.pairs(last=True)
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "key long, node long, role byte, first long, more boolean")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -447,37 +546,16 @@ def alike(left: pa.Array, right: pa.Array, plan: LinePlan) -> np.ndarray:
     return close
 
 
-#: Keys are summed up, and lines gathered, in so many parts, one after the other: their shuffle files then take less disk at once.
-KEY_PARTS = 3
-
-
-def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> DataFrame:
-    """id (a node that is like another) and its component."""
+def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text", n_lines: int = 0) -> DataFrame:
+    """id (a node that is like another) and its component; n_lines: how many lines there are, about, by which keys are parted."""
     spark = docs.sparkSession
-    keyed = written(segment_keys(docs, plan, text_col), "keys")
-    shared, hits = [], []
-    for part in range(KEY_PARTS):
-        mine = keyed.filter(F.pmod("key", F.lit(KEY_PARTS)) == part)
-        ends = mine.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("last"))
-        shared.append(written(ends.filter((F.col("first") != F.col("last")) & (F.col("first") < PROBE)).select("key", "first"), "shared"))
-        del ends
-        sweep(spark)
-        others = mine.join(shared[part].hint("shuffle_hash"), "key").filter("member != first")  # a row for each key is held
-        hits.append(written(others.select("key", F.col("member").bitwiseAND(F.lit(PROBE - 1)).alias("node"), F.shiftright("member", 62).cast("byte").alias("role"), "first").distinct(), "hits"))
-        del mine, others
-        sweep(spark)
-    free(keyed)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_lines // RANGE_LINES)
+    hits = written(key_pairs(packed_keys(docs, plan, ranges, text_col)), "hits")
     settle(spark)
-    temporary = [*shared, *hits]
-    shared, hits = reduce(DataFrame.union, shared), reduce(DataFrame.union, hits)
-    wanted = written(hits.select("node").union(shared.select(F.col("first").alias("node"))).distinct(), "wanted")
+    wanted = written(hits.select("node").union(hits.select(F.col("first").alias("node"))).distinct(), "wanted")
+    sweep(spark)
+    bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines", "zstd")
     sweep(spark)
-    gathered = []
-    for part in range(KEY_PARTS):
-        mine = wanted.filter(F.pmod("node", F.lit(KEY_PARTS)) == part)
-        gathered.append(written(bitmaps(line_texts(docs, plan, text_col, part, KEY_PARTS).join(mine.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines", "zstd"))
-        sweep(spark)
-    bodies = reduce(DataFrame.union, gathered)
     bits = bodies.drop("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,9 +577,9 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text") -> Data
         return rare_sets(bodies.join(nodes, "node").select("node", "body", "component"), plan)
 
     settle(spark)
-    # The first of each key has been held against all others.
-    out = link_across(hits.select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
-    free(*temporary, *gathered, wanted, stars, links)
+    # The first of each key has been held against all others, so a key's only other member is settled, and so are probes that no segment is left for.
+    out = link_across(hits.filter("more").select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
+    free(hits, bodies, wanted, stars, links)
     sweep(spark)
     return out
 
@@ -535,7 +613,7 @@ def duplicate_lines(docs: DataFrame, plan: LinePlan | None = None, id_col: str =
     """doc_id, text_hash (xxhash64), line, first_doc and first_line: every line that is like an earlier one, and where the first of its component stands."""
     plan = plan or LinePlan()
     seen = written(occurrences(docs, plan, id_col, text_col), "occurrences")
-    found = alike_lines(docs, plan, text_col)
+    found = alike_lines(docs, plan, text_col, seen.count())
     named = written(seen.join(found.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "text_hash", "line", F.coalesce("component", "node").alias("component")), "named")
     free(seen, found)
     place = F.struct("doc_id", "line", "text_hash")

@@ -280,3 +280,42 @@ def test_lines_by_parts_and_texts_shuffled_once(spark, odd, monkeypatch):
     rows = queries.op2_segment_line_dedup(spark, "").collect()
     assert [c for c, kind in given[0].dtypes if kind == "string"] == ["text"]
     assert len(rows) == odd.count() and all(r["dropped_bytes"] == 0 for r in rows)
+
+
+@pytest.mark.parametrize("held", [1 << 22, 50])
+@pytest.mark.parametrize("seed", range(4))
+def test_members_of_keys_meet_piece_by_piece(seed, held, monkeypatch):
+    """Each member but one segment is paired with that segment, also where members go before all are there; probes alone meet nothing."""
+    monkeypatch.setattr(L, "HELD", held)
+    r = random.Random(seed)
+    members = {k: {(n, int(k % 3 == 0 or r.random() < 0.6)) for n in r.sample(range(40), r.choice([1, 2, 3, 12]))} for k in range(60)}
+    given = [(k, n | role << 62) for k, of in members.items() for n, role in of for _ in range(r.randint(1, 3))]
+    r.shuffle(given)
+    meeting, out = L.Meeting(), []
+    for at in range(0, len(given), 25):
+        key, member = (np.array(x, np.uint64) for x in zip(*given[at : at + 25], strict=True))
+        gone = meeting.add(key, member)
+        out += gone.to_pylist() if gone is not None else []
+    out += meeting.pairs(last=True).to_pylist()
+    for k, of in members.items():
+        rows, found = [x for x in out if x["key"] == k], [n for n, role in of if not role]
+        if len(of) < 2 or not found:
+            assert not rows
+            continue
+        first = {x["first"] for x in rows}
+        assert len(first) == 1 and first <= set(found)
+        assert {(x["node"], x["role"]) for x in rows} == {m for m in of if m != (next(iter(first)), 0)}
+        assert all(x["more"] for x in rows) or len(of) == 2 or len(found) == 1
+
+
+def test_keys_travel_packed_and_pairs_are_settled(spark, monkeypatch):
+    """Rows that are shuffled do not follow the keys; a key of two members is settled by its one pair."""
+    r = random.Random(4)
+    texts = ["\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(5, 25))) for _ in range(40)) for _ in range(30)]
+    rows = L.packed_keys(documents(spark, texts).coalesce(1), LINES, 8).collect()
+    keys = sum(len(x["packed"]) // 16 for x in rows)
+    assert len(rows) == 8 and keys > 5000
+    given, real = [], L.link_across
+    monkeypatch.setattr(L, "link_across", lambda members, *a: given.append(members.count()) or real(members, *a))
+    texts += [t.replace("w1", "v1", 1) for t in texts]
+    assert L.duplicate_lines(documents(spark, texts), LINES).count() > 500 and given == [0]
