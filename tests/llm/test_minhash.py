@@ -167,3 +167,4 @@ def test_joins_of_wide_groups_do_not_follow_the_elements(spark, monkeypatch):
     M.near_duplicates(documents(spark, texts), M.MinHashPlan(words=3, percent=85, bands=44, bits=2)).collect()
     keyed = [p for name, p in plans if name == "minhash-keyed"]
     assert keyed and not any("Join" in p for p in keyed)
+    assert [name for name, _ in plans].count("minhash-across") == 2  # one step for each kind of key: the driver keeps something of every step
