@@ -171,68 +171,101 @@ PROBE = 1 << 62
 #: Keys that a task gathers before it packs them; members of a range of keys that are held before those that have met go; lines for each range of keys.
 PACKED, HELD, RANGE_LINES = 1 << 19, 1 << 22, 50_000
 MEMBER = np.uint64(PROBE - 1)
-
-
-def distinct_members(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by key, the members of each in ascending order, each once."""
+#: Members of a key whose pairs are looked at where the key is, and pairs for each member that are made there.
+LOOKED_AT, PAIRS = 2048, 8
+#: Bytes of the runs whose parities are the sketch of a line that is compared by bytes.
+RUN = 2
+#: Sizes: words with ANCHORED set, or bytes, with WORDY set if the line is compared by words with others of many words.
+ANCHORED, WORDY = 1 << 15, 1 << 14
+#: A key travels by its lower half, as the upper one tells its range: two of a range are taken for one with probability 2**-32, which adds members to look at and takes none away.
+ENTRY = np.dtype([("key", "<u4"), ("member", "<u8"), ("sketch", "<u8"), ("size", "<u2")])
+
+
+def distinct_members(key: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Places in the order of keys, the members of each in ascending order, each once."""
     order = np.argsort(key)
-    key, member = key[order], member[order]
+    key, of = key[order], member[order]
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[1:] == key[:-1]
     at = np.flatnonzero(same[1:] | same[:-1])  # most keys have one member
-    of = member[at]
-    member[at] = of[np.lexsort((of, key[at]))]
+    order[at] = order[at][np.lexsort((of[at], key[at]))]
+    of = member[order]
     new = np.ones(len(key), bool)
-    new[1:] = ~same[1:-1] | (member[1:] != member[:-1])
-    return key[new], member[new]
+    new[1:] = ~same[1:-1] | (of[1:] != of[:-1])
+    return order[new]
+
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Of the things before each place and at the end: which of 64 buckets hold an odd number of them."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (hashes >> np.uint64(58)), out=sums[1:])
+    return sums
 
-def line_keys(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray]:
-    """key and member of each segment, anchor and probe of a chunk; equal lines come once, and a line is one member of a key at most."""
+
+def line_keys(c: Chunk, plan: LinePlan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, member, sketch and size of each segment, anchor and probe of a chunk; equal lines come once, and a line is one member of a key at most.
+
+    The sketch holds parities of a line's words for its anchors, of its runs of RUN bytes for its segments. An edited word changes two of them at most, an edited byte twice RUN.
+    """
     first, last, _, _, node = _lines(c, plan)
     node, one = np.unique(node, return_index=True)
     first, last = first[one], last[one]
-    found, members = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
     if not len(one):
-        return found[0], members[0]
+        return found[0]
+    wordy = np.zeros(len(one), bool)
     if plan.words_per_edit:
         hashes, at, count = line_words(c, first, last)
-        few, many = plan.by_bytes(count), np.flatnonzero(plan.by_words(count))
+        wordy = plan.by_words(count)
+        few, many = plan.by_bytes(count), np.flatnonzero(wordy)
         key, line = anchors(hashes, at[many], count[many], plan)
-        found.append(key)
-        members.append(node[many][line])
-        first, last, node = first[few], last[few], node[few]
+        of, words = many[line], _parities(hashes)
+        found.append((key, node[of], (words[at + count] ^ words[at])[of], (np.minimum(count, ANCHORED - 1) | ANCHORED).astype(np.uint16)[of]))
+        first, last, node, wordy = first[few], last[few], node[few], wordy[few]
     length = last - first
     starts, sizes = segments(length, plan.edits)
-    keys, nodes = [], []
+    keys, lines, roles = [], [], []
     for i in range(plan.edits + 1):
         begin = first + starts[i]
         keys.append(_key(c.hashes(begin, begin + sizes[i]), i, length))
-        nodes.append(node)
+        lines.append(np.arange(len(first)))
+        roles.append(np.zeros(len(first), np.uint64))
     for i, other, at, size in probes(length, plan.edits):
         good = np.flatnonzero((at >= 0) & (other >= plan.min_bytes))
         begin = first[good] + at[good]
         keys.append(_key(c.hashes(begin, begin + size[good]), i, other[good]))
-        nodes.append(node[good] | np.uint64(PROBE))
-    key, member = distinct_members(np.concatenate(keys), np.concatenate(nodes))
+        lines.append(good)
+        roles.append(np.full(len(good), PROBE, np.uint64))
+    key, line = np.concatenate(keys), np.concatenate(lines)
+    member = node[line] | np.concatenate(roles)
+    at = distinct_members(key, member)
+    key, member, line = key[at], member[at], line[at]
     # A line's probe may meet its own segment, which then stands for both.
     order = np.lexsort((member, member & MEMBER, key)) if len(key) and (key[1:] == key[:-1]).any() else np.arange(len(key))
-    key, member = key[order], member[order]
+    key, member, line = key[order], member[order], line[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | ((member[1:] ^ member[:-1]) & MEMBER != 0)
-    return np.concatenate([*found, key[new]]), np.concatenate([*members, member[new]])
+    gram = np.zeros(max(len(c.data) - RUN + 1, 0), np.uint64)
+    for k in range(RUN):
+        gram = gram << np.uint64(8) | c.data[k : k + len(gram)]
+    runs = _parities(mix(gram + np.uint64(1)))
+    sketch = runs[last - RUN + 1] ^ runs[first]
+    found.append((key[new], member[new], sketch[line[new]], (np.minimum(length, WORDY - 1) | np.where(wordy, WORDY, 0)).astype(np.uint16)[line[new]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def packed_keys(docs: DataFrame, plan: LinePlan, ranges: int, text_col: str = "text") -> DataFrame:
-    """part (a range of keys) and packed (keys of it and their members, 16 bytes each)."""
+    """part (a range of keys) and packed (an ENTRY for each key of it and each of its members)."""
     workers_find_package(docs.sparkSession)
 
-    def pack(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, member = distinct_members(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        part = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    def pack(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, member, sketch, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = distinct_members(key, member)
+        part = ((key[at] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
-        offsets = np.append(begin, len(part)).astype(np.int32) * np.int32(16)
-        data = np.ascontiguousarray(np.stack([key, member], 1))
+        offsets = np.append(begin, len(part)).astype(np.int32) * np.int32(ENTRY.itemsize)
+        data = np.empty(len(at), ENTRY)
+        data["key"], data["member"], data["sketch"], data["size"] = key[at].astype(np.uint32), member[at], sketch[at], size[at]
         return pa.RecordBatch.from_pydict({"part": pa.array(part[begin].view(np.int64)), "packed": pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,23 +283,50 @@ def packed_keys(docs: DataFrame, plan: LinePlan, ranges: int, text_col: str = "t
     return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "part long, packed binary")
 
 
+class Near:
+    """Which members of a key may be alike, by their sketches and sizes."""
+
+    def __init__(self, sketch: np.ndarray, size: np.ndarray, plan: LinePlan) -> None:
+        anchored = size >= ANCHORED
+        self.sketch, self.wordy = sketch, ~anchored & (size & WORDY > 0)
+        # Anchors and segments, which may share half a key, are far from each other in size.
+        self.size = np.where(anchored, size & (ANCHORED - 1), -1 - (size & (WORDY - 1)).astype(np.int32) - 2 * MOST_EDITS).astype(np.int32)
+        self.edits = np.where(anchored, plan.allowed(self.size.clip(0)) if plan.words_per_edit else 0, plan.edits).astype(np.int32)
+        self.bits = np.where(anchored, 2 * self.edits, 2 * RUN * self.edits).astype(np.int32)
+
+    def pairs(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether these may be. Two lines that are compared by words have an anchor in common if they are alike, so their segments need not meet."""
+        at = np.flatnonzero(np.abs(self.size[one] - self.size[two]) <= np.minimum(self.edits[one], self.edits[two]))
+        out, one, two = np.zeros(len(one), bool), one[at], two[at]
+        out[at] = (np.bitwise_count(self.sketch[one] ^ self.sketch[two]) <= np.minimum(self.bits[one], self.bits[two])) & ~(self.wordy[one] & self.wordy[two])
+        return out
+
+
 class Meeting:
     """The members of a range of keys, given piece by piece. Each key's first is a segment that all other members are paired with; it stays the first once any has been."""
 
-    def __init__(self) -> None:
+    def __init__(self, plan: LinePlan | None = None, looked_at: int = 0) -> None:
+        """looked_at: all pairs of keys with so many members are looked at, if all are held at once."""
         none = np.zeros(0, np.uint64)
+        self.plan, self.looked_at = plan or LinePlan(), looked_at
         self.parts, self.size, self.limit = [], 0, HELD
-        self.met, self.first = none, none  # keys in ascending order of which some members have gone, and their first
+        self.met = none  # keys in ascending order of which some members have gone
+        self.first = (none, none, np.zeros(0, np.uint16))  # their firsts: member, sketch, size
 
-    def add(self, key: np.ndarray, member: np.ndarray) -> pa.RecordBatch | None:
+    def add(self, key: np.ndarray, member: np.ndarray, sketch: np.ndarray | None = None, size: np.ndarray | None = None) -> pa.RecordBatch | None:
         """Members that go now, if too many are held."""
-        self.parts.append((key, member))
+        self.parts.append((key, member, np.zeros(len(key), np.uint64) if sketch is None else sketch, np.zeros(len(key), np.uint16) if size is None else size))
         self.size += len(key)
         return self.pairs(last=False) if self.size >= self.limit else None
 
     def pairs(self, last: bool) -> pa.RecordBatch:
-        """key, node, role (0: segment, 1: probe), first and more (whether other members of the key beside the first may still be linked with this one); a member may come again if not all are held at once."""
-        key, member = distinct_members(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        """key, node, role (0: segment, 1: probe), first (another member of the key), near (whether node and first may be alike) and more (whether other members beside the key's first may still be linked with this one).
+
+        Pairs that are neither are not made. A member may come again if not all are held at once, and with firsts that are not the key's if its pairs were looked at.
+        """
+        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        at = distinct_members(*columns[:2])
+        key, member, sketch, size = (x[at] for x in columns)
         at = np.searchsorted(self.met, key)
         known = at < len(self.met)
         known[known] = self.met[at[known]] == key[known]
@@ -274,39 +334,72 @@ class Meeting:
         run = np.cumsum(begin) - 1
         starts = np.flatnonzero(begin)
         n = np.diff(np.append(starts, len(key)))
-        first, second = member[starts], member[np.minimum(starts + 1, len(key) - 1)]
-        first[known[starts]] = self.first[at[starts[known[starts]]]]
-        meets = (first < np.uint64(PROBE)) & (known[starts] | (n > 1))
-        out = meets[run] & (member != first[run])
+        # The first of each key stands among the members, or behind them if it has gone before.
+        back = starts[known[starts]]
+        of = [np.concatenate([x, y[at[back]]]) for x, y in zip((member, sketch, size), self.first, strict=True)]
+        first, second = starts.copy(), member[np.minimum(starts + 1, len(key) - 1)]
+        first[known[starts]] = len(key) + np.arange(len(back))
+        near = Near(of[1], of[2], self.plan)
+        meets = (of[0][first] < np.uint64(PROBE)) & (known[starts] | (n > 1))
+        out = np.flatnonzero(meets[run] & (member != of[0][first[run]]))
         more = known[starts] | (not last) | ((n > 2) & (second < np.uint64(PROBE)))
-        gone = pa.RecordBatch.from_pydict({"key": pa.array(key[out].view(np.int64)), "node": pa.array((member[out] & MEMBER).view(np.int64)), "role": pa.array((member[out] >= np.uint64(PROBE)).astype(np.int8)), "first": pa.array(first[run[out]].view(np.int64)), "more": pa.array(more[run[out]])})
+        one, two = first[run[out]], out
+        if last and self.looked_at:
+            looked = np.flatnonzero(meets & more & ~known[starts] & (n <= self.looked_at + 1))
+            more[looked], x, y = self._look(starts[looked], n[looked], near, member)
+            one, two = np.concatenate([one, x]), np.concatenate([two, y])
+        more = more[run]
+        close = near.pairs(one, two)
+        taken = close | more[two]
+        one, two, close = one[taken], two[taken], close[taken]
+        gone = pa.RecordBatch.from_pydict({"key": pa.array(key[two].view(np.int64)), "node": pa.array((member[two] & MEMBER).view(np.int64)), "role": pa.array((member[two] >= np.uint64(PROBE)).astype(np.int8)), "first": pa.array((of[0][one] & MEMBER).view(np.int64)), "near": pa.array(close), "more": pa.array(more[two])})
         if not last:
-            kept, new = ~meets[run], meets & ~known[starts]
-            order = np.argsort(met := np.concatenate([self.met, key[starts[new]]]))
-            self.met, self.first = met[order], np.concatenate([self.first, first[new]])[order]
-            self.parts, self.size = [(key[kept], member[kept])], int(kept.sum())
+            kept, new = ~meets[run], starts[meets & ~known[starts]]
+            order = np.argsort(met := np.concatenate([self.met, key[new]]))
+            self.met, self.first = met[order], tuple(np.concatenate([y, x[new]])[order] for x, y in zip((member, sketch, size), self.first, strict=True))
+            self.parts, self.size = [tuple(x[kept] for x in (key, member, sketch, size))], int(kept.sum())
             self.limit = max(HELD, 2 * self.size)
         return gone
 
-
-def key_pairs(packed: DataFrame) -> DataFrame:
-    """key, node, role, first and more, of the keys with a segment and another member: a row for each member but the first."""
+    def _look(self, starts: np.ndarray, n: np.ndarray, near: Near, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the keys given by their first places and members: those with more than PAIRS near pairs a member, as groups of alike lines have, and the near pairs of the others; each key's first is left out."""
+        made, one, two, of = np.zeros(len(n), np.int64), [], [], []
+        which = np.repeat(np.arange(len(n)), n - 1)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
+        at, left = starts[which] + 1 + place, n[which] - 2 - place  # members of the key behind this one
+        step = 1
+        while len(at):
+            live = (left >= step) & (made[which] <= PAIRS * n[which])
+            at, left, which = at[live], left[live], which[live]
+            met = near.pairs(at, at + step) & (member[at] < np.uint64(PROBE))  # probes stand last
+            one.append(at[met])
+            two.append(at[met] + step)
+            of.append(which[met])
+            made += np.bincount(which[met], minlength=len(n))
+            step += 1
+        dense = made > PAIRS * n
+        one, two, of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two, of))
+        return dense, one[~dense[of]], two[~dense[of]]
+
+
+def key_pairs(packed: DataFrame, plan: LinePlan) -> DataFrame:
+    """key, node, role, first, near and more, of the keys with a segment and another member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, Meeting()
+        now, held = None, Meeting(plan, LOOKED_AT)
         for batch in batches:
             for part, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != now and held.parts:
                     yield held.pairs(last=True)
-                    held = Meeting()
+                    held = Meeting(plan, LOOKED_AT)
                 now = part
-                rows = np.frombuffer(values.as_buffer(), np.uint64).reshape(-1, 2)
-                if (gone := held.add(rows[:, 0].copy(), rows[:, 1].copy())) is not None:
+                rows = np.frombuffer(values.as_buffer(), ENTRY)
+                if (gone := held.add(rows["key"] | np.uint64(part << 32), *(rows[c].copy() for c in ("member", "sketch", "size")))) is not None:
                     yield gone
         if held.parts:
             yield held.pairs(last=True)
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "key long, node long, role byte, first long, more boolean")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "key long, node long, role byte, first long, near boolean, more boolean")
 
 
 def occurrences(docs: DataFrame, plan: LinePlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,28 +435,29 @@ def line_texts(docs: DataFrame, plan: LinePlan, text_col: str = "text", part: in
 def within(left: list, right: list, edits: int | np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most edits (one for all, or one each); the pairs are bytes, or arrays of any integers.
 
-    Common ends are cut off first, which settles most pairs. The rest go by bands, those of few edits first.
+    Common ends are cut off first, which settles most pairs, and of long pairs those that have too few letters in common. The rest go by bands, those of few edits first.
     """
     edits = np.broadcast_to(np.asarray(edits, np.int64), len(left))
     close = np.zeros(len(left), bool)
+    left, right = ([np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v for v in side] for side in (left, right))
+    m, n = (np.array([len(v) for v in side], np.int64) for side in (left, right))
+    met = np.flatnonzero(np.abs(m - n) <= edits)
     pattern, text, kept = [], [], []
-    for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        if abs(len(a) - len(b)) > edits[k]:
+    for some in np.split(met, np.flatnonzero(np.diff(np.cumsum(np.maximum(m, n)[met]) >> 16)) + 1):  # a longer pair is one of its own
+        if not len(some):
             continue
-        x, y = (np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v for v in (a, b))
-        n = min(len(x), len(y))
-        differ = x[:n] != y[:n]
-        head = int(differ.argmax()) if n and differ.any() else n
-        n -= head
-        differ = (x[len(x) - n :] != y[len(y) - n :])[::-1]
-        tail = int(differ.argmax()) if n and differ.any() else n
-        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-        if max(len(x), len(y)) <= edits[k]:
-            close[k] = True
-        elif min(len(x), len(y)):
-            pattern.append(x)
-            text.append(y)
-            kept.append(k)
+        one, two = [left[k] for k in some], [right[k] for k in some]
+        head, tail = _common_ends(one, two)
+        cut = [(k, x[h : len(x) - t], y[h : len(y) - t]) for k, x, y, h, t in zip(some.tolist(), one, two, head.tolist(), tail.tolist(), strict=True)]
+        allowed = edits[some].tolist()
+        close[[k for (k, x, y), e in zip(cut, allowed, strict=True) if max(len(x), len(y)) <= e]] = True
+        rest = [c for c, e in zip(cut, allowed, strict=True) if max(len(c[1]), len(c[2])) > e and min(len(c[1]), len(c[2]))]
+        far = _differ_much([c[1] for c in rest], [c[2] for c in rest], edits[[c[0] for c in rest]])
+        for (k, x, y), f in zip(rest, far.tolist(), strict=True):
+            if not f:
+                kept.append(k)
+                pattern.append(x)
+                text.append(y)
     which, low = np.array(kept, np.int64), 0
     for high in (2, 4, 8, 16, MOST_EDITS):
         mine = np.flatnonzero((edits[which] > low - (low == 0)) & (edits[which] <= high))
@@ -373,6 +467,49 @@ def within(left: list, right: list, edits: int | np.ndarray) -> np.ndarray:
     return close
 
 
+def _common_ends(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
+    """How many letters each pair has in common at the start, and how many of the others at the end."""
+    if len(left) == 1 and max(len(left[0]), len(right[0])) > 1 << 16:  # by less memory
+        x, y = left[0], right[0]
+        n = min(len(x), len(y))
+        differ = x[:n] != y[:n]
+        head = int(differ.argmax()) if differ.any() else n
+        differ = (x[len(x) - n + head :] != y[len(y) - n + head :])[::-1]
+        return np.array([head]), np.array([int(differ.argmax()) if differ.any() else n - head])
+    m, n = (np.array([len(v) for v in side], np.int64) for side in (left, right))
+    x, y = np.concatenate(left), np.concatenate(right)
+    x_end, y_end = np.cumsum(m), np.cumsum(n)
+
+    def common(most: np.ndarray, x_at: np.ndarray, y_at: np.ndarray, way: int) -> np.ndarray:
+        row = np.repeat(np.arange(len(most)), most)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most)
+        at = np.flatnonzero(x[x_at[row] + way * place] != y[y_at[row] + way * place])[::-1]
+        out = most.copy()
+        out[row[at]] = place[at]  # the last one written is the first in place
+        return out
+
+    head = common(np.minimum(m, n), x_end - m, y_end - n, 1)
+    return head, common(np.minimum(m, n) - head, x_end - 1, y_end - 1, -1)
+
+
+#: Letters of a pair from which on its letters are counted first, and the buckets they are counted in.
+LONG, BUCKETS = 12, 512
+
+
+def _differ_much(left: list, right: list, edits: np.ndarray) -> np.ndarray:
+    """Pairs of which more letters occur an odd number of times in both together than that many edits, each of which changes two at most, can explain; letters are counted in buckets."""
+    out = np.zeros(len(left), bool)
+    size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
+    mine = np.flatnonzero((size > 2 * LONG) & (size > 2 * edits))
+    for at in range(0, len(mine), 256):
+        some = mine[at : at + 256]
+        letters = mix(np.concatenate([v for k in some for v in (left[k], right[k])])) >> np.uint64(55)
+        row = np.repeat(np.arange(len(some)), size[some])
+        odd = np.bincount(row * BUCKETS + letters.astype(np.int64), minlength=len(some) * BUCKETS) & 1
+        out[some] = odd.reshape(-1, BUCKETS).sum(1) > 2 * edits[some]
+    return out
+
+
 def _banded(pattern: list[np.ndarray], text: list[np.ndarray], edits: np.ndarray) -> np.ndarray:
     """The same for pairs of about equal edits, with bit-parallel bands.
 
@@ -386,7 +523,7 @@ def _banded(pattern: list[np.ndarray], text: list[np.ndarray], edits: np.ndarray
     p, t = np.concatenate(pattern), np.concatenate(text)
     width = 2 * band + 1
     full, one = np.uint64((1 << width) - 1), np.uint64(1)
-    diagonal = np.arange(width) - band
+    met = _met(p, m, t, n, band)
     which = np.arange(len(pattern))
     distance = np.minimum(m, band)
     vp = np.full(len(m), (1 << width) - (1 << band), np.uint64)
@@ -407,12 +544,7 @@ def _banded(pattern: list[np.ndarray], text: list[np.ndarray], edits: np.ndarray
                 close[which[i]] = _banded_one(p[p_at[i] : p_at[i] + m[i]], t[t_at[i] : t_at[i] + n[i]], int(edits[i]))
             break
         j += 1
-        letter = t[t_at + j - 1]
-        row = j + diagonal
-        inside = (row >= 1) & (row <= m[:, None])
-        hit = np.zeros((len(which), 64), bool)
-        hit[:, :width] = (p[np.where(inside, p_at[:, None] + row - 1, 0)] == letter[:, None]) & inside
-        equal = np.packbits(hit, axis=1, bitorder="little").view("<u8")[:, 0]
+        equal = met[t_at + j - 1]
         d0 = ((((equal & vp) + vp) ^ vp) | equal | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -424,6 +556,28 @@ def _banded(pattern: list[np.ndarray], text: list[np.ndarray], edits: np.ndarray
     return close
 
 
+def _met(p: np.ndarray, m: np.ndarray, t: np.ndarray, n: np.ndarray, band: int) -> np.ndarray:
+    """For each letter of the texts t, which rows of its column's band hold it in the pattern of the same pair; m and n are the lengths of patterns and texts."""
+    row, column = (np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of) for of in (m, n))
+    pair = np.concatenate([np.repeat(np.arange(len(of)), of) for of in (m, n)])
+    letter = np.unique(np.concatenate([p, t]), return_inverse=True)[1]
+    letter = np.unique(pair * (letter.max() + 1) + letter, return_inverse=True)[1]
+    span = max(int(m.max()), int(n.max())) + 2 * band + 1
+    place = letter[: len(p)] * span + row
+    order = np.argsort(place)
+    place, low = place[order], letter[len(p) :] * span + column
+    begin, end = np.searchsorted(place, low - np.minimum(column, band)), np.searchsorted(place, low + band, "right")
+    count = end - begin
+    at = np.flatnonzero(count)
+    starts = np.cumsum(count[at]) - count[at]
+    found = np.repeat(begin[at] - starts, count[at]) + np.arange(count.sum())
+    bits = np.uint64(1) << (row[order[found]] - np.repeat(column[at], count[at]) + band).astype(np.uint64)
+    out = np.zeros(len(t), np.uint64)
+    if len(at):
+        out[at] = np.bitwise_or.reduceat(bits, starts)
+    return out
+
+
 #: So many pairs are followed one by one: a step of all costs about as much as so many steps of one.
 FEW = 12
 
@@ -550,10 +704,9 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text", n_lines
     """id (a node that is like another) and its component; n_lines: how many lines there are, about, by which keys are parted."""
     spark = docs.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_lines // RANGE_LINES)
-    hits = written(key_pairs(packed_keys(docs, plan, ranges, text_col)), "hits")
+    hits = written(key_pairs(packed_keys(docs, plan, ranges, text_col), plan), "hits")
     settle(spark)
     wanted = written(hits.select("node").union(hits.select(F.col("first").alias("node"))).distinct(), "wanted")
-    sweep(spark)
     bodies = written(bitmaps(line_texts(docs, plan, text_col).join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), plan), "lines", "zstd")
     sweep(spark)
     bits = bodies.drop("body")
@@ -566,10 +719,8 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text", n_lines
         one, two = (bodies.select(F.col("node").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
         return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a long, b long")
 
-    stars = hits.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    stars = written(stars.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(reachable("x", "y", plan)).select("a", "b"), "stars")
-    sweep(spark)
-    links = written(verified(stars), "links")
+    near = hits.filter("near").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    links = written(verified(near), "links")
     sweep(spark)
     found = components(links)
 
@@ -577,9 +728,9 @@ def alike_lines(docs: DataFrame, plan: LinePlan, text_col: str = "text", n_lines
         return rare_sets(bodies.join(nodes, "node").select("node", "body", "component"), plan)
 
     settle(spark)
-    # The first of each key has been held against all others, so a key's only other member is settled, and so are probes that no segment is left for.
+    # Most keys are settled where they are: all their pairs that may be alike are among the links. Left are those of large groups, and of very large keys.
     out = link_across(hits.filter("more").select("key", "node", "role"), found, bits, lambda x, y: reachable(x, y, plan), sets_of, verified, "lines")
-    free(hits, bodies, wanted, stars, links)
+    free(hits, bodies, wanted, links)
     sweep(spark)
     return out
 

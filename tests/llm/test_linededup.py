@@ -319,3 +319,32 @@ def test_keys_travel_packed_and_pairs_are_settled(spark, monkeypatch):
     monkeypatch.setattr(L, "link_across", lambda members, *a: given.append(members.count()) or real(members, *a))
     texts += [t.replace("w1", "v1", 1) for t in texts]
     assert L.duplicate_lines(documents(spark, texts), LINES).count() > 500 and given == [0]
+
+
+def test_unlike_members_of_a_key_go_where_it_is(spark, monkeypatch):
+    """Members of a large key without one that may be alike are no rows; those with one are links at once."""
+    r = random.Random(8)
+    run = "all of these lines begin with the very same run of common words and then"
+    texts = [run + " " + " ".join(f"v{r.randrange(10**6)}" for _ in range(r.randint(9, 30))) for _ in range(200)]
+    texts += [reworded(r, x, 1) for x in texts[:20]]
+    hits = L.key_pairs(L.packed_keys(documents(spark, texts), WORDS, 4), WORDS).collect()
+    assert 20 <= len({frozenset((x["node"], x["first"])) for x in hits}) < 60 and not any(x["more"] for x in hits)
+    assert L.duplicate_lines(documents(spark, texts), WORDS).count() >= 18
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_allow_for_every_edit(seed):
+    """Of alike lines that share a key, one of their keys at least takes them for near."""
+    r = random.Random(seed)
+    for words in (3, 9, 10, 11, 19, 40, 130, 400):
+        for _ in range(20):
+            line = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(6, 9))) for _ in range(words))
+            other = reworded(r, line, max(1, words // 10)) if words > 12 or r.random() < 0.5 else edited(r, line.encode(), 2).decode("utf-8", "replace")
+            pair = pa.array([line, other])
+            if not L.alike(pair[:1].cast(pa.binary()), pair[1:].cast(pa.binary()), LINES)[0] or line == other:
+                continue
+            key, member, sketch, size = L.line_keys(next(chunks(pair)), LINES)
+            order = np.lexsort((member, key))
+            key, member, sketch, size = (x[order] for x in (key, member, sketch, size))
+            met = np.flatnonzero(key[1:] == key[:-1])
+            assert L.Near(sketch, size, LINES).pairs(met, met + 1).any()
