@@ -9,7 +9,7 @@ the segments of lines that are compared by words are cut by content instead: the
 must leave unchanged holds one. This is complete too. Candidates are verified by banded bit-parallel edit distance, many pairs at once. Alike lines form components; all but the first occurrence of each go.
 
 Equal lines are one node. Keys travel packed, many in a row, by ranges of the key; each member of a key is paired with one segment of it (its first), and a range that holds very many members lets
-those that are paired go, so no task holds a key of any size. Verified links are joined to components, and then only pairs across components of a key are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
+those that are paired go, so no task holds a key of any size. Each carries a sketch of its line; in keys of bounded size all pairs that sketches allow are made, and those few are verified. Verified links are joined to components, and then only pairs across components of large keys are left (crosslinks: large keys of unlike lines are parted by their rarest words), so groups of alike lines are never paired in full. Pairs whose bitmaps
 differ in more than the edits can explain are not made.
 
 A node is a 62-bit hash of its line: among n distinct lines, two share one with probability n**2 / 2**63.
